@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.common import documents
 from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.secret_scan import RULES, listed, scan
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_path, _, _ = scan(documents(spark, sf_dir))
+    kinds = [r.kind for r in RULES if r.base]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in kinds]
+    return by_path.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op10_secret_ledger": op10_secret_ledger,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
@@ -42,6 +53,25 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
 FROM sets s LEFT JOIN classes k ON list_sort(s.s) = k.s LEFT JOIN component m ON m.node = k.rep
 """
 
+def _span_sql(i: int, r) -> str:
+    p = r.pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: struct_pack(
+      s := list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i - 1], lambda x: length(x))), 0),
+      o := {i}, n := length(regexp_extract_all(t, '{p}')[i]), k := '{r.kind}', g := length(regexp_extract_all(t, '{p}', {r.group})[i]))), lambda x: x.g >= {r.least})"""
+
+
+_OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(flatten([{", ".join(_span_sql(i, r) for i, r in enumerate(RULES))}])) AS s FROM d),
+b AS (SELECT doc_id, s, list_filter(s, lambda x: x.o < 3) AS b FROM f)
+SELECT doc_id, CAST(len(list_filter(b, lambda x: x.o = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(b, lambda x: x.o = 1)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(b, lambda x: x.o = 2)) AS BIGINT) AS n_hex,
+  sha256(array_to_string(list_transform(b, lambda x: x.k || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT)), ',')) AS base_sha256,
+  array_to_string(list_transform(s, lambda x: x.k || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT)), ',') AS spans
+FROM b
+"""
+
 ORACLES = {
+    "op10_secret_ledger": _OP10_SQL,
     "op9_minhash_near_dedup": _OP9_SQL,
 }
