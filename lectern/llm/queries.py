@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents
+from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.packing import best_fit
 from lectern.llm.secret_scan import RULES, listed, scan
 
 
@@ -22,7 +24,17 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_path.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(documents(spark, sf_dir), max_epochs=2.0)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_temperature_mixing": op8_temperature_mixing,
     "op10_secret_ledger": op10_secret_ledger,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
@@ -71,7 +83,35 @@ SELECT doc_id, CAST(len(list_filter(b, lambda x: x.o = 0)) AS BIGINT) AS n_assig
 FROM b
 """
 
+_DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_OP8_SQL = f"""
+WITH RECURSIVE items AS (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), sums AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n FROM items GROUP BY 1),
+shares AS (SELECT list({{'p': tokens / (SELECT sum(tokens) FROM sums), 't': tokens}}) AS s FROM sums WHERE tokens > 0),
+ratio AS (SELECT list_max(list_transform(s, lambda x: x.p)) AS hi, list_min(list_transform(s, lambda x: x.p)) AS lo, s FROM shares),
+halves AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END
+  FROM (SELECT i, low, high, list_max(list_transform(s, lambda x: pow(x.p, (low + high) / 2) / x.t)) / list_min(list_transform(s, lambda x: pow(x.p, (low + high) / 2) / x.t)) <= 2.0 AS ok FROM halves, ratio WHERE i < 32)
+), a AS (
+  SELECT CASE WHEN hi / lo <= 2.0 THEN 0.0 ELSE (SELECT round(high, 6) FROM halves ORDER BY i DESC LIMIT 1) END AS a FROM ratio
+), powers AS (SELECT source, tokens, n, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM sums), (SELECT a FROM a)) ELSE 0.0 END AS w FROM sums),
+rates AS (SELECT source, tokens, n, w / (SELECT sum(w) FROM powers) AS weight, CASE WHEN tokens > 0 THEN w / tokens / (SELECT min(w / tokens) FROM powers WHERE tokens > 0) ELSE 1.0 END AS rate FROM powers),
+sources AS (SELECT source, weight, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * tokens) AS BIGINT) AS part, CAST(ceil(sqrt(n)) AS BIGINT) AS blocks FROM rates),
+placed AS (SELECT i.*, weight, whole, part, {_DRAW.format("'17:' || doc_id")} % blocks AS block FROM items i JOIN sources USING (source)),
+sized AS (SELECT source, block, whole, part, sum(n_tokens) AS size, unnest(range(0, whole + 1)) AS epoch FROM placed GROUP BY source, block, whole, part),
+ranked AS (SELECT *, {_DRAW.format("'17:' || source || ':' || epoch || ':' || block")} AS d FROM sized),
+ordered AS (SELECT *, row_number() OVER w AS block_rank, sum(size) OVER w - size AS before FROM ranked WINDOW w AS (PARTITION BY source, epoch ORDER BY d, block)),
+copies AS (SELECT *, unnest(range(0, whole + 1)) AS epoch FROM placed),
+drawn AS (SELECT c.*, block_rank, before, {_DRAW.format("'17:' || epoch || ':' || doc_id")} AS d FROM copies c JOIN (SELECT source, epoch, block, block_rank, before FROM ordered WHERE epoch < whole OR before < part) USING (source, epoch, block)),
+slots AS (SELECT *, row_number() OVER w AS slot, before + sum(n_tokens) OVER (PARTITION BY source, epoch, block ORDER BY d, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM drawn WINDOW w AS (PARTITION BY source, epoch, block ORDER BY d, doc_id, n_tokens))
+SELECT doc_id, source, n_tokens, epoch, block, CAST(block_rank AS INT) AS block_rank, CAST(slot AS INT) AS slot, weight FROM slots WHERE epoch < whole OR upto <= part
+"""
+
 ORACLES = {
+    "op8_temperature_mixing": _OP8_SQL,
     "op10_secret_ledger": _OP10_SQL,
     "op9_minhash_near_dedup": _OP9_SQL,
 }
