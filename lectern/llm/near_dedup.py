@@ -139,14 +139,27 @@ def _similarity(a: str, b: str):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node.
 
-    Smallest label of the neighbours, then of the label itself, until nothing changes; each round is stored."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    Each round hooks every node to its smallest neighbour and contracts the edges, which soon leaves few;
+    at the end labels of labels are followed until nothing changes. Each round is stored."""
+    e = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        step = stored(step.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
+        hook = e.union(e.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+        hook = hook.join(hook.select(F.col("node").alias("component"), F.col("component").alias("above")), "component").select("node", F.col("above").alias("component"))
+        hook = stored(hook, "hooks")
+        if labels is None:
+            labels = hook
+        else:
+            moved = hook.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            labels = stored(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        x, y = hook.select(F.col("node").alias("a"), F.col("component").alias("x")), hook.select(F.col("node").alias("b"), F.col("component").alias("y"))
+        e = e.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        e = stored(e, "edges")
+        if e.isEmpty():
+            break
+    while True:
+        above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        step = stored(labels.join(above, "component").select("node", F.col("component").alias("was"), F.col("above").alias("component")), "labels")
         labels = step.select("node", "component")
         if step.filter("was <> component").isEmpty():
             return labels

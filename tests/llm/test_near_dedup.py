@@ -1,6 +1,6 @@
 import random
 
-from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.near_dedup import connected_components, near_duplicates
 
 
 def brute(rows, k, percent):
@@ -52,3 +52,13 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted(map(tuple, near_duplicates(df, shingle=2).collect()), key=str)
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (None, 0, None, False), (None, 3, 1, False)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(1)
+    chain = list(range(60))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(500, 100 + i) for i in range(40)] + [(7000, 6999), (6999, 7000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{i: 100 for i in [500, *range(100, 140)]}, 6999: 6999, 7000: 6999}
