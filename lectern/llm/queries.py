@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents
+from lectern.llm import quality
+from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import best_fit
@@ -32,7 +33,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir))
 
 
+def _with_split(scored: DataFrame, mod: int, out: int) -> DataFrame:
+    return scored.select("doc_id", (crc_remainder("doc_id", mod) == out).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, crc_remainder("doc_id", 5) != 0)
+    return _with_split(quality.score(docs, model), 5, 0)
+
+
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_temperature_mixing": op8_temperature_mixing,
     "op10_secret_ledger": op10_secret_ledger,
