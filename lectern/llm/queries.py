@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import quality
+from lectern.llm import quality, toxicity
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
@@ -43,7 +43,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_split(quality.score(docs, model), 5, 0)
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, crc_remainder("doc_id", 4) != 2)
+    return _with_split(toxicity.passages(docs, model), 4, 2)
+
+
 QUERIES = {
+    "op6_toxic_segments": op6_toxic_segments,
     "op4_quality_classifier": op4_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_temperature_mixing": op8_temperature_mixing,
