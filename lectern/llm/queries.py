@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import quality, toxicity
+from lectern.llm import quality, token_store, toxicity, warc
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
@@ -49,7 +49,19 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_split(toxicity.passages(docs, model), 4, 2)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write(documents(spark, sf_dir))
+    return token_store.read(spark, path, with_ids=False)
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.catalogue(spark, path)
+
+
 QUERIES = {
+    "op5_warc_archive": op5_warc_archive,
+    "op1_token_store": op1_token_store,
     "op6_toxic_segments": op6_toxic_segments,
     "op4_quality_classifier": op4_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -129,7 +141,18 @@ slots AS (SELECT *, row_number() OVER w AS slot, before + sum(n_tokens) OVER (PA
 SELECT doc_id, source, n_tokens, epoch, block, CAST(block_rank AS INT) AS block_rank, CAST(slot AS INT) AS slot, weight FROM slots WHERE epoch < whole OR upto <= part
 """
 
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OP5_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_B32}', CAST(1 + (CAST('0x' || substr(x || '0', 1 + (i * 5) // 4, 2) AS BIGINT) >> (3 - (i * 5) % 4)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
 ORACLES = {
+    "op5_warc_archive": _OP5_SQL,
     "op8_temperature_mixing": _OP8_SQL,
     "op10_secret_ledger": _OP10_SQL,
     "op9_minhash_near_dedup": _OP9_SQL,
