@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import quality, token_store, toxicity, warc
+from lectern.llm import quality, token_store, toxicity, warc, winnowing
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
@@ -59,7 +59,21 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.catalogue(spark, path)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.compare_with_edits(documents(spark, sf_dir))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        winnowing.digest("hashes", "positions").alias("fingerprint"),
+        winnowing.digest("edited_hashes", "edited_positions").alias("edited_fingerprint"),
+        winnowing.likeness("hashes", "edited_hashes").alias("near_edited"),
+        winnowing.likeness("hashes", "next_hashes").alias("near_next"),
+    )
+
+
 QUERIES = {
+    "op3_winnowing": op3_winnowing,
     "op5_warc_archive": op5_warc_archive,
     "op1_token_store": op1_token_store,
     "op6_toxic_segments": op6_toxic_segments,
@@ -146,7 +160,7 @@ _OP5_SQL = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, min(page_id) OVER (PARTITION BY b) AS first FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), lambda i: substr('{_B32}', CAST(1 + (CAST('0x' || substr(x || '0', 1 + (i * 5) // 4, 2) AS BIGINT) >> (3 - (i * 5) % 4)) & 31 AS INT), 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_B32}', CAST(1 + ((CAST('0x' || substr(x || '0', 1 + (i * 5) // 4, 2) AS BIGINT) >> (3 - (i * 5) % 4)) & 31) AS INT), 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM h
 """
