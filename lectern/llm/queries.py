@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import quality, token_store, toxicity, warc, winnowing
+from lectern.llm import media, quality, token_store, toxicity, warc, winnowing
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
@@ -72,7 +72,12 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features_of(media.store_texts(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op7_media_sniffing": op7_media_sniffing,
     "op3_winnowing": op3_winnowing,
     "op5_warc_archive": op5_warc_archive,
     "op1_token_store": op1_token_store,
