@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.llm.common import split_batches
 
 MAX_ROWS = 2400
 BUCKETS = 1 << 16
 DIM = 8
-EPOCHS = 12
+#: Steps of one document; as many passes over the examples as that takes.
+STEPS = 24_000
 RATE = 4.0
 MEMO = 300_000
 REPEAT = 0
@@ -78,8 +80,9 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) ->
     rng = np.random.RandomState(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = EPOCHS * len(examples), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(examples))
+    steps, step = epochs * len(examples), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(examples)):
             label, buckets, counts = examples[i]
             rate = RATE * (1 - step / steps)
@@ -173,3 +176,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def scored_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", name: str = "__score") -> DataFrame:
+    """The rows of docs with all their columns, and the score of each in one more."""
+    shared, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Sums(shared.value)
+        for batch in split_batches(batches, text_col):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            z = np.array([logit(t, memo, bias) for t in texts], np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
