@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from lectern.plans import filters, statistics
+from lectern.plans.registry import ORACLES, QUERIES
