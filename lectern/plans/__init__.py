@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lectern.plans import filters, statistics
+from lectern.plans import filters, ordering, relations, retrieval, statistics, texts
 from lectern.plans.registry import ORACLES, QUERIES
