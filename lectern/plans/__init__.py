@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lectern.plans import filters, listing, ordering, relations, retrieval, statistics, texts
+from lectern.plans import filters, listing, ordering, relations, retrieval, statistics, streams, texts
 from lectern.plans.registry import ORACLES, QUERIES
