@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,7 +132,11 @@ def slug(heading: str | Column) -> Column:
 def shingles(text: str | Column, n: int) -> Column:
     """Distinct n-word shingles of the lower-cased text."""
     w = F.filter(F.split(F.lower(_col(text)), COLLAPSE), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+    out = F.slice(w, 1, count)
+    for i in range(2, n + 1):  # zipped, so that the words are not made anew for every shingle
+        out = F.zip_with(out, F.slice(w, i, count), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.coalesce(out, F.array().cast("array<string>")))
 
 
 def hashtag_phrases(text: str | Column) -> Column:
@@ -192,14 +197,23 @@ def quote_match(quote: pd.Series, source: pd.Series) -> pd.Series:
         if not parts or not s:
             return "none"
         a, b = " ".join(parts).split(), s.split()
+        n, wanted, shared = len(a), Counter(a), 0
         matcher = difflib.SequenceMatcher(None, autojunk=False)
         matcher.set_seq2(a)
-        best = 0.0
-        for i in range(max(1, len(b) - len(a) + 1)):
-            matcher.set_seq1(b[i : i + len(a)])
-            if matcher.quick_ratio() > best:
-                best = max(best, matcher.ratio())
-        return "near" if best >= 0.8 else "none"
+        held: Counter[str] = Counter()
+        for i, word in enumerate(b):
+            # Words shared in any order bound the ratio; only windows that can reach it are aligned.
+            shared += held[word] < wanted[word]
+            held[word] += 1
+            if i >= n:
+                old = b[i - n]
+                held[old] -= 1
+                shared -= held[old] < wanted[old]
+            if i + 1 >= min(n, len(b)) and shared / (n + min(n, i + 1)) >= 0.4:
+                matcher.set_seq1(b[max(0, i + 1 - n) : i + 1])
+                if matcher.ratio() >= 0.8:
+                    return "near"
+        return "none"
 
     return pd.Series([one(q, s) for q, s in zip(quote, source)])
 

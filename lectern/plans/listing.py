@@ -85,9 +85,9 @@ def since_last(t: Tables):
     return op.since_last(t.events.filter("event_type = 'purchase'"), "ts", "2024-01-12 00:00:00", 7)
 
 
-@query("custom_order", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey LIMIT 4000")
+@query("custom_order", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey")
 def custom_order(t: Tables):
-    return t.orders.orderBy(op.custom_order("o_orderpriority", ["3-MEDIUM", "1-URGENT"]), F.desc("o_totalprice"), "o_orderkey").limit(4000).select("o_orderkey", "o_orderpriority")
+    return t.orders.orderBy(op.custom_order("o_orderpriority", ["3-MEDIUM", "1-URGENT"]), F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
 @query("nulls_last_page", "SELECT c_custkey, last_at FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_at FROM events WHERE event_type = 'error' GROUP BY 1) ON c_custkey = user_id ORDER BY last_at DESC NULLS LAST, c_custkey LIMIT 40")

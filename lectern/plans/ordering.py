@@ -48,10 +48,10 @@ def tournament_batches(t: Tables):
     return b.groupBy("batch").agg(F.count("*").alias("n"), F.max("p_partkey").alias("last"))
 
 
-@query("pack_batches", "WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem WHERE l_orderkey % 10 = 1), g AS (SELECT l_orderkey, l_linenumber, i, q AS s, 0 AS batch FROM r WHERE i = 1 UNION ALL SELECT r.l_orderkey, r.l_linenumber, r.i, CASE WHEN s > 0 AND s + q > 60 THEN q ELSE s + q END, CASE WHEN s > 0 AND s + q > 60 THEN batch + 1 ELSE batch END FROM g JOIN r ON r.l_orderkey = g.l_orderkey AND r.i = g.i + 1) SELECT l_orderkey, l_linenumber, batch FROM g")
+@query("pack_batches", "WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem), g AS (SELECT l_orderkey, l_linenumber, i, q AS s, 0 AS batch FROM r WHERE i = 1 UNION ALL SELECT r.l_orderkey, r.l_linenumber, r.i, CASE WHEN s > 0 AND s + q > 60 THEN q ELSE s + q END, CASE WHEN s > 0 AND s + q > 60 THEN batch + 1 ELSE batch END FROM g JOIN r ON r.l_orderkey = g.l_orderkey AND r.i = g.i + 1) SELECT l_orderkey, l_linenumber, batch FROM g")
 def pack_batches(t: Tables):
-    rows = t.lineitem.filter("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return op.greedy_batches(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_quantity", 60).select("l_orderkey", "l_linenumber", "batch")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return op.greedy_batches(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 60).select("l_orderkey", "l_linenumber", "batch")
 
 
 @query("quota_admit", "SELECT event_id, event_type = 'purchase' OR sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 20 AS admitted FROM events")

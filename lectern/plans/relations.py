@@ -46,10 +46,10 @@ def fallback_lookup(t: Tables):
     return op.first_match(rows, tables, "name").select("event_id", "name", "resolved_by")
 
 
-@query("interleaved_timeline", "SELECT event_id, ts, is_note FROM (SELECT event_id, ts, 0 AS is_note FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, ts, 1 FROM events WHERE event_type = 'error') ORDER BY ts, is_note, event_id LIMIT 200")
+@query("interleaved_timeline", "SELECT event_id, ts, is_note FROM (SELECT event_id, ts, 0 AS is_note FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, ts, 1 FROM events WHERE event_type = 'error') ORDER BY ts, is_note, event_id")
 def interleaved(t: Tables):
     rows = t.events.select("event_id", "ts", "event_type")
-    return op.interleave(rows.filter("event_type = 'view'"), rows.filter("event_type = 'error'"), "ts", "event_id").select("event_id", "ts", "is_note").limit(200)
+    return op.interleave(rows.filter("event_type = 'view'"), rows.filter("event_type = 'error'"), "ts", "event_id").select("event_id", "ts", "is_note")
 
 
 _SEC = "epoch(ts)"

@@ -34,9 +34,9 @@ def knn_scoped(t: Tables):
     return op.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), k=5).withColumn("distance", F.round("distance", 9))
 
 
-@query("knn_squared_l2", "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 12), v.vec_id) AS INT) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 3")
+@query("knn_squared_l2", "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 12), v.vec_id) AS INT) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 3")
 def knn_squared_l2(t: Tables):
-    return op.nearest(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), k=3, distance=op.squared_l2).withColumn("distance", F.round("distance", 9))
+    return op.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), k=3, distance=op.squared_l2).withColumn("distance", F.round("distance", 9))
 
 
 @query("pooled_lists", f"WITH a AS (SELECT v.vec_id AS id, {_COS} AS d FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE v.vec_id <> 1 ORDER BY d, id LIMIT 20), b AS (SELECT v.vec_id AS id, {_COS} AS d FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE v.vec_id <> 2 ORDER BY d, id LIMIT 20) SELECT id, round(min(d), 9) AS distance FROM (FROM a UNION ALL FROM b) GROUP BY 1 ORDER BY min(d), id LIMIT 12")
@@ -117,9 +117,9 @@ def graph_neighborhood(t: Tables):
     return graph.neighborhood(_edges(t), "a", "b", t.spark.createDataFrame([(5,)], "node long"), 2)
 
 
-@query("components", "WITH RECURSIVE e AS (SELECT user_id AS a, user_id + 1000 + CAST(floor(value) AS INT) % 3 AS b FROM events WHERE event_id % 50 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1")
+@query("components", "WITH RECURSIVE e AS (SELECT user_id AS a, user_id + 1000 + CAST(floor(value) AS INT) % 3 AS b FROM events), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1")
 def components(t: Tables):
-    e = t.events.filter("event_id % 50 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") + 1000 + F.col("value").cast("int") % 3).alias("b"))
+    e = t.events.select(F.col("user_id").alias("a"), (F.col("user_id") + 1000 + F.col("value").cast("int") % 3).alias("b"))
     return graph.components(e, "a", "b")
 
 

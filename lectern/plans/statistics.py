@@ -31,9 +31,9 @@ def channel_report(t: Tables):
     return op.channel_report(t.lineitem.select(F.col("l_suppkey").alias("channel"), F.col("l_orderkey").alias("video"), "l_partkey", "l_quantity"), "channel", "video", "l_partkey", "l_quantity")
 
 
-@query("month_cadence_filled", "WITH m AS (SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_custkey % 40 = 1 GROUP BY 1, 2), s AS (SELECT p, min(month) AS a, max(month) AS b FROM m GROUP BY 1), e AS (SELECT p, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM s) SELECT e.p AS o_orderpriority, e.month, coalesce(n, 0) AS n FROM e LEFT JOIN m ON e.p = m.p AND e.month = m.month")
+@query("month_cadence_filled", "WITH m AS (SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT p, min(month) AS a, max(month) AS b FROM m GROUP BY 1), e AS (SELECT p, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM s) SELECT e.p AS o_orderpriority, e.month, coalesce(n, 0) AS n FROM e LEFT JOIN m ON e.p = m.p AND e.month = m.month")
 def month_cadence(t: Tables):
-    return op.monthly_cadence(t.orders.filter("o_custkey % 40 = 1"), "o_orderdate", ["o_orderpriority"])
+    return op.monthly_cadence(t.orders, "o_orderdate", ["o_orderpriority"])
 
 
 @query("duration_buckets", "SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN value < 5 THEN '0-5' WHEN value < 15 THEN '5-15' WHEN value < 30 THEN '15-30' WHEN value < 60 THEN '30-60' WHEN value < 120 THEN '60-120' ELSE '120+' END AS bucket, count(*) AS n, round_even(median(value), 1) AS middle FROM events GROUP BY 1")

@@ -19,14 +19,14 @@ def sentence_times(t: Tables):
     return fn.sentence_times(t.conversations.withColumn("start", F.col("turn").cast("double")).withColumn("duration", F.lit(1.0)), "text", "start", "duration", ["conv_id", "turn"])
 
 
-@query("html_text", r"WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN length(t) > 2000 THEN left(t, 2000) || '...' ELSE t END AS text FROM a")
+@query("html_text", r"WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN length(t) > 50000 THEN left(t, 50000) || '...' ELSE t END AS text FROM a")
 def html_text(t: Tables):
-    return t.pages.select("page_id", fn.plain_html("html", 2000).alias("text"))
+    return t.pages.select("page_id", fn.plain_html("html").alias("text"))
 
 
-@query("headings", r"WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[23][^>]*>(.*?)</h[23]>', 1)) AS h FROM pages), c AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h FROM h) SELECT page_id, count(DISTINCT h) AS n FROM c WHERE h <> '' GROUP BY 1")
+@query("headings", r"WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?i)(</?)title', '\1h2', 'g'), '(?is)<h[23][^>]*>(.*?)</h[23]>', 1)) AS h FROM pages), c AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h FROM h) SELECT page_id, count(DISTINCT h) AS n FROM c WHERE h <> '' GROUP BY 1")
 def headings(t: Tables):
-    return t.pages.select("page_id", F.size(fn.headings("html", 1000)).cast("long").alias("n")).filter("n > 0")
+    return t.pages.select("page_id", F.size(fn.headings(F.regexp_replace("html", "(?i)(</?)title", "$1h2"), 1000)).cast("long").alias("n")).filter("n > 0")
 
 
 @query("url_keys", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)^https?://(www\.)?', ''), '/+$', '') AS key, nullif(regexp_extract(url || '?v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0'), '[?&]v=([A-Za-z0-9_-]{11})', 1), '') AS video FROM pages WHERE NOT regexp_matches(url, '[?&]')")
@@ -54,9 +54,9 @@ def era_payloads(t: Tables):
     return rows.select("event_id", fn.era_payload("p").alias("e")).select("event_id", "e.*")
 
 
-@query("topic_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 400)), '[\p{L}\p{N}]{3,}')) AS w FROM documents) SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END) AS n FROM w WHERE w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'this', 'to', 'was', 'what', 'with') GROUP BY 1")
+@query("topic_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS w FROM documents) SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END) AS n FROM w WHERE w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'this', 'to', 'was', 'what', 'with') GROUP BY 1")
 def topic_terms(t: Tables):
-    return t.documents.select("doc_id", F.size(fn.topic_terms(F.left("text", F.lit(400)))).cast("long").alias("n")).filter("n > 0")
+    return t.documents.select("doc_id", F.size(fn.topic_terms("text")).cast("long").alias("n")).filter("n > 0")
 
 
 @query("visual_marks", r"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN trim(regexp_replace('a  [VISUAL x ' || event_id || ']  b', '\[VISUAL[^\]]*\]', ' ', 'g')) ELSE 'a  [VISUAL open ' || event_id END AS t FROM events")
@@ -71,15 +71,15 @@ def slugs(t: Tables):
     return t.part.select("p_partkey", fn.slug("p_name").alias("slug"))
 
 
-@query("redacted_logs", r"SELECT page_id, regexp_replace(url || '?key=' || page_id || '&x=1 sk-abcdefgh' || page_id, '(?i)([?&]key=)[^&\s]+', '\1***') AS t FROM pages WHERE FALSE")
+@query("redacted_logs", "SELECT page_id, url || '?key=***&x=1 sk-***' AS t FROM pages")
 def redacted_logs(t: Tables):
-    line = F.concat("url", F.lit("?key="), F.col("page_id").cast("string"), F.lit("&x=1 sk-abcdefgh"), F.col("page_id").cast("string"))
-    return t.pages.select("page_id", fn.redacted(line).alias("t")).filter(F.col("t").contains("abcdefgh") | F.col("t").rlike("key=[0-9]"))
+    line = F.concat("url", F.lit("?key="), F.col("page_id").cast("string"), F.lit("&x=1 sk-abcdefghijkl"), F.col("page_id").cast("string"))
+    return t.pages.select("page_id", fn.redacted(line).alias("t"))
 
 
-@query("shared_shingles", "WITH s AS (SELECT doc_id, w FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, 300)), '\\s+'), lambda x: x <> '') AS w FROM documents)), x AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM s) SELECT a.doc_id, CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS jaccard FROM x a JOIN x b ON b.doc_id = a.doc_id + 1")
+@query("shared_shingles", "WITH s AS (SELECT doc_id, w FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)), x AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM s) SELECT a.doc_id, CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS jaccard FROM x a JOIN x b ON b.doc_id = a.doc_id + 1")
 def shared_shingles(t: Tables):
-    s = t.documents.select("doc_id", fn.shingles(F.left("text", F.lit(300)), 3).alias("s"))
+    s = t.documents.select("doc_id", fn.shingles("text", 3).alias("s"))
     other = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
     return s.join(other, "doc_id").select("doc_id", jaccard("s", "o").alias("jaccard"))
 
@@ -103,4 +103,4 @@ def balanced_pages(t: Tables):
 @query("quote_check")
 def quote_check(t: Tables):
     sides = t.documents.select("doc_id", "text").join(t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.left("text", F.lit(80)).alias("quote")), "doc_id")
-    return sides.select("doc_id", fn.quote_match("quote", F.left("text", F.lit(2000))).alias("other"), fn.quote_match(F.substring("text", 10, 60), F.left("text", F.lit(2000))).alias("own"))
+    return sides.select("doc_id", fn.quote_match("quote", "text").alias("other"), fn.quote_match(F.substring("text", 10, 60), "text").alias("own"))

@@ -8,6 +8,8 @@ from lectern import plans
 from tests.compare import differences
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+#: Right without any row: an empty scope, and customers without orders, of whom small tables have none.
+EMPTY = {"empty_scope_is_empty", "anti_not_ordered"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -19,4 +21,4 @@ def test_query(spark, name):
         return
     ours, theirs, rows = differences(df, plans.ORACLES[name], SF_DIR)
     assert not ours and not theirs, f"{rows} rows; only here {ours[:3]}; only in SQL {theirs[:3]}"
-    assert rows, "the query's result is empty"
+    assert rows or name in EMPTY, "the query's result is empty"
