@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,15 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 4096
-MEMO = 600_000
+MEMO = 300_000
 MARK = "\x01"
 
 
+#: Letters that are their own composed form, then stops and the like.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([].,;:!?#$%&*()\"+/=@^_`~\\{}[-]*)").fullmatch
+#: The letters that a byte-level model has for bytes: printable ones stand for themselves, the others for those from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: White space to str.split(), but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -64,7 +71,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Texts to id bytes, word by word."""
+    """Texts to id bytes, word by word.
+
+    A word of plain letters, with stops or other marks after it or not, is the ids of its letters in lower case and
+    those of the rest: the tokenizer cuts between the two. Letters need no normalizing then and go straight to the
+    library's model. The ids of MEMO words, those met last, and as many met before them are kept, and of MEMO letter runs."""
 
     def __init__(self, path: str):
         import os
@@ -74,15 +85,21 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.mark = self.ids(f" {MARK} ")
+        self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of new words in the memo; words that hold the mark are encoded alone."""
+    def learn_odd(self, words: list[str]) -> None:
+        """Put the ids of any words in the memo, with one call for all but those that hold the mark."""
         plain = [w for w in words if MARK not in w]
+        alone = [w for w in words if MARK in w]
         if plain:
             ids = self.ids("".join([f"{w} {MARK} " for w in plain]))
             cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
@@ -92,36 +109,70 @@ class WordEncoder:
                     self.memo[w] = data[at : 4 * cut]
                     at = 4 * cut + 4
             else:
-                words = [*plain, *[w for w in words if MARK in w]]
-                plain = []
-        for w in words if not plain else [w for w in words if MARK in w]:
+                alone = words
+        for w in alone:
             self.memo[w] = self.ids(w).tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        memo, old, runs, tails, bytes_of, model = self.memo, self.old, self.runs, self.tails, self.bytes_of, self.model.tokenize
+        if len(runs) > MEMO:
+            runs.clear()
+        odd = []
+        for w in words:
+            known = old.get(w)
+            if known is None:
+                if w.isascii() and w.isalpha():
+                    run, tail = w.lower(), ""
+                elif m := SIMPLE(w):
+                    run, tail = m[1].lower(), m[2]
+                else:
+                    odd.append(w)
+                    continue
+                known = runs.get(run)
+                if known is None:
+                    letters = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+                    runs[run] = known = b"".join([bytes_of[t.id] for t in model(letters)])
+                if tail:
+                    if tail not in tails:
+                        if len(tails) > MEMO // 10:
+                            tails.clear()
+                        tails[tail] = self.ids(tail).tobytes()
+                    known += tails[tail]
+            memo[w] = known
+        if odd:
+            self.learn_odd(odd)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [words_of(t or "") for t in texts]
         out: list[bytes] = []
         at = 0
         while at < len(split):
             if len(self.memo) > MEMO:
-                self.memo.clear()
+                self.old, self.memo = self.memo, {}
             new: set[str] = set()
             to = at
             while to < len(split) and (to == at or len(new) < MEMO // 10):
-                new.update(w for w in split[to] if w not in self.memo)
+                new |= set(split[to]).difference(self.memo)
                 to += 1
-            self.learn(list(new))
-            memo = self.memo
-            out += [b"".join([memo[w] for w in words]) for words in split[at:to]]
+            self.learn(new)
+            known = self.memo.__getitem__
+            out += [b"".join(map(known, words)) for words in split[at:to]]
             at = to
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which goes on to later tasks."""
+    return WordEncoder(path)
+
+
 def _encoded(path: str, dictionary: bytes | None):
     """Arrow batches (doc_id, text) to (doc_id, n_tokens, frame); without a dictionary frames hold raw ids."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = shared_encoder(path)
         if dictionary is not None:
             shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
             compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
