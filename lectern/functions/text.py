@@ -7,13 +7,17 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 COLLAPSE = r"\s+"
+#: Words in a row that make a quotation.
+QUOTED = 5
+EDITS = StructType([*[StructField(c, ArrayType(StringType())) for c in ("written", "removed", "quoted")], StructField("kept", IntegerType())])
 
 
 def _col(c: str | Column) -> Column:
@@ -185,6 +189,37 @@ def normalised_quote(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normal_quote(t))
 
 
+@F.pandas_udf(EDITS)
+def edited(draft: pd.Series, final: pd.Series, passage: pd.Series) -> pd.DataFrame:
+    """What an edit wrote, removed and kept of a draft, by words; stretches of QUOTED words that a passage has too are quoted.
+
+    Words compare in lower case without marks at their ends. Nulls are empty texts."""
+
+    def keys(words: list[str]) -> list[str]:
+        return [re.sub(r"^\W+|\W+$", "", w).casefold() or w.casefold() for w in words]
+
+    def one(before: str | None, after: str | None, other: str | None) -> tuple[list[str], list[str], list[str], int]:
+        a, b = (before or "").split(), (after or "").split()
+        ka, kb, ko = keys(a), keys(b), keys((other or "").split())
+        theirs = {tuple(ko[i : i + QUOTED]) for i in range(len(ko) - QUOTED + 1)}
+        starts = [tuple(kb[i : i + QUOTED]) in theirs for i in range(len(kb))]
+        foreign = [any(starts[max(0, i - QUOTED + 1) : i + 1]) for i in range(len(kb))]
+        runs: dict[bool, list[str]] = {False: [], True: []}
+        removed, kept = [], 0
+        for what, i, j, x, y in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+            if what == "equal":
+                kept += j - i
+                continue
+            if j > i:
+                removed.append(" ".join(a[i:j]))
+            for is_quoted, run in groupby(range(x, y), key=foreign.__getitem__):
+                runs[is_quoted].append(" ".join(b[k] for k in run))
+        return runs[False], removed, runs[True], kept
+
+    rows = [one(*r) for r in zip(draft, final, passage)]
+    return pd.DataFrame(rows, columns=["written", "removed", "quoted", "kept"])
+
+
 @F.pandas_udf(StringType())
 def quote_match(quote: pd.Series, source: pd.Series) -> pd.Series:
     """verbatim if every fragment between ellipses is contained, near if the best alignment is at least 0.8, else none."""

@@ -19,7 +19,8 @@ def resolved(refs: DataFrame, docs: DataFrame, ref: str = "ref_id", shortest: in
     by_url = by_video.join(docs.filter("url is not null").groupBy(url_key("url").alias("__key")).agg(F.min("document_id").alias("d2")), "__key", "left")
     first = lambda c: F.array_join(F.slice(F.split(F.lower(F.trim(c)), r"\s+"), 1, 2), " ")
     words = F.split(F.lower("context"), r"\s+")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.concat(F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.concat_ws(" ", a, b)), words)
     asked = refs.filter("context is not null").select(ref, "context", F.explode(F.array_distinct(pairs)).alias("__head"))
     titled = docs.filter(F.length("title") >= shortest).select("document_id", "title", first(F.col("title")).alias("__head"))
     hits = asked.join(titled, "__head").filter(F.contains(F.lower("context"), F.lower("title")))
