@@ -9,6 +9,8 @@ Each stage works on all that its predecessor kept. All but the last return the c
 4. mixing: every document stays; those of small sources are repeated, up to ``MAX_EPOCHS`` times.
 5. packing: one row per document (each copy) and piece, with its place in a sequence.
 
+Stages 4 and 5 count token ids, as op1_token_store does; a text without ids counts 0.
+
 Defined cases: a null text counts as the empty text in every stage and stays null; rows without a doc_id pass
 stage 1 and leave at stage 2, which names documents by id; rows that share a doc_id are one document from
 stage 2 on; further columns are carried up to the last stage; an empty table gives an empty result.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from lectern.llm import mixing, packing, quality, secret_scan
 from lectern.llm.common import crc_remainder, documents, stored
 from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.token_store import token_counts
 
 LEAST_QUALITY = 0.3
 MAX_EPOCHS = 2.0
@@ -48,11 +51,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs, max_epochs=MAX_EPOCHS)
+    counts = token_counts(docs, ["doc_id", "source"])
+    return mixing.mixed_rows(docs, planned=counts, tokens=F.col("n_tokens"), max_epochs=MAX_EPOCHS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs)
+    return packing.best_fit_texts(docs)
 
 
 STAGES = [

@@ -97,9 +97,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", to
     return copies.filter("epoch < whole or upto <= part").select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank", "slot", "weight")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, each as often as the plan has it."""
-    times = plan(docs, id_col, **options).groupBy("doc_id").agg(F.count("*").alias("times"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", planned: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs, each as often as the plan has it: a plan of docs, or of ``planned``, the same rows with other columns."""
+    times = plan(docs if planned is None else planned, id_col, **options).groupBy("doc_id").agg(F.count("*").alias("times"))
     same = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("rows"))
     # Rows that share an id share its copies: as many for each of them.
     times = times.join(same, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__id", F.floor(F.col("times") / F.col("rows")).alias("__times"))

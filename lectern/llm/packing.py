@@ -6,7 +6,10 @@ piece goes to the open sequence it fills best. Where none has room, the length t
 it can still be filled with is opened. At the end every sequence shrinks to the shortest permitted length that
 holds its contents.
 
-Defined cases: null and empty texts have length 0 and one row without a sequence; repeated rows are packed
+The length of a document is given as a column: ``best_fit_texts`` counts its ids and end id by the tokenizer of
+op1_token_store. Without one, ``best_fit`` counts words at white space.
+
+Defined cases: texts without ids or words, also null ones, have length 0 and one row without a sequence; repeated rows are packed
 each; a null id is packed like any other; an empty table gives an empty result; other columns are not read.
 """
 
@@ -18,7 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import stored
 from lectern.llm.mixing import word_count
+from lectern.llm.token_store import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 BLOCK = 2048
@@ -80,3 +85,9 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = No
     packed = pieces.filter("piece_length > 0").groupBy("block").applyInPandas(_pack_block(capacities), schema)
     empty = pieces.filter("piece_length = 0").select("doc_id", "piece", "piece_start", "piece_length", F.lit(None).cast("string").alias("sequence_id"), F.lit(None).cast("long").alias("sequence_length"), F.lit(None).cast("long").alias("offset"))
     return packed.unionByName(empty)
+
+
+def best_fit_texts(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """best_fit with lengths in token ids."""
+    counts = stored(token_counts(docs, [id_col]), "pack_lengths")
+    return best_fit(counts, id_col, F.col("n_tokens"), **options)

@@ -9,7 +9,7 @@ from lectern.llm import media, quality, token_store, toxicity, warc, winnowing
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
-from lectern.llm.packing import best_fit
+from lectern.llm.packing import best_fit_texts
 from lectern.llm.secret_scan import RULES, listed, scan
 
 
@@ -30,7 +30,7 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(documents(spark, sf_dir))
+    return best_fit_texts(documents(spark, sf_dir))
 
 
 def _with_split(scored: DataFrame, mod: int, out: int) -> DataFrame:

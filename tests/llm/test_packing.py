@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.llm.packing import CAPACITIES, best_fit, cost, pack
+from lectern.llm.packing import CAPACITIES, best_fit, best_fit_texts, cost, pack
 
 
 def naive(lengths, sizes):
@@ -54,3 +54,34 @@ def test_table(spark):
     assert best_fit(df.limit(0)).count() == 0
     given = best_fit(df.filter("doc_id < 5"), length=F.lit(3)).agg(F.sum("piece_length")).first()[0]
     assert given == 15
+
+
+def test_sequences_hold_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    from lectern.llm.token_store import tokenizer_path
+
+    texts = {1: "Zażółć gęślą jaźń, naïve 12,345.6 " * 900, 2: "日本語テキスト" * 3000, 3: "a b c", 4: None, 5: " \n"}
+    library = Tokenizer.from_file(tokenizer_path())
+    ids = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = best_fit_texts(df).collect()
+    assert {i: sum(r.piece_length for r in got if r.doc_id == i) for i in texts} == {i: n and n + 1 for i, n in ids.items()}
+    assert sum(r.doc_id == 2 for r in got) == -(-(ids[2] + 1) // max(CAPACITIES)) > 1
+    used = {}
+    for r in got:
+        if r.sequence_id:
+            used[r.sequence_id] = used.get(r.sequence_id, 0) + r.piece_length
+    assert all(used[r.sequence_id] <= r.sequence_length <= max(CAPACITIES) for r in got if r.sequence_id)
+    assert {r.doc_id for r in got if r.sequence_id is None} == {4, 5}
+
+
+def test_the_pipeline_counts_token_ids(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, "日本語" * 40, "cjk") for i in range(30)] + [(100 + i, "the of and " * 40, "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert p.mixing_stage(spark, df, "").groupBy("source").count().filter("count >= 30").count() == 2
+    want = {r.doc_id: r.n for r in best_fit_texts(df).groupBy("doc_id").agg(F.sum("piece_length").alias("n")).collect()}
+    assert {r.doc_id: r.n for r in p.packing_stage(spark, df, "").groupBy("doc_id").agg(F.sum("piece_length").alias("n")).collect()} == want
+    assert want[0] > 40 and want[100] == 121
