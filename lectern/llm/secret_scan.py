@@ -41,13 +41,20 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+# A PEM key: to its END line if no other run of five dashes comes first, else over header lines, base64 words of 16
+# letters or more and the lines of base64 after them. No lookahead, for the SQL's engine has none, and no group that is
+# repeated often, for Java's engine takes stack for each time.
+_SPACE, _BASE64 = r"[\x20\x09-\x0D\\]", "[A-Za-z0-9+/=_]"
+_KEY_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_LINES = rf"(?:{_SPACE}*n?(?:Proc-Type|DEK-Info):\x20*[^\x20\x09-\x0D\\]+){{0,4}}(?:(?:{_SPACE}*{_BASE64 * 16}{_BASE64}*){{1,256}}(?:\r?\n[A-Za-z0-9+/=_\r\n]*(?:[\r\n]|\z))?)?"
+
 # The three base kinds, then further credential formats.
 RULES = (
     Rule("assign", 1, r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, "[:=]", True),
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}", hint="AKIA", base=True),
     Rule("hex", 1, r"[0-9a-f]{16,}", base=True),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="-----BEGIN "),
+    Rule("private_key", 2, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_TO_END}|{_KEY_LINES})", hint="-----BEGIN "),
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh[pousr]_"),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
     Rule("url_login", 1, r"://[^\s:@/]+:[^\s:@/]+@", hint="://"),

@@ -52,3 +52,29 @@ def test_redaction_and_empty_table(spark):
     assert got[0] == "é😀 [secret]' tail" and got[6] is None and got[11] == "nothing" and got[4] == "x[secret]g"
     empty, ledger, _ = scan(table(spark).limit(0))
     assert empty.count() == 0 and ledger.count() == 0
+
+
+def test_private_keys_go_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + f"{i:02d}" * 24 for i in range(5)] + ["Zm9vYmFy+/=="]
+    body = "\n".join(lines)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    many = "\n".join(["A" * 64] * 9000)
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb": "a\n[secret]\nb",
+        f"a {begin} {' '.join(lines)} {end} b": "a [secret] b",
+        f"a\n{begin}\n{head}{body}\n{end}\nb": "a\n[secret]\nb",
+        "a " + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + " b": "a [secret] b",
+        f"{begin}\n{body}\n{end}\nmid - way\n{begin}\n{body}\n{end}": "[secret]\nmid - way\n[secret]",
+        f"a\n{begin}\n{body}\nno end line here": "a\n[secret]no end line here",
+        f"a\n{begin}\n{head}{body}": "a\n[secret]",
+        f"a {begin} is a header - no key\n{begin}\n{body}\n{end} b": "a [secret] is a header - no key\n[secret] b",
+        f"a\n{begin}\n{many}\n{end}\nb": "a\n[secret]\nb",
+        f"a\n{begin}\n{many}\n\nplain - words": "a\n[secret]plain - words",
+        f"{begin} " + "wo - rd " * 4000: "[secret] " + "wo - rd " * 4000,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_path, _, _ = scan(df)
+    got = df.join(by_path, "doc_id").select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert {r.doc_id: r.t for r in got} == dict(enumerate(texts.values()))
+    assert {r.kind: r.version for r in RULES}["private_key"] > 1
