@@ -165,16 +165,24 @@ def flattened_threads(comments: DataFrame, most: int = 50, deepest: int = 100) -
     return out.withColumn("place", place).filter(F.col("place") <= most).filter(F.trim(F.coalesce("body", F.lit(""))) != "").select("thread", "place", "depth", line.alias("line"))
 
 
-def reply_depths(posts: DataFrame, deepest: int = 50) -> DataFrame:
-    """(id, depth) of posts (id, in_reply_to, root): replies to the root are 1; orphans and cycles too."""
-    level = posts.filter(F.col("in_reply_to") == F.col("root")).select("id", F.lit(1).alias("depth"))
-    out = level
-    for d in range(2, deepest + 1):
-        level = posts.join(level.select(F.col("id").alias("in_reply_to")), "in_reply_to").join(out.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return posts.select("id").join(out, "id", "left").select("id", F.coalesce("depth", F.lit(1)).alias("depth"))
+def reply_depths(posts: DataFrame) -> DataFrame:
+    """(id, depth) of posts (id, in_reply_to, root): replies to the root are 1; orphans and cycles too.
+
+    Each round doubles the way up that a post has gone, so a chain of n replies takes log2(n) joins; every round is
+    checkpointed. A cycle never ends: when ways are longer than there are posts, the rest are cycles."""
+    spark = posts.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    top = F.col("in_reply_to").eqNullSafe(F.col("root"))
+    ways = posts.select("id", F.when(~top, F.col("in_reply_to")).alias("up"), F.lit(1).cast("long").alias("steps"), top.alias("ended")).dropDuplicates(["id"]).checkpoint()
+    most, length = ways.count(), 1
+    while length <= most and not ways.filter("up is not null").isEmpty():
+        above = ways.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("ended").alias("__ended"))
+        moved = F.col("__ended").isNotNull()
+        ways = ways.join(above, "up", "left").select("id", F.col("__up").alias("up"), F.when(moved, F.col("steps") + F.col("__steps")).otherwise(F.col("steps")).alias("steps"), F.coalesce("__ended", "ended").alias("ended")).checkpoint()
+        length *= 2
+    depths = ways.filter("ended").select("id", F.col("steps").cast("int").alias("depth"))
+    return posts.select("id").join(depths, "id", "left").select("id", F.coalesce("depth", F.lit(1)).alias("depth"))
 
 
 # --- transcripts and chats ---------------------------------------------------------------------------------------------

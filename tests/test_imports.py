@@ -102,3 +102,10 @@ def test_chat_messages(spark):
 def test_row_id_is_stable(spark):
     df = spark.createDataFrame([("a", None), ("a", "")], "x string, y string").select(im.row_id("x", "y").alias("i"))
     assert len({r.i for r in df.collect()}) == 1 and F is not None
+
+
+def test_reply_depths_of_a_long_chain(spark):
+    chain = [(i, i - 1, 0) for i in range(1, 131)]
+    odd = [(900, 901, 0), (901, 902, 0), (902, 900, 0), (903, 900, 0), (950, 999, 0), (951, 950, 0), (960, None, 0)]
+    posts = spark.createDataFrame(chain + odd, "id int, in_reply_to int, root int")
+    assert {r.id: r.depth for r in im.reply_depths(posts).collect()} == {**{i: i for i, _, _ in chain}, **{i: 1 for i, _, _ in odd}}
