@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: For a session that runs on one machine and names no folder, as in tests.
+LOCAL_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share; one is set only for a session on one machine that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.conf.set("spark.checkpoint.dir", DEFAULT_SHARED_DIR)
-        found = DEFAULT_SHARED_DIR
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", LOCAL_SHARED_DIR)
+        found = LOCAL_SHARED_DIR
     return found.rstrip("/")
 
 
@@ -32,6 +36,17 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

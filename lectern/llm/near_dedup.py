@@ -1,23 +1,29 @@
 """MinHash near-duplicate detection with b-bit signatures.
 
-1. Every text becomes its set of word shingles (64-bit hashes); rows with equal sets are one class.
+1. Every text becomes its set of word shingles (64-bit hashes); rows with equal sets are one class, named by a
+   64-bit hash of the set (two classes of n share a name with probability n * n / 2**65).
 2. ``BANDS * ROWS`` minima per class; a band is ``ROWS`` of them, hashed to a bucket. Of each minimum the
    low ``BITS`` bits are kept, packed into longs.
-3. A bucket links its members to one representative only (a star, never all pairs); stars whose
-   collision-corrected similarity, estimated from the bit counts of the packed signatures, is at least
-   ``COARSE`` give coarse clusters.
-4. Inside a coarse cluster every pair is compared on full sets, in blocks of a bounded number of rows;
-   pairs that share a bucket but lie in different clusters are compared one by one. Only links come out,
-   as the edges of a spanning forest.
+3. Stars: in every bucket the member that shares most with others is compared with the rest, never all pairs.
+   Pairs pass a size bound and the collision-corrected similarity estimated from the bit counts of the packed
+   signatures (at least ``FINE``), then are confirmed on full sets. Linked classes are contracted; what is not
+   linked to its bucket's star gets a new star, as long as a round links at least a ``PAYS``-th of its pairs.
+4. The rest, exactly: members of buckets that still hold more than one component. Their shingles are ordered
+   by a count sketch, rarest first. Linked sets share one of their first shingles, and how far into each set
+   that one may lie follows from both sizes (positional prefix filtering). So only sets that share a rare
+   shingle at such places, in different components, become pairs, to be estimated and confirmed as before.
 5. Connected components over the links.
 
 A link of similarity 0.8 shares no bucket with probability (1 - 0.8**6)**48 = 5e-7. There is no cap on the
-size of a bucket, of a cluster or of a component.
+size of a bucket, of a group or of a component, and rows grow in proportion to those of the buckets: near copies
+are linked through their star, and others that only share a passage have rare shingles of their own.
 
 Defined cases: null and empty texts (or texts without a word) have an empty set and are linked with nothing;
-texts with fewer words than a shingle have one shingle, the whole sequence; repeated rows fall in one class;
-a row without an id gets a null component and is not kept; an empty table gives an empty result; columns
-other than the id and the text are not read.
+texts with fewer words than a shingle have one shingle, the whole sequence; very long texts are read whole, and
+a set is never split over tasks; repeated rows fall in one class; rows that share an id but not a text are
+rows of their own; a row without an id takes the smallest id of its component, and is kept where no row of it has
+one (or it is linked with nothing); ties between stars go to the larger name; an empty table
+gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import split_batches, stored
+from lectern.llm.common import split_batches, stored, unused
 
 BANDS, ROWS, BITS = 48, 6, 2
 WORDS = BANDS * ROWS * BITS // 64
-COARSE, FINE = 0.6, 0.62
-BLOCK = 512
+SIGNATURE = [f"s{i}" for i in range(WORDS)]
+FINE = 0.62
+#: A star round is worth another one if it links one of so many pairs.
+PAYS = 10
+#: Bytes of full sets that one block of a confirmation holds, but for a longer single set.
+BLOCK_BYTES = 4 << 20
+#: Counters of the sketch that orders shingles: a broadcast of four bytes each, whatever the input.
+SLOT_BITS = 21
+#: Sizes of sets in steps of a twentieth, for the prefix filter.
+STEP = 1.05
+NO_ID = -(1 << 63)
 MEMO = 400_000
 _SEED = np.random.RandomState(7)
 _A = (_SEED.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -104,20 +119,19 @@ def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for batch in split_batches(batches, "text"):
-            ids = batch.column(0)
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             low = np.empty((len(texts), BANDS * ROWS), np.uint32)
-            sizes, digests = np.empty(len(texts), np.int64), []
+            sizes, names = np.empty(len(texts), np.int64), []
             for i, text in enumerate(texts):
                 s = shingle_set(text, k, memo)
                 sizes[i] = len(s)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                names.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 low[i] = minima(s)
             bands = _bands(low)
-            cols = [ids, pa.array(sizes), pa.array(digests, pa.binary())]
+            cols = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes)]
             cols += [pa.array(np.ascontiguousarray(c)) for c in _packed(low).T]
             cols.append(pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel())))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", *(f"s{i}" for i in range(WORDS)), "bands"])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "text_hash", "name", "size", *SIGNATURE, "bands"])
 
     return run
 
@@ -165,122 +179,214 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Boolean matrix of pairs with 100 * intersection >= percent * union."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.float64)
-    shared = np.zeros((n, n))
-    if n <= 4:
-        for i in range(n):
-            for j in range(i):
-                shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        flat = np.concatenate(sets)
-        row = np.repeat(np.arange(n), [len(s) for s in sets])
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        counts = np.diff(np.r_[first, len(flat)])
-        feature = np.repeat(np.cumsum(counts > 1) - 1, counts)
-        held = np.repeat(counts > 1, counts)
-        feature, row = feature[held], row[held]
-        most = int(feature[-1]) + 1 if len(feature) else 0
-        for at in range(0, most, 2048):
-            lo, hi = np.searchsorted(feature, [at, at + 2048])
-            m = np.zeros((n, min(2048, most - at)), np.float32)
-            m[row[lo:hi], feature[lo:hi] - at] = 1
-            shared += m @ m.T
-    union = sizes[:, None] + sizes[None] - shared
-    return 100 * shared >= percent * union
-
-
-def _forest(ids: list[int], near: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the linked pairs."""
-    left, out = np.ones(len(ids), bool), []
-    for i in range(len(ids)):
-        if not left[i]:
-            continue
-        left[i], front = False, [i]
-        while front:
-            j = front.pop()
-            new = np.flatnonzero(near[j] & left)
-            left[new] = False
-            out += [(ids[j], ids[x]) for x in new]
-            front.extend(new)
-    return out
-
-
-def _verify(percent: int):
+def _confirm(percent: int):
+    """Links of every block's hub with the others: 100 * intersection >= percent * union, on full sets."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        a, b = [], []
         for _, part in pdf.groupby("block", sort=False):
-            ids = part["doc_id"].tolist()
-            if len(ids) > 1:
-                out += _forest(ids, _linked([np.frombuffer(s, np.uint64) for s in part["shingles"]], percent))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            part = part.drop_duplicates(["name", "hub"])
+            hub, others = part[part["hub"]], part[~part["hub"]]
+            if not len(hub) or not len(others):
+                continue
+            one = np.frombuffer(hub["shingles"].iloc[0], np.uint64)
+            sizes = np.array([len(x) // 8 for x in others["shingles"]])
+            flat = np.frombuffer(b"".join(others["shingles"]), np.uint64)
+            same = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            both = np.add.reduceat(same, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+            linked = others["name"].to_numpy()[100 * both >= percent * (len(one) + sizes - both)]
+            a += [hub["name"].iloc[0]] * len(linked)
+            b += linked.tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the linked pairs among (hub, other, other_size): a hub's set goes once to each block of others."""
+    load = pairs.groupBy("hub").agg(F.ceil(F.sum("other_size") * 8 / BLOCK_BYTES).alias("blocks"))
+    dealt = pairs.join(load, "hub").select("hub", "other", "other_size", F.xxhash64("hub", F.pmod(F.xxhash64("other"), "blocks")).alias("block"))
+    dealt = stored(dealt, "dealt_pairs")
+    bins = max(1, -(-(dealt.agg(F.sum("other_size")).first()[0] or 0) * 8 // BLOCK_BYTES))
+    members = dealt.select(F.col("other").alias("name"), "block", F.lit(False).alias("hub"))
+    members = members.unionByName(dealt.select(F.col("hub").alias("name"), "block", F.lit(True).alias("hub")).distinct())
+    members = members.withColumn("bin", F.pmod("block", F.lit(bins)))
+    return members.join(sets.select("name", "shingles"), "name").groupBy("bin").applyInPandas(_confirm(percent), "a long, b long")
+
+
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for batch in split_batches(batches, "text"):
             sets = [shingle_set(t, k, memo).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["name", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked id), kept: one row per row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig_cols = [f"s{i}" for i in range(WORDS)]
-    schema = "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{c} long" for c in sig_cols) + ", bands array<long>"
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each slot of the sketch occurs in this task's sets."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            np.add.at(total, _slots(np.frombuffer(x, np.uint64)), 1)
+    met = np.flatnonzero(total)
+    for at in range(0, len(met), 1 << 16):
+        some = met[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def _size_steps() -> np.ndarray:
+    steps = [1]
+    while steps[-1] < 1 << 40:
+        steps.append(max(steps[-1] + 1, int(steps[-1] * STEP)))
+    return np.array(steps)
+
+
+def _prefixes(shared, percent: int):
+    """For each set the first shingles, rarest first, that it can share first with a set of like size.
+
+    A set offers them to larger ones under its own step of sizes (asks false) and asks for those of smaller or equal
+    ones under each step in reach. A pair of sizes m and n needs percent * (m + n) / (100 + percent) shingles in common,
+    so the first of them lies at most that far before the end of either. Shingles met once in all are left out."""
+    steps = _size_steps()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for name, component, data in zip(*[c.to_pylist() for c in batch.columns]):
+                s = np.frombuffer(data, np.uint64)
+                n = counts[_slots(s)]
+                order = np.lexsort((s, n))
+                s, held, m = s[order], n[order] > 1, len(s)
+                least = -(-percent * m // 100)
+                own, low = (int(np.searchsorted(steps, x, "right")) - 1 for x in (m, least))
+                asks = [(own, m, False)] + [(g, max(int(steps[g]), least), True) for g in range(low, own + 1)]
+                for g, other, ask in asks:
+                    most = m + percent * (m + other) // -(100 + percent) + 1
+                    at = np.flatnonzero(held[: max(most, 0)])
+                    if not len(at):
+                        continue
+                    size = len(at)
+                    key = _mixed(s[at] + np.uint64(g) * _STEP).view(np.int64)
+                    cols = [pa.array(key), pa.array(np.full(size, ask)), pa.array(np.full(size, name)), pa.array(np.full(size, component)), pa.array(np.full(size, m)), pa.array(at)]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "asks", "name", "component", "size", "place"])
+
+    return run
+
+
+PREFIXES = "key long, asks boolean, name long, component long, size long, place long"
+
+
+def _prefix_pairs(contested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, other, other_size) of different components that share a shingle where a linked pair must share one."""
+    members = stored(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
+    counted = members.select("shingles").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    counts[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    emitted = stored(members.mapInArrow(_prefixes(shared, percent), PREFIXES), "prefixes")
+    # Of keys with several components: the component with most rows is never joined with itself.
+    tally = emitted.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tally = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    live = stored(emitted.join(tally.select("key", "main"), "key").withColumn("is_main", F.col("component") == F.col("main")), "live_prefixes")
+    few, every = live.filter("not is_main").alias("x"), live.alias("y")
+    big, small = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    can = (F.col("x.asks") != F.col("y.asks")) & (F.col("x.component") != F.col("y.component")) & (F.when(F.col("x.asks"), F.col("x.size")).otherwise(F.col("y.size")) == big)
+    can = can & (100 * small >= percent * big) & ((100 + percent) * left >= percent * (big + small))
+    once = F.col("y.is_main") | (F.col("x.name") < F.col("y.name"))
+    return few.join(every, (F.col("x.key") == F.col("y.key")) & can & once).select(F.col("x.name").alias("hub"), F.col("y.name").alias("other"), F.col("y.size").alias("other_size")).distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component of each name."""
+    if labels is None:
+        return members.withColumn("component", F.col("name"))
+    return members.join(labels.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+
+
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, text_hash, name, size; classes: name, component, component_id).
+
+    A row of docs is found again by its id (NO_ID for none) and the xxhash64 of its text; name is null for an empty set.
+    component is the same number for linked classes, component_id the smallest id of their rows."""
+    if percent < 80:
+        raise ValueError("the bands are laid out for a similarity of 0.8 or more")
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = "id long, text_hash long, name long, size long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>"
     rows = stored(docs.mapInArrow(_signatures(shingle), schema), "signatures")
 
-    classes = stored(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep)).select("doc_id", "n_shingles", "bands", *sig_cols).dropDuplicates(["doc_id"])
-    reps = stored(reps, "representatives")
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
-
-    # The bucket's own mask makes its smallest member an arbitrary one, so that other buckets choose others.
-    mask = F.xxhash64("bucket")
-    stars = banded.groupBy("bucket").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("code"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("code").bitwiseXOR(mask).alias("star"))
-    shared = stored(banded.join(stars, "bucket"), "shared_buckets")
-    sigs = reps.select("doc_id", "n_shingles", *sig_cols)
-
-    def estimated(pairs: DataFrame, least: float) -> DataFrame:
-        p = pairs.join(sigs.alias("x"), F.col("a") == F.col("x.doc_id")).join(sigs.alias("y"), F.col("b") == F.col("y.doc_id"))
-        return p.filter(_similarity("x", "y") >= least).select("a", "b")
-
-    star_pairs = shared.filter("doc_id <> star").select(F.least("doc_id", "star").alias("a"), F.greatest("doc_id", "star").alias("b")).distinct()
-    clusters = connected_components(estimated(star_pairs, COARSE))
-
-    # Pairs of one bucket in different clusters: one side always lies outside the bucket's main cluster.
-    placed = shared.join(clusters, shared.doc_id == clusters.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("cluster"))
-    tally = placed.groupBy("bucket", "cluster").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
-    mixed = stored(placed.join(tally, "bucket"), "mixed_buckets")
-    x, y = mixed.filter("cluster <> main").alias("x"), mixed.alias("y")
-    apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cluster") != F.col("y.cluster")) & ((F.col("y.cluster") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))))
-    apart = apart.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    apart = estimated(apart, FINE)
-
-    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component").withColumn("k", F.ceil(F.col("n") / BLOCK))
-    own = F.pmod(F.xxhash64("node"), "k")
-    blocks = sized.select("component", "k", F.col("node").alias("doc_id"), own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    blocks = blocks.select("doc_id", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.col("k").alias("blocks"))
-    pairs = apart.select(F.explode(F.array("a", "b")).alias("doc_id"), F.xxhash64(F.lit("pair"), "a", "b").alias("block"), F.lit(1).cast("long").alias("blocks"))
-    members = stored(blocks.unionByName(pairs), "blocks")
-    bins = max(1, -(-members.filter("blocks = 1").count() // BLOCK))
-    members = members.select("doc_id", "block", F.when(F.col("blocks") == 1, F.pmod("block", F.lit(bins))).otherwise(F.col("block")).alias("bin"))
-
-    wanted = members.select("doc_id").distinct()
-    sets = docs.join(wanted, "doc_id").mapInArrow(_full_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    links = members.join(sets, "doc_id").groupBy("bin").applyInPandas(_verify(percent), "a long, b long")
-    components = connected_components(links)
-
-    classes = classes.join(components, classes.rep == components.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.coalesce("digest", F.encode(F.col("doc_id").cast("string"), "utf-8"), F.lit(b"")).alias("digest")).join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    same = [F.first(c).alias(c) for c in ("size", "bands", *SIGNATURE)]
+    least_id = F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id")
+    classes = stored(rows.filter("name is not null").groupBy("name").agg(F.min(F.struct("id", "text_hash")).alias("row"), least_id, *same), "classes")
+    sigs = classes.select("name", *SIGNATURE)
+
+    banded = classes.select("name", "size", F.explode("bands").alias("bucket"))
+    counts = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(banded.join(counts, "bucket"), "shared_buckets")
+    central = shared.groupBy("name").agg(F.sum("n").alias("central"))
+    wanted = central.join(classes.select("name", "row"), "name").select("name", F.col("row.id").alias("id"), F.col("row.text_hash").alias("text_hash"))
+    texts = docs.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("name", "text")
+    sets = stored(texts.mapInArrow(_full_sets(shingle), "name long, shingles binary"), "full_sets")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        p = pairs.join(sigs.alias("x"), F.col("hub") == F.col("x.name")).join(sigs.alias("y"), F.col("other") == F.col("y.name"))
+        return p.filter(_similarity("x", "y") >= FINE).select("hub", "other", "other_size")
+
+    shared = stored(shared.select("bucket", "name", "size").join(central, "name"), "central_buckets")
+    rest, links, labels = shared.withColumn("component", F.col("name")), None, None
+    while True:
+        star = F.max(F.struct("central", "name", "size", "component")).alias("star")
+        stars = rest.groupBy("bucket").agg(star, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket", "star")
+        rest = stored(rest.join(stars, "bucket"), "star_members")
+        near = 100 * F.least("size", "star.size") >= percent * F.greatest("size", "star.size")
+        pairs = rest.filter((F.col("component") != F.col("star.component")) & near).select(F.col("star.name").alias("hub"), F.col("name").alias("other"), F.col("size").alias("other_size")).distinct()
+        pairs = stored(estimated(pairs), "star_pairs")
+        found = stored(confirmed(pairs, sets, percent), "star_links")
+        links = found if links is None else stored(links.unionByName(found), "links")
+        labels = connected_components(links)
+        if found.count() * PAYS < pairs.count() or pairs.isEmpty():
+            break
+        rest = _labelled(rest.select("bucket", "name", "size", "central", F.col("star.name").alias("star")), labels)
+        stars = labels.select(F.col("node").alias("star"), F.col("component").alias("star_component"))
+        rest = rest.join(stars, "star", "left").filter("component <> coalesce(star_component, star)").select("bucket", "name", "size", "central", "component")
+
+    placed = _labelled(shared.select("bucket", "name"), labels)
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    contested = placed.join(mixed, "bucket", "left_semi").select("name", "component").distinct()
+    more = confirmed(stored(estimated(_prefix_pairs(contested, sets, percent)), "prefix_pairs"), sets, percent)
+    labels = connected_components(links.unionByName(more))
+
+    classes = _labelled(classes.select("name", "least_id"), labels)
+    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return rows.select("id", "text_hash", "name", "size"), stored(classes.join(least, "component").select("name", "component", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest linked id), kept: one row per row of docs."""
+    rows, classes = clustered(docs, id_col, text_col, shingle, percent)
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
+    component_id = F.when(F.col("name").isNull(), doc_id).otherwise(F.col("component_id"))
+    out = rows.join(classes, "name", "left").select(doc_id.alias("doc_id"), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs with all their columns, one for each component: that with the smallest id (a row without one comes
+    last), then with the smallest hash of its text, once. Rows without a word all stay."""
+    rows, classes = clustered(docs, id_col, text_col, shingle, percent)
+    first = F.min(F.struct(F.col("id") == NO_ID, "id", "text_hash")).alias("first")
+    chosen = rows.filter("name is not null").join(classes, "name").groupBy("component").agg(first).select("first.id", "first.text_hash")
+    row_id, text_hash = unused(docs, "__id", "__text_hash")
+    text = F.col(text_col).cast("string")
+    has_words = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    addressed = docs.filter(has_words).withColumn(row_id, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(text_hash, F.xxhash64(text))
+    chosen = chosen.toDF(row_id, text_hash)
+    once = addressed.join(chosen, [row_id, text_hash]).dropDuplicates([row_id, text_hash]).select(*docs.columns)
+    return once.unionByName(docs.filter(~has_words))

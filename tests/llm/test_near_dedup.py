@@ -1,5 +1,6 @@
 import random
 
+from lectern.llm.common import documents
 from lectern.llm.near_dedup import connected_components, near_duplicates
 
 
@@ -48,12 +49,27 @@ def test_against_brute_force(spark):
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
-    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (None, "x y")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df, shingle=2).collect()), key=str)
-    assert got == [(1, 3, 1, True), (1, 3, 1, True), (None, 0, None, False), (None, 3, 1, False)]
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (None, 0, None, True), (None, 1, None, True), (None, 3, 1, False)]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_over_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " more"), (3, a + " end")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(df, shingle=2).collect())
+    assert got == [(1, 59, 1, True), (1, 59, 1, True), (2, 60, 1, False), (3, 60, 1, False)]
+
+
+def test_ties_and_a_very_long_text(spark):
+    """Two stars as good as each other, and a text of 400,000 words with a copy that lacks its last tenth."""
+    long = [f"w{i * 7919 % 100_003}" for i in range(400_000)]
+    rows = [(9, " ".join(long)), (8, " ".join(long[:360_000])), (1, "a b c d e f g h i j k l"), (2, "b c d e f g h i j k l m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_dict(near_duplicates(df, shingle=2)) == brute(rows, 2, 80)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     chain = list(range(60))
@@ -62,3 +78,50 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(60)}, **{i: 100 for i in [500, *range(100, 140)]}, 6999: 6999, 7000: 6999}
+
+
+def joined_rows(spark, sql_ids):
+    """The most rows that one join of the queries made since then."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, runs = 0, store.executionsList()
+    for i in range(runs.size()):
+        one = runs.apply(i).executionId()
+        if one in sql_ids:
+            continue
+        values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if "Join" not in node.name():
+                continue
+            for m in range(node.metrics().size()):
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                    most = max(most, int(values.get(metric.accumulatorId()).get().replace(",", "")))
+    return most
+
+
+def test_a_group_of_5000_near_copies_and_as_many_outsiders(spark):
+    """Rows grow with the group, not with its square: 5,000 copies with 2 words changed, 2,500 with a fifth changed."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(20_000)]
+    base, rows = [rng.choice(words) for _ in range(100)], []
+    for i in range(7500):
+        w = list(base)
+        for j in rng.sample(range(100), 2 if i < 5000 else 20):
+            w[j] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    got = as_dict(near_duplicates(df, shingle=2))
+    assert {c for i, (_, c, _) in got.items() if i < 5000} == {0}
+    assert sum(c == i for i, (_, c, _) in got.items() if i >= 5000) > 2000
+    assert joined_rows(spark, before) < 100 * len(rows)
+
+
+def test_recall_against_the_exact_rule(spark):
+    """Of the pairs that the exact rule links among the documents of sf0.001, all are in one component."""
+    rows = [(r.doc_id, r.text) for r in documents(spark, "/root/testdata/sf0.001").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (2, 5):
+        assert as_dict(near_duplicates(df, shingle=k)) == brute(rows, k, 80)
