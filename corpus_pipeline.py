@@ -4,16 +4,17 @@ Each stage works on all that its predecessor kept. All but the last return the c
 
 1. quality: documents scored under ``LEAST_QUALITY`` go. The classifier learns from the labelled rows whose
    crc32(doc_id as text) mod 5 is not 0.
-2. near_dedup: of every group linked by 5-word shingles at similarity 0.8 the smallest doc_id stays, once.
+2. near_dedup: of every group linked by 5-word shingles at similarity 0.8 the row with the smallest doc_id stays, once.
 3. secrets: every secret found in a text is replaced by a mark, and n_chars follows.
 4. mixing: every document stays; those of small sources are repeated, up to ``MAX_EPOCHS`` times.
 5. packing: one row per document (each copy) and piece, with its place in a sequence.
 
 Stages 4 and 5 count token ids, as op1_token_store does; a text without ids counts 0.
 
-Defined cases: a null text counts as the empty text in every stage and stays null; rows without a doc_id pass
-stage 1 and leave at stage 2, which names documents by id; rows that share a doc_id are one document from
-stage 2 on; further columns are carried up to the last stage; an empty table gives an empty result.
+Defined cases: a null text counts as the empty text in every stage and stays null; rows without a doc_id are
+documents like others, but the last to stay of a group; rows that share a doc_id but not a text are documents of
+their own (repeated rows are copies); texts without a word all stay; further columns are carried up to the last
+stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import mixing, packing, quality, secret_scan
 from lectern.llm.common import crc_remainder, documents, stored
-from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.near_dedup import kept_rows
 from lectern.llm.token_store import token_counts
 
 LEAST_QUALITY = 0.3
@@ -37,8 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept_rows(docs, shingle=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
