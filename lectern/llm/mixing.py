@@ -15,11 +15,13 @@ result; other columns are carried by ``mixed_rows`` only.
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import stored
+from lectern.llm.common import stored, unused
 
 SEED = 17
 #: Bisections that one job does: it tries all points that so many halvings can reach.
@@ -52,7 +54,7 @@ def _met(shares: DataFrame, exponents: list[float], target_entropy: float | None
 
 
 def exponent(sources: DataFrame, target_entropy: float | None = None, max_epochs: float | None = 2.0, budget: float | None = None) -> float:
-    """Bisected between 0 (all sources alike) and 1 (as they are); the answer is rounded to PLACES."""
+    """Bisected between 0 (all sources alike) and 1 (as they are); of PLACES decimals, rounded to the side that keeps the limit."""
     shares = sources.filter("tokens > 0").withColumn("p", F.col("tokens") / F.col("total"))
     low, high, n = 0.0, 1.0, 1 << LEVELS
     ends = _met(shares, [low, high], target_entropy, max_epochs, budget)
@@ -63,7 +65,8 @@ def exponent(sources: DataFrame, target_entropy: float | None = None, max_epochs
         met = _met(shares, points[1:-1], target_entropy, max_epochs, budget) | {low: False, high: True}
         i = next(i for i, x in enumerate(points) if met[x])
         low, high = points[i - 1], points[i]
-    return round(high, PLACES)
+    # Entropy falls and repetition falls with the exponent.
+    return floor(low * 10**PLACES) / 10**PLACES if target_entropy is not None else ceil(high * 10**PLACES) / 10**PLACES
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, target_entropy: float | None = None, max_epochs: float | None = 2.0, budget: float | None = None, seed: int = SEED) -> DataFrame:
@@ -99,9 +102,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", to
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", planned: DataFrame | None = None, **options) -> DataFrame:
     """The rows of docs, each as often as the plan has it: a plan of docs, or of ``planned``, the same rows with other columns."""
-    times = plan(docs if planned is None else planned, id_col, **options).groupBy("doc_id").agg(F.count("*").alias("times"))
-    same = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("rows"))
+    key, rows, times, copy = unused(docs, "__id", "__rows", "__times", "__copy")
+    counts = plan(docs if planned is None else planned, id_col, **options).groupBy("doc_id").agg(F.count("*").alias(times))
+    same = docs.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows))
     # Rows that share an id share its copies: as many for each of them.
-    times = times.join(same, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__id", F.floor(F.col("times") / F.col("rows")).alias("__times"))
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("__times", F.lit(1).cast("long"))))).select(*docs.columns)
+    counts = counts.join(same, F.col("doc_id").eqNullSafe(F.col(key))).select(key, F.floor(F.col(times) / F.col(rows)).alias(times))
+    counts = stored(counts, "mix_copies")
+    out = docs.join(counts, F.col(id_col).eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(times, F.lit(1).cast("long"))))).select(*docs.columns)

@@ -146,7 +146,7 @@ halves AS (
   SELECT i + 1, CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END
   FROM (SELECT i, low, high, list_max(list_transform(s, lambda x: pow(x.p, (low + high) / 2) / x.t)) / list_min(list_transform(s, lambda x: pow(x.p, (low + high) / 2) / x.t)) <= 2.0 AS ok FROM halves, ratio WHERE i < 32)
 ), a AS (
-  SELECT CASE WHEN hi / lo <= 2.0 THEN 0.0 ELSE (SELECT round(high, 6) FROM halves ORDER BY i DESC LIMIT 1) END AS a FROM ratio
+  SELECT CASE WHEN hi / lo <= 2.0 THEN 0.0 ELSE (SELECT ceil(high * 1000000) / 1000000 FROM halves ORDER BY i DESC LIMIT 1) END AS a FROM ratio
 ), powers AS (SELECT source, tokens, n, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM sums), (SELECT a FROM a)) ELSE 0.0 END AS w FROM sums),
 rates AS (SELECT source, tokens, n, w / (SELECT sum(w) FROM powers) AS weight, CASE WHEN tokens > 0 THEN w / tokens / (SELECT min(w / tokens) FROM powers WHERE tokens > 0) ELSE 1.0 END AS rate FROM powers),
 sources AS (SELECT source, weight, CAST(floor(rate) AS BIGINT) AS whole, CAST(floor((rate - floor(rate)) * tokens) AS BIGINT) AS part, CAST(ceil(sqrt(n)) AS BIGINT) AS blocks FROM rates),
