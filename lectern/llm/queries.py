@@ -10,7 +10,7 @@ from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import best_fit_texts
-from lectern.llm.secret_scan import RULES, listed, scan
+from lectern.llm.secret_scan import RULES, listed, scan_in_runs
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_path, _, _ = scan(documents(spark, sf_dir))
+    by_path = scan_in_runs(documents(spark, sf_dir))
     kinds = [r.kind for r in RULES if r.base]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in kinds]

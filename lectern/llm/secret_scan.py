@@ -2,12 +2,14 @@
 
 Every version of a text is a blob, addressed by its SHA-256. The ledger holds, for each blob, the rule
 versions it was scanned with; a run fetches one text per blob and applies only the rules the ledger lacks.
-Findings belong to blobs and are joined back to all paths (rows) that hold the blob. DataFrame functions only.
+Findings belong to a blob and a rule version, and those of the current versions are joined back to all paths (rows)
+that hold the blob. DataFrame functions only.
 
 Positions are code points, the end exclusive. ``regexp_extract_all`` gives a rule's leftmost non-overlapping
 matches and ``split`` the text between them; their running lengths are the positions.
 
-Defined cases: a null text is the empty text; repeated rows and copies share one blob and each get its
+Defined cases: a null text is the empty text; very long texts are scanned whole; spans of several rules with one
+start keep the order of the rules; repeated rows and copies share one blob and each get its
 findings; a null path is kept as a row with a null path; an empty table gives empty results; other columns
 of the input are not read.
 """
@@ -19,9 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import stored, unused
 
-SPAN = "struct<start:int,order:int,end:int,kind:string>"
+SPAN = "struct<start:int,end:int,kind:string>"
+#: A span with its rule's place among the rules.
+PLACED = "struct<start:int,order:int,end:int,kind:string>"
 
 
 @dataclass(frozen=True)
@@ -65,7 +69,7 @@ def _literal(hint: str) -> bool:
     return not any(c in hint for c in "[]()?*+\\.|")
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
+def _spans(text: Column, rule: Rule) -> Column:
     """All spans of one rule in one text."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -78,7 +82,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         def step(acc: Column, m: Column) -> Column:
             begin = acc["at"] + F.length(m["between"])
             end = begin + F.length(m["found"])
-            span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
             kept = F.when(F.length(m["group"]) >= rule.least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
             return F.struct(end.alias("at"), F.concat(acc["spans"], kept).alias("spans"))
 
@@ -93,16 +97,30 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans) of (blob, text, todo): the rules named in todo, spans by start, then rule."""
-    lists = [F.when(F.array_contains("todo", r.key), _spans(F.col("text"), r, i)) for i, r in enumerate(rules)]
-    none = F.array().cast(f"array<{SPAN}>")
-    return blobs.select("blob", F.array_sort(F.concat(*[F.coalesce(x, none) for x in lists])).alias("spans"))
+    """(blob, rules, found) of (blob, text, rules): what each rule named in rules finds, rules without a find left out."""
+    lists = []
+    for r in rules:
+        spans = F.when(F.array_contains("rules", r.key), _spans(F.col("text"), r))
+        lists.append(F.struct(F.lit(r.key).alias("rule"), F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias("spans")))
+    return blobs.select("blob", "rules", F.filter(F.array(*lists), lambda x: F.size(x["spans"]) > 0).alias("found"))
+
+
+def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans): what the current rule versions found, by start, then in the order of the rules."""
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
+    current = findings.filter(F.col("rule").isin([r.key for r in rules]))
+    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # At most as many rows to a blob as there are rules.
+    return current.select("blob", placed.alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def scan(paths: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One scanning run.
 
-    Returns (by path: path_col, blob, spans; ledger: blob, rules; findings: blob, spans), the last two for the next run."""
+    Returns (by path: path_col, blob, spans; ledger: blob, rules; findings: blob, rule, spans), the last two for the next
+    run, which needs both. Findings of a rule's older versions stay there and are not reported."""
+    if (ledger is None) != (findings is None):
+        raise ValueError("a ledger comes with its findings")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     versions = paths.select(F.col(path_col).alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
     key = F.coalesce(F.col("path").cast("string"), F.lit("")).alias("key")
@@ -110,24 +128,52 @@ def scan(paths: DataFrame, path_col: str = "doc_id", text_col: str = "text", led
     unseen = slim.select("blob", key).groupBy("blob").agg(F.min("key").alias("key"))
     every = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        unseen = unseen.withColumn("todo", every)
+        unseen = unseen.withColumn("rules", every)
     else:
+        # At most one row to a blob and run.
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        unseen = unseen.join(seen, "blob", "left").select("blob", "key", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
-    unseen = unseen.filter(F.size("todo") > 0)
+        unseen = unseen.join(seen, "blob", "left").select("blob", "key", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules"))
+    unseen = unseen.filter(F.size("rules") > 0)
     fetched = versions.select("blob", key, "text").join(unseen, ["blob", "key"]).dropDuplicates(["blob", "key"])
-    scanned = stored(scan_blobs(fetched, rules).join(unseen.select("blob", F.col("todo").alias("rules")), "blob"), "secret_scan") if ledger is not None else stored(scan_blobs(fetched, rules).withColumn("rules", every), "secret_scan")
-    new_ledger, new_findings = scanned.select("blob", "rules"), scanned.filter(F.size("spans") > 0).select("blob", "spans")
+    scanned = stored(scan_blobs(fetched, rules), "secret_scan")
+    new_ledger = scanned.select("blob", "rules")
+    new_findings = scanned.select("blob", F.explode("found").alias("x")).select("blob", "x.rule", "x.spans")
     if ledger is not None:
         new_ledger = ledger.select("blob", "rules").unionByName(new_ledger)
-    if findings is not None:
-        new_findings = findings.select("blob", "spans").unionByName(new_findings)
-    by_blob = new_findings if findings is None else new_findings.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    none = F.array().cast(f"array<{SPAN}>")
-    by_path = slim.join(by_blob, "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans"))
+        new_findings = findings.select("blob", "rule", "spans").unionByName(new_findings)
+    found = stored(by_blob(new_findings, rules), "secret_spans")
+    none = F.array().cast(f"array<{PLACED}>")
+    by_path = slim.join(found, "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans"))
     return by_path, new_ledger, new_findings
 
 
+def scan_in_runs(paths: DataFrame, runs: int = 2, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The paths' findings from so many runs, each with the ledger and the findings of those before.
+
+    Each run adds a share of the paths to those of the runs before, so that the last one has them all and finds most
+    blobs in the ledger."""
+    ledger = findings = None
+    for i in range(1, runs + 1):
+        arrived = paths if i == runs else paths.filter(F.pmod(F.xxhash64(path_col), F.lit(runs)) < i)
+        by_path, ledger, findings = scan(arrived, path_col, text_col, ledger, findings, rules)
+    return by_path
+
+
+def redacted_rows(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret in the text replaced by a mark, and the text's new length where that changed it."""
+    text = F.col(text_col).cast("string")
+    row, blob, spans = unused(docs, "__row", "__blob", "__spans")
+    addressed = docs.withColumn(blob, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    _, _, findings = scan(docs.select(F.xxhash64(*docs.columns).alias(row), text.alias(text_col)), row, text_col, rules=rules)
+    found = stored(by_blob(findings, rules).toDF(blob, spans), "secret_spans")
+    out = addressed.join(found, blob, "left")
+    changed = F.col(spans).isNotNull()
+    out = out.withColumn(text_col, F.when(changed, redacted(text, F.col(spans))).otherwise(F.col(text_col)))
+    if size_col and size_col in docs.columns:
+        out = out.withColumn(size_col, F.when(changed, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+    return out.select(*docs.columns)
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -1,8 +1,9 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm.secret_scan import RULES, Rule, listed, redacted, scan
+from lectern.llm.secret_scan import RULES, Rule, listed, redacted, redacted_rows, scan, scan_in_runs
 
 TEXTS = [
     "é😀 password = 'abcdefghijklmnop' tail", "token=short", "token=password:abcdefghijkl", "AKIA" + "A" * 14 + " AKIA" + "B" * 13, "x" + "0123456789abcdef" * 2 + "g",
@@ -41,8 +42,36 @@ def test_only_unseen_pairs_are_scanned(spark):
     once, _, _ = scan(df)
     assert sorted(by_path.select("doc_id", listed(F.col("spans"))).collect(), key=str) == sorted(once.select("doc_id", listed(F.col("spans"))).collect(), key=str)
     newer = (*RULES[:2], Rule("hex", 2, "[0-9a-f]{40,}", base=True))
-    by_path, ledger, _ = scan(df, ledger=ledger, findings=findings, rules=newer)
-    assert {tuple(r.rules) for r in ledger.groupBy("blob").agg(F.last("rules").alias("rules")).collect()} >= {("hex@2",)}
+    by_path, later, found = scan(df, ledger=ledger, findings=findings, rules=newer)
+    assert later.count() == 2 * ledger.count() and {tuple(r.rules) for r in later.subtract(ledger).collect()} == {("hex@2",)}
+    assert {r.rule for r in found.collect()} >= {"hex@1", "hex@2"}
+    again, last, _ = scan(df, ledger=later, findings=found, rules=newer)
+    assert last.count() == later.count() and rows_of(again) == rows_of(by_path) == rows_of(scan(df, rules=newer)[0])
+    assert rows_of(scan_in_runs(df, 3)) == rows_of(once)
+
+
+def rows_of(by_path):
+    return sorted(by_path.select("doc_id", listed(F.col("spans"))).collect(), key=str)
+
+
+def test_a_new_rule_version_replaces_what_the_old_one_found(spark):
+    df = spark.createDataFrame([(1, "x " + "a" * 48 + " y " + "b" * 20)], "doc_id long, text string")
+    one, two = (Rule("hex", 1, "[0-9a-f]{16,}", base=True),), (Rule("hex", 2, "[0-9a-f]{40,}", base=True),)
+    by_path, ledger, findings = scan(df, rules=one)
+    assert rows_of(by_path)[0][1] == "hex:2:50,hex:53:73"
+    by_path, ledger, findings = scan(df, ledger=ledger, findings=findings, rules=two)
+    assert rows_of(by_path)[0][1] == "hex:2:50"
+    with pytest.raises(ValueError):
+        scan(df, ledger=ledger)
+
+
+def test_rows_are_redacted_by_their_text(spark):
+    """Rows without an id, and two texts under one id; a text of two million characters."""
+    long = "é " * 1_000_000
+    rows = [(None, "token=" + "z" * 12, 18, 7), (1, "secret: " + "y" * 12, 20, 7), (1, "plain", 5, 7), (2, None, None, 7), (3, long + "token=" + "z" * 12, 2_000_018, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __spans int")
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0, r[3]) for r in redacted_rows(df).collect())
+    assert got == [(0, "[secret]", 8, 7), (1, "[secret]", 8, 7), (1, "plain", 5, 7), (2, "", 0, 7), (3, long + "[secret]", 2_000_008, 7)]
 
 
 def test_redaction_and_empty_table(spark):
