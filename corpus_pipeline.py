@@ -42,12 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    by_path, _, _ = secret_scan.scan(docs)
-    found = by_path.filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans")).dropDuplicates(["doc_id"])
-    clean = F.when(F.col("__spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    out = docs.join(found, "doc_id", "left").withColumn("text", clean)
-    changed = F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    return secret_scan.redacted_rows(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
