@@ -13,7 +13,8 @@ Shards are in ascending order of doc_id and hold at most ``SHARD_BYTES`` of fram
 
 Tokenizing encodes each distinct word once for a batch: white space always ends a word of this tokenizer, so
 texts are put together from the ids of their words; the words of a batch are encoded by the library as one
-text, with a control character between them.
+text, with a control character between them. A special token spelled out in a text is that token, as in the
+library. The tokenizer's file is read for its steps, and any other tokenizer encodes whole texts.
 
 Defined cases: null and empty texts hold the end id only; repeated rows are stored each, in the order of their
 frames; a row without an id comes first; an empty table gives an empty store; other columns are not read.
@@ -22,6 +23,7 @@ frames; a row without an id comes first; an empty table gives an empty store; ot
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -45,6 +47,8 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 4096
+#: Frames that one task puts in order, so that their number follows the input.
+PART_BYTES = 16 << 20
 MEMO = 300_000
 MARK = "\x01"
 
@@ -57,6 +61,11 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 #: White space to str.split(), but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The steps of a tokenizer that cuts at white space, then into runs of letters, single digits and runs of other marks.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLITTERS = ["Split", "ByteLevel"]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+STEPS = ({"Regex": "\\s+"}, " ", {"Regex": WORD_PATTERN}, "Removed", True, False, False, "BPE", None, None)
 
 
 def words_of(text: str) -> list[str]:
@@ -71,8 +80,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file has the very steps that encoding word by word takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    normalizer, splitter, model = held["normalizer"] or {}, held["pre_tokenizer"] or {}, held["model"]
+    if [x.get("type") for x in normalizer.get("normalizers", [])] != NORMALIZERS or [x.get("type") for x in splitter.get("pretokenizers", [])] != SPLITTERS:
+        return False
+    space, (cut, letters) = normalizer["normalizers"][1], splitter["pretokenizers"]
+    steps = (space["pattern"], space["content"], cut["pattern"], cut["behavior"], cut["invert"], letters["add_prefix_space"], letters["use_regex"], model["type"], model.get("dropout"), model.get("continuing_subword_prefix"))
+    plain = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or SPACES.search(x["content"]) or SIMPLE(x["content"])) for x in held["added_tokens"])
+    return steps == STEPS and plain and not held.get("truncation") and not held.get("padding")
+
+
 class WordEncoder:
-    """Texts to id bytes, word by word.
+    """Texts to id bytes, word by word; whole text by whole text for a tokenizer that may join across white space.
 
     A word of plain letters, with stops or other marks after it or not, is the ids of its letters in lower case and
     those of the rest: the tokenizer cuts between the two. Letters need no normalizing then and go straight to the
@@ -85,7 +107,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.by_word = cuts_at_spaces(path)
         self.model = self.tokenizer.model
         self.mark = self.ids(f" {MARK} ")
         self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
@@ -144,6 +166,8 @@ class WordEncoder:
             self.learn_odd(odd)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [self.ids(t or "").tobytes() for t in texts]
         split = [words_of(t or "") for t in texts]
         out: list[bytes] = []
         at = 0
@@ -251,7 +275,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
     frames = stored(docs.mapInArrow(_encoded(tokenizer, dictionary), FRAMES), "token_frames")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
     ordered = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame").select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "frame")
     shards = stored(ordered.mapInArrow(_packed, SHARDS), "token_shards", f"{path}/parts")
     # One row per part: the ids of all parts before.
@@ -275,7 +300,9 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_
     For a few, only shards whose range holds them are read, and only their frames are decompressed."""
     shards, dictionaries = open_store(spark, path)
     if doc_ids is not None:
-        shards = shards.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in doc_ids])) & (F.col("first_id") <= max(doc_ids)) & (F.col("last_id") >= min(doc_ids)))
+        # A shard that begins with rows without an id has no first one.
+        reached = F.coalesce(F.col("first_id") <= max(doc_ids), F.lit(True)) & (F.col("last_id") >= min(doc_ids))
+        shards = shards.filter(reached & F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in doc_ids])))
     wanted = None if doc_ids is None else set(doc_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
