@@ -1,21 +1,24 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents longer than the longest sequence are cut; pieces are dealt by hash into independent blocks of about
-``BLOCK`` documents, so that no task holds more, and each block is packed in decreasing order of length: a
-piece goes to the open sequence it fills best. Where none has room, the length that costs least for each token
-it can still be filled with is opened. At the end every sequence shrinks to the shortest permitted length that
+``BLOCK`` pieces, so that no task holds more, and each block is packed in decreasing order of length: a
+piece goes to the open sequence it fills best. Where none has room, every permitted length that holds the piece
+is filled, on trial, with the largest pieces left that still fit; the length that then costs least for each token
+(shrunk to what it holds) is opened. At the end every sequence shrinks to the shortest permitted length that
 holds its contents.
 
 The length of a document is given as a column: ``best_fit_texts`` counts its ids and end id by the tokenizer of
 op1_token_store. Without one, ``best_fit`` counts words at white space.
 
 Defined cases: texts without ids or words, also null ones, have length 0 and one row without a sequence; repeated rows are packed
-each; a null id is packed like any other; an empty table gives an empty result; other columns are not read.
+each, and spread over blocks like rows without an id; very long texts become many pieces, which are spread too; equal
+pieces go in the order of their ids; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,28 +38,41 @@ def cost(capacity: int) -> float:
     return FIXED + capacity + capacity * capacity / QUADRATIC
 
 
+def _trial(ascending: list[int], left: int, room: int) -> int:
+    """How much of the room the largest of the first ``left`` pieces fill that still fit, one after another."""
+    filled = 0
+    while left and room >= ascending[0]:
+        left = bisect_right(ascending, room, 0, left) - 1
+        filled += ascending[left]
+        room -= ascending[left]
+    return filled
+
+
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], dict[int, int]]:
     """(sequence, offset) of each item, none longer than the largest capacity, and the final length of each sequence.
 
-    Ties: equal items in their given order; of sequences with equal room the one opened first."""
+    Ties: equal items in their given order; of sequences with equal room the one opened first; of lengths that cost
+    the same for a token the shorter one."""
     sizes = sorted(capacities)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    left = sum(lengths)
+    ascending = sorted(lengths)
     room: list[tuple[int, int]] = []
     used: list[int] = []
     sequence, offset = [0] * len(lengths), [0] * len(lengths)
-    for i in order:
+    for done, i in enumerate(order):
         n = lengths[i]
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, s = room.pop(at)
         else:
-            free = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / min(c, left), c))
-            s = len(used)
+            best = (inf, 0)
+            for c in sizes[bisect_left(sizes, n) :]:
+                held = n + _trial(ascending, len(lengths) - done - 1, c - n)
+                best = min(best, (cost(sizes[bisect_left(sizes, held)]) / held, c))
+            free, s = best[1], len(used)
             used.append(0)
         sequence[i], offset[i] = s, used[s]
         used[s] += n
-        left -= n
         if free > n:
             insort(room, (free - n, s))
     return sequence, offset, {s: sizes[bisect_left(sizes, u)] for s, u in enumerate(used)}
@@ -75,12 +91,15 @@ def _pack_block(capacities: tuple[int, ...]):
 def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, block: int = BLOCK) -> DataFrame:
     """One row per piece: doc_id, piece, piece_start, piece_length, sequence_id, sequence_length, offset."""
     most = max(capacities)
-    blocks = max(1, -(-docs.count() // block))
     n = F.coalesce(word_count("text") if length is None else length, F.lit(0)).cast("long")
-    items = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"))
-    pieces = items.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("long")))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("piece_length"))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    items = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n")), "pack_items")
+    count = F.greatest(F.ceil(F.col("n") / most), F.lit(1).cast("long"))
+    blocks = max(1, -(-(items.agg(F.sum(count)).first()[0] or 0) // block))
+    # The row's place in the stored table tells repeated rows, and those without an id, apart.
+    items = items.withColumn("row", F.monotonically_increasing_id())
+    pieces = items.select("row", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
+    pieces = pieces.select("row", "doc_id", "piece", (F.col("piece") * most).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("piece_length"))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(blocks))).drop("row")
     schema = "doc_id long, piece long, piece_start long, piece_length long, sequence_id string, sequence_length long, offset long"
     packed = pieces.filter("piece_length > 0").groupBy("block").applyInPandas(_pack_block(capacities), schema)
     empty = pieces.filter("piece_length = 0").select("doc_id", "piece", "piece_start", "piece_length", F.lit(None).cast("string").alias("sequence_id"), F.lit(None).cast("long").alias("sequence_length"), F.lit(None).cast("long").alias("offset"))
@@ -89,5 +108,4 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = No
 
 def best_fit_texts(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """best_fit with lengths in token ids."""
-    counts = stored(token_counts(docs, [id_col]), "pack_lengths")
-    return best_fit(counts, id_col, F.col("n_tokens"), **options)
+    return best_fit(token_counts(docs, [id_col]), id_col, F.col("n_tokens"), **options)

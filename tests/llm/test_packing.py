@@ -6,21 +6,28 @@ from lectern.llm.packing import CAPACITIES, best_fit, best_fit_texts, cost, pack
 
 
 def naive(lengths, sizes):
-    """The same rules, looking through all open sequences every time."""
-    bins, left, where = [], sum(lengths), {}
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    """The same rules, looking through all open sequences and all pieces left every time."""
+    bins, where = [], {}
+    todo = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for at, i in enumerate(todo):
         n = lengths[i]
         fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= n]
         if fits:
             k = min(fits)[1]
         else:
-            c = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / min(c, left), c))
-            bins.append({"room": c, "used": 0})
+            choices = []
+            for c in sizes:
+                held = n
+                for j in todo[at + 1 :]:
+                    if held + lengths[j] <= c:
+                        held += lengths[j]
+                if n <= c:
+                    choices.append((cost(min(x for x in sizes if x >= held)) / held, c))
+            bins.append({"room": min(choices)[1], "used": 0})
             k = len(bins) - 1
         where[i] = (k, bins[k]["used"])
         bins[k]["room"] -= n
         bins[k]["used"] += n
-        left -= n
     return where, {k: min(c for c in sizes if c >= b["used"]) for k, b in enumerate(bins)}
 
 
@@ -34,6 +41,21 @@ def test_pack_against_a_plain_search():
             assert {i: (s, o) for i, (s, o) in enumerate(zip(sequence, offset))} == where and final == last
 
 
+def test_the_length_opened_depends_on_what_is_left():
+    """A piece of 600 gets 1024 where small pieces fill it up, and 2048 where the rest is of 700."""
+    assert pack([600, 400, 24])[2] == {0: 1024}
+    assert set(pack([700, 700, 640])[2].values()) == {2048}
+
+
+def test_one_long_document_is_spread_over_blocks(spark):
+    """300,000 words at sequences of 16 are 18,750 pieces; so are as many rows without an id."""
+    for rows in ([(1, "w " * 300_000)], [(None, "w " * 16)] * 18_750):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = best_fit(df, capacities=(8, 16), block=500)
+        sizes = [r["count"] for r in out.groupBy(F.substring_index("sequence_id", "-", 1)).count().collect()]
+        assert sum(sizes) == 18_750 and max(sizes) < 1000
+
+
 def test_table(spark):
     rows = [(i, "w " * (i * 7 % 90)) for i in range(300)] + [(None, "a b"), (5, "x " * 2500), (5, "x " * 2500), (900, None), (901, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n", "3 as piece")
