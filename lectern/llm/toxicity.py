@@ -2,9 +2,11 @@
 
 Fitting. Over at most ``MAX_ROWS`` labelled documents, every token's log-odds between toxic and other documents
 under a Dirichlet prior (the token's overall share, worth ``PRIOR`` documents, and ``LEAST`` of one), with its
-standard error. Copies weigh together as one document. Tokens whose log-odds exceed ``ODDS`` and ``Z`` standard
-errors form the lexicon (the ``LEXICON`` strongest, a bounded broadcast); every other token scores ``-DRIFT``. For
-random text of the other class lambda solves sum(p * exp(lambda * s)) = 1.
+standard error. Copies weigh together as one document. Tokens whose log-odds differ from 0 by ``Z`` standard errors
+score their log-odds, if those exceed ``ODDS`` or are below ``-DRIFT``; every other token scores ``-DRIFT``, for
+evidence of either kind is unproved. For random text of the other class lambda solves sum(p * exp(lambda * s)) = 1,
+and K is counted: the other class's labelled texts are shuffled, and K * n * exp(-lambda * s) is to be as many
+segments as score at least s in n of their tokens, s being the median of theirs (``CHANCE`` where they have none).
 
 Scoring. A linear-time scan finds all disjoint maximal-scoring segments. A segment of normalised score
 x = lambda * s - ln(K * n) is expected exp(-x) times by chance in n tokens (the extreme-value law); those
@@ -15,8 +17,9 @@ labelled documents turns it into the probability of label 1.
 Tokens are the words between white space, lower-cased and stripped of what is no letter at either end.
 
 Defined cases: null and empty texts have no evidence and no passage; repeated rows are scored each; rows without a
-label or with a null one are not fitted on; without labels of both kinds nothing is toxic; an empty table gives
-an empty result; other columns are not read.
+label or with a null one are not fitted on; without labels of both kinds nothing is toxic; texts are scanned whole,
+however long; of equal segments all are kept, and equal ranks of rows go by id and label; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +40,10 @@ from lectern.llm.common import split_batches, stored
 MAX_ROWS = 20_000
 PRIOR, LEAST = 10.0, 0.5
 Z, ODDS = 3.3, 2.0
-LEXICON = 20_000
 DRIFT = 0.5
 CHANCE = 0.1
 EXPECTED = 0.05
-MOST = 10.0
+#: Evidence beyond this, a chance of exp(-40), is as good as certain.
 TOP = 40.0
 MEMO = 400_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -58,6 +60,7 @@ class Model(NamedTuple):
     rate: float
     slope: float
     intercept: float
+    chance: float = CHANCE
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.drop("rank")), "__id").select("label", "text")
     bags = stored(rows.mapInArrow(_bags, "label int, size long, key long, tokens array<string>"), "toxic_bags")
     # Copies count together as one document.
-    bags = bags.join(bags.groupBy("label", "key").agg((1 / F.count("*")).alias("weight")), ["label", "key"])
+    bags = bags.join(stored(bags.groupBy("label", "key").agg((1 / F.count("*")).alias("weight")), "toxic_weights"), ["label", "key"])
     sums = bags.agg(F.sum(F.col("weight") * (1 - F.col("label"))).alias("n0"), F.sum(F.col("weight") * F.col("label")).alias("n1"), F.sum(F.col("weight") * F.col("size")).alias("size")).first()
     n0, n1 = sums["n0"] or 0.0, sums["n1"] or 0.0
     if not n0 or not n1:
@@ -91,12 +94,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_
     odds = F.log(x / (n1 + 2 * LEAST + PRIOR - x)) - F.log(y / (n0 + 2 * LEAST + PRIOR - y))
     per_word = (n0 + n1) / max(sums["size"], 1.0)
     scored = counted.select("token", F.round(odds, 9).alias("odds"), F.round(odds / F.sqrt(1 / x + 1 / y), 9).alias("z"), (y / n0 * per_word).alias("share"))
-    found = scored.filter((F.col("z") > Z) & (F.col("odds") > ODDS)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
-    lexicon = {r["token"]: min(r["odds"], MOST) for r in found}
+    telling = ((F.col("z") > Z) & (F.col("odds") > ODDS)) | ((F.col("z") < -Z) & (F.col("odds") < -DRIFT))
+    found = scored.filter(telling).orderBy("token").collect()
+    lexicon = {r["token"]: r["odds"] for r in found}
     rate = _lambda(np.array([r["share"] for r in found]), np.array([lexicon[r["token"]] for r in found]))
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, rate))
-    seen = rows.mapInArrow(_evidence(shared), "label int, x double").collect()
-    return Model(lexicon, rate, *_logistic(np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen])))
+    shuffled = rows.filter("label = 0").select("text").mapInArrow(_by_chance(shared), "tokens long, scores array<double>").collect()
+    chance = _chance(sum(r["tokens"] for r in shuffled), sorted(x for r in shuffled for x in r["scores"]), rate)
+    seen = rows.mapInArrow(_evidence(shared, chance), "label int, x double").collect()
+    return Model(lexicon, rate, *_logistic(np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen])), chance)
+
+
+def _chance(tokens: int, scores: list[float], rate: float) -> float:
+    """K, from the segments of so many shuffled tokens, at their median score."""
+    if not scores:
+        return CHANCE
+    at = scores[len(scores) // 2]
+    return sum(x >= at for x in scores) * math.exp(min(rate * at, 500.0)) / max(tokens, 1)
 
 
 def _lambda(shares: np.ndarray, scores: np.ndarray) -> float:
@@ -114,7 +128,7 @@ def _lambda(shares: np.ndarray, scores: np.ndarray) -> float:
 
 
 def segments(at: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a text whose tokens score -drift, but scores[i] at at[i].
+    """All maximal-scoring segments (start, end, score) of a text whose tokens score -drift, but scores[i] (of any sign) at at[i].
 
     Candidates are kept as (start, end, sum before, sum up to); a new one merges back to the nearest candidate
     that starts lower, unless that one already reached as high."""
@@ -123,6 +137,8 @@ def segments(at: list[int], scores: list[float], drift: float = DRIFT) -> list[t
     for i, s in zip(at, scores):
         before = total - drift * (i - last - 1)
         total, last = before + s, i
+        if s <= 0:
+            continue
         new = (i, i + 1, before, total)
         j = len(kept) - 1
         while True:
@@ -137,13 +153,13 @@ def segments(at: list[int], scores: list[float], drift: float = DRIFT) -> list[t
     return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
-def assess(found: list[tuple[int, int, float]], n: int, rate: float) -> tuple[float, list[tuple[int, int, float, float]]]:
+def assess(found: list[tuple[int, int, float]], n: int, rate: float, chance: float = CHANCE) -> tuple[float, list[tuple[int, int, float, float]]]:
     """(evidence, significant passages with their expected number by chance).
 
     The r best segments together: sum of normalised scores, P ~ exp(-t) * t**(r-1) / (r! (r-1)!)."""
     if not found:
         return 0.0, []
-    base = math.log(CHANCE * max(n, 1))
+    base = math.log(chance * max(n, 1))
     x = [rate * s - base for _, _, s in found]
     passages = [(a, b, s, math.exp(min(-v, 50.0))) for (a, b, s), v in zip(found, x) if math.exp(min(-v, 50.0)) < EXPECTED]
     best, t = math.inf, 0.0
@@ -178,18 +194,36 @@ class _Scores(dict):
         return s
 
 
-def _scan(text: str | None, memo: _Scores, rate: float) -> tuple[float, list[tuple[int, int, float, float]]]:
+def _scan(text: str | None, memo: _Scores, rate: float, chance: float) -> tuple[float, list[tuple[int, int, float, float]]]:
     words = (text or "").split()
     at = np.flatnonzero([memo[w] for w in words]).tolist()
-    return assess(segments(at, [memo[words[i]] for i in at]), len(words), rate)
+    return assess(segments(at, [memo[words[i]] for i in at]), len(words), rate, chance)
+
+
+def _by_chance(shared):
+    """Number of tokens and segment scores of each text, its tokens in another order (the same for the same text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Scores(shared.value[0])
+        for batch in split_batches(batches, "text"):
+            sizes, scores = [], []
+            for text in batch.column(0).to_pylist():
+                words = (text or "").split()
+                mixed = np.random.RandomState(zlib.crc32((text or "").encode("utf-8", "surrogatepass"))).permutation([memo[w] for w in words])
+                at = np.flatnonzero(mixed).tolist()
+                sizes.append(len(words))
+                scores.append([x for *_, x in segments(at, mixed[at].tolist())] if at else [])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["tokens", "scores"])
+
+    return run
 
 
-def _evidence(shared):
+def _evidence(shared, chance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, rate = shared.value
         memo = _Scores(lexicon)
         for batch in split_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_scan(t, memo, rate)[0] for t in batch.column(1).to_pylist()], pa.float64())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_scan(t, memo, rate, chance)[0] for t in batch.column(1).to_pylist()], pa.float64())], ["label", "x"])
 
     return run
 
@@ -203,7 +237,7 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         memo = _Scores(m.lexicon)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         for batch in split_batches(batches, "text"):
-            found = [_scan(t, memo, m.rate) for t in batch.column(1).to_pylist()]
+            found = [_scan(t, memo, m.rate, m.chance) for t in batch.column(1).to_pylist()]
             scores = 1 / (1 + np.exp(-np.array([m.slope * x + m.intercept for x, _ in found], np.float64)))
             spans = [[{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in p] for _, p in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, kind)], ["doc_id", "score", "passages"])

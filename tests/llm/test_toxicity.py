@@ -20,8 +20,8 @@ def brute_segments(s, lo=0):
 def test_segments_against_brute_force():
     rng = random.Random(2)
     for _ in range(60):
-        s = [rng.choice([-0.5, -0.5, -0.5, rng.uniform(0.1, 3)]) for _ in range(rng.randint(0, 30))]
-        at = [i for i, x in enumerate(s) if x > 0]
+        s = [rng.choice([-0.5, -0.5, rng.uniform(-4, -0.6), rng.uniform(0.1, 3)]) for _ in range(rng.randint(0, 30))]
+        at = [i for i, x in enumerate(s) if x != -0.5]
         got = sorted(toxicity.segments(at, [s[i] for i in at]))
         want = sorted(brute_segments(s))
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
@@ -34,6 +34,24 @@ def test_lambda_is_the_root():
     assert x > 0 and abs(shares @ np.exp(x * scores) + (1 - shares.sum()) * np.exp(-x * toxicity.DRIFT) - 1) < 1e-9
 
 
+def test_chance_counts_the_segments_of_shuffled_text():
+    scores = sorted([3.0, 4.0, 5.0, 6.0])
+    k = toxicity._chance(1000, scores, 2.0)
+    assert abs(k * 1000 * np.exp(-2.0 * 5.0) - 2) < 1e-9 and toxicity._chance(1000, [], 2.0) == toxicity.CHANCE
+
+
+def test_log_odds_of_both_signs(spark):
+    """The lexicon against counts by hand: a token of toxic texts, one of the others, and one of both."""
+    texts = [(i, ("vile " if i < 40 else "kind ") + f"word{i} both") for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    prior = toxicity.LEAST + toxicity.PRIOR * 40 / 80
+    top = 40 + 2 * toxicity.LEAST + toxicity.PRIOR
+    odds = np.log((40 + prior) / (top - 40 - prior)) - np.log(prior / (top - prior))
+    assert set(model.lexicon) == {"vile", "kind"} and abs(model.lexicon["vile"] - odds) < 1e-6 and abs(model.lexicon["kind"] + odds) < 1e-6
+
+
 def test_held_out_accuracy_and_passages(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in op6_toxic_segments(spark, sf).collect()}
