@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import stored
+from lectern.llm.common import stored, unused
 
 #: Powers of two.
 K, W = 4, 8
 SPACE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
+#: Characters of text, and ids, that one task gets where all are dealt out: their number follows the input.
+PART_CHARS, PART_IDS = 8 << 20, 1 << 20
 
 
 def _shifted(a: str, by: int, f) -> Column:
@@ -36,26 +38,27 @@ def _shifted(a: str, by: int, f) -> Column:
 def fingerprints(df: DataFrame, text: str = "text", hashes: str = "hashes", positions: str = "positions", k: int = K, w: int = W) -> DataFrame:
     """df with the selected hashes and their positions, in order; both arrays are as long."""
     kept = df.columns
+    words_c, short_c, grams_c, low_c, few_c = unused(df, "__words", "__short", "__grams", "__low", "__few")
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACE))
-    out = df.withColumn("__words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+")))
-    short = F.when(F.size("__words") > 0, F.array(F.xxhash64(F.array_join("__words", " ")))).otherwise(F.array().cast("array<bigint>"))
-    out = out.select(*kept, F.when(F.size("__words") < k, short).alias("__short"), F.transform("__words", lambda x: F.xxhash64(x)).alias("__grams"))
+    out = df.withColumn(words_c, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+")))
+    short = F.when(F.size(words_c) > 0, F.array(F.xxhash64(F.array_join(words_c, " ")))).otherwise(F.array().cast("array<bigint>"))
+    out = out.select(*kept, F.when(F.size(words_c) < k, short).alias(short_c), F.transform(words_c, lambda x: F.xxhash64(x)).alias(grams_c))
     span = 1
     while span < k:
-        out = out.withColumn("__grams", _shifted("__grams", span, lambda a, b: F.xxhash64(a, b)))
+        out = out.withColumn(grams_c, _shifted(grams_c, span, lambda a, b: F.xxhash64(a, b)))
         span *= 2
-    out = out.withColumn("__grams", F.coalesce("__short", "__grams")).drop("__short")
-    out = out.withColumn("__low", F.transform("__grams", lambda g: F.shiftleft(F.shiftrightunsigned(g, 9), 8).bitwiseOR(F.lit(255))))
+    out = out.withColumn(grams_c, F.coalesce(short_c, grams_c)).drop(short_c)
+    out = out.withColumn(low_c, F.transform(grams_c, lambda g: F.shiftleft(F.shiftrightunsigned(g, 9), 8).bitwiseOR(F.lit(255))))
     # Fewer grams than a window: one window, its places counted from the first gram.
-    few = F.when(F.size("__low") > 0, F.array(F.array_min(F.transform("__low", lambda x, i: x - i)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("__few", F.when(F.size("__low") < w, few))
+    few = F.when(F.size(low_c) > 0, F.array(F.array_min(F.transform(low_c, lambda x, i: x - i)))).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn(few_c, F.when(F.size(low_c) < w, few))
     span = 1
     while span < w:
-        out = out.withColumn("__low", _shifted("__low", span, _lower(span)))
+        out = out.withColumn(low_c, _shifted(low_c, span, _lower(span)))
         span *= 2
-    out = out.withColumn("__low", F.coalesce("__few", "__low"))
-    out = out.withColumn(positions, F.array_distinct(F.transform("__low", lambda x, i: i + 255 - x.bitwiseAND(F.lit(255)).cast("int"))))
-    out = out.withColumn(hashes, F.transform(positions, lambda p: F.get("__grams", p)))
+    out = out.withColumn(low_c, F.coalesce(few_c, low_c))
+    out = out.withColumn(positions, F.array_distinct(F.transform(low_c, lambda x, i: i + 255 - x.bitwiseAND(F.lit(255)).cast("int"))))
+    out = out.withColumn(hashes, F.transform(positions, lambda p: F.get(grams_c, p)))
     return out.select(*[c for c in kept if c not in (hashes, positions)], hashes, positions)
 
 
@@ -74,12 +77,10 @@ def digest(hashes: str, positions: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(hashes, positions)), 16, "0"), F.lpad(F.hex(F.xxhash64(positions, hashes)), 16, "0")))
 
 
-def successors(ids: DataFrame) -> DataFrame:
+def successors(ids: DataFrame, parts: int) -> DataFrame:
     """(id, next): of distinct ids, the next smaller one; after the smallest comes the largest.
 
     Ids are sorted across partitions; neighbours differ by one in the number each row gets, but for the first of a partition."""
-    spark = ids.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = stored(ids.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("row", F.monotonically_increasing_id()), "id_order")
     ends = order.groupBy(F.shiftright("row", 33).alias("part")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
     # One row per partition.
@@ -97,12 +98,13 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as a next document. A row without an id comes after all others.
 
     Texts move twice: all by id, and the replacing third to the document that asked for it."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
-    heads = rows.groupBy("id").agg(F.max(F.xxhash64("text")).alias("key"), F.max(F.length("text")).alias("n"))
+    heads = rows.groupBy("id").agg(F.max(F.xxhash64("text")).alias("key"), F.max(F.length("text")).alias("n"), F.sum(F.length("text")).alias("chars"))
     heads = stored(heads, "winnow_heads")
-    asks = successors(heads.select("id", "n")).select(F.col("next").alias("id"), F.col("id").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    held = heads.agg(F.sum("chars").alias("chars"), F.count("*").alias("ids")).first()
+    parts = max(1, -(-(held["chars"] or 0) // PART_CHARS))
+    asks = successors(heads.select("id", "n"), max(1, -(-held["ids"] // PART_IDS))).select(F.col("next").alias("id"), F.col("id").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     asks = stored(asks.join(heads.select("id", "key"), "id"), "winnow_asks")
 
     dealt = rows.repartition(parts, "id")
