@@ -36,6 +36,38 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run, stored in a folder of their own in the shared folder, each until it is dropped.
+
+    A table may go only when nothing that is still to be computed reads it: what was made of it is stored too."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.written = spark, new_path(spark, name), {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        held = self.written.setdefault(name, [])
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df = stored(df, name, path)
+        held.append(path)
+        return df
+
+    def replace(self, df: DataFrame, name: str) -> DataFrame:
+        """Store a table, then drop those of the same name before it."""
+        old = self.written.pop(name, [])
+        df = self.store(df, name)
+        self._remove(old)
+        return df
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.written.pop(name, []))
+
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df does not have."""
     taken, out = {c.lower() for c in df.columns}, []

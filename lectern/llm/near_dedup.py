@@ -7,7 +7,7 @@
 3. Stars: in every bucket the member that shares most with others is compared with the rest, never all pairs.
    Pairs pass a size bound and the collision-corrected similarity estimated from the bit counts of the packed
    signatures (at least ``FINE``), then are confirmed on full sets. Linked classes are contracted; what is not
-   linked to its bucket's star gets a new star, as long as a round links at least a ``PAYS``-th of its pairs.
+   linked to its bucket's star gets a new star, as long as a ``PAYS``-th of a round's pairs look linked.
 4. The rest, exactly: members of buckets that still hold more than one component. Their shingles are ordered
    by a count sketch, rarest first. Linked sets share one of their first shingles, and how far into each set
    that one may lie follows from both sizes (positional prefix filtering). So only sets that share a rare
@@ -37,20 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import split_batches, stored, unused
+from lectern.llm.common import Scratch, split_batches, unused
 
 BANDS, ROWS, BITS = 48, 6, 2
 WORDS = BANDS * ROWS * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
 FINE = 0.62
-#: A star round is worth another one if it links one of so many pairs.
-PAYS = 10
+#: Another round of stars is made if one of so many of its pairs is estimated to be linked.
+PAYS = 2
 #: Bytes of full sets that one block of a confirmation holds, but for a longer single set.
 BLOCK_BYTES = 4 << 20
 #: Counters of the sketch that orders shingles: a broadcast of four bytes each, whatever the input.
 SLOT_BITS = 21
-#: Sizes of sets in steps of a twentieth, for the prefix filter.
-STEP = 1.05
+#: Sizes of sets in steps of an eighth, for the prefix filter.
+STEP = 1.12
 NO_ID = -(1 << 63)
 MEMO = 400_000
 _SEED = np.random.RandomState(7)
@@ -150,33 +150,35 @@ def _similarity(a: str, b: str):
     return (equal - chance) / (1 - chance)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node.
 
     Each round hooks every node to its smallest neighbour and contracts the edges, which soon leaves few;
     at the end labels of labels are followed until nothing changes. Each round is stored."""
-    e = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    e = scratch.store(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
-    while True:
+    while labels is None or not e.isEmpty():
         hook = e.union(e.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
         hook = hook.join(hook.select(F.col("node").alias("component"), F.col("component").alias("above")), "component").select("node", F.col("above").alias("component"))
-        hook = stored(hook, "hooks")
+        hook = scratch.replace(hook, "hooks")
         if labels is None:
-            labels = hook
+            labels = scratch.store(hook, "labels")
         else:
             moved = hook.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            labels = stored(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+            labels = scratch.replace(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         x, y = hook.select(F.col("node").alias("a"), F.col("component").alias("x")), hook.select(F.col("node").alias("b"), F.col("component").alias("y"))
         e = e.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        e = stored(e, "edges")
-        if e.isEmpty():
-            break
+        e = scratch.replace(e, "edges")
+    scratch.drop("edges", "hooks")
     while True:
         above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        step = stored(labels.join(above, "component").select("node", F.col("component").alias("was"), F.col("above").alias("component")), "labels")
-        labels = step.select("node", "component")
+        step = scratch.store(labels.join(above, "component").select("node", F.col("component").alias("was"), F.col("above").alias("component")), "steps")
         if step.filter("was <> component").isEmpty():
+            scratch.drop("steps")
             return labels
+        labels = scratch.replace(step.select("node", "component"), "labels")
+        scratch.drop("steps")
 
 
 def _confirm(percent: int):
@@ -202,16 +204,19 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the linked pairs among (hub, other, other_size): a hub's set goes once to each block of others."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b), stored, of the linked pairs among (hub, other, other_size): a hub's set goes once to each block of others."""
     load = pairs.groupBy("hub").agg(F.ceil(F.sum("other_size") * 8 / BLOCK_BYTES).alias("blocks"))
     dealt = pairs.join(load, "hub").select("hub", "other", "other_size", F.xxhash64("hub", F.pmod(F.xxhash64("other"), "blocks")).alias("block"))
-    dealt = stored(dealt, "dealt_pairs")
+    dealt = scratch.store(dealt, "dealt_pairs")
     bins = max(1, -(-(dealt.agg(F.sum("other_size")).first()[0] or 0) * 8 // BLOCK_BYTES))
     members = dealt.select(F.col("other").alias("name"), "block", F.lit(False).alias("hub"))
     members = members.unionByName(dealt.select(F.col("hub").alias("name"), "block", F.lit(True).alias("hub")).distinct())
     members = members.withColumn("bin", F.pmod("block", F.lit(bins)))
-    return members.join(sets.select("name", "shingles"), "name").groupBy("bin").applyInPandas(_confirm(percent), "a long, b long")
+    links = members.join(sets.select("name", "shingles"), "name").groupBy("bin").applyInPandas(_confirm(percent), "a long, b long")
+    links = scratch.store(links, "confirmed")
+    scratch.drop("dealt_pairs")
+    return links
 
 
 def _full_sets(k: int):
@@ -282,18 +287,21 @@ def _prefixes(shared, percent: int):
 PREFIXES = "key long, asks boolean, name long, component long, size long, place long"
 
 
-def _prefix_pairs(contested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, other, other_size) of different components that share a shingle where a linked pair must share one."""
-    members = stored(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
+def _prefix_pairs(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, other, other_size) of members (name, component, shingles) of different components that share a shingle where
+    a linked pair must share one."""
     counted = members.select("shingles").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SLOT_BITS, np.int32)
     counts[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
     shared = members.sparkSession.sparkContext.broadcast(counts)
-    emitted = stored(members.mapInArrow(_prefixes(shared, percent), PREFIXES), "prefixes")
-    # Of keys with several components: the component with most rows is never joined with itself.
-    tally = emitted.groupBy("key", "component").agg(F.count("*").alias("n"))
-    tally = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-    live = stored(emitted.join(tally.select("key", "main"), "key").withColumn("is_main", F.col("component") == F.col("main")), "live_prefixes")
+    emitted = scratch.store(members.select("name", "component", "shingles").mapInArrow(_prefixes(shared, percent), PREFIXES), "prefixes")
+    several = emitted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    live = scratch.store(emitted.join(several, "key", "left_semi"), "live_prefixes")
+    scratch.drop("prefixes")
+    # Of a key's components, the one with most rows is never joined with itself.
+    tally = live.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tally = scratch.store(tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main_components")
+    live = live.join(tally, "key").withColumn("is_main", F.col("component") == F.col("main"))
     few, every = live.filter("not is_main").alias("x"), live.alias("y")
     big, small = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
@@ -319,53 +327,79 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     text = F.col(text_col).cast("string")
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    scratch = Scratch(docs.sparkSession, "near_dedup")
     schema = "id long, text_hash long, name long, size long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>"
-    rows = stored(docs.mapInArrow(_signatures(shingle), schema), "signatures")
+    rows = scratch.store(docs.mapInArrow(_signatures(shingle), schema), "signatures")
 
     same = [F.first(c).alias(c) for c in ("size", "bands", *SIGNATURE)]
     least_id = F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id")
-    classes = stored(rows.filter("name is not null").groupBy("name").agg(F.min(F.struct("id", "text_hash")).alias("row"), least_id, *same), "classes")
+    classes = scratch.store(rows.filter("name is not null").groupBy("name").agg(F.min(F.struct("id", "text_hash")).alias("row"), least_id, *same), "classes")
     sigs = classes.select("name", *SIGNATURE)
 
     banded = classes.select("name", "size", F.explode("bands").alias("bucket"))
     counts = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(banded.join(counts, "bucket"), "shared_buckets")
+    shared = scratch.store(banded.join(counts, "bucket"), "shared_buckets")
     central = shared.groupBy("name").agg(F.sum("n").alias("central"))
     wanted = central.join(classes.select("name", "row"), "name").select("name", F.col("row.id").alias("id"), F.col("row.text_hash").alias("text_hash"))
     texts = docs.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("name", "text")
-    sets = stored(texts.mapInArrow(_full_sets(shingle), "name long, shingles binary"), "full_sets")
+    sets = scratch.store(texts.mapInArrow(_full_sets(shingle), "name long, shingles binary"), "full_sets")
+    shared = scratch.replace(shared.select("bucket", "name", "size").join(central, "name"), "shared_buckets")
 
-    def estimated(pairs: DataFrame) -> DataFrame:
+    def estimated(pairs: DataFrame, name: str) -> DataFrame:
         p = pairs.join(sigs.alias("x"), F.col("hub") == F.col("x.name")).join(sigs.alias("y"), F.col("other") == F.col("y.name"))
-        return p.filter(_similarity("x", "y") >= FINE).select("hub", "other", "other_size")
+        return scratch.store(p.select("hub", "other", "other_size", _similarity("x", "y").alias("estimate")).filter(F.col("estimate") >= FINE), name)
 
-    shared = stored(shared.select("bucket", "name", "size").join(central, "name"), "central_buckets")
-    rest, links, labels = shared.withColumn("component", F.col("name")), None, None
+    rest, labels = shared.withColumn("component", F.col("name")), None
     while True:
         star = F.max(F.struct("central", "name", "size", "component")).alias("star")
         stars = rest.groupBy("bucket").agg(star, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket", "star")
-        rest = stored(rest.join(stars, "bucket"), "star_members")
+        rest = scratch.replace(rest.join(stars, "bucket"), "star_members")
         near = 100 * F.least("size", "star.size") >= percent * F.greatest("size", "star.size")
         pairs = rest.filter((F.col("component") != F.col("star.component")) & near).select(F.col("star.name").alias("hub"), F.col("name").alias("other"), F.col("size").alias("other_size")).distinct()
-        pairs = stored(estimated(pairs), "star_pairs")
-        found = stored(confirmed(pairs, sets, percent), "star_links")
-        links = found if links is None else stored(links.unionByName(found), "links")
-        labels = connected_components(links)
-        if found.count() * PAYS < pairs.count() or pairs.isEmpty():
+        pairs = estimated(pairs, "star_pairs")
+        likely = pairs.agg(F.count("*"), F.count_if(100 * F.col("estimate") >= percent)).first()
+        if labels is not None and likely[1] * PAYS < likely[0] or not likely[0]:
             break
+        confirmed(pairs, sets, percent, scratch)
+        labels = _merged(labels, scratch, "star_labels")
+        scratch.drop("star_pairs")
         rest = _labelled(rest.select("bucket", "name", "size", "central", F.col("star.name").alias("star")), labels)
         stars = labels.select(F.col("node").alias("star"), F.col("component").alias("star_component"))
         rest = rest.join(stars, "star", "left").filter("component <> coalesce(star_component, star)").select("bucket", "name", "size", "central", "component")
+    scratch.drop("star_members", "star_pairs")
 
     placed = _labelled(shared.select("bucket", "name"), labels)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     contested = placed.join(mixed, "bucket", "left_semi").select("name", "component").distinct()
-    more = confirmed(stored(estimated(_prefix_pairs(contested, sets, percent)), "prefix_pairs"), sets, percent)
-    labels = connected_components(links.unionByName(more))
-
-    classes = _labelled(classes.select("name", "least_id"), labels)
-    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return rows.select("id", "text_hash", "name", "size"), stored(classes.join(least, "component").select("name", "component", "component_id"), "components")
+    members = scratch.store(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
+    scratch.drop("full_sets", "shared_buckets")
+    pairs = estimated(_prefix_pairs(members, percent, scratch), "prefix_pairs")
+    scratch.drop("live_prefixes", "main_components")
+    confirmed(pairs, members, percent, scratch)
+    labels = _merged(labels, scratch, "all_labels")
+    scratch.drop("contested_sets", "prefix_pairs")
+
+    named = scratch.store(_labelled(classes.select("name", "least_id"), labels), "named_classes")
+    least = scratch.store(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least_ids")
+    out = scratch.store(named.join(least, "component").select("name", "component", "component_id"), "components")
+    scratch.drop("classes", "star_labels", "all_labels", "named_classes", "least_ids")
+    return rows.select("id", "text_hash", "name", "size"), out
+
+
+def _merged(labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """The labels with the confirmed links contracted into them."""
+    links = scratch.spark.read.schema("a long, b long").parquet(*scratch.written["confirmed"])
+    if labels is not None:
+        ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")) for c in "ab"]
+        links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    found = connected_components(links, scratch)
+    if labels is not None:
+        moved = found.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        found = old.unionByName(found.join(labels.select("node"), "node", "left_anti"))
+    out = scratch.replace(found, name)
+    scratch.drop("labels", "confirmed")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
