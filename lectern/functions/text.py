@@ -5,18 +5,21 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 COLLAPSE = r"\s+"
 #: Words in a row that make a quotation.
 QUOTED = 5
+#: Marks that do not tell a word from another at its ends.
+EDGE_MARKS = ".,;:!?…-–—()[]{}<>\"'“”‘’«»*/\\|#&%+="
 EDITS = StructType([*[StructField(c, ArrayType(StringType())) for c in ("written", "removed", "quoted")], StructField("kept", IntegerType())])
 
 
@@ -34,7 +37,9 @@ def sentence_times(df: DataFrame, text: str, start: str, duration: str, keys: li
     parts = df.select(*keys, F.col(start).alias("__s"), F.col(duration).alias("__d"), sentences(text).alias("__p"))
     total = F.aggregate("__p", F.lit(0), lambda a, x: a + F.length(x))
     rows = parts.withColumn("__t", total).select("*", F.posexplode("__p").alias("place", "sentence"))
-    before = F.aggregate(F.slice("__p", F.lit(1), F.col("place")), F.lit(0), lambda a, x: a + F.length(x))
+    before = F.coalesce(F.sum(F.length("sentence")).over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__b", before)
+    before = F.col("__b")
     rows = rows.withColumn("__a", F.col("__s") + F.col("__d") * before / F.col("__t"))
     last = F.col("place") == F.size("__p") - 1
     end = F.when(last, F.col("__s") + F.col("__d")).otherwise(F.col("__s") + F.col("__d") * (before + F.length("sentence")) / F.col("__t"))
@@ -115,7 +120,7 @@ def without_visuals(text: str | Column) -> Column:
     return F.when(t.rlike(r"\[VISUAL[^\]]*\]"), F.trim(F.regexp_replace(F.regexp_replace(t, r"\[VISUAL[^\]]*\]", " "), COLLAPSE, " "))).otherwise(t)
 
 
-# Words that name no topic.
+# Our own list: words that name no topic.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "was", "what", "with")
 
 
@@ -177,10 +182,18 @@ def verbatim_in(quote: str | Column, text: str | Column, least: int = 8) -> Colu
 # --- where Spark has no expression -----------------------------------------------------------------------------------
 
 
+# What a normal quotation lacks (the dots below of two scripts, joiners, the byte order mark), the scripts
+# whose digits become ASCII ones, the shortest piece between ellipses that counts alone, and the least share that is near.
+DROPPED = "\u093c\u09bc\u200c\u200d\ufeff"
+ZEROS = (0x0966, 0x09E6)
+SHORTEST_PIECE = 6
+NEAR = 0.8
+_PLAIN = {ord(c): None for c in DROPPED} | {zero + i: str(i) for zero in ZEROS for i in range(10)}
+
+
 def normal_quote(text: str) -> str:
-    """NFKC, lower case, own digits, no zero-width or nukta marks, punctuation to one space."""
-    t = unicodedata.normalize("NFKC", text).lower()
-    t = "".join(str(unicodedata.digit(c)) if unicodedata.category(c) == "Nd" else c for c in t if c not in "​‌‍﻿़")
+    """NFKC, lower case, ASCII digits, no joiners or dots below, punctuation to one space."""
+    t = unicodedata.normalize("NFKC", text).translate(_PLAIN).lower()
     return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in t).split())
 
 
@@ -189,104 +202,181 @@ def normalised_quote(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normal_quote(t))
 
 
+def common_places(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of words.
+
+    Equal words are taken as points (place in a, place in b); a longest chain of rising points is found by keeping, for
+    every length, the point that ends a chain of it furthest left in b."""
+    where: dict[str, list[int]] = {}
+    for j, word in enumerate(b):
+        where.setdefault(word, []).append(j)
+    ends: list[int] = []
+    points: list[tuple] = []
+    for i, word in enumerate(a):
+        for j in reversed(where.get(word, ())):
+            at = bisect_left(ends, j)
+            point = (i, j, points[at - 1] if at else None)
+            if at == len(ends):
+                ends.append(j)
+                points.append(point)
+            else:
+                ends[at], points[at] = j, point
+    chain, point = [], points[-1] if points else None
+    while point:
+        chain.append(point[:2])
+        point = point[2]
+    return chain[::-1]
+
+
+def quoted_places(words: list[str], passage: list[str], least: int = QUOTED) -> list[bool]:
+    """Which words lie in a run of at least so many that the passage has too."""
+    text = f" {' '.join(passage)} "
+    change = [0] * (len(words) + 1)
+    for i in range(len(words) - least + 1):
+        if f" {' '.join(words[i : i + least])} " in text:
+            change[i] += 1
+            change[i + least] -= 1
+    return [x > 0 for x in accumulate(change[:-1])]
+
+
+def edit_parts(draft: str, final: str, passage: str) -> tuple[list[str], list[str], list[str], int]:
+    """(written, removed, quoted, kept): see ``edited``."""
+    plain = lambda words: [w.casefold().strip(EDGE_MARKS) or w.casefold() for w in words]
+    before, after = draft.split(), final.split()
+    same = common_places(plain(before), plain(after))
+    foreign = quoted_places(plain(after), plain(passage.split()))
+    written, removed, quoted = [], [], []
+    i = j = 0
+    for x, y in [*same, (len(before), len(after))]:
+        if x > i:
+            removed.append(" ".join(before[i:x]))
+        while j < y:
+            end = j + 1
+            while end < y and foreign[end] == foreign[j]:
+                end += 1
+            (quoted if foreign[j] else written).append(" ".join(after[j:end]))
+            j = end
+        i, j = x + 1, y + 1
+    return written, removed, quoted, len(same)
+
+
 @F.pandas_udf(EDITS)
 def edited(draft: pd.Series, final: pd.Series, passage: pd.Series) -> pd.DataFrame:
     """What an edit wrote, removed and kept of a draft, by words; stretches of QUOTED words that a passage has too are quoted.
 
     Words compare in lower case without marks at their ends. Nulls are empty texts."""
-
-    def keys(words: list[str]) -> list[str]:
-        return [re.sub(r"^\W+|\W+$", "", w).casefold() or w.casefold() for w in words]
-
-    def one(before: str | None, after: str | None, other: str | None) -> tuple[list[str], list[str], list[str], int]:
-        a, b = (before or "").split(), (after or "").split()
-        ka, kb, ko = keys(a), keys(b), keys((other or "").split())
-        theirs = {tuple(ko[i : i + QUOTED]) for i in range(len(ko) - QUOTED + 1)}
-        starts = [tuple(kb[i : i + QUOTED]) in theirs for i in range(len(kb))]
-        foreign = [any(starts[max(0, i - QUOTED + 1) : i + 1]) for i in range(len(kb))]
-        runs: dict[bool, list[str]] = {False: [], True: []}
-        removed, kept = [], 0
-        for what, i, j, x, y in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-            if what == "equal":
-                kept += j - i
-                continue
-            if j > i:
-                removed.append(" ".join(a[i:j]))
-            for is_quoted, run in groupby(range(x, y), key=foreign.__getitem__):
-                runs[is_quoted].append(" ".join(b[k] for k in run))
-        return runs[False], removed, runs[True], kept
-
-    rows = [one(*r) for r in zip(draft, final, passage)]
+    rows = [edit_parts(a or "", b or "", c or "") for a, b, c in zip(draft, final, passage)]
     return pd.DataFrame(rows, columns=["written", "removed", "quoted", "kept"])
 
 
-@F.pandas_udf(StringType())
-def quote_match(quote: pd.Series, source: pd.Series) -> pd.Series:
-    """verbatim if every fragment between ellipses is contained, near if the best alignment is at least 0.8, else none."""
-
-    def one(q: str | None, s: str | None) -> str:
-        s = normal_quote(s or "")
-        parts = [p for p in (normal_quote(x) for x in re.split(r"\.{3}|…", q or "")) if p]
-        if parts and all(p in s for p in parts):
-            return "verbatim"
-        if not parts or not s:
-            return "none"
-        a, b = " ".join(parts).split(), s.split()
-        n, wanted, shared = len(a), Counter(a), 0
-        matcher = difflib.SequenceMatcher(None, autojunk=False)
-        matcher.set_seq2(a)
-        held: Counter[str] = Counter()
-        for i, word in enumerate(b):
-            # Words shared in any order bound the ratio; only windows that can reach it are aligned.
-            shared += held[word] < wanted[word]
-            held[word] += 1
-            if i >= n:
-                old = b[i - n]
-                held[old] -= 1
-                shared -= held[old] < wanted[old]
-            if i + 1 >= min(n, len(b)) and shared / (n + min(n, i + 1)) >= 0.4:
-                matcher.set_seq1(b[max(0, i + 1 - n) : i + 1])
-                if matcher.ratio() >= 0.8:
-                    return "near"
+def longest_run(a: str, b: str) -> tuple[int, int]:
+    """Places in a and in b of a longest run of characters that both have, the first in a, then in b."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        size = (low + high + 1) // 2
+        held = {a[i : i + size] for i in range(len(a) - size + 1)}
+        low, high = (size, high) if any(b[j : j + size] in held for j in range(len(b) - size + 1)) else (low, size - 1)
+    if not low:
+        return 0, 0
+    return next((i, b.find(a[i : i + low])) for i in range(len(a) - low + 1) if a[i : i + low] in b)
+
+
+def coverage(piece: str, source: str) -> float:
+    """The share of a piece's characters that one stretch of the source holds in their order.
+
+    The stretch begins where the longest common run puts the piece, or the longest of either half, less a quarter."""
+    n, half = len(piece), len(piece) // 2
+    parts = [(0, piece)] + [(0, piece[:half]), (half, piece[half:])] * (half >= SHORTEST_PIECE)
+    best = 0
+    for at, part in parts:
+        i, j = longest_run(part, source)
+        start = max(0, j - i - at - n // 4)
+        blocks = difflib.SequenceMatcher(None, piece, source[start : start + n + n // 2], autojunk=False).get_matching_blocks()
+        best = max(best, sum(x.size for x in blocks))
+    return best / max(n, 1)
+
+
+def quote_level(quote: str, source: str) -> str:
+    parts = [normal_quote(x) for x in re.split(r"\.{3,}|…", quote)]
+    pieces = [p for p in parts if len(p) >= SHORTEST_PIECE] or [p for p in [normal_quote(quote)] if p]
+    held = normal_quote(source)
+    if not pieces or not held:
         return "none"
+    if all(p in held for p in pieces):
+        return "verbatim"
+    return "near" if all(coverage(p, held) >= NEAR for p in pieces) else "none"
+
 
-    return pd.Series([one(q, s) for q, s in zip(quote, source)])
+@F.pandas_udf(StringType())
+def quote_match(quote: pd.Series, source: pd.Series) -> pd.Series:
+    """verbatim if every piece between ellipses is contained, near if at least NEAR of every piece's characters align, else none.
+
+    Pieces of less than SHORTEST_PIECE characters don't count, unless there are no others: then the whole quotation does."""
+    return pd.Series([quote_level(q or "", s or "") for q, s in zip(quote, source)], dtype=object)
+
+
+# HTML's elements without an end, those that hold text only, those whose start ends a paragraph, and those
+# whose start ends a sibling.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+TEXT_ONLY = {"script", "style", "textarea", "title"}
+ENDS_P = set("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+_HEADINGS, _CELLS = {f"h{i}" for i in range(1, 7)}, {"td", "th"}
+_ROWS = {"tr", *_CELLS}
+_TABLE_PARTS = {"thead", "tbody", "tfoot", *_ROWS}
+ENDS_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": _ROWS, "td": _CELLS, "th": _CELLS, "thead": _TABLE_PARTS, "tbody": _TABLE_PARTS, "tfoot": _TABLE_PARTS, "option": {"option"}} | dict.fromkeys(_HEADINGS, _HEADINGS)
+_MARKUP = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*"[^"]*"|\s*=\s*'[^']*'|[^>])*?)>|<(?=/?[a-zA-Z!?]|/?\s*\Z)""", re.S)
+
+
+def repaired_html(text: str) -> str:
+    """The text cut before a tag or comment that does not end, with a closing tag for all that is still open."""
+    open_: list[str] = []
+    at, cut = 0, None
+    while m := _MARKUP.search(text, at):
+        at = m.end()
+        if m[0] == "<":
+            cut = m.start()
+            break
+        name, attributes = (m[2] or "").lower(), m[3] or ""
+        if not name:
+            continue
+        if m[1]:
+            if name in open_:
+                del open_[len(open_) - 1 - open_[::-1].index(name) :]
+            continue
+        # A slash that ends an unquoted value belongs to the value.
+        if name in VOID or attributes.endswith("/") and not re.search(r"=\s*[^\s\"'>]+/$", attributes):
+            continue
+        while open_ and (open_[-1] in ENDS_SIBLINGS.get(name, ()) or open_[-1] == "p" and name in ENDS_P):
+            open_.pop()
+        open_.append(name)
+        if name in TEXT_ONLY:
+            end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+            if not end:
+                break
+            open_.pop()
+            at = end.end()
+    if cut is None and not open_:
+        return text
+    return text[:cut].rstrip() + "".join(f"</{name}>" for name in reversed(open_))
 
 
 @F.pandas_udf(StringType())
 def balanced_html(html: pd.Series) -> pd.Series:
-    """Unclosed tags closed, stray closing tags dropped."""
-    void = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, stack, at = [], [], 0
-        for m in re.finditer(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*?(/?)>", text):
-            out.append(text[at : m.start()])
-            at = m.end()
-            name = m[2].lower()
-            if m[3] or name in void:
-                out.append(m[0])
-            elif not m[1]:
-                stack.append(name)
-                out.append(m[0])
-            elif name in stack:
-                while stack[-1] != name:
-                    out.append(f"</{stack.pop()}>")
-                stack.pop()
-                out.append(m[0])
-        return "".join([*out, text[at:], *[f"</{n}>" for n in reversed(stack)]])
-
-    return html.map(one)
+    """HTML that ends: see ``repaired_html``. What is balanced stays as it is, stray closing tags too."""
+    return html.map(lambda text: None if text is None else repaired_html(text))
 
 
 def overlap_words(left: list[str], right: list[str], most: int) -> int:
-    """Length of the longest suffix of one that is a prefix of the other."""
-    for n in range(min(most, len(left), len(right)), 0, -1):
-        if left[-n:] == right[:n]:
-            return n
-    return 0
+    """Length of the longest suffix of one that is a prefix of the other, in time proportional to the two."""
+    n = min(most, len(left), len(right))
+    words = [*right[:n], None, *left[len(left) - n :]]
+    fits = [0] * len(words)
+    for i in range(1, len(words)):
+        k = fits[i - 1]
+        while k and words[i] != words[k]:
+            k = fits[k - 1]
+        fits[i] = k + (words[i] == words[k])
+    return fits[-1] if n else 0
 
 
 def reassembled(chunks: DataFrame, doc: str, index: str, text: str, overlap: int = 32) -> DataFrame:
