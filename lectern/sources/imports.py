@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.stored import checkpoints
+
 EVENT = ["external_id", "event_type", "occurred_at", "title", "text"]
 
 
@@ -16,6 +18,12 @@ def row_id(*parts: str | Column) -> Column:
     return F.left(F.sha2(F.concat_ws("\x1f", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]), 256), F.lit(32))
 
 
+def short_id(*parts: str | Column) -> Column:
+    """Fixed form of the ids of untagged plays: the first 20 digits of the SHA-1 of the parts, None for a missing one."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("None")) for p in parts]
+    return F.left(F.sha1(F.concat_ws("\x1f", *texts).cast("binary")), F.lit(20))
+
+
 def parsed_time(value: str | Column, *formats: str) -> Column:
     """The first format that fits; null if none does."""
     c = F.col(value) if isinstance(value, str) else value
@@ -38,16 +46,21 @@ def _filled(*columns: str) -> Column:
 
 
 def music_history(spark: SparkSession, path: str) -> DataFrame:
-    """Both layouts of a music service's history (ts or endTime). Private sessions are skipped; no address is kept."""
+    """Both layouts of a music service's history (ts or endTime), times in UTC. Private sessions are skipped; no address is kept."""
     df = optional(spark.read.option("multiLine", True).json(path), "ts", "endTime", "artistName", "trackName", "incognito_mode", "master_metadata_track_name", "master_metadata_album_artist_name", "spotify_track_uri", "episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title", "audiobook_chapter_title", "audiobook_uri")
-    title = _filled("master_metadata_track_name", "trackName", "episode_name", "audiobook_chapter_title", "audiobook_title")
-    kind = F.when(_filled("master_metadata_track_name", "trackName").isNotNull(), "track").when(_filled("episode_name").isNotNull(), "episode").otherwise("audiobook")
-    by = F.when(kind == "track", _filled("master_metadata_album_artist_name", "artistName")).when(kind == "episode", _filled("episode_show_name")).otherwise(_filled("audiobook_title"))
-    uri = F.when(kind == "track", _filled("spotify_track_uri")).when(kind == "episode", _filled("spotify_episode_uri")).otherwise(_filled("audiobook_uri"))
     at = F.coalesce(parsed_time("ts", "yyyy-MM-dd'T'HH:mm:ssX"), parsed_time("endTime", "yyyy-MM-dd HH:mm"))
-    when = F.coalesce("ts", "endTime")
-    rows = df.filter(~F.coalesce(F.col("incognito_mode").cast("boolean"), F.lit(False)) & title.isNotNull() & at.isNotNull())
-    return rows.select(F.concat_ws("|", when, F.coalesce(uri, row_id(title, by))).alias("external_id"), F.concat(F.lit("listened_"), kind).alias("event_type"), at.alias("occurred_at"), title.alias("title"), by.alias("text"))
+    # (kind, name, by, uri): the first kind that has a name counts.
+    kinds = [
+        ("track", _filled("master_metadata_track_name", "trackName"), _filled("master_metadata_album_artist_name", "artistName"), _filled("spotify_track_uri")),
+        ("episode", _filled("episode_name"), _filled("episode_show_name"), _filled("spotify_episode_uri")),
+        ("audiobook", _filled("audiobook_chapter_title", "audiobook_title"), _filled("audiobook_title"), _filled("audiobook_uri")),
+    ]
+    plays = F.coalesce(*[F.when(name.isNotNull(), F.struct(F.lit(f"played_{kind}").alias("kind"), name.alias("name"), by.alias("by"), uri.alias("uri"))) for kind, name, by, uri in kinds])
+    private = F.coalesce(F.col("incognito_mode").cast("boolean"), F.lit(False))
+    rows = df.filter(~private).select(at.alias("at"), plays.alias("p")).filter("at is not null and p is not null").select("at", "p.*")
+    when = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    title = F.concat_ws(" — ", "name", "by")
+    return rows.select(F.concat_ws("|", when, F.coalesce("uri", short_id("name", "by"))).alias("external_id"), F.col("kind").alias("event_type"), F.col("at").alias("occurred_at"), title.alias("title"), F.col("by").alias("text"))
 
 
 def watch_history(spark: SparkSession, path: str) -> DataFrame:
@@ -85,16 +98,23 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+# What a shelf says of a book.
+SHELVES = {"read": "read_book", "currently-reading": "reading_book", "to-read": "want_to_read"}
+
+
 def books(spark: SparkSession, path: str) -> DataFrame:
-    """Books by shelf; a read book by the day it was read, others by the day they were added. Rating 0 is none."""
-    df = _csv(spark, path)
-    shelf = F.col("Exclusive Shelf")
-    day = lambda c: parsed_time(c, "yyyy/MM/dd", "yyyy-MM-dd")
-    at = F.when(shelf == "read", F.coalesce(day("Date Read"), day("Date Added"))).otherwise(day("Date Added"))
-    review = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("My Review", F.lit("")), r"(?i)<br\s*/?>", "\n"), "<[^>]+>", ""))
-    text = F.concat_ws("\n\n", F.nullif(review, F.lit("")), _filled("Private Notes"))
+    """Books by shelf (read where none is named); a read book by the day it was read, others by the day they were added. Rating 0 is none."""
+    df = optional(_csv(spark, path), "Author", "ISBN", "ISBN13", "Private Notes", "My Review", "Date Read", "Date Added", "My Rating")
+    shelf = F.coalesce(_filled("Exclusive Shelf"), F.lit("read"))
+    kind = F.coalesce(*[F.when(shelf == name, event) for name, event in SHELVES.items()], F.lit("shelved_book"))
+    day = lambda c: parsed_time(F.trim(c), "yyyy/MM/dd", "yyyy-MM-dd")
+    at = F.coalesce(F.when(shelf == "read", day("Date Read")), day("Date Added"))
+    review = F.regexp_replace(F.trim(F.coalesce("My Review", F.lit(""))), r"(?i)<br\s*/?>", "\n")
+    text = F.concat_ws("\n\n", F.nullif(review, F.lit("")), F.concat(F.lit("Private notes: "), _filled("Private Notes")))
+    isbn = lambda c: F.nullif(F.regexp_replace(c, "[^0-9Xx]", ""), F.lit(""))
+    title = F.concat_ws(" by ", F.trim("Title"), _filled("Author"))
     rows = df.filter(at.isNotNull() & F.col("Book Id").isNotNull())
-    return rows.select(F.concat_ws(":", F.lit("gr"), "Book Id", shelf).alias("external_id"), F.concat(F.lit("book_"), F.regexp_replace(shelf, "-", "_")).alias("event_type"), at.alias("occurred_at"), F.col("Title").alias("title"), F.nullif(text, F.lit("")).alias("text"), F.nullif(F.regexp_replace(F.coalesce("ISBN", F.lit("")), "[^0-9Xx]", ""), F.lit("")).alias("isbn"), F.nullif(F.expr("try_cast(`My Rating` AS int)"), F.lit(0)).alias("rating"))
+    return rows.select(F.concat_ws(":", F.lit("gr"), F.trim("Book Id"), shelf).alias("external_id"), kind.alias("event_type"), at.alias("occurred_at"), title.alias("title"), F.nullif(text, F.lit("")).alias("text"), F.coalesce(isbn("ISBN13"), isbn("ISBN")).alias("isbn"), F.nullif(F.expr("try_cast(`My Rating` AS int)"), F.lit(0)).alias("rating"))
 
 
 def films(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,20 +165,22 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
     return df.select("title", "link", F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"), "description")
 
 
-def flattened_threads(comments: DataFrame, most: int = 50, deepest: int = 100) -> DataFrame:
+def flattened_threads(comments: DataFrame, most: int = 50) -> DataFrame:
     """thread, place, depth, line of comments (thread, id, parent, author, body, score): depth first, by score, cut, then without empty bodies.
 
-    Levels are joined one by one; a comment's path is its ranks among its siblings, and sorts like a walk of the tree."""
+    Levels are joined one by one until one is empty, each checkpointed; a comment's path is its ranks among its siblings,
+    and sorts like a walk of the tree. Comments under an unknown parent, or in a cycle, hang on no top level and are left
+    out, as in such a walk. A thread is cut to its first comments by level before it is sorted: among the first ``most`` of
+    a walk no comment has a rank above ``most``."""
+    checkpoints(comments.sparkSession)
     w = Window.partitionBy("thread", "parent").orderBy(F.desc("score"), "id")
-    ranked = comments.withColumn("__rank", F.lpad(F.row_number().over(w).cast("string"), 8, "0"))
-    level = ranked.filter("parent is null").withColumn("__path", F.col("__rank")).withColumn("depth", F.lit(0))
+    ranked = comments.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).withColumn("__rank", F.lpad(F.col("__rank").cast("string"), 8, "0"))
+    level = ranked.filter("parent is null").withColumn("__path", F.col("__rank")).withColumn("depth", F.lit(0)).checkpoint()
     out, depth = level, 0
-    while depth < deepest:
+    while not level.isEmpty():
         depth += 1
         above = level.select("thread", F.col("id").alias("parent"), F.col("__path").alias("__above"))
-        level = ranked.join(above, ["thread", "parent"]).withColumn("__path", F.concat_ws("/", "__above", "__rank")).withColumn("depth", F.lit(depth)).select(*out.columns)
-        if level.isEmpty():
-            break
+        level = ranked.join(above, ["thread", "parent"]).withColumn("__path", F.concat_ws("/", "__above", "__rank")).withColumn("depth", F.lit(depth)).select(*out.columns).checkpoint()
         out = out.unionByName(level)
     place = F.row_number().over(Window.partitionBy("thread").orderBy("__path"))
     line = F.concat(F.repeat(F.lit("↳ "), F.col("depth")), F.coalesce(F.nullif("author", F.lit("")), F.lit("[deleted]")), F.lit(": "), F.col("body"))
@@ -170,9 +192,7 @@ def reply_depths(posts: DataFrame) -> DataFrame:
 
     Each round doubles the way up that a post has gone, so a chain of n replies takes log2(n) joins; every round is
     checkpointed. A cycle never ends: when ways are longer than there are posts, the rest are cycles."""
-    spark = posts.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoints(posts.sparkSession)
     top = F.col("in_reply_to").eqNullSafe(F.col("root"))
     ways = posts.select("id", F.when(~top, F.col("in_reply_to")).alias("up"), F.lit(1).cast("long").alias("steps"), top.alias("ended")).dropDuplicates(["id"]).checkpoint()
     most, length = ways.count(), 1
@@ -211,10 +231,16 @@ def canonical_segments(segments: Column | str) -> Column:
     return F.transform(some, lambda s: F.struct(F.trim(s["text"]).alias("text"), s["start"].alias("start"), F.greatest(s["end"] - s["start"], F.lit(0.0)).alias("duration")))
 
 
+_DAY, _CLOCK = r"(\d{1,4}[./-]\d{1,2}[./-]\d{1,4})", r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?: ?[AaPp]\.? ?[Mm]\.?)?)"
+#: [day, time] sender: text, then day, time - sender: text (a hyphen or a dash); last a line of the service itself.
 CHAT_HEADERS = (
-    r"^\[(\d{1,4}[./-]\d{1,2}[./-]\d{1,4}),? (\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp][Mm])?)\] ([^:]+): ?(.*)$",
-    r"^(\d{1,4}[./-]\d{1,2}[./-]\d{1,4}),? (\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp][Mm])?) - ([^:]+): ?(.*)$",
+    rf"^\[{_DAY},? {_CLOCK}\] ([^:]+): ?(.*)$",
+    rf"^{_DAY},? {_CLOCK} [-–—] ([^:]+): ?(.*)$",
 )
+SYSTEM_HEADERS = (rf"^\[{_DAY},? {_CLOCK}\] ([^:]*)$", rf"^{_DAY},? {_CLOCK} [-–—] ([^:]*)$")
+#: What stands for a file that was left out, or for a message taken back.
+MEDIA = r"(?i)^<[^<>]*(omitted|attached)[^<>]*>$|^(image|video|audio|sticker|gif|document|contact card) omitted$|^\S+ \(file attached\)$|^<attached: [^<>]+>$"
+DELETED = r"(?i)^(this message was deleted|you deleted this message|this message was deleted by admin.*|<this message was (deleted|edited)>)\.?$"
 
 
 def date_order(chat: DataFrame, by: list[str], day: str) -> DataFrame:
@@ -225,13 +251,14 @@ def date_order(chat: DataFrame, by: list[str], day: str) -> DataFrame:
 
 
 def chat_messages(lines: DataFrame, chat: str, number: str, value: str, zone: str = "UTC") -> DataFrame:
-    """chat, message, sender, at, text of a text export's numbered lines: a line without a header goes on with the open message.
+    """chat, message, sender, at, text, kind of a text export's numbered lines: a line without a header goes on with the open message.
 
-    at is UTC; the date order is the chat's own."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(value), "[‎‏‪-‬]", ""), "[  ]", " ")
-    part = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(clean, h, i), F.lit("")) for h in CHAT_HEADERS])
+    at is UTC; the date order is the chat's own. kind: text, media, deleted, or system for a dated line without a sender."""
+    clean = F.regexp_replace(F.regexp_replace(F.col(value), "[\u200e\u200f\u202a-\u202e\ufeff]", ""), "[\u202f\u00a0]", " ")
+    part = lambda i, n=0: F.coalesce(*[F.nullif(F.regexp_extract(clean, h, i), F.lit("")) for h in (*CHAT_HEADERS, *SYSTEM_HEADERS[:n])])
     w = Window.partitionBy(chat).orderBy(number)
-    rows = lines.select(chat, number, clean.alias("__line"), part(1).alias("__day"), part(2).alias("__time"), part(3).alias("__sender"), F.coalesce(part(4), F.lit("")).alias("__first"))
+    service = F.coalesce(*[F.nullif(F.regexp_extract(clean, h, 3), F.lit("")) for h in SYSTEM_HEADERS])
+    rows = lines.select(chat, number, clean.alias("__line"), part(1, 2).alias("__day"), part(2, 2).alias("__time"), part(3).alias("__sender"), F.coalesce(part(4), F.when(part(3).isNull(), service), F.lit("")).alias("__first"))
     rows = rows.withColumn("message", F.count_if(F.col("__day").isNotNull()).over(w)).filter("message > 0")
     body = F.when(F.col("__day").isNotNull(), F.col("__first")).otherwise(F.col("__line"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, body.alias("t")))), lambda x: x["t"]), "\n")
@@ -243,7 +270,73 @@ def chat_messages(lines: DataFrame, chat: str, number: str, value: str, zone: st
     month = F.when(F.col("date_order") == "dmy", at(1)).when(F.col("date_order") == "mdy", at(0)).otherwise(at(1))
     day = F.when(F.col("date_order") == "dmy", at(0)).when(F.col("date_order") == "mdy", at(1)).otherwise(at(2))
     year = F.when(year < 100, 2000 + year).otherwise(year)
-    clock = F.upper(F.regexp_replace("__time", r"\s", ""))
-    stamp = F.concat(F.format_string("%04d-%02d-%02d ", year, month, day), clock)
+    half = F.regexp_replace(F.upper(F.regexp_extract("__time", r"[AaPp]\.? ?[Mm]\.?$", 0)), "[^APM]", "")
+    digits = F.regexp_replace(F.regexp_extract("__time", r"^\d{1,2}[:.]\d{2}([:.]\d{2})?", 0), "[.]", ":")
+    stamp = F.concat(F.format_string("%04d-%02d-%02d ", year, month, day), digits, half)
     local = parsed_time(stamp, "yyyy-MM-dd H:mm:ss", "yyyy-MM-dd H:mm", "yyyy-MM-dd h:mm:ssa", "yyyy-MM-dd h:mma")
-    return out.select(chat, "message", "sender", F.to_utc_timestamp(local, zone).alias("at"), "text")
+    kind = F.when(F.col("sender").isNull(), "system").when(F.trim("text").rlike(DELETED), "deleted").when(F.trim("text").rlike(MEDIA), "media").otherwise("text")
+    return out.select(chat, "message", "sender", F.to_utc_timestamp(local, zone).alias("at"), "text", kind.alias("kind"))
+
+
+def chat_shares(turns: DataFrame, chat: str, sender: str, at: str, lines: str) -> DataFrame:
+    """Turns (at in UTC, lines: array of texts) as shares: those with a line that is more than a mark in brackets; the id is of chat, sender and first time."""
+    told = F.exists(lines, lambda x: ~F.trim(x).rlike(r"^(\[[^\]]*\]|<[^>]*>)?$"))
+    when = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    rows = turns.filter(F.coalesce(told, F.lit(False)) & F.col(sender).isNotNull())
+    return rows.select(short_id(chat, sender, when).alias("external_id"), chat, sender, F.col(at).alias("occurred_at"), F.array_join(lines, "\n").alias("text"))
+
+
+# --- posts of stored listings -------------------------------------------------------------------------------------------
+
+# Where each service's JSON keeps the fields of a post.
+POSTS = {
+    "reddit": {"id": "$.id", "author": "$.author", "title": "$.title", "text": "$.selftext", "url": "$.permalink", "score": "$.score", "epoch": "$.created_utc"},
+    "hn": {"id": "$.objectID", "author": "$.author", "title": "$.title", "text": "$.story_text", "url": "$.url", "score": "$.points", "epoch": "$.created_at_i"},
+    "mastodon": {"id": "$.id", "author": "$.account.acct", "title": None, "text": "$.content", "url": "$.url", "score": "$.favourites_count", "time": "$.created_at"},
+    "bluesky": {"id": "$.uri", "author": "$.author.handle", "title": None, "text": "$.record.text", "url": "$.uri", "score": "$.likeCount", "time": "$.indexedAt"},
+    "twitter": {"id": "$.id", "author": "$.author_id", "title": None, "text": "$.text", "url": None, "score": "$.public_metrics.like_count", "time": "$.created_at"},
+}
+
+
+def posts(rows: DataFrame, service: str, value: str = "value", since=None) -> DataFrame:
+    """source_type, id, author, title, text, url, score, published_at of posts stored as one JSON object a row.
+
+    Rows without an id are left out, as are those at or before ``since``; HTML becomes its text. KeyError for an unknown service."""
+    where = POSTS[service]
+    get = lambda k: F.get_json_object(value, where[k]) if where.get(k) else F.lit(None).cast("string")
+    at = F.timestamp_seconds(get("epoch").try_cast("double")) if "epoch" in where else F.try_to_timestamp(get("time"))
+    text = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(get("text"), F.lit("")), r"(?i)<br\s*/?>|</p>", "\n"), "<[^>]+>", ""), F.lit(" \t\n\r"))
+    out = rows.select(F.lit(service).alias("source_type"), get("id").alias("id"), get("author").alias("author"), get("title").alias("title"), text.alias("text"), get("url").alias("url"), get("score").try_cast("long").alias("score"), at.alias("published_at"))
+    out = out.filter("id is not null")
+    return out if since is None else out.filter(F.col("published_at") > F.lit(since))
+
+
+def fanned_out(sources: dict[str, DataFrame], value: str = "value", since=None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Posts of several services in their order, and what went wrong with the services that gave none."""
+    out, failed = None, {}
+    for place, (service, rows) in enumerate(sources.items()):
+        try:
+            one = posts(rows, service, value, since).withColumn("place", F.lit(place))
+        except Exception as e:  # one service's fault is not another's
+            failed[service] = f"{type(e).__name__}: {e}"
+            continue
+        out = one if out is None else out.unionByName(one)
+    return out, failed
+
+
+def nested_thread(posts: DataFrame, thread: str, value: str, replies: str = "replies", deepest: int | None = None) -> DataFrame:
+    """thread, id, parent, author, body, score of reply trees stored as JSON: what ``flattened_threads`` takes.
+
+    Each round unrolls one level's replies until none has any; a blocked post keeps its place, without a text, and its replies."""
+    checkpoints(posts.sparkSession)
+    post = lambda j: (F.coalesce(F.get_json_object(j, "$.post.uri"), F.concat_ws("/", F.lit("blocked"), "parent", "nth")), F.get_json_object(j, "$.post.author.handle"), F.get_json_object(j, "$.post.record.text"), F.coalesce(F.get_json_object(j, "$.post.likeCount").try_cast("long"), F.lit(0)))
+    level = posts.select(F.col(thread).alias("thread"), F.lit(None).cast("string").alias("parent"), F.posexplode(F.from_json(F.get_json_object(value, f"$.{replies}"), "array<string>")).alias("nth", "json")).checkpoint()
+    out, depth = None, 0
+    while not level.isEmpty() and (deepest is None or depth < deepest):
+        names = ("id", "author", "body", "score")
+        here = level.select("thread", "parent", *[c.alias(n) for n, c in zip(names, post("json"))], "json")
+        rows = here.select("thread", "id", "parent", "author", "body", "score")
+        out = rows if out is None else out.unionByName(rows)
+        level = here.select("thread", F.col("id").alias("parent"), F.posexplode(F.from_json(F.get_json_object("json", f"$.{replies}"), "array<string>")).alias("nth", "json")).checkpoint()
+        depth += 1
+    return out if out is not None else level.select("thread", F.lit("").alias("id"), "parent", F.lit("").alias("author"), F.lit("").alias("body"), F.lit(0).cast("long").alias("score"))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -20,11 +21,15 @@ def test_music_history_both_layouts(spark, tmp_path):
         {"ts": "2024-01-04T04:04:05Z"},
     ]
     got = {r.external_id: r for r in im.music_history(spark, write(tmp_path, "long.json", long)).collect()}
-    assert set(got) == {"2024-01-02T03:04:05Z|uri:1", "2024-01-03T04:04:05Z|uri:2"}
-    assert got["2024-01-03T04:04:05Z|uri:2"].event_type == "listened_episode"
+    assert set(got) == {"2024-01-02T03:04:05+00:00|uri:1", "2024-01-03T04:04:05+00:00|uri:2"}
+    assert got["2024-01-03T04:04:05+00:00|uri:2"].event_type == "played_episode"
+    assert got["2024-01-02T03:04:05+00:00|uri:1"].title == "Song — Band"
     short = [{"endTime": "2024-01-02 03:04", "artistName": "B", "trackName": "T", "msPlayed": 5}]
     row = im.music_history(spark, write(tmp_path, "short.json", short)).first()
-    assert row.title == "T" and row.external_id.startswith("2024-01-02 03:04|")
+    assert row.title == "T — B" and row.external_id == "2024-01-02T03:04:00+00:00|" + hashlib.sha1(b"T\x1fB").hexdigest()[:20]
+    book = [{"ts": "2024-01-02T03:04:05Z", "audiobook_title": "Saga", "audiobook_chapter_title": "One", "audiobook_uri": "uri:3"}]
+    row = im.music_history(spark, write(tmp_path, "book.json", book)).first()
+    assert (row.event_type, row.title) == ("played_audiobook", "One — Saga")
 
 
 def test_watch_and_search_history(spark, tmp_path):
@@ -46,9 +51,12 @@ def test_notes(spark, tmp_path):
 
 
 def test_books_films_activities(spark, tmp_path):
-    books = 'Book Id,Title,ISBN,My Rating,Date Read,Date Added,Exclusive Shelf,My Review,Private Notes\n1,B1,"=""978X""",0,2024/01/02,2023/01/01,read,"a<br/>b",\n2,B2,,5,,2023/05/06,to-read,,\n3,B3,,4,,,read,,\n'
+    books = 'Book Id,Title,Author,ISBN,My Rating,Date Read,Date Added,Exclusive Shelf,My Review,Private Notes\n1,B1,Ann,"=""978X""",0,2024/01/02,2023/01/01,read,"a<br/>b",mine\n2,B2,,,5,,2023/05/06,to-read,,\n3,B3,,,4,,,read,,\n4,B4,,,1,,2023-05-07,lent,,\n5,B5,,,1,2024/02/03,2023-05-07,,,\n'
     got = {r.title: r for r in im.books(spark, write(tmp_path, "b.csv", books)).collect()}
-    assert set(got) == {"B1", "B2"} and got["B1"].text == "a\nb" and got["B1"].rating is None and got["B1"].isbn == "978X" and got["B2"].event_type == "book_to_read"
+    assert set(got) == {"B1 by Ann", "B2", "B4", "B5"} and got["B1 by Ann"].text == "a\nb\n\nPrivate notes: mine"
+    assert got["B1 by Ann"].rating is None and got["B1 by Ann"].isbn == "978X" and got["B1 by Ann"].external_id == "gr:1:read"
+    assert [got[b].event_type for b in ("B1 by Ann", "B2", "B4", "B5")] == ["read_book", "want_to_read", "shelved_book", "read_book"]
+    assert str(got["B5"].occurred_at)[:10] == "2024-02-03" and got["B5"].external_id == "gr:5:read"
     films = tmp_path / "films"
     films.mkdir()
     write(films, "diary.csv", "Date,Name,Year,Rating,Watched Date\n2024-01-05,F1,2000,4,2024-01-04\n")
@@ -95,6 +103,9 @@ def test_subtitles_and_segments(spark):
 def test_chat_messages(spark):
     lines = ["[31.12.23, 23:59:01] Ann: first", "goes on", "‎[01.01.24, 00:00:02] Bob: https://x", "03.01.24, 10:00 - Ann: third"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)] + [(2, 0, "header"), (2, 1, "1/13/24, 1:05 PM - Cy: hi")], "chat int, n int, line string")
+    kinds = ["04.01.24, 10.15 p.m. – Ann: <Media omitted>", "04.01.24, 22:16 - Bob: This message was deleted", "04.01.24, 22:17 - Ann added Bob"]
+    more = spark.createDataFrame([(3, i, x) for i, x in enumerate(kinds)], "chat int, n int, line string")
+    assert [(r.sender, str(r.at), r.kind) for r in im.chat_messages(more, "chat", "n", "line").orderBy("message").collect()] == [("Ann", "2024-01-04 22:15:00", "media"), ("Bob", "2024-01-04 22:16:00", "deleted"), (None, "2024-01-04 22:17:00", "system")]
     got = [(r.chat, r.sender, str(r.at), r.text) for r in im.chat_messages(df, "chat", "n", "line", "Europe/Berlin").orderBy("chat", "message").collect()]
     assert got == [(1, "Ann", "2023-12-31 22:59:01", "first\ngoes on"), (1, "Bob", "2023-12-31 23:00:02", "https://x"), (1, "Ann", "2024-01-03 09:00:00", "third"), (2, "Cy", "2024-01-13 12:05:00", "hi")]
 
@@ -109,3 +120,48 @@ def test_reply_depths_of_a_long_chain(spark):
     odd = [(900, 901, 0), (901, 902, 0), (902, 900, 0), (903, 900, 0), (950, 999, 0), (951, 950, 0), (960, None, 0)]
     posts = spark.createDataFrame(chain + odd, "id int, in_reply_to int, root int")
     assert {r.id: r.depth for r in im.reply_depths(posts).collect()} == {**{i: i for i, _, _ in chain}, **{i: 1 for i, _, _ in odd}}
+
+
+def test_threads_deeper_than_any_level_set(spark):
+    rows = [(1, i, i - 1 if i > 1 else None, "a", f"t{i}", 0) for i in range(1, 131)] + [(2, 1, 2, "a", "cycle", 0), (2, 2, 1, "a", "cycle", 0)]
+    df = spark.createDataFrame(rows, "thread int, id int, parent int, author string, body string, score int")
+    got = im.flattened_threads(df, most=200).orderBy("place").collect()
+    assert [r.depth for r in got] == list(range(130)) and {r.thread for r in got} == {1}
+
+
+def test_chat_shares(spark):
+    from datetime import datetime
+
+    rows = [("c", "Ann", datetime(2024, 1, 2, 3, 4, 5), ["hi", "[image]"]), ("c", "Bob", datetime(2024, 1, 2), ["[redacted]", "<attached: x>"]), ("c", "Cy", datetime(2024, 1, 3), [])]
+    got = im.chat_shares(spark.createDataFrame(rows, "chat string, sender string, at timestamp, lines array<string>"), "chat", "sender", "at", "lines").collect()
+    want = hashlib.sha1("c\x1fAnn\x1f2024-01-02T03:04:05+00:00".encode()).hexdigest()[:20]
+    assert [(r.external_id, r.text) for r in got] == [(want, "hi\n[image]")]
+
+
+def test_posts_of_five_services_and_what_fails(spark):
+    one = lambda x: spark.createDataFrame([(json.dumps(x),), ("{}",)], "value string")
+    rows = {
+        "reddit": one({"id": "r1", "author": "a", "title": "T", "selftext": "body", "permalink": "/r/x", "score": 5, "created_utc": 1700000000.0}),
+        "hn": one({"objectID": "7", "author": "b", "title": "H", "story_text": "<p>x</p>y", "url": "u", "points": 3, "created_at_i": 1700000001}),
+        "gopher": one({}),
+        "mastodon": one({"id": "m", "account": {"acct": "c"}, "content": "<p>toot</p>", "url": "u", "favourites_count": 2, "created_at": "2024-01-01T00:00:00.000Z"}),
+        "bluesky": one({"uri": "at://1", "author": {"handle": "d"}, "record": {"text": "sky"}, "likeCount": 1, "indexedAt": "2024-01-02T00:00:00Z"}),
+        "twitter": one({"id": "t", "author_id": "9", "text": "tw", "public_metrics": {"like_count": 4}, "created_at": "2024-01-03T00:00:00Z"}),
+    }
+    out, failed = im.fanned_out(rows)
+    got = [(r.source_type, r.id, r.author, r.text, r.score, r.published_at.year) for r in out.orderBy("place").collect()]
+    assert got == [("reddit", "r1", "a", "body", 5, 2023), ("hn", "7", "b", "x\ny", 3, 2023), ("mastodon", "m", "c", "toot", 2, 2024), ("bluesky", "at://1", "d", "sky", 1, 2024), ("twitter", "t", "9", "tw", 4, 2024)]
+    assert list(failed) == ["gopher"]
+    from datetime import datetime
+
+    assert [r.source_type for r in im.fanned_out(rows, since=datetime(2024, 1, 2))[0].orderBy("place").collect()] == ["twitter"]
+
+
+def test_nested_threads(spark):
+    post = lambda i, likes, *replies: {"post": {"uri": i, "author": {"handle": f"h{i}"}, "record": {"text": f"t{i}"}, "likeCount": likes}, "replies": list(replies)}
+    tree = {"replies": [post("a", 1, post("b", 2)), {"blocked": True, "replies": [post("c", 0)]}, post("d", 9)]}
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, json.dumps({"replies": []})), (3, None)], "thread int, tree string")
+    flat = im.nested_thread(df, "thread", "tree")
+    assert {(r.id, r.parent) for r in flat.collect() if r.author} == {("a", None), ("b", "a"), ("c", "blocked/1"), ("d", None)}
+    lines = [(r.depth, r.line) for r in im.flattened_threads(flat).orderBy("place").collect()]
+    assert lines == [(0, "hd: td"), (0, "ha: ta"), (1, "↳ hb: tb"), (1, "↳ hc: tc")]
