@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.stored import checkpoints
+
 
 def typed_edges(docs: DataFrame, topics: DataFrame, refs: DataFrame, floor: int = 2, per_doc: int = 8) -> DataFrame:
     """published_by, about and cites edges (source, target, kind, weight) of docs (doc, channel), topics (doc, topic, place) and refs (doc, cited)."""
@@ -22,22 +23,24 @@ def typed_edges(docs: DataFrame, topics: DataFrame, refs: DataFrame, floor: int
 
 
 def capped_pairs(pairs: DataFrame, a: str, b: str, weight: str, cap: int = 5) -> DataFrame:
-    """Pairs in order of weight, one skipped if either end already has cap of them.
-
-    Greedy over the whole list, so all pairs of one graph are one group: for the topic graph of one library."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        out = []
-        for row in pdf.sort_values([weight, a, b], ascending=[False, True, True]).itertuples(index=False):
-            x, y = getattr(row, a), getattr(row, b)
-            if used.get(x, 0) < cap and used.get(y, 0) < cap:
-                used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
-                out.append((row.graph, x, y, getattr(row, weight)))
-        return pd.DataFrame(out, columns=["graph", a, b, weight])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.select("graph", a, b, weight).groupBy("graph").applyInPandas(keep, f"graph {kinds['graph']}, {a} {kinds[a]}, {b} {kinds[b]}, {weight} long")
+    """Pairs (graph, a, b, weight) in order of weight, one skipped if either end already has cap of them.
+
+    The greedy walk in rounds: a pair is kept once, at both ends, fewer than cap pairs kept or undecided come before it,
+    and skipped once cap kept ones do at one end. The first undecided pair of a graph is settled in every round, and
+    usually most are. Rounds are checkpointed."""
+    checkpoints(pairs.sparkSession)
+    order = [F.desc("w"), F.col("a"), F.col("b")]
+    rows = pairs.select("graph", F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).cast("long").alias("w"), F.lit(False).alias("kept")).checkpoint()
+    before = Window.partitionBy("graph", "node").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        ends = rows.withColumn("node", F.explode(F.array("a", "b")))
+        kept, every = F.coalesce(F.sum(F.col("kept").cast("int")).over(before), F.lit(0)), F.count("*").over(before)
+        seen = ends.withColumn("k", kept).withColumn("n", every).groupBy("graph", "a", "b", "w", "kept").agg(F.max("k").alias("k"), F.max("n").alias("n"))
+        rows = seen.filter(F.col("kept") | (F.col("k") < cap)).withColumn("was", F.col("kept")).withColumn("kept", F.col("kept") | (F.col("n") < cap)).drop("k", "n").checkpoint()
+        if rows.filter("not kept").isEmpty():
+            break
+        rows = rows.drop("was")
+    return rows.select("graph", F.col("a").alias(a), F.col("b").alias(b), F.col("w").alias(weight))
 
 
 def degrees(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -57,32 +60,37 @@ def neighborhood(edges: DataFrame, a: str, b: str, seeds: DataFrame, depth: int
     return seen
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
-    """(node, component): the smallest node reachable, by repeated smallest labels of neighbours and of labels.
-
-    Every round is checkpointed, so that the plan does not grow and a lost executor costs one round only."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a)).distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
-    done = 0
-    while rounds is None or done < rounds:
-        done += 1
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        above = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = step.join(above, "component").select("node", "was", F.col("up").alias("component")).checkpoint()
-        labels = step.select("node", "component")
-        if step.filter("was <> component").isEmpty():
-            break
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the smallest node reachable.
+
+    Every round points each node at its smallest neighbour, follows that pointer once more, and replaces nodes by what
+    they point at; edges within one node vanish, so that few are left after few rounds. Rounds are checkpointed."""
+    checkpoints(edges.sparkSession)
+    left = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null").distinct().checkpoint()
+    labels = left.select("x").union(left.select("y")).distinct().select(F.col("x").alias("node"), F.col("x").alias("component")).checkpoint()
+    left = left.filter("x <> y")
+    while not left.isEmpty():
+        lowest = left.union(left.select("y", "x")).groupBy("x").agg(F.least("x", F.min("y")).alias("to"))
+        again = lowest.select(F.col("x").alias("to"), F.col("to").alias("further"))
+        lowest = lowest.join(again, "to").select("x", F.col("further").alias("to")).checkpoint()
+        moved = lowest.select(F.col("x").alias("component"), "to")
+        labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
+        left = left.join(lowest.select("x", F.col("to").alias("u")), "x").join(lowest.select(F.col("x").alias("y"), F.col("to").alias("v")), "y")
+        left = left.filter("u <> v").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct().checkpoint()
     return labels
 
 
 def induced(edges: DataFrame, a: str, b: str, nodes: DataFrame) -> DataFrame:
     """Edges between the given nodes."""
     n = nodes.columns[0]
-    return edges.join(nodes.select(F.col(n).alias(a)), a, "left_semi").join(nodes.select(F.col(n).alias(b)), b, "left_semi")
+    return edges.join(nodes.select(F.col(n).alias(a)), a, "left_semi").join(nodes.select(F.col(n).alias(b)), b, "left_semi").select(*edges.columns)
+
+
+def capped_subgraph(edges: DataFrame, a: str, b: str, nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, dict]:
+    """(edges between the first n of ordered nodes, those nodes, {total_nodes, total_edges, truncated})."""
+    first = nodes.limit(n)
+    total = nodes.count()
+    return induced(edges, a, b, first), first, {"total_nodes": total, "total_edges": induced(edges, a, b, nodes).count(), "truncated": total > n}
 
 
 def chosen_nodes(degree: DataFrame, recency: DataFrame, focus: list, n: int) -> DataFrame:

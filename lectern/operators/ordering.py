@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.stored import checkpoints
+
 
 def gap_sessions(df: DataFrame, by: list[str], at: str, gap_minutes: float, *ties: str) -> DataFrame:
     """session: a new one where more than the gap lies since the row before (a gap of just that joins)."""
@@ -54,23 +57,57 @@ def capped_selection(df: DataFrame, group: str, preferred: Column, order: list[C
     return ranked.orderBy("__pass", *order).limit(target).drop("__r").withColumnRenamed("__pass", "pass")
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "row") -> DataFrame:
+    """df with the place of each row in one order over all, from 0.
+
+    The sorted rows are checkpointed; a row's place is its place in its partition and the sizes of those before, one number
+    a partition."""
+    checkpoints(df.sparkSession)
+    at = F.col("__at")
+    rows = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    sizes = rows.groupBy(F.shiftright(at, 33).cast("int").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = dict(zip([r["part"] for r in sizes], accumulate([0] + [r["n"] for r in sizes])))
+    if not starts:
+        return rows.withColumn(name, at).drop("__at")
+    before = df.sparkSession.createDataFrame(list(starts.items()), "__part int, __before long")
+    placed = rows.withColumn("__part", F.shiftright(at, 33).cast("int")).join(F.broadcast(before), "__part")
+    return placed.withColumn(name, F.col("__before") + at.bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
+
+
 def even_batches(df: DataFrame, order: list[Column], total: int, size: int = 400) -> DataFrame:
     """ceil(total / size) batches of even size (the first get one more), in order."""
-    return df.withColumn("batch", F.ntile(max(1, -(-total // size))).over(Window.orderBy(*order)))
+    batches = max(1, -(-total // size))
+    base, more = divmod(total, batches)
+    row, large = F.col("__row"), more * (base + 1)
+    batch = F.when(row < large, F.floor(row / (base + 1))).otherwise(more + F.floor((row - large) / max(base, 1)))
+    return numbered(df, *order, name="__row").withColumn("batch", (batch + 1).cast("int")).drop("__row")
+
+
+def batch_winners(batched: DataFrame, merit: list[Column], n: int = 1) -> DataFrame:
+    """The first n of each batch: what goes to the next round of a tournament."""
+    return best_per(batched, ["batch"], *merit, n=n)
 
 
 def greedy_batches(df: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
-    """batch: a new one where the sum would pass the budget. Depends on what was kept, so a group's costs are folded in order."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("__cost"), F.struct(*[c for c in df.columns if c not in by]).alias("__row")))).alias("__all"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    """batch: a new one where the sum would pass the budget. Depends on what was kept, so a group's costs are folded in order.
+
+    The fold keeps where batches start; rows are then cut there, so that a group takes time in proportion to its rows."""
+    row = F.struct(*order, F.col(cost).cast("double").alias("__cost"), F.struct(*[c for c in df.columns if c not in by]).alias("__row"))
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__all"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.array(F.lit(1)).alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
         full = (a["sum"] > 0) & (a["sum"] + x["__cost"] > budget)
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(F.when(full, x["__cost"]).otherwise(a["sum"] + x["__cost"]).alias("sum"), batch.alias("batch"), F.concat(a["out"], F.array(batch)).alias("out"))
+        starts = F.when(full, F.concat(a["starts"], F.array(a["at"] + 1))).otherwise(a["starts"])
+        return F.struct(F.when(full, x["__cost"]).otherwise(a["sum"] + x["__cost"]).alias("sum"), (a["at"] + 1).alias("at"), starts.alias("starts"))
+
+    cuts = rows.withColumn("__starts", F.aggregate("__all", start, step)["starts"])
+
+    def piece(s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("__starts", i + 1), F.size("__all") + 1)
+        return F.transform(F.slice("__all", s, end - s), lambda x: F.struct(x["__row"].alias("row"), i.alias("batch")))
 
-    folded = rows.select(*by, F.explode(F.arrays_zip(F.col("__all").alias("r"), F.aggregate("__all", start, step)["out"].alias("batch"))).alias("x"))
-    return folded.select(*by, "x.r.__row.*", "x.batch")
+    return cuts.select(*by, F.explode(F.flatten(F.transform("__starts", piece))).alias("x")).select(*by, "x.row.*", "x.batch")
 
 
 def quota_admission(df: DataFrame, by: list[str], held: Column, order: list[Column], room: int) -> DataFrame:
@@ -128,21 +165,29 @@ def min_gap(df: DataFrame, by: list[str], at: str, gap: float, most: int, end: f
     """Times in order, those closer than the gap to the last KEPT one left out, then the first few."""
     times = df if end is None else df.filter(F.col(at) <= end)
     lists = times.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("t"))
-    kept = F.aggregate("t", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= gap), F.concat(a, F.array(x))).otherwise(a))
+    next_one = lambda a, x: (F.size(a) == 0) | (F.size(a) < most) & (x - F.try_element_at(a, F.lit(-1)) >= gap)
+    kept = F.aggregate("t", F.array().cast("array<double>"), lambda a, x: F.when(next_one(a, x), F.concat(a, F.array(x))).otherwise(a))
     return lists.select(*by, F.posexplode(F.slice(kept, 1, most)).alias("place", at))
 
 
-def even_split(total: int, sizes: dict[str, int]) -> dict[str, int]:
-    """Even shares of a total over a few types, the remainder to the earlier; what one type can't take goes, one at a time, to those with room."""
-    share, rest = divmod(total, max(len(sizes), 1))
-    out = {k: min(n, share + (i < rest)) for i, (k, n) in enumerate(sizes.items())}
-    spare = min(total, sum(sizes.values())) - sum(out.values())
-    while spare > 0:
-        for k, n in sizes.items():
-            if spare and out[k] < n:
-                out[k] += 1
-                spare -= 1
-    return out
+def even_split(sizes: DataFrame, by: list[str], kind: str, size: str, total: int) -> DataFrame:
+    """by, kind, share: even shares of a total over a group's few types, the remainder to the earlier; what a type can't take
+    goes, one at a time and in turn, to those with room.
+
+    Whole turns are counted by bisection over a group's list of sizes; the rest of a turn goes to the first with room."""
+    w = Window.partitionBy(*by)
+    i = F.row_number().over(w.orderBy(kind)) - 1
+    rows = sizes.select(*by, kind, F.greatest(F.col(size).cast("long"), F.lit(0).cast("long")).alias("n"), i.alias("i")).withColumn("types", F.count("*").over(w))
+    share = F.floor(F.lit(total) / F.col("types")) + (F.col("i") < total % F.col("types")).cast("long")
+    rows = rows.withColumn("first", F.least("n", share)).withColumn("every", F.collect_list(F.struct("n", "first")).over(w))
+    rows = rows.withColumn("spend", F.least(F.lit(total).cast("long"), F.sum("n").over(w)))
+    taken = lambda turns: F.aggregate("every", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], x["first"] + turns))
+    bits = F.array(*[F.lit(1 << b).cast("long") for b in range(total.bit_length(), -1, -1)])
+    turns = F.aggregate(bits, F.lit(0).cast("long"), lambda a, bit: F.when(taken(a + bit) <= F.col("spend"), a + bit).otherwise(a))
+    rows = rows.withColumn("taken", F.least("n", F.col("first") + turns))
+    rows = rows.withColumn("left", F.col("spend") - F.sum("taken").over(w)).withColumn("room", (F.col("n") > F.col("taken")).cast("int"))
+    nth = F.sum("room").over(w.orderBy(kind).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("share", F.col("taken") + F.when((F.col("room") == 1) & (nth <= F.col("left")), 1).otherwise(0)).select(*by, kind, "share")
 
 
 def in_groups(f: Callable[[pd.DataFrame], pd.DataFrame], df: DataFrame, by: list[str], schema: str) -> DataFrame:

@@ -68,17 +68,22 @@ def duration_bucket(seconds: str) -> Column:
 
 
 def label_counts(labels: DataFrame, doc: str, label: str, by: list[str], top: int = 25, examples: int = 8) -> DataFrame:
-    """Labels folded by case, counted once per document; shown in the most frequent spelling."""
-    clean = labels.select(*by, F.col(doc).alias("doc"), F.regexp_replace(F.trim(F.col(label)), r"\s+", " ").alias("label")).filter("label <> ''").withColumn("key", F.lower("label"))
-    docs = clean.groupBy(*by, "key").agg(F.countDistinct("doc").alias("documents"))
+    """Labels folded by case, counted once per document; shown in the most frequent spelling.
+
+    Each document's labels are counted before anything moves; all else is made of those counts."""
+    clean = labels.select(*by, F.col(doc).alias("doc"), F.regexp_replace(F.trim(F.col(label)), r"\s+", " ").alias("label")).filter("label <> ''")
+    each = clean.groupBy(*by, "doc", "label").agg(F.count("*").alias("n")).withColumn("key", F.lower("label"))
     capitals = F.length(F.regexp_replace("label", "[^A-Z]", ""))
-    spelt = clean.groupBy(*by, "key", "label").agg(F.count("*").alias("n")).groupBy(*by, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), (-capitals).alias("c"), F.col("label").alias("label"))).alias("s"))
+    spelt = each.groupBy(*by, "key", "label").agg(F.sum("n").alias("n")).groupBy(*by, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), (-capitals).alias("c"), F.col("label").alias("label"))).alias("s"))
     order = Window.partitionBy(*by).orderBy(F.desc("documents"), "key")
-    # An example list is short: ranks first, then only the first few are gathered.
+    docs = each.groupBy(*by, "key").agg(F.countDistinct("doc").alias("documents"))
+    best = docs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # Only the labels shown need examples; ranks come first, then the first few are gathered.
     nth = Window.partitionBy(*by, "key").orderBy("doc")
-    shown = clean.select(*by, "key", "doc").distinct().withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= examples).groupBy(*by, "key").agg(F.array_sort(F.collect_list("doc")).alias("examples"))
-    out = docs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return out.join(spelt, [*by, "key"]).join(shown, [*by, "key"]).select(*by, "rank", "key", F.col("s.label").alias("label"), "documents", "examples")
+    shown = each.join(best.select(*by, "key"), [*by, "key"], "left_semi")
+    shown = shown.select(*by, "key", "doc").distinct().withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= examples)
+    shown = shown.groupBy(*by, "key").agg(F.array_sort(F.collect_list("doc")).alias("examples"))
+    return best.join(spelt, [*by, "key"]).join(shown, [*by, "key"]).select(*by, "rank", "key", F.col("s.label").alias("label"), "documents", "examples")
 
 
 def tfidf_terms(docs: DataFrame, doc: str, text: str, newest: Column | None = None, documents: int = 500, characters: int = 40_000, stop: tuple[str, ...] = (), least_df: int = 2, features: int = 20_000, top: int = 60) -> DataFrame:
@@ -196,8 +201,9 @@ def script_shares(text: str) -> list[Column]:
 
 
 def share_of_total(df: DataFrame, value: str, places: int = 1) -> Column:
-    """Percent of the sum over all rows of an already small table."""
-    return F.bround(100 * F.col(value) / F.sum(value).over(Window.partitionBy()), places)
+    """Percent of the sum over all rows, which is one number."""
+    total = df.agg(F.sum(value)).first()[0]
+    return F.bround(100 * F.col(value) / F.lit(total), places)
 
 
 def capped_confidence(n: str) -> Column:

@@ -34,11 +34,11 @@ def scoped_by_table(t: Tables):
     return op.in_scope(t.events, "user_id", scope).select("event_id", "value")
 
 
-@query("library_page", f"SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT document_id FROM {GRANTS} WHERE tenant_id = 3) AND (contains(lower(c_name), '1') OR contains(lower(o_orderpriority), 'urgent')) AND o_orderstatus IN ('O', 'F') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 10")
+@query("library_page", f"SELECT o_orderkey, o_orderdate, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT document_id FROM {GRANTS} WHERE tenant_id = 7) AND (contains(lower(c_name), '1') OR contains(lower(o_orderpriority), 'urgent')) AND o_orderstatus IN ('O', 'F') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 2")
 def library_page(t: Tables):
-    docs = op.visible(t.orders.withColumnRenamed("o_orderkey", "document_id"), order_grants(t), 3).withColumnRenamed("document_id", "o_orderkey")
+    docs = op.visible(t.orders.withColumnRenamed("o_orderkey", "document_id"), order_grants(t), 7).withColumnRenamed("document_id", "o_orderkey")
     rows = docs.join(t.customer, docs.o_custkey == t.customer.c_custkey).filter((op.like_any("1", "c_name") | op.like_any("urgent", "o_orderpriority")) & F.col("o_orderstatus").isin("O", "F"))
-    return op.page(rows, F.desc("o_orderdate"), F.desc("o_orderkey"), offset=10, n=25).select("o_orderkey", "o_orderdate", "c_name")
+    return op.page(rows, F.desc("o_orderdate"), F.desc("o_orderkey"), offset=2, n=25).select("o_orderkey", "o_orderdate", "c_name")
 
 
 @query("match_all_terms", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')")
@@ -54,7 +54,8 @@ def escaped_like(t: Tables):
 
 @query("half_open_window", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00'")
 def half_open_window(t: Tables):
-    return t.events.filter((F.col("ts") > F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")) & (F.col("ts") <= F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))).select("event_id")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return t.events.filter(op.half_open("ts", at("2024-01-05 00:00:00"), at("2024-01-12 00:00:00"))).select("event_id")
 
 
 @query("duration_gate", "SELECT event_id, NOT (value > 0 AND value < 120 AND event_type <> 'purchase') AND value <= 600 AS kept, value > 0 AND value < 120 AND event_type <> 'purchase' AS dropped_as_short FROM events")

@@ -13,9 +13,10 @@ def left_join_names(t: Tables):
     return t.customer.join(t.nation.filter("n_nationkey < 20"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
-@query("anti_not_ordered", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_not_ordered", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_not_ordered(t: Tables):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'")
+    return t.customer.join(urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("surface_union", "SELECT event_id, event_type FROM events WHERE (event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)) OR (event_type = 'click' AND user_id IN (SELECT s_suppkey FROM supplier)) OR (event_type = 'error' AND user_id IN (SELECT p_partkey FROM part WHERE p_size < 10))")
@@ -92,9 +93,14 @@ def union_visible(t: Tables):
     return t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).union(t.customer.filter("c_acctbal < 0").select("c_custkey")).distinct()
 
 
-@query("added_and_dropped", "SELECT user_id, 'added' AS change FROM (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03') UNION ALL SELECT user_id, 'dropped' FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29')")
+_NEW, _OLD = "SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29'", "SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03'"
+
+
+@query("added_and_dropped", f"SELECT *, 'added' AS change FROM ({_NEW} EXCEPT {_OLD}) UNION ALL SELECT *, 'dropped' FROM ({_OLD} EXCEPT {_NEW})")
 def added_and_dropped(t: Tables):
-    new, old = t.events.filter("ts >= TIMESTAMP_NTZ '2024-01-29'").select("user_id"), t.events.filter("ts < TIMESTAMP_NTZ '2024-01-03'").select("user_id")
+    """What each user did of late and not before, and the other way round."""
+    key = ["user_id", "event_type"]
+    new, old = t.events.filter("ts >= TIMESTAMP_NTZ '2024-01-29'").select(*key), t.events.filter("ts < TIMESTAMP_NTZ '2024-01-03'").select(*key)
     return new.subtract(old).withColumn("change", F.lit("added")).union(old.subtract(new).withColumn("change", F.lit("dropped")))
 
 
@@ -129,9 +135,9 @@ def field_diff(t: Tables):
     return op.field_diff(before, after, "c_custkey", ["c_mktsegment", "c_name"])
 
 
-@query("merged_tags", "SELECT DISTINCT CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END AS tag, user_id FROM events WHERE value > 95")
+@query("merged_tags", "SELECT DISTINCT CASE WHEN event_type = 'click' THEN 'view' ELSE event_type END AS tag, user_id FROM events")
 def merged_tags(t: Tables):
-    return op.merged_tags(t.events.filter("value > 95").select(F.col("event_type").alias("tag"), "user_id"), "tag", "user_id", "click", "view")
+    return op.merged_tags(t.events.select(F.col("event_type").alias("tag"), "user_id"), "tag", "user_id", "click", "view")
 
 
 @query("insert_new", "SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-05')")

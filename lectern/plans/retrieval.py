@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from lectern.operators import graph, retrieval as op
 from lectern.plans.registry import Tables, query
 
-_COS = "1 - list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+_COS = "round(1 - list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 12)"
 _HITS = f"hits AS (SELECT v.vec_id AS id, v.label, {_COS} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.vec_id <> 0 AND v.vec_id % 3 <> 1)"
 
 
 def _hits(t: Tables):
-    scope = t.embeddings.filter("vec_id % 3 <> 1")
-    near = op.nearest(scope, t.embeddings.filter("vec_id = 0"), k=1_000_000_000)
-    return near.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "label", "distance")
+    """Vectors in scope and their distance to one of the table's, which is the request."""
+    scope = t.embeddings.filter("vec_id % 3 <> 1 AND vec_id <> 0").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return op.distances(scope, "embedding", op.one_vector(t.embeddings.filter("vec_id = 0"), "embedding")).drop("embedding")
 
 
 _TRUST = f"WITH {_HITS}, d AS (SELECT *, row_number() OVER (PARTITION BY id % 100 ORDER BY distance, id) AS r FROM hits WHERE distance <= 0.98) SELECT id, label, round(distance, 9) AS distance, round(distance / CASE WHEN w IS NULL THEN 1.0 ELSE least(greatest(w, 0.05), 2.0) END, 9) AS weighted FROM d LEFT JOIN (SELECT * FROM (VALUES (0, 2.0), (1, 0.0), (2, 9.0), (3, 0.5)) x(l, w)) ON label = l WHERE r = 1 ORDER BY distance / CASE WHEN w IS NULL THEN 1.0 ELSE least(greatest(w, 0.05), 2.0) END, id LIMIT 15"
@@ -36,7 +36,7 @@ def knn_scoped(t: Tables):
 
 @query("knn_squared_l2", "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 12), v.vec_id) AS INT) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id QUALIFY rank <= 3")
 def knn_squared_l2(t: Tables):
-    return op.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), k=3, distance=op.squared_l2).withColumn("distance", F.round("distance", 9))
+    return op.nearest(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), k=3, metric="squared_l2").withColumn("distance", F.round("distance", 9))
 
 
 @query("pooled_lists", f"WITH a AS (SELECT v.vec_id AS id, {_COS} AS d FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE v.vec_id <> 1 ORDER BY d, id LIMIT 20), b AS (SELECT v.vec_id AS id, {_COS} AS d FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE v.vec_id <> 2 ORDER BY d, id LIMIT 20) SELECT id, round(min(d), 9) AS distance FROM (FROM a UNION ALL FROM b) GROUP BY 1 ORDER BY min(d), id LIMIT 12")
@@ -58,7 +58,7 @@ def mmr(t: Tables):
 
 @query("centroid_spread")
 def centroid_spread(t: Tables):
-    return op.centroid_spread(t.embeddings, ["label"], "embedding")
+    return op.centroid_spread(t.embeddings, ["label"], "embedding", "vec_id")
 
 
 def _bm25_sql(terms, fields, k):
@@ -100,11 +100,11 @@ def graph_edges(t: Tables):
     return graph.typed_edges(_docs(t), topics, refs)
 
 
-_EDGES = "(SELECT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity > 47)"
+_EDGES = "(SELECT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem)"
 
 
 def _edges(t: Tables):
-    return t.lineitem.filter("l_quantity > 47").select(F.col("l_suppkey").alias("a"), (1_000_000 + F.col("l_partkey")).alias("b"))
+    return t.lineitem.select(F.col("l_suppkey").alias("a"), (1_000_000 + F.col("l_partkey")).alias("b"))
 
 
 @query("graph_degrees", f"SELECT node, count(DISTINCT o) AS degree FROM (SELECT a AS node, b AS o FROM {_EDGES} UNION ALL SELECT b, a FROM {_EDGES}) GROUP BY 1")

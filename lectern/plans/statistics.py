@@ -42,9 +42,9 @@ def duration_buckets(t: Tables):
     return rows.groupBy(op.duration_bucket("s").alias("bucket")).agg(F.count("*").alias("n"), F.bround(F.percentile("value", F.lit(0.5)), 1).alias("middle"))
 
 
-@query("label_counts", "WITH w AS (SELECT lang, doc_id AS doc, label, lower(label) AS key FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')[1:20]) AS label FROM documents)), d AS (SELECT lang, key, count(DISTINCT doc) AS documents FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY documents DESC, key) AS rank FROM d), s AS (SELECT lang, key, label, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, length(regexp_replace(label, '[^A-Z]', '', 'g')) DESC, label) AS i FROM (SELECT lang, key, label, count(*) AS n FROM w GROUP BY 1, 2, 3)), x AS (SELECT lang, key, list_sort(list(DISTINCT doc))[1:8] AS examples FROM w GROUP BY 1, 2) SELECT r.lang, CAST(rank AS INT) AS rank, key, label, documents, examples FROM r JOIN s USING (lang, key) JOIN x USING (lang, key) WHERE rank <= 25 AND i = 1")
+@query("label_counts", "WITH w AS (SELECT lang, doc_id AS doc, label, lower(label) AS key FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS label FROM documents)), d AS (SELECT lang, key, count(DISTINCT doc) AS documents FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY documents DESC, key) AS rank FROM d), s AS (SELECT lang, key, label, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, length(regexp_replace(label, '[^A-Z]', '', 'g')) DESC, label) AS i FROM (SELECT lang, key, label, count(*) AS n FROM w GROUP BY 1, 2, 3)), x AS (SELECT lang, key, list_sort(list(DISTINCT doc))[1:8] AS examples FROM w GROUP BY 1, 2) SELECT r.lang, CAST(rank AS INT) AS rank, key, label, documents, examples FROM r JOIN s USING (lang, key) JOIN x USING (lang, key) WHERE rank <= 25 AND i = 1")
 def label_counts(t: Tables):
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)), 1, 20)
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))
     return op.label_counts(t.documents.select("lang", "doc_id", F.explode(words).alias("label")), "doc_id", "label", ["lang"])
 
 
@@ -143,9 +143,9 @@ def share_of_total(t: Tables):
     return s.withColumn("share", op.share_of_total(s, "words"))
 
 
-@query("category_confidence", "SELECT p_brand, count(*) AS n, round(least(0.8, 0.4 + 0.1 * (count(*) - 1)), 2)::DOUBLE AS confidence FROM part WHERE p_size > 48 GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 15")
+@query("category_confidence", "SELECT p_brand, count(*) AS n, round(least(0.8, 0.4 + 0.1 * (count(*) - 1)), 2)::DOUBLE AS confidence FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 15")
 def category_confidence(t: Tables):
-    c = t.part.filter("p_size > 48").groupBy("p_brand").agg(F.count("*").alias("n"))
+    c = t.part.groupBy("p_brand").agg(F.count("*").alias("n"))
     return c.withColumn("confidence", op.capped_confidence("n")).orderBy(F.desc("n"), "p_brand").limit(15)
 
 

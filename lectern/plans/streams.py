@@ -6,20 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lectern.operators.stored import shared_folder
 from lectern.plans.registry import Tables, query
 from lectern.streaming import events as st
 
 
 def _path(t: Tables, name: str) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_ingest", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stream_ingest(t: Tables):
-    path = _path(t, "ingest")
-    table = st.VersionedTable(t.spark, f"{path}/table", st.EVENTS)
-    return st.ingest(st.event_stream(t.spark, t.sf_dir), table, ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"], f"{path}/checkpoint").select("user_id", "event_type", "event_id")
+    stream = st.event_stream(t.spark, t.sf_dir)
+    return st.ingest(stream, _path(t, "ingest"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"]).select("user_id", "event_type", "event_id")
 
 
 @query("stream_window_counts", "WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -29,10 +29,16 @@ def headings(t: Tables):
     return t.pages.select("page_id", F.size(fn.headings(F.regexp_replace("html", "(?i)(</?)title", "$1h2"), 1000)).cast("long").alias("n")).filter("n > 0")
 
 
-@query("url_keys", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)^https?://(www\.)?', ''), '/+$', '') AS key, nullif(regexp_extract(url || '?v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0'), '[?&]v=([A-Za-z0-9_-]{11})', 1), '') AS video FROM pages WHERE NOT regexp_matches(url, '[?&]')")
+_URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '(?i)^https?://(www\.)?', ''), '([?&])(t|start)=[^&]*(&|$)', '\1', 'g'), '[?&]$', ''), '/+$', '')"
+
+
+@query("url_keys", rf"WITH p AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '?t=' || page_id || '&v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0') WHEN 1 THEN '/#part' ELSE '' END AS u FROM pages) SELECT page_id, {_URL} AS key, nullif(regexp_extract(u, '(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{{11}})', 1), '') AS video FROM p")
 def url_keys(t: Tables):
-    video = fn.video_id(F.concat("url", F.lit("?v=abcdefgh"), F.lpad(F.col("page_id").cast("string"), 3, "0")))
-    return t.pages.filter(~F.col("url").rlike("[?&]")).select("page_id", fn.url_key("url").alias("key"), video.alias("video"))
+    """Every address as it is, a third of them with a time and a video besides, a third with a fragment."""
+    video = F.concat(F.lit("?t="), F.col("page_id").cast("string"), F.lit("&v=abcdefgh"), F.lpad(F.col("page_id").cast("string"), 3, "0"))
+    end = F.when(F.col("page_id") % 3 == 0, video).when(F.col("page_id") % 3 == 1, F.lit("/#part")).otherwise("")
+    pages = t.pages.select("page_id", F.concat("url", end).alias("url"))
+    return pages.select("page_id", fn.url_key("url").alias("key"), fn.video_id("url").alias("video"))
 
 
 @query("clock_times", "SELECT event_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, CASE WHEN s > 0 THEN s END AS seconds FROM (SELECT event_id, CAST(floor(value * 97) AS BIGINT) AS s FROM events)")

@@ -1,7 +1,4 @@
-"""Stateful ingest as Structured Streaming: idempotent merges, incremental cursors, sessions, limits, derived tables.
-
-Tables are folders of Parquet with a version per write; a pointer names the current one, so that a reader sees
-whole tables and a batch that is run again writes the same version again."""
+"""Stateful ingest as Structured Streaming: idempotent merges, incremental cursors, sessions, limits, derived tables."""
 
 from __future__ import annotations
 
@@ -11,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -21,30 +19,15 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-class VersionedTable:
-    """A keyed table that batches merge into. Version n holds the table after batch n."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("v="))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest whole version, or the newest one before a batch."""
-        found = [v for v in self._versions() if before is None or v < before]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+def kept_rows(batches: DataFrame, key: list[str], content: list[str], number: str = "batch") -> DataFrame:
+    """The table that rows of numbered batches, one a key and batch, amount to: of each key the row of its last change of content."""
+    w = Window.partitionBy(*key).orderBy(number)
+    same = F.lag(F.lit(1)).over(w).isNotNull()
+    for c in content:
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    changed = batches.withColumn("__same", same).filter("not __same").drop("__same")
+    row = F.struct(*[c for c in batches.columns if c not in (number, *key)])
+    return changed.groupBy(*key).agg(F.max_by(row, number).alias("row")).select(*key, "row.*")
 
 
 def merged_events(stored: DataFrame, batch: DataFrame, key: list[str], order: list[str], content: list[str]) -> DataFrame:
@@ -60,15 +43,22 @@ def merged_events(stored: DataFrame, batch: DataFrame, key: list[str], order: li
     return both.select(change.alias("change"), row.alias("row")).select("change", "row.*")
 
 
-def ingest(stream: DataFrame, table: VersionedTable, key: list[str], order: list[str], content: list[str], checkpoint: str):
-    """Run what there is to read: every batch merges into the table. Late rows simply merge; a batch run twice changes nothing."""
+def ingest(stream: DataFrame, path: str, key: list[str], order: list[str], content: list[str]) -> DataFrame:
+    """Run what there is to read. Every batch adds a folder with the last row of each of its keys; reading reduces them.
+
+    A batch that is run again writes its folder again, so it changes nothing; late rows simply merge. No batch rewrites what
+    others wrote: a folder holds what came, and the table is what ``kept_rows`` makes of all."""
+    spark, columns = stream.sparkSession, stream.columns
 
-    def merge(batch: DataFrame, number: int) -> None:
-        table.write(merged_events(table.read(before=number), batch, key, order, content).drop("change"), number)
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in columns if c not in key]), F.struct(*order)).alias("row")).select(*key, "row.*")
+        last.select(*columns).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/table/batch=-1")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return table.read()
+    kind = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return kept_rows(spark.read.schema(kind).parquet(f"{path}/table"), key, content).select(*columns)
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

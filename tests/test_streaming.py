@@ -1,19 +1,16 @@
+import random
 import uuid
 
 from pyspark.sql import functions as F
 
 from lectern.streaming import events as st
 
-SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def batch(spark, rows):
     return spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def test_ingest_is_idempotent_and_takes_late_rows(spark, tmp_path):
     src, run = tmp_path / "src", str(tmp_path / uuid.uuid4().hex)
-    table = st.VersionedTable(spark, f"{run}/t", SCHEMA)
     files = [
         [(1, "2024-01-02 00:00:00", 1, "a", 1.0, "x"), (2, "2024-01-02 00:00:00", 2, "a", 1.0, "x")],
         [(1, "2024-01-03 00:00:00", 1, "a", 5.0, "y"), (1, "2024-01-02 12:00:00", 1, "a", 4.0, "z"), (3, "2020-01-01 00:00:00", 3, "b", 0.0, "late")],
@@ -21,12 +18,23 @@ def test_ingest_is_idempotent_and_takes_late_rows(spark, tmp_path):
     ]
     for i, rows in enumerate(files):
         batch(spark, rows).coalesce(1).write.parquet(str(src / f"f{i}.parquet"))
-        got = st.ingest(st.event_stream(spark, str(src / "*"), "*.parquet"), table, ["event_id"], ["ts"], ["value", "props"], f"{run}/c")
+        got = st.ingest(st.event_stream(spark, str(src / "*"), "*.parquet"), run, ["event_id"], ["ts"], ["value", "props"])
     assert {r.event_id: (r.value, r.props) for r in got.collect()} == {1: (5.0, "y"), 2: (1.0, "x"), 3: (0.0, "late")}
-    again = st.ingest(st.event_stream(spark, str(src / "*"), "*.parquet"), table, ["event_id"], ["ts"], ["value", "props"], f"{run}/c")
+    again = st.ingest(st.event_stream(spark, str(src / "*"), "*.parquet"), run, ["event_id"], ["ts"], ["value", "props"])
     assert again.count() == 3
 
 
+def test_the_table_of_batches_is_what_merging_one_by_one_gives(spark):
+    rng = random.Random(4)
+    rows = [(b, k, rng.choice("xy"), f"{b}-{k}") for b in range(8) for k in range(20) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "batch long, key int, content string, note string")
+    table = {}
+    for _, k, content, note in rows:
+        if k not in table or table[k][0] != content:
+            table[k] = (content, note)
+    assert {r.key: (r.content, r.note) for r in st.kept_rows(df, ["key"], ["content"]).collect()} == table
+
+
 def test_merge_reports_changes(spark):
     old = batch(spark, [(1, "2024-01-02", 1, "a", 1.0, "x"), (2, "2024-01-02", 1, "a", 1.0, "x"), (4, "2024-01-02", 1, "a", 1.0, "x")])
     new = batch(spark, [(1, "2024-01-02", 1, "a", 1.0, "x"), (2, "2024-01-03", 1, "a", 2.0, "x"), (2, "2024-01-02", 1, "a", 9.0, "x"), (3, "2024-01-02", 1, "a", 1.0, None)])
