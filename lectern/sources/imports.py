@@ -45,9 +45,15 @@ def _filled(*columns: str) -> Column:
 # --- listening, watching, reading -------------------------------------------------------------------------------------
 
 
-def music_history(spark: SparkSession, path: str) -> DataFrame:
+def _json(spark: SparkSession, path: str, lines: bool, schema: str | None = None) -> DataFrame:
+    """An export's JSON: one array a file, or an object a line, which Spark reads in parts."""
+    reader = spark.read.option("multiLine", not lines)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def music_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Both layouts of a music service's history (ts or endTime), times in UTC. Private sessions are skipped; no address is kept."""
-    df = optional(spark.read.option("multiLine", True).json(path), "ts", "endTime", "artistName", "trackName", "incognito_mode", "master_metadata_track_name", "master_metadata_album_artist_name", "spotify_track_uri", "episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title", "audiobook_chapter_title", "audiobook_uri")
+    df = optional(_json(spark, path, lines), "ts", "endTime", "artistName", "trackName", "incognito_mode", "master_metadata_track_name", "master_metadata_album_artist_name", "spotify_track_uri", "episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title", "audiobook_chapter_title", "audiobook_uri")
     at = F.coalesce(parsed_time("ts", "yyyy-MM-dd'T'HH:mm:ssX"), parsed_time("endTime", "yyyy-MM-dd HH:mm"))
     # (kind, name, by, uri): the first kind that has a name counts.
     kinds = [
@@ -63,17 +69,17 @@ def music_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("|", when, F.coalesce("uri", short_id("name", "by"))).alias("external_id"), F.col("kind").alias("event_type"), F.col("at").alias("occurred_at"), title.alias("title"), F.col("by").alias("text"))
 
 
-def watch_history(spark: SparkSession, path: str) -> DataFrame:
+def watch_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Watched videos, without advertisements."""
-    df = spark.read.option("multiLine", True).schema("title string, titleUrl string, time string, subtitles array<struct<name:string,url:string>>, details array<struct<name:string>>").json(path)
+    df = _json(spark, path, lines, "title string, titleUrl string, time string, subtitles array<struct<name:string,url:string>>, details array<struct<name:string>>")
     ad = F.coalesce(F.exists("details", lambda d: F.contains(F.lower(d["name"]), F.lit("ads"))), F.lit(False))
     video, at = F.nullif(F.regexp_extract("titleUrl", "[?&]v=([^&#]+)", 1), F.lit("")), parsed_time("time", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")
     rows = df.filter(~ad & video.isNotNull() & at.isNotNull())
     return rows.select(F.concat_ws(":", F.lit("yt-watch"), video, "time").alias("external_id"), F.lit("watched").alias("event_type"), at.alias("occurred_at"), F.regexp_replace("title", "^Watched ", "").alias("title"), F.get("subtitles", F.lit(0))["name"].alias("text"))
 
 
-def search_history(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("multiLine", True).schema("title string, titleUrl string, time string, details array<struct<name:string>>").json(path)
+def search_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    df = _json(spark, path, lines, "title string, titleUrl string, time string, details array<struct<name:string>>")
     ad = F.coalesce(F.exists("details", lambda d: F.contains(F.lower(d["name"]), F.lit("ads"))), F.lit(False))
     query = F.nullif(F.try_url_decode(F.regexp_extract("titleUrl", "[?&]search_query=([^&#]+)", 1)), F.lit(""))
     at = parsed_time("time", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")
@@ -81,14 +87,14 @@ def search_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws(":", F.lit("yt-search"), "time", row_id(query)).alias("external_id"), F.lit("searched").alias("event_type"), at.alias("occurred_at"), query.alias("title"), F.lit(None).cast("string").alias("text"))
 
 
-def notes(spark: SparkSession, path: str, trashed: bool = False) -> DataFrame:
+def notes(spark: SparkSession, path: str, trashed: bool = False, lines: bool = False) -> DataFrame:
     """Notes as shares: title, body, list lines and links, joined by empty lines."""
     schema = "title string, textContent string, isTrashed boolean, listContent array<struct<text:string,isChecked:boolean>>, annotations array<struct<url:string>>, userEditedTimestampUsec long, createdTimestampUsec long"
-    df = spark.read.option("multiLine", True).schema(schema).json(path)
-    lines = F.array_join(F.transform("listContent", lambda x: F.concat(F.when(x["isChecked"], "- [x] ").otherwise("- [ ] "), F.coalesce(x["text"], F.lit("")))), "\n")
+    df = _json(spark, path, lines, schema)
+    items = F.array_join(F.transform("listContent", lambda x: F.concat(F.when(x["isChecked"], "- [x] ").otherwise("- [ ] "), F.coalesce(x["text"], F.lit("")))), "\n")
     links = F.array_join(F.transform("annotations", lambda a: a["url"]), "\n")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    text = F.concat_ws("\n\n", blank(F.col("title")), blank(F.col("textContent")), blank(lines), blank(links))
+    text = F.concat_ws("\n\n", blank(F.col("title")), blank(F.col("textContent")), blank(items), blank(links))
     at = F.timestamp_micros(F.coalesce(F.nullif("userEditedTimestampUsec", F.lit(0)), F.nullif("createdTimestampUsec", F.lit(0))))
     rows = df if trashed else df.filter(~F.coalesce("isTrashed", F.lit(False)))
     return rows.filter(text != "").select(row_id(text, at).alias("external_id"), F.lit("note").alias("event_type"), at.alias("occurred_at"), blank(F.col("title")).alias("title"), text.alias("text"))
