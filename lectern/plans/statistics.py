@@ -122,9 +122,9 @@ def merge_signals(t: Tables):
 _STYLE = r"WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS w FROM documents), g AS (SELECT source, 'trigram' AS kind, unnest(list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: substr(w, CAST(i AS INT), 3))) AS key FROM w), p AS (SELECT source, kind, key, count(*) AS n FROM (SELECT source, 'word' AS kind, w AS key FROM w UNION ALL SELECT * FROM g) GROUP BY 1, 2, 3)"
 
 
-@query("style_profile", _STYLE + " SELECT source, kind, count(*) AS keys, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM p GROUP BY 1, 2")
+@query("style_profile", _STYLE + " SELECT source, kind, key, CAST(n AS BIGINT) AS n FROM p")
 def style_profile(t: Tables):
-    return op.style_profile(t.documents, ["source"], "text").groupBy("source", "kind").agg(F.count("*").alias("keys"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    return op.style_profile(t.documents, ["source"], "text")
 
 
 @query("style_similarity", _STYLE + ", o AS (SELECT kind, key, n AS m FROM p WHERE source = 'src1'), d AS (SELECT source, kind, sum(n * m) AS d FROM p JOIN o USING (kind, key) GROUP BY 1, 2), c AS (SELECT source, p.kind, coalesce(any_value(d), 0) / (sqrt(sum(n * n)) * any_value(z)) AS c FROM p LEFT JOIN d USING (source, kind) JOIN (SELECT kind, sqrt(sum(m * m)) AS z FROM o GROUP BY 1) USING (kind) GROUP BY 1, 2) SELECT source, round_even(sum(c * 0.5), 4) AS similarity FROM c GROUP BY 1")

@@ -9,12 +9,15 @@ from lectern.operators.relations import jaccard
 from lectern.plans.registry import Tables, query
 
 
-@query("sentences", r"SELECT doc_id, len(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[.!?]\s+')) + 1 AS n FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''")
+_PARTS = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("sentences", f"SELECT doc_id, {_PARTS} AS sentences FROM documents")
 def sentences(t: Tables):
-    return t.documents.select("doc_id", F.size(fn.sentences("text")).cast("long").alias("n")).filter("n > 0")
+    return t.documents.select("doc_id", fn.sentences("text").alias("sentences"))
 
 
-@query("sentence_times")
+@query("sentence_times", f"WITH p AS (SELECT conv_id, turn, {_PARTS} AS p FROM conversations), x AS (SELECT conv_id, turn, unnest(p) AS sentence, unnest(range(len(p))) AS place, len(p) AS n, list_sum(list_transform(p, lambda s: length(s))) AS total FROM p), y AS (SELECT *, sum(length(sentence)) OVER (PARTITION BY conv_id, turn ORDER BY place) - length(sentence) AS before FROM x) SELECT conv_id, turn, CAST(place AS INT) AS place, sentence, turn + before / total AS start, CASE WHEN place = n - 1 THEN turn + 1.0::DOUBLE ELSE turn + (before + length(sentence)) / total END - (turn + before / total) AS duration FROM y")
 def sentence_times(t: Tables):
     return fn.sentence_times(t.conversations.withColumn("start", F.col("turn").cast("double")).withColumn("duration", F.lit(1.0)), "text", "start", "duration", ["conv_id", "turn"])
 
@@ -24,9 +27,11 @@ def html_text(t: Tables):
     return t.pages.select("page_id", fn.plain_html("html").alias("text"))
 
 
-@query("headings", r"WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?i)(</?)title', '\1h2', 'g'), '(?is)<h[23][^>]*>(.*?)</h[23]>', 1)) AS h FROM pages), c AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h FROM h) SELECT page_id, count(DISTINCT h) AS n FROM c WHERE h <> '' GROUP BY 1")
+@query("headings", r"WITH h AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?i)(</?)title', '\1h2', 'g'), '(?is)<h[23][^>]*>(.*?)</h[23]>', 1) AS h FROM pages), u AS (SELECT page_id, trim(regexp_replace(regexp_replace(unnest(h), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h, unnest(range(len(h))) AS i FROM h), k AS (SELECT page_id, h, min(i) AS i FROM u WHERE h <> '' GROUP BY 1, 2) SELECT page_id, list(h ORDER BY i) AS headings FROM k GROUP BY 1")
 def headings(t: Tables):
-    return t.pages.select("page_id", F.size(fn.headings(F.regexp_replace("html", "(?i)(</?)title", "$1h2"), 1000)).cast("long").alias("n")).filter("n > 0")
+    """Titles stand for headings, of which the pages have few."""
+    rows = t.pages.select("page_id", fn.headings(F.regexp_replace("html", "(?i)(</?)title", "$1h2"), 1000).alias("headings"))
+    return rows.filter(F.size("headings") > 0)
 
 
 _URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '(?i)^https?://(www\.)?', ''), '([?&])(t|start)=[^&]*(&|$)', '\1', 'g'), '[?&]$', ''), '/+$', '')"
@@ -54,22 +59,25 @@ def era_labels(t: Tables):
     return t.part.withColumn("a", a).withColumn("b", a + (F.col("p_partkey") % 3 * 9)).select("p_partkey", fn.era_label("a", "b").alias("era"))
 
 
-@query("era_payloads", "SELECT event_id, k AS \"start\", k AS \"end\", 0.0::DOUBLE AS confidence FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
+@query("era_payloads", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN k WHEN 1 THEN least(k, 50) ELSE k END AS \"start\", CASE event_id % 3 WHEN 0 THEN k WHEN 1 THEN greatest(k, 50) ELSE k END AS \"end\", CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN least(round(k / 60.0, 2), 1.0) ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")
 def era_payloads(t: Tables):
-    rows = t.events.select("event_id", F.regexp_replace("props", '"k"', '"start"').alias("p"))
-    return rows.select("event_id", fn.era_payload("p").alias("e")).select("event_id", "e.*")
+    """One bound only; both, as texts and in any order, with a confidence above 1 at times; an end and a confidence that is no number."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [F.concat(F.lit('{"start": '), k, F.lit("}")), F.concat(F.lit('{"start": "'), k, F.lit('", "end": 50, "confidence": '), (k.cast("double") / 60).cast("string"), F.lit("}")), F.concat(F.lit('{"end": '), k, F.lit(', "confidence": "high"}'))]
+    payload = F.get(F.array(*shapes), (F.col("event_id") % 3).cast("int"))
+    return t.events.select("event_id", payload.alias("p")).select("event_id", fn.era_payload("p").alias("e")).select("event_id", "e.*")
 
 
-@query("topic_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS w FROM documents) SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END) AS n FROM w WHERE w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'this', 'to', 'was', 'what', 'with') GROUP BY 1")
+@query("topic_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS w FROM documents) SELECT doc_id, list_sort(list(DISTINCT CASE WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END)) AS terms FROM w WHERE w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'this', 'to', 'was', 'what', 'with') GROUP BY 1")
 def topic_terms(t: Tables):
-    return t.documents.select("doc_id", F.size(fn.topic_terms("text")).cast("long").alias("n")).filter("n > 0")
+    return t.documents.select("doc_id", F.array_sort(fn.topic_terms("text")).alias("terms")).filter(F.size("terms") > 0)
 
 
-@query("visual_marks", r"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN trim(regexp_replace('a  [VISUAL x ' || event_id || ']  b', '\[VISUAL[^\]]*\]', ' ', 'g')) ELSE 'a  [VISUAL open ' || event_id END AS t FROM events")
+@query("visual_marks", r"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a b' ELSE 'a  [VISUAL open ' || event_id END AS t FROM events")
 def visual_marks(t: Tables):
     i = F.col("event_id").cast("string")
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("a  [VISUAL x "), i, F.lit("]  b"))).otherwise(F.concat(F.lit("a  [VISUAL open "), i))
-    return t.events.select("event_id", F.when(F.col("event_id") % 2 == 0, F.regexp_replace(fn.without_visuals(text), " ", "     ")).otherwise(fn.without_visuals(text)).alias("t"))
+    return t.events.select("event_id", fn.without_visuals(text).alias("t"))
 
 
 @query("slugs", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -77,9 +85,11 @@ def slugs(t: Tables):
     return t.part.select("p_partkey", fn.slug("p_name").alias("slug"))
 
 
-@query("redacted_logs", "SELECT page_id, url || '?key=***&x=1 sk-***' AS t FROM pages")
+@query("redacted_logs", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '?key=***&x=1 sk-***' WHEN 1 THEN 'at AIza*** and ***' WHEN 2 THEN 'ftp://***@host/' || page_id ELSE 'key ' || page_id END AS t FROM pages")
 def redacted_logs(t: Tables):
-    line = F.concat("url", F.lit("?key="), F.col("page_id").cast("string"), F.lit("&x=1 sk-abcdefghijkl"), F.col("page_id").cast("string"))
+    i = F.col("page_id").cast("string")
+    shapes = [F.concat("url", F.lit("?key="), i, F.lit("&x=1 sk-abcdefghijkl"), i), F.concat(F.lit("at AIzaabcdefghijk"), i, F.lit(" and eyJab.cd.ef")), F.concat(F.lit("ftp://u:p@host/"), i), F.concat(F.lit("key "), i)]
+    line = F.get(F.array(*shapes), (F.col("page_id") % 4).cast("int"))
     return t.pages.select("page_id", fn.redacted(line).alias("t"))
 
 
@@ -103,7 +113,9 @@ def reassembled_docs(t: Tables):
 
 @query("balanced_pages")
 def balanced_pages(t: Tables):
-    return t.pages.select("page_id", fn.balanced_html("html").alias("html"))
+    """Whole pages, pages that end in a half-written link, and pages with open items."""
+    end = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, '<div><p>cut <a href="https://x').otherwise("<ul><li>a")
+    return t.pages.select("page_id", fn.balanced_html(F.concat("html", end)).alias("html"))
 
 
 @query("quote_check")
