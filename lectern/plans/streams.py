@@ -40,3 +40,9 @@ def rate_limited_calls(t: Tables):
 def incremental_sync(t: Tables):
     cursor = t.events.filter("user_id % 2 = 0").select("user_id").distinct().withColumn("last_sync_at", F.lit("2024-01-20").cast("timestamp_ntz"))
     return st.since_cursor(t.events, cursor, "user_id", "ts", F.lit("2024-02-01").cast("timestamp_ntz"))[0].select("event_id")
+
+
+@query("usage_ledger", "SELECT CAST(ts AS DATE) AS day, event_type AS feature, CAST(sum(floor(value)) AS BIGINT) AS amount FROM events GROUP BY 1, 2")
+def usage_ledger(t: Tables):
+    stream = st.event_stream(t.spark, t.sf_dir).select(F.to_date("ts").alias("day"), F.col("event_type").alias("feature"), F.floor("value").alias("amount"))
+    return st.summed(stream, _path(t, "ledger"), ["day", "feature"], "amount")

@@ -61,6 +61,21 @@ def ingest(stream: DataFrame, path: str, key: list[str], order: list[str], conte
     return kept_rows(spark.read.schema(kind).parquet(f"{path}/table"), key, content).select(*columns)
 
 
+def summed(stream: DataFrame, path: str, key: list[str], amount: str) -> DataFrame:
+    """A ledger: key and the sum of an amount over all batches so far. Every batch writes its own sums to its own folder, so a
+    batch that failed half-way and is run again counts once."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*key).agg(F.sum(amount).alias(amount)).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
+
+    kind = spark.createDataFrame([], stream.schema).groupBy(*key).agg(F.sum(amount).alias(amount)).schema
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{path}/table/batch=-1")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(kind).parquet(f"{path}/table").groupBy(*key).agg(F.sum(amount).alias(amount))
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is into a Parquet table with its own checkpoint."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()

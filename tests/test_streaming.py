@@ -68,3 +68,13 @@ def test_index_refresh_and_duplicates(spark, tmp_path):
     batch(spark, [(1, "2024-01-02", 1, "a", 1.0, "x"), (1, "2024-01-02", 1, "a", 1.0, "x")]).coalesce(1).write.parquet(str(tmp_path / "d" / "e.parquet"))
     stream = st.event_stream(spark, str(tmp_path / "d" / "*"), "*.parquet")
     assert st.run_to_table(st.distinct_events(stream, "ts", "1 day", ["event_id"]), str(tmp_path / "o")).count() == 1
+
+
+def test_a_ledger_counts_a_batch_once(spark, tmp_path):
+    run = str(tmp_path / "run")
+    for i, rows in enumerate([[(1, "2024-01-02", 1, "a", 2.0, "x"), (2, "2024-01-02", 2, "b", 1.0, "x")], [(3, "2024-01-03", 1, "a", 5.0, "x")]]):
+        batch(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}.parquet"))
+        got = st.summed(st.event_stream(spark, str(tmp_path / "in" / "*"), "*.parquet").select("event_type", "value"), run, ["event_type"], "value")
+        assert {r.event_type: r.value for r in got.collect()} == ({"a": 2.0, "b": 1.0} if i == 0 else {"a": 7.0, "b": 1.0})
+    spark.createDataFrame([("a", 5.0)], "event_type string, value double").write.mode("overwrite").parquet(f"{run}/table/batch=1")
+    assert {r.event_type: r.value for r in spark.read.parquet(f"{run}/table").groupBy("event_type").sum("value").toDF("event_type", "value").collect()} == {"a": 7.0, "b": 1.0}
