@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, packing, quality, secret_scan
-from lectern.llm.common import crc_remainder, documents, stored
+from lectern.llm.common import Scratch, crc_remainder, documents
 from lectern.llm.near_dedup import kept_rows
 from lectern.llm.token_store import token_counts
 
@@ -67,8 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents, each written and read again; a stage's table goes once the next one's is written."""
+    docs, scratch, before = documents(spark, sf_dir), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
