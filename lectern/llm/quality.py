@@ -14,7 +14,7 @@ score is 0.5 or that class's; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,48 +31,58 @@ DIM = 8
 #: Steps of one document; as many passes over the examples as that takes.
 STEPS = 24_000
 RATE = 4.0
-MEMO = 300_000
+#: Words whose sums a task keeps, and words of text that it looks up at once.
+MEMO, PART = 300_000, 50_000
 REPEAT = 0
-
-
-def _word_bucket(marked: str) -> int:
-    return 1 + zlib.crc32(marked.encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
-
-
-def _gram_bucket(gram: str) -> int:
-    return 1 + zlib.crc32(gram.encode("utf-8", "surrogatepass"), len(gram)) % (BUCKETS - 1)
-
-
-def word_buckets(word: str) -> list[int]:
-    """The word's own bucket, and those of its character 3- and 4-grams between boundary marks."""
-    marked = f"<{word}>"
-    return [_word_bucket(marked)] + [_gram_bucket(marked[i : i + n]) for n in (3, 4) for i in range(len(marked) - n + 1)]
-
-
-class _Buckets(dict):
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= MEMO // 10:
-            self.clear()
-        self[word] = out = word_buckets(word)
-        return out
-
-
-def bag(text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+_BASE = np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, theirs, starts) of the features of words: each word's own, then those of its character 3- and 4-grams
+    between boundary marks.
+
+    buckets has three rows, word, 3-gram and 4-gram, with a column for every character of the marked words; theirs
+    tells which hold a feature; starts, where each word begins."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), _BASE, np.uint64))
+    hashes = np.zeros((3, len(codes)), np.uint64)
+    hashes[0, starts] = np.add.reduceat(codes * powers[place], starts) if len(words) else 0
+    for row, n in ((1, 3), (2, 4)):
+        h = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+        for i in range(n):
+            h = h * _BASE + codes[i : i + len(h)]
+        hashes[row, : len(h)] = h
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIX
+    buckets = 1 + ((mixed >> np.uint64(32)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    return buckets, np.array([place == 0, left >= 3, left >= 4]), starts
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text, and how often each occurs."""
     words = (text or "").split()
-    flat = [b for w in words for b in memo[w]]
-    flat += [REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
-    return np.unique(np.array(flat, np.int32), return_counts=True)
+    met = Counter(words)
+    buckets, theirs, starts = features(list(met))
+    times = np.repeat(list(met.values()), np.diff(np.r_[starts, buckets.shape[1]])) if met else np.zeros(0, np.int64)
+    found, at = np.unique(buckets[theirs], return_inverse=True)
+    counts = np.bincount(at, np.broadcast_to(times, theirs.shape)[theirs], len(found))
+    again = sum(map(str.__eq__, words, words[1:]))
+    if again:
+        found, counts = np.r_[REPEAT, found], np.r_[again, counts]
+    return found.astype(np.int32), counts.astype(np.float32)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _Buckets()
     for batch in split_batches(batches, "text", 4 << 20):
-        found = [bag(t, memo) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], ["rank", "label", "buckets", "counts"])
+        found = [bag(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], ["rank", "label", "buckets", "counts"])
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) -> tuple[np.ndarray, float]:
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """(bucket scores, bias) from (label, buckets, counts): softmax over the mean vector, one document a step."""
     labels = np.array([x[0] for x in examples], np.int64)
     if len(set(labels.tolist())) < 2:
@@ -80,7 +90,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) ->
     rng = np.random.RandomState(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    epochs = -(-STEPS // len(examples))
+    epochs = -(-steps // len(examples))
     steps, step = epochs * len(examples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
@@ -113,55 +123,54 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_
     return train([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows])
 
 
-class _Grams(dict):
-    """Character n-gram to its bucket's score."""
+class _Sums:
+    """Of MEMO words, the sum of each one's bucket scores and the number of its features; forgets all when full."""
 
     def __init__(self, scores: np.ndarray):
-        super().__init__()
-        self.scores = scores
-
-    def __missing__(self, gram: str) -> float:
-        if len(self) >= MEMO:
-            self.clear()
-        self[gram] = s = float(self.scores[_gram_bucket(gram)])
-        return s
-
-
-class _Sums(dict):
-    """Word to its place in two growing arrays: the sum of its bucket scores, and how many those are."""
-
-    def __init__(self, scores: np.ndarray):
-        super().__init__()
-        self.scores, self.grams = scores, _Grams(scores)
-        self.clear_all()
-
-    def clear_all(self) -> None:
+        self.scores = scores.astype(np.float64)
         self.clear()
-        self.total, self.count = np.zeros(MEMO + 1), np.zeros(MEMO + 1)
-
-    def __missing__(self, word: str) -> int:
-        marked = f"<{word}>"
-        n, grams = len(marked), self.grams
-        total = float(self.scores[_word_bucket(marked)])
-        total += sum([grams[marked[i : i + 3]] for i in range(n - 2)]) + sum([grams[marked[i : i + 4]] for i in range(n - 3)])
-        self[word] = at = len(self)
-        self.total[at], self.count[at] = total, 1 + max(n - 2, 0) + max(n - 3, 0)
-        return at
 
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.total, self.count = np.zeros(MEMO + 1), np.zeros(MEMO + 1)
 
-def logit(text: str | None, memo: _Sums, bias: float) -> float:
-    words = (text or "").split()
-    total = count = 0.0
-    for at in range(0, len(words), 50_000):
-        part = words[at : at + 50_000]
-        if len(memo) + len(part) > MEMO:
-            memo.clear_all()
-        i = np.array([memo[w] for w in part])
-        total += memo.total[i].sum()
-        count += memo.count[i].sum()
-    again = sum(map(str.__eq__, words, words[1:])) if words else 0
-    total += again * float(memo.scores[REPEAT])
-    return bias + total / max(count + again, 1.0)
+    def learn(self, words: list[str]) -> None:
+        buckets, theirs, starts = features(words)
+        n = len(self.at)
+        held = np.where(theirs, self.scores[buckets], 0.0).sum(axis=0)
+        self.total[n : n + len(words)] = np.add.reduceat(held, starts)
+        self.count[n : n + len(words)] = np.add.reduceat(theirs.sum(axis=0), starts)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def sums(self, parts: list[list[str]]) -> list[tuple[float, float]]:
+        """(sum, number) of each part's features, without those of repetition."""
+        every = set().union(*parts)
+        new = list(every.difference(self.at))
+        if len(self.at) + len(new) > MEMO:
+            self.clear()
+            new = list(every)
+        if new:
+            self.learn(new)
+        places = [np.fromiter(map(self.at.__getitem__, words), np.int64, len(words)) for words in parts]
+        return [(self.total[i].sum(), self.count[i].sum()) for i in places]
+
+
+def logits(texts: list[str | None], memo: _Sums, bias: float) -> np.ndarray:
+    split = [(t or "").split() for t in texts]
+    parts = [(i, words[at : at + PART]) for i, words in enumerate(split) for at in range(0, len(words), PART)]
+    again = np.array([sum(map(str.__eq__, words, words[1:])) for words in split], np.float64)
+    total, count = again * memo.scores[REPEAT], again.copy()
+    at = 0
+    while at < len(parts):
+        to, held = at + 1, len(parts[at][1])
+        while to < len(parts) and held + len(parts[to][1]) <= PART:
+            held += len(parts[to][1])
+            to += 1
+        for (i, _), (s, n) in zip(parts[at:to], memo.sums([words for _, words in parts[at:to]])):
+            total[i] += s
+            count[i] += n
+        at = to
+    return bias + total / np.maximum(count, 1.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +181,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Sums(shared.value)
         for batch in split_batches(batches, "text"):
-            z = np.array([logit(t, memo, bias) for t in batch.column(1).to_pylist()], np.float64)
+            z = logits(batch.column(1).to_pylist(), memo, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -186,7 +195,7 @@ def scored_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
         memo = _Sums(shared.value)
         for batch in split_batches(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            z = np.array([logit(t, memo, bias) for t in texts], np.float64)
+            z = logits(texts, memo, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
