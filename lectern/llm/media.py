@@ -19,7 +19,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -141,24 +143,48 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if not spare and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= offset <= size and at + size <= len(b) else None
 
 
+@lru_cache(maxsize=1)
+def _pdf_marks(b: bytes) -> tuple[list[int], list[int]]:
+    """Where documents begin in a value, and where end marks end: looked for once."""
+    return [m.start() for m in re.finditer(rb"%PDF-1\.", b)], [m.end() for m in re.finditer(rb"startxref\s+[0-9]+\s+%%EOF(?:\r\n|\n|\r)?", b)]
+
+
 def _pdf(b: bytes, at: int) -> int | None:
-    ends = [m.end() for m in re.finditer(rb"startxref\s+[0-9]+\s+%%EOF(?:\r\n|\n|\r)?", b[at:])]
-    return at + ends[-1] if ends else None
+    """To the last end mark before another document begins: one that was added to has several."""
+    heads, ends = _pdf_marks(b)
+    first = bisect_right(ends, at)
+    if first == len(ends):
+        return None
+    after = bisect_left(heads, ends[first])
+    last = bisect_right(ends, heads[after]) if after < len(heads) else len(ends)
+    return ends[last - 1]
+
+
+@lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Start and end of every archive in a value, from the end records: they tell where the directory is, and it where the
+    first file is. Sizes before the files may be missing, as in archives written to a pipe."""
+    found = {}
+    for m in re.finditer(rb"PK\x05\x06", b):
+        at = m.start()
+        if at + 22 > len(b):
+            break
+        count, size, offset, note = struct.unpack_from("<HIIH", b, at + 10)
+        i, end = at - size, at + 22 + note
+        start = i - offset
+        if start < 0 or end > len(b) or b[start : start + 4] != b"PK\x03\x04":
+            continue
+        for _ in range(count):
+            if b[i : i + 4] != b"PK\x01\x02" or i + 46 > at:
+                break
+            i += 46 + sum(struct.unpack_from("<HHH", b, i + 28))
+        if i == at:
+            found.setdefault(start, end)
+    return found
 
 
 def _zip(b: bytes, at: int) -> int | None:
-    i = at
-    while b[i : i + 4] == b"PK\x03\x04" and i + 30 <= len(b):
-        size, _, name, extra = struct.unpack_from("<IIHH", b, i + 18)
-        i += 30 + name + extra + size
-    directory = i
-    while b[i : i + 4] == b"PK\x01\x02" and i + 46 <= len(b):
-        name, extra, note = struct.unpack_from("<HHH", b, i + 28)
-        i += 46 + name + extra + note
-    if b[i : i + 4] != b"PK\x05\x06" or i + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, i + 12)
-    return i + 22 + note if at + offset == directory and directory + size == i and i + 22 + note <= len(b) else None
+    return _zip_ends(b).get(at)
 
 
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "audio/wav": _wav, "audio/basic": _au, "image/x-portable-graymap": _pgm, "image/bmp": _bmp, "application/pdf": _pdf, "application/zip": _zip}

@@ -60,6 +60,34 @@ def test_types_carving_and_wrong_declarations(spark):
     assert media.sniffed(df.limit(0), "id", "value").count() == 0 and media.carved(df.limit(0), "id", "value").count() == 0
 
 
+class Pipe(io.BytesIO):
+    """Can't be rewound, so that an archive's sizes come after its files."""
+
+    def seekable(self):
+        return False
+
+    def seek(self, *_):
+        raise OSError
+
+    def tell(self):
+        raise OSError
+
+
+def test_archives_written_to_a_pipe_and_joined_documents():
+    z, machine = Pipe(), media.automaton()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "hello")
+        f.writestr("b.txt", "x" * 90)
+    streamed = z.getvalue()
+    assert streamed[6] & 8 and media.spans(b"no" + streamed + b"se", machine) == [("application/zip", 2, 2 + len(streamed))]
+    pdf = samples()["application/pdf"]
+    updated = pdf + b"2 0 obj\nendobj\nstartxref\n40\n%%EOF\n"
+    assert media.spans(updated + b"--" + pdf, machine) == [("application/pdf", 0, len(updated)), ("application/pdf", len(updated) + 2, len(updated) + 2 + len(pdf))]
+    assert media.spans(b"%PDF-1.4 " + pdf, machine) == [("application/pdf", 0, 9 + len(pdf))]
+    hostile = b"%PDF-1.PK\x03\x04PK\x05\x06" * 200_000
+    assert media.spans(hostile, machine) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
 def test_media_round_trip(n):
     payload = media.padded(bytes(i % 251 for i in range(n)))
