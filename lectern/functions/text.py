@@ -134,6 +134,28 @@ def words_any_script(text: str | Column) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"), F.lit(0))
 
 
+#: Scripts other than Latin that words are told apart by.
+NATIVE_SCRIPTS = ("Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Gujarati", "Gurmukhi", "Tamil", "Telugu", "Kannada", "Malayalam", "Thai", "Han", "Hiragana", "Katakana", "Hangul")
+
+
+def native_scripts(word: Column) -> Column:
+    """The scripts other than Latin that a text has letters of."""
+    return F.array_compact(F.array(*[F.when(word.rlike(rf"\p{{Is{s}}}"), s.upper()) for s in NATIVE_SCRIPTS]))
+
+
+def mixed_script_words(text: str | Column) -> Column:
+    """Words whose letters come from two scripts or more, Latin aside."""
+    return F.filter(F.regexp_extract_all(_col(text), F.lit(r"\S+"), F.lit(0)), lambda w: F.size(native_scripts(w)) > 1)
+
+
+def dominant_script(text: str | Column) -> Column:
+    """The script other than Latin with most letters in a text; null for Latin only. Ties go to the first of NATIVE_SCRIPTS."""
+    t = F.coalesce(_col(text), F.lit(""))
+    counts = [F.struct(F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).alias("n"), F.lit(-i).alias("i"), F.lit(s.upper()).alias("script")) for i, s in enumerate(NATIVE_SCRIPTS)]
+    most = F.array_max(F.array(*counts))
+    return F.when(most["n"] > 0, most["script"])
+
+
 def slug(heading: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_col(heading)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 

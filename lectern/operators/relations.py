@@ -36,15 +36,24 @@ def nearest_in_window(anchors: DataFrame, spans: DataFrame, source: str, at: str
     """Per anchor the span of its source nearest to it, within [at - before, at + after].
 
     Times are joined by equal time buckets of ``width`` seconds (each anchor looks at the few its window touches),
-    so that a source with very many spans is not joined whole."""
+    so that a source with very many spans is not joined whole. An anchor without a time has no window: it gets its source's
+    first span, without a distance."""
     width = width or int(before + after)
-    a = anchors.withColumn("__bucket", F.explode(F.sequence(F.floor((F.col(at) - before) / width), F.floor((F.col(at) + after) / width))))
+    untimed = anchors.filter(F.col(at).isNull())
+    if detail is None:
+        first = spans.groupBy(F.col(source).alias("__source")).agg(F.min(F.struct(F.col(start).alias("span_at"), "span_id")).alias("b"))
+        untimed = untimed.join(first, F.col(source) == F.col("__source"))
+    else:
+        each = spans.select(F.col(source).alias("__source"), F.col(start).alias("span_at"), *[c for c in spans.columns if c not in (source, start)])
+        untimed = untimed.join(each, F.col(source) == F.col("__source")).filter(detail).groupBy(key).agg(F.min(F.struct("span_at", "span_id")).alias("b"))
+    untimed = untimed.select(key, F.col("b.span_id").alias("span_id"), F.lit(None).cast("double").alias("distance"))
+    a = anchors.filter(F.col(at).isNotNull()).withColumn("__bucket", F.explode(F.sequence(F.floor((F.col(at) - before) / width), F.floor((F.col(at) + after) / width))))
     s = spans.select(F.col(source).alias("__source"), F.col(start).alias("span_at"), F.col("span_id"), F.floor(F.col(start) / width).alias("__b"), *[c for c in spans.columns if c not in (source, start, "span_id")])
     hit = a.join(s, (F.col(source) == F.col("__source")) & (F.col("__bucket") == F.col("__b"))).filter((F.col("span_at") >= F.col(at) - before) & (F.col("span_at") <= F.col(at) + after))
     if detail is not None:
         hit = hit.filter(detail)
     best = hit.groupBy(key).agg(F.min(F.struct(F.abs(F.col("span_at") - F.col(at)).alias("distance"), "span_id")).alias("b"))
-    return best.select(key, F.col("b.span_id").alias("span_id"), F.col("b.distance").alias("distance"))
+    return best.select(key, F.col("b.span_id").alias("span_id"), F.col("b.distance").cast("double").alias("distance")).unionByName(untimed)
 
 
 def typed_targets(rows: DataFrame, lookups: list[tuple[str, DataFrame, str, str]], kind: str, target: str) -> DataFrame:

@@ -54,6 +54,11 @@ def monthly_cadence(df: DataFrame, date: str, by: list[str]) -> DataFrame:
     return every.join(counts, [*by, "month"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def undated(df: DataFrame, date: str, by: list[str]) -> DataFrame:
+    """by, undated: the rows that no month counts."""
+    return df.groupBy(*by).agg(F.count_if(F.col(date).isNull()).alias("undated"))
+
+
 #: Bounds of the duration buckets in minutes: [low, high).
 BUCKETS = ((0, 5), (5, 15), (15, 30), (30, 60), (60, 120), (120, None))
 
@@ -145,6 +150,18 @@ def precision_recall(df: DataFrame, gold: str, found: str, neutral: Column | Non
     return c.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), (2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))).alias("f1"))
 
 
+def unit_scores(tokens: DataFrame, unit: str, gold: str, found: str, label: str, neutral: Column | None = None) -> DataFrame:
+    """unit_precision, unit_recall, share_mae, agreement over units of tagged words.
+
+    A unit holds a label if any scored word of it does; share_mae is the mean difference between the label's gold and found
+    shares of a unit's words; agreement is the share of words tagged alike. Words with neutral gold are not scored."""
+    rows = tokens if neutral is None else tokens.filter(~neutral)
+    g, f = F.col(gold) == label, F.col(found) == label
+    units = rows.groupBy(unit).agg(F.bool_or(g).alias("g"), F.bool_or(f).alias("f"), F.avg(g.cast("int")).alias("a"), F.avg(f.cast("int")).alias("b"), F.count_if(F.col(gold) == F.col(found)).alias("same"), F.count("*").alias("n"))
+    both = F.count_if(F.col("g") & F.col("f"))
+    return units.agg((both / F.nullif(F.count_if("f"), F.lit(0))).alias("unit_precision"), (both / F.nullif(F.count_if("g"), F.lit(0))).alias("unit_recall"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("share_mae"), (F.sum("same") / F.sum("n")).alias("agreement"))
+
+
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("worst"), F.count("*").alias("n"))
 
@@ -190,7 +207,8 @@ def style_similarity(profile: DataFrame, by: str, other) -> DataFrame:
 
 
 #: The scripts a profile tells apart.
-SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "devanagari": r"\p{IsDevanagari}", "arabic": r"\p{IsArabic}", "han": r"\p{IsHan}"}
+_SCRIPT_NAMES = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Gujarati", "Gurmukhi", "Tamil", "Telugu", "Kannada", "Malayalam", "Thai", "Han", "Hiragana", "Katakana", "Hangul")
+SCRIPTS = {name.lower(): rf"\p{{Is{name}}}" for name in _SCRIPT_NAMES}
 
 
 def script_shares(text: str) -> list[Column]:

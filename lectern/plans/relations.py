@@ -56,11 +56,12 @@ def interleaved(t: Tables):
 _SEC = "epoch(ts)"
 
 
-@query("interval_join", f"WITH a AS (SELECT event_id, user_id, {_SEC} AS t FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id AS span_id, user_id, {_SEC} AS t FROM events WHERE event_type = 'view'), h AS (SELECT a.event_id, span_id, abs(s.t - a.t) AS distance, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(s.t - a.t), span_id) AS r FROM a JOIN s ON a.user_id = s.user_id AND s.t >= a.t - 43200 AND s.t <= a.t + 86400) SELECT event_id, span_id, distance FROM h WHERE r = 1")
+@query("interval_join", f"WITH a AS (SELECT event_id, user_id, {_SEC} AS t FROM events WHERE event_type = 'purchase' AND event_id % 10 <> 0), s AS (SELECT event_id AS span_id, user_id, {_SEC} AS t FROM events WHERE event_type = 'view'), h AS (SELECT a.event_id, span_id, abs(s.t - a.t) AS distance, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(s.t - a.t), span_id) AS r FROM a JOIN s ON a.user_id = s.user_id AND s.t >= a.t - 43200 AND s.t <= a.t + 86400) SELECT event_id, span_id, distance FROM h WHERE r = 1 UNION ALL SELECT event_id, f, NULL FROM events JOIN (SELECT user_id, arg_min(span_id, (t, span_id)) AS f FROM s GROUP BY 1) USING (user_id) WHERE event_type = 'purchase' AND event_id % 10 = 0")
 def interval_join(t: Tables):
     e = t.events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     spans = e.filter("event_type = 'view'").select(F.col("event_id").alias("span_id"), "user_id", "t")
-    return op.nearest_in_window(e.filter("event_type = 'purchase'").select("event_id", "user_id", "t"), spans, "user_id", "t", "event_id", "t", 43200, 86400)
+    anchors = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.when(F.col("event_id") % 10 != 0, F.col("t")).alias("t"))
+    return op.nearest_in_window(anchors, spans, "user_id", "t", "event_id", "t", 43200, 86400)
 
 
 @query("typed_targets", "SELECT event_id, kind, CASE kind WHEN 'customer' THEN c_name WHEN 'part' THEN p_name ELSE s_name END AS title FROM (SELECT event_id, user_id, CASE user_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'part' ELSE 'supplier' END AS kind FROM events) LEFT JOIN customer ON kind = 'customer' AND c_custkey = user_id LEFT JOIN part ON kind = 'part' AND p_partkey = user_id LEFT JOIN supplier ON kind = 'supplier' AND s_suppkey = user_id")

@@ -132,9 +132,23 @@ def style_similarity(t: Tables):
     return op.style_similarity(op.style_profile(t.documents, ["source"], "text"), "source", "src1")
 
 
-@query("script_profile", r"WITH c AS (SELECT lang, len(regexp_extract_all(text, '\p{Latin}')) AS l, len(regexp_extract_all(text, '\p{Cyrillic}')) AS y FROM documents), s AS (SELECT lang, l / nullif(l + y, 0) AS latin, y / nullif(l + y, 0) AS cyrillic FROM c) SELECT lang, avg(latin) AS latin, avg(cyrillic) AS cyrillic FROM s GROUP BY 1")
+_SCRIPTS = {name: len_ for name, len_ in ((n, f"len(regexp_extract_all(text, '\\p{{{n.capitalize()}}}'))") for n in op.SCRIPTS)}
+
+
+@query("script_profile", f"WITH c AS (SELECT lang, {', '.join(f'{c} AS {n}' for n, c in _SCRIPTS.items())} FROM documents), s AS (SELECT lang, {' + '.join(_SCRIPTS)} AS total, * EXCLUDE (lang) FROM c) SELECT lang, {', '.join(f'avg({n} / nullif(total, 0)) AS {n}' for n in _SCRIPTS)} FROM s GROUP BY 1")
 def script_profile(t: Tables):
-    return t.documents.select("lang", *op.script_shares("text")).groupBy("lang").agg(F.avg("latin").alias("latin"), F.avg("cyrillic").alias("cyrillic"))
+    return t.documents.select("lang", *op.script_shares("text")).groupBy("lang").agg(*[F.avg(n).alias(n) for n in op.SCRIPTS])
+
+
+@query("unit_scores", "WITH t AS (SELECT user_id AS u, CASE WHEN event_type IN ('view', 'click') THEN 'hi' ELSE 'en' END AS g, CASE WHEN value > 40 THEN 'hi' ELSE 'en' END AS f FROM events WHERE event_type <> 'signup'), u AS (SELECT u, bool_or(g = 'hi') AS g, bool_or(f = 'hi') AS f, avg(CASE WHEN g = 'hi' THEN 1 ELSE 0 END) AS a, avg(CASE WHEN f = 'hi' THEN 1 ELSE 0 END) AS b, count(*) FILTER (g = f) AS same, count(*) AS n FROM t GROUP BY 1) SELECT count(*) FILTER (g AND f) / nullif(count(*) FILTER (f), 0) AS unit_precision, count(*) FILTER (g AND f) / nullif(count(*) FILTER (g), 0) AS unit_recall, avg(abs(a - b)) AS share_mae, sum(same) / sum(n) AS agreement FROM u")
+def unit_scores(t: Tables):
+    rows = t.events.select("user_id", "event_type", F.when(F.col("event_type").isin("view", "click"), "hi").otherwise("en").alias("g"), F.when(F.col("value") > 40, "hi").otherwise("en").alias("f"))
+    return op.unit_scores(rows, "user_id", "g", "f", "hi", F.col("event_type") == "signup")
+
+
+@query("undated_rows", "SELECT o_orderpriority, count(*) FILTER (o_orderkey % 9 = 0) AS undated FROM orders GROUP BY 1")
+def undated_rows(t: Tables):
+    return op.undated(t.orders.withColumn("at", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate"))), "at", ["o_orderpriority"])
 
 
 @query("share_of_total", "WITH s AS (SELECT source, sum(n_chars) AS words FROM documents GROUP BY 1) SELECT source, CAST(words AS BIGINT) AS words, round_even(100 * words / sum(words) OVER (), 1) AS share FROM s")

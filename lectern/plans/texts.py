@@ -122,3 +122,13 @@ def balanced_pages(t: Tables):
 def quote_check(t: Tables):
     sides = t.documents.select("doc_id", "text").join(t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.left("text", F.lit(80)).alias("quote")), "doc_id")
     return sides.select("doc_id", fn.quote_match("quote", "text").alias("other"), fn.quote_match(F.substring("text", 10, 60), "text").alias("own"))
+
+
+_MIXED = "translate(left(text, 400), 'aeo', 'аεо')"
+
+
+@query("mixed_scripts", f"WITH t AS (SELECT doc_id, {_MIXED} AS t FROM documents), n AS (SELECT doc_id, t, len(regexp_extract_all(t, '\\p{{Cyrillic}}')) AS c, len(regexp_extract_all(t, '\\p{{Greek}}')) AS g FROM t) SELECT doc_id, list_filter(regexp_extract_all(t, '[^\\s\\x0B]+'), lambda w: regexp_matches(w, '\\p{{Cyrillic}}') AND regexp_matches(w, '\\p{{Greek}}')) AS words, CASE WHEN c + g = 0 THEN NULL WHEN c >= g THEN 'CYRILLIC' ELSE 'GREEK' END AS script FROM n")
+def mixed_scripts(t: Tables):
+    """Openings with some Latin letters replaced by look-alikes."""
+    text = F.translate(F.left("text", F.lit(400)), "aeo", "аεо")
+    return t.documents.select("doc_id", fn.mixed_script_words(text).alias("words"), fn.dominant_script(text).alias("script"))

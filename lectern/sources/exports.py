@@ -40,8 +40,10 @@ def knowledge_prompt(topics: str, concepts: str, events: str) -> Column:
 
 
 def json_list(column: str, path: str) -> Column:
-    """A list of strings out of JSON text; malformed JSON is an empty list."""
-    return F.coalesce(F.from_json(F.get_json_object(column, path), "array<string>"), F.array().cast("array<string>"))
+    """A list of strings out of JSON text, in a fenced block or not; malformed JSON is an empty list. Objects count by their name."""
+    bare = F.regexp_replace(F.col(column), r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", "$1")
+    items = F.coalesce(F.from_json(F.get_json_object(bare, path), "array<string>"), F.array().cast("array<string>"))
+    return F.array_compact(F.transform(items, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)))
 
 
 def note_json_ld(notes: DataFrame) -> DataFrame:
