@@ -110,3 +110,19 @@ def custom_order(column: str, order: list[str]) -> Column:
     """Place in a given order, unknown values last."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
     return F.when(place > 0, place).otherwise(len(order) + 1)
+
+
+def until_seen(items: DataFrame, feed: str, place: str, id_col: str, cursors: DataFrame) -> DataFrame:
+    """Items of newest-first feeds before the newest id seen (cursors: feed, seen_id); a feed whose id is gone, or new, is read whole."""
+    stops = items.join(cursors.select(feed, F.col("seen_id").alias(id_col)), [feed, id_col], "left_semi").groupBy(feed).agg(F.min(place).alias("__stop"))
+    return items.join(stops, feed, "left").filter(F.col("__stop").isNull() | (F.col(place) < F.col("__stop"))).drop("__stop")
+
+
+def first_filled(*columns: str) -> Column:
+    """The first of the columns that is not null and not blank."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in columns])
+
+
+def any_named(df: DataFrame, column: str, name: str) -> bool:
+    """Whether a row has the name, in any case."""
+    return not df.filter(F.lower(column) == name.lower()).limit(1).isEmpty()

@@ -165,3 +165,26 @@ def upserted_rows(t: Tables):
 @query("first_per_key", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def first_per_key(t: Tables):
     return ex.first_per_key(t.events, "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("until_seen", "WITH i AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events), c AS (SELECT user_id, min(place) AS stop FROM i WHERE event_id IN (SELECT max(event_id) FROM events WHERE event_type = 'error' AND user_id % 3 > 0 GROUP BY user_id) GROUP BY 1) SELECT event_id FROM i LEFT JOIN c USING (user_id) WHERE stop IS NULL OR place < stop")
+def until_seen(t: Tables):
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    cursors = t.events.filter("event_type = 'error' and user_id % 3 > 0").groupBy("user_id").agg(F.max("event_id").alias("seen_id"))
+    return op.until_seen(t.events.select("user_id", "event_id", place.alias("place")), "user_id", "place", "event_id", cursors).select("event_id")
+
+
+@query("first_filled", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN NULL ELSE props END, event_type) AS text FROM events")
+def first_filled(t: Tables):
+    rows = t.events.withColumn("a", F.when(F.col("event_id") % 3 == 1, "  ").when(F.col("event_id") % 3 == 2, F.col("props")))
+    return rows.select("event_id", op.first_filled("a", "event_type").alias("text"))
+
+
+@query("name_exists", "SELECT p_brand, count(*) FILTER (lower(p_name) = lower((SELECT max(p_name) FROM part))) > 0 AS found FROM part GROUP BY 1")
+def name_exists(t: Tables):
+    """Which brands have a name: the question is one name, the answer a flag each."""
+    name = t.part.agg(F.max("p_name")).first()[0]
+    assert name is None or op.any_named(t.part, "p_name", name.upper())
+    return t.part.groupBy("p_brand").agg(F.bool_or(F.lower("p_name") == (name or "").lower()).alias("found"))

@@ -48,6 +48,12 @@ def tournament_batches(t: Tables):
     return b.groupBy("batch").agg(F.count("*").alias("n"), F.max("p_partkey").alias("last"))
 
 
+@query("tournament_winners", "WITH b AS (SELECT p_partkey, p_retailprice, ntile(CAST(ceil((SELECT count(*) FROM part) / 400) AS INT)) OVER (ORDER BY p_partkey) AS batch FROM part) SELECT CAST(batch AS INT) AS batch, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY p_retailprice DESC, p_partkey) AS r FROM b) WHERE r <= 12")
+def tournament_winners(t: Tables):
+    b = op.even_batches(t.part.select("p_partkey", "p_retailprice"), [F.asc("p_partkey")], t.part.count())
+    return op.batch_winners(b, [F.desc("p_retailprice"), F.asc("p_partkey")], 12).select("batch", "p_partkey")
+
+
 @query("pack_batches", "WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem), g AS (SELECT l_orderkey, l_linenumber, i, q AS s, 0 AS batch FROM r WHERE i = 1 UNION ALL SELECT r.l_orderkey, r.l_linenumber, r.i, CASE WHEN s > 0 AND s + q > 60 THEN q ELSE s + q END, CASE WHEN s > 0 AND s + q > 60 THEN batch + 1 ELSE batch END FROM g JOIN r ON r.l_orderkey = g.l_orderkey AND r.i = g.i + 1) SELECT l_orderkey, l_linenumber, batch FROM g")
 def pack_batches(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
