@@ -296,8 +296,7 @@ def longest_run(a: str, b: str) -> tuple[int, int]:
     low, high = 0, min(len(a), len(b))
     while low < high:
         size = (low + high + 1) // 2
-        held = {a[i : i + size] for i in range(len(a) - size + 1)}
-        low, high = (size, high) if any(b[j : j + size] in held for j in range(len(b) - size + 1)) else (low, size - 1)
+        low, high = (size, high) if any(a[i : i + size] in b for i in range(len(a) - size + 1)) else (low, size - 1)
     if not low:
         return 0, 0
     return next((i, b.find(a[i : i + low])) for i in range(len(a) - low + 1) if a[i : i + low] in b)
