@@ -296,12 +296,14 @@ def _prefix_pairs(members: DataFrame, percent: int, scratch: Scratch) -> DataFra
     shared = members.sparkSession.sparkContext.broadcast(counts)
     emitted = scratch.store(members.select("name", "component", "shingles").mapInArrow(_prefixes(shared, percent), PREFIXES), "prefixes")
     several = emitted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    several = scratch.store(several, "shared_keys")
     live = scratch.store(emitted.join(several, "key", "left_semi"), "live_prefixes")
-    scratch.drop("prefixes")
+    scratch.drop("prefixes", "shared_keys")
     # Of a key's components, the one with most rows is never joined with itself.
     tally = live.groupBy("key", "component").agg(F.count("*").alias("n"))
     tally = scratch.store(tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main_components")
-    live = live.join(tally, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    live = scratch.store(live.join(tally, "key").withColumn("is_main", F.col("component") == F.col("main")).drop("main"), "placed_prefixes")
+    scratch.drop("live_prefixes", "main_components")
     few, every = live.filter("not is_main").alias("x"), live.alias("y")
     big, small = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
@@ -374,7 +376,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     members = scratch.store(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
     scratch.drop("full_sets", "shared_buckets")
     pairs = estimated(_prefix_pairs(members, percent, scratch), "prefix_pairs")
-    scratch.drop("live_prefixes", "main_components")
+    scratch.drop("placed_prefixes")
     confirmed(pairs, members, percent, scratch)
     labels = _merged(labels, scratch, "all_labels")
     scratch.drop("contested_sets", "prefix_pairs")
