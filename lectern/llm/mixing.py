@@ -6,6 +6,8 @@ whose entropy reaches ``target_entropy``, or the smallest under which no source
 An epoch is a permutation of the source's blocks, each a permutation of its documents; a source of n documents
 has about sqrt(n) blocks of sqrt(n) documents, so no window holds more rows than that, however large the source.
 
+Tokens are counted by ``token_estimate``, from the bytes of a text and without leaving the JVM, or given as a column.
+
 Without a budget it is the smallest that gives every source one whole epoch: no document is left out.
 
 Defined cases: a null source is the source named ''; a null or empty text has no tokens; a source without
@@ -28,12 +30,21 @@ SEED = 17
 LEVELS = 4
 HALVINGS = 32
 PLACES = 6
+#: Bytes that an id of the 49k tokenizer stands for; by document it differs by 8 % (words an id: by 20 %).
+BYTES_PER_TOKEN = 2.75
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def token_estimate(text: str | Column) -> Column:
+    """About how many ids a text has: its UTF-8 bytes by BYTES_PER_TOKEN, without white space at its ends."""
+    bare = F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(SPACE))
+    return F.ceil(F.octet_length(bare) / F.lit(BYTES_PER_TOKEN)).cast("long")
+
+
 def _draw(*parts: Column) -> Column:
     """A fixed pseudo-random number from 0 to 2**32 - 1."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
@@ -73,7 +84,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", to
     """One row per document and epoch: doc_id, source, n_tokens, epoch, block, block_rank, slot, weight.
 
     Within a source, (epoch, block_rank, slot) is the order to read the documents in."""
-    n_tokens = word_count("text") if tokens is None else tokens
+    n_tokens = token_estimate("text") if tokens is None else tokens
     items = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n_tokens")), "mix_items")
     sources = items.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     total = items.agg(F.sum("n_tokens")).first()[0] or 0

@@ -136,7 +136,7 @@ FROM b
 _DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 _OP8_SQL = f"""
 WITH RECURSIVE items AS (
-  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+  SELECT doc_id, coalesce(source, '') AS source, CAST(ceil(octet_length(encode(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) / 2.75::DOUBLE) AS BIGINT) AS n_tokens FROM documents
 ), sums AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n FROM items GROUP BY 1),
 shares AS (SELECT list({{'p': tokens / (SELECT sum(tokens) FROM sums), 't': tokens}}) AS s FROM sums WHERE tokens > 0),
 ratio AS (SELECT list_max(list_transform(s, lambda x: x.p)) AS hi, list_min(list_transform(s, lambda x: x.p)) AS lo, s FROM shares),

@@ -98,7 +98,7 @@ def test_sequences_hold_token_ids(spark):
     assert {r.doc_id for r in got if r.sequence_id is None} == {4, 5}
 
 
-def test_the_pipeline_counts_token_ids(spark):
+def test_the_pipeline_packs_token_ids(spark):
     import corpus_pipeline as p
 
     rows = [(i, "日本語" * 40, "cjk") for i in range(30)] + [(100 + i, "the of and " * 40, "en") for i in range(30)]
