@@ -9,7 +9,8 @@ Each stage works on all that its predecessor kept. All but the last return the c
 4. mixing: every document stays; those of small sources are repeated, up to ``MAX_EPOCHS`` times.
 5. packing: one row per document (each copy) and piece, with its place in a sequence.
 
-Stages 4 and 5 count token ids, as op1_token_store does; a text without ids counts 0.
+Stage 5 counts token ids, as op1_token_store does; a text without ids counts 0. Stage 4 is native and estimates them
+from the bytes of a text (``mixing.token_estimate``).
 
 Defined cases: a null text counts as the empty text in every stage and stays null; rows without a doc_id are
 documents like others, but the last to stay of a group; rows that share a doc_id but not a text are documents of
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from lectern.llm import mixing, packing, quality, secret_scan
 from lectern.llm.common import Scratch, crc_remainder, documents
 from lectern.llm.near_dedup import kept_rows
-from lectern.llm.token_store import token_counts
 
 LEAST_QUALITY = 0.3
 MAX_EPOCHS = 2.0
@@ -46,8 +46,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counts = token_counts(docs, ["doc_id", "source"])
-    return mixing.mixed_rows(docs, planned=counts, tokens=F.col("n_tokens"), max_epochs=MAX_EPOCHS)
+    return mixing.mixed_rows(docs, max_epochs=MAX_EPOCHS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
