@@ -63,21 +63,25 @@ def neighborhood(edges: DataFrame, a: str, b: str, seeds: DataFrame, depth: int
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable.
 
-    Every round points each node at its smallest neighbour, follows that pointer once more, and replaces nodes by what
-    they point at; edges within one node vanish, so that few are left after few rounds. Rounds are checkpointed."""
+    Every round points each node at the first of itself and its neighbours, in an order drawn anew by hash, follows that
+    pointer once more, and replaces nodes by what they point at; edges within one node vanish, so that few are left after
+    few rounds, long chains included. Rounds are checkpointed. At the end each group is named by its smallest node."""
     checkpoints(edges.sparkSession)
     left = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null").distinct().checkpoint()
-    labels = left.select("x").union(left.select("y")).distinct().select(F.col("x").alias("node"), F.col("x").alias("component")).checkpoint()
-    left = left.filter("x <> y")
+    labels = left.select("x").union(left.select("y")).distinct().select(F.col("x").alias("node"), F.col("x").alias("label")).checkpoint()
+    left, turn = left.filter("x <> y"), 0
     while not left.isEmpty():
-        lowest = left.union(left.select("y", "x")).groupBy("x").agg(F.least("x", F.min("y")).alias("to"))
-        again = lowest.select(F.col("x").alias("to"), F.col("to").alias("further"))
-        lowest = lowest.join(again, "to").select("x", F.col("further").alias("to")).checkpoint()
-        moved = lowest.select(F.col("x").alias("component"), "to")
-        labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
-        left = left.join(lowest.select("x", F.col("to").alias("u")), "x").join(lowest.select(F.col("x").alias("y"), F.col("to").alias("v")), "y")
+        turn += 1
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c))  # noqa: B023, E731
+        near = left.union(left.select("y", "x")).groupBy("x").agg(F.min(drawn("y")).alias("m"))
+        first = near.select("x", F.when(F.col("m") < drawn("x"), F.col("m.y")).otherwise(F.col("x")).alias("to"))
+        again = first.select(F.col("x").alias("to"), F.col("to").alias("further"))
+        first = first.join(again, "to").select("x", F.col("further").alias("to")).checkpoint()
+        labels = labels.join(first.select(F.col("x").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")).checkpoint()
+        left = left.join(first.select("x", F.col("to").alias("u")), "x").join(first.select(F.col("x").alias("y"), F.col("to").alias("v")), "y")
         left = left.filter("u <> v").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct().checkpoint()
-    return labels
+    named = labels.groupBy("label").agg(F.min("node").alias("component")).checkpoint()
+    return labels.join(named, "label").select("node", "component")
 
 
 def induced(edges: DataFrame, a: str, b: str, nodes: DataFrame) -> DataFrame:

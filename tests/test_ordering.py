@@ -76,6 +76,14 @@ def test_components_of_a_chain_and_a_self_link(spark):
     assert got == {**{i: 0 for i in chain}, 99: 99, 60: 60, 70: 60}
 
 
+def test_components_of_a_rising_chain_take_few_rounds(spark):
+    n, store = 3000, spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
+    assert graph.components(df, "a", "b").filter("component <> 0").count() == 0
+    assert store.executionsList().size() - before < 80
+
+
 def test_chosen_nodes_and_capped_subgraphs(spark):
     degree = spark.createDataFrame([("a", 1), ("b", 9), ("c", 9), ("d", 9)], "node string, degree int")
     recency = spark.createDataFrame([("b", 5), ("c", 7)], "node string, at int")
