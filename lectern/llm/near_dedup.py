@@ -153,8 +153,8 @@ def _similarity(a: str, b: str):
 def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node.
 
-    Each round hooks every node to its smallest neighbour and contracts the edges, which soon leaves few;
-    at the end labels of labels are followed until nothing changes. Each round is stored."""
+    Each round hooks every node to its smallest neighbour and contracts the edges, which soon leaves few, for the nodes are
+    hashes and in no order along a chain (one in rising order would take a round for every four nodes). At the end labels of labels are followed until nothing changes. Each round is stored."""
     scratch = scratch or Scratch(edges.sparkSession, "components")
     e = scratch.store(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
