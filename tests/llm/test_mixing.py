@@ -39,6 +39,16 @@ def test_exponent_meets_the_entropy(spark):
         assert abs(-sum(x * math.log(x) for x in p) - target) < 1e-5
 
 
+def test_the_rounded_exponent_keeps_the_limit(spark):
+    """No source is repeated more than max_epochs times, at many sizes where six places round down by themselves."""
+    for seed in range(4):
+        tokens = [10**9 + 7 * seed, 10**6 + seed * 31, 3 * 10**4 + seed, 997 * (seed + 1)]
+        src = spark.createDataFrame([(f"s{i}", t, float(sum(tokens))) for i, t in enumerate(tokens)], "source string, tokens long, total double")
+        a = exponent(src, max_epochs=2.0)
+        rates = [(t / sum(tokens)) ** a / t for t in tokens]
+        assert max(rates) / min(rates) <= 2.0 and 0 < a < 1
+
+
 def test_budget_order_and_rows(spark):
     df = table(spark)
     got = plan(df, budget=900.0, max_epochs=1.5).collect()
