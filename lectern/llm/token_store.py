@@ -3,7 +3,7 @@
 A store is a folder of Parquet tables:
 
 - ``dictionary``: (hash, bytes), one zstandard dictionary, trained on the id arrays of at most ``TRAIN_ROWS``
-  documents, those with the smallest hash of their id;
+  documents, those with the smallest hash of their id (repeated rows once, rows without an id not);
 - ``shards``: (shard, first_id, last_id, dictionary_hash, doc_ids, starts, offsets, n_tokens, blob). A blob is the
   concatenation of one zstandard frame per document, of its ids as little-endian unsigned 32-bit integers;
   ``offsets`` has one more entry than documents, so a short document is read by slicing its own frame only.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lectern.llm.common import new_path, split_batches, stored
+from lectern.llm.common import new_path, split_batches, stored, unused
 
 END_ID = 1
 TRAIN_ROWS = 1000
@@ -230,7 +230,11 @@ SHARDS = "part int, shard_in_part long, first_id long, last_id long, doc_ids arr
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from the first ids of at most TRAIN_ROWS documents; empty where there is too little."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    text_hash = unused(docs, "text_hash")[0]
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    # Ids first, for texts are long; at most TRAIN_ROWS of them: a bounded broadcast.
+    chosen = hashed.select("doc_id", text_hash).orderBy(F.xxhash64("doc_id"), "doc_id", text_hash).limit(TRAIN_ROWS).distinct()
+    sample = hashed.join(F.broadcast(chosen), ["doc_id", text_hash]).dropDuplicates(["doc_id", text_hash]).select("doc_id", "text")
     samples = sorted(bytes(r["frame"]) for r in sample.mapInArrow(_encoded(path, None), FRAMES).select("frame").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
