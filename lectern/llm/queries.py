@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import media, quality, token_store, toxicity, warc, winnowing
+from lectern.llm import exact_dedup, media, periodic_runs, quality, simplex_clusters, token_store, toxicity, warc, winnowing
 from lectern.llm.common import crc_remainder, documents
 from lectern.llm.mixing import plan
 from lectern.llm.near_dedup import near_duplicates
@@ -76,7 +76,22 @@ def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features_of(media.store_texts(documents(spark, sf_dir)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(documents(spark, sf_dir), plant=True, with_text=False)
+
+
+def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.grouped(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_simplex_clusters": op12_simplex_clusters,
+    "op13_exact_dedup": op13_exact_dedup,
     "op7_media_sniffing": op7_media_sniffing,
     "op3_winnowing": op3_winnowing,
     "op5_warc_archive": op5_warc_archive,
@@ -170,7 +185,38 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM h
 """
 
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(n) OVER w AS most, count(*) OVER (PARTITION BY t) AS group_size
+  FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = most AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
+def _op12_sql(k: int = simplex_clusters.K, rounds: int = simplex_clusters.ROUNDS) -> str:
+    """Rounds of assignment and means, one after the other; distances in integers."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    parts = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM kept ORDER BY c LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS MATERIALIZED (SELECT v.vec_id, v.x, c.c, {distance} AS d FROM kept v CROSS JOIN c{r} c)""")
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, min(struct_pack(d := d, c := c)) AS m FROM d{r} GROUP BY vec_id, x)")
+        if r < rounds:
+            cells = f"SELECT a.m.c AS c, i, sum(a.x[i]) AS s, count(*) AS n FROM (SELECT k.x, a.m FROM kept k JOIN a{r} a ON a.vec_id IS NOT DISTINCT FROM k.vec_id AND a.x = k.x) a, range(1, 65) t(i) GROUP BY 1, 2"
+            means = f"SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM ({cells}) GROUP BY c"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN ({means}) m ON m.c = c.c)")
+    return f"""WITH {", ".join(parts)}
+SELECT k.vec_id, CAST(a.m.c AS INT) AS cluster, CAST(a.m.d AS BIGINT) AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM kept k JOIN a{rounds} a ON a.vec_id IS NOT DISTINCT FROM k.vec_id AND a.x = k.x JOIN c{rounds} c ON c.c = a.m.c"""
+
+
 ORACLES = {
+    "op12_simplex_clusters": _op12_sql(),
+    "op13_exact_dedup": _OP13_SQL,
     "op5_warc_archive": _OP5_SQL,
     "op8_temperature_mixing": _OP8_SQL,
     "op10_secret_ledger": _OP10_SQL,
