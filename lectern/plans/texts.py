@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import alignment, markup
 from lectern.functions import text as fn
 from lectern.operators.relations import jaccard
 from lectern.plans.registry import Tables, query
@@ -115,13 +116,25 @@ def reassembled_docs(t: Tables):
 def balanced_pages(t: Tables):
     """Whole pages, pages that end in a half-written link, and pages with open items."""
     end = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, '<div><p>cut <a href="https://x').otherwise("<ul><li>a")
-    return t.pages.select("page_id", fn.balanced_html(F.concat("html", end)).alias("html"))
+    return t.pages.select("page_id", markup.balanced_html(F.concat("html", end)).alias("html"))
 
 
 @query("quote_check")
 def quote_check(t: Tables):
+    """Every text's opening against the next text, and a part of its own against itself, every seventh character of it lost."""
     sides = t.documents.select("doc_id", "text").join(t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.left("text", F.lit(80)).alias("quote")), "doc_id")
-    return sides.select("doc_id", fn.quote_match("quote", "text").alias("other"), fn.quote_match(F.substring("text", 10, 60), "text").alias("own"))
+    sides = alignment.with_quote_match(sides, "quote", "text", "other")
+    own = F.regexp_replace(F.substring("text", 10, 60), "(?s)(.{6}).", "$1")
+    return alignment.with_quote_match(sides, own, "text", "own").select("doc_id", "other", "own")
+
+
+@query("edit_words")
+def edit_words(t: Tables):
+    """Every turn as an edit of the one before it in its conversation, with the one before that as the passage."""
+    turns = t.conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    earlier = lambda n, name: turns.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(name))
+    sides = turns.join(earlier(1, "draft"), ["conv_id", "turn"]).join(earlier(2, "passage"), ["conv_id", "turn"], "left")
+    return alignment.with_edits(sides, "draft", "text", "passage").select("conv_id", "turn", "edits.*")
 
 
 _MIXED = "translate(left(text, 400), 'aeo', 'аεо')"
