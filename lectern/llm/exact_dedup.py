@@ -7,7 +7,7 @@ with the most code points stays, then that with the smallest id.
    of copies leaves a task as one row.
 2. Salted: these rows meet by digest, content and salt, which is drawn from the number of the task, so that a group that
    every task has is merged by ``SALTS`` tasks.
-3. Globally: the winners of the salts meet by digest and content. Digests that a single salt knew are done by then.
+3. Globally: the winners of the salts, at most ``SALTS`` of a group, meet by digest and content.
 
 Every stage compares the whole content, so a collision of digests only makes a digest with two groups (``digest`` may be
 any function of the content; the tests use one that collides). Rows then find their group by digest alone, where it has
@@ -26,8 +26,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lectern.llm.common import Scratch, stored, unused
+from lectern.llm.common import stored, unused
 
 SALTS, MANY = 16, 1000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,33 +48,30 @@ def _rank(n_chars: str, row_id: str) -> Column:
 
 
 def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(digest, content or null, best, group_size, variants) of rows (digest, content, n_chars, row_id): content only where a digest has several."""
-    scratch = Scratch(rows.sparkSession, "exact_dedup")
+    """(digest, content or null, best, group_size, variants) of rows (digest, content, n_chars, row_id), stored: content only where a digest has several.
+
+    Contents are sent twice, to the tasks of the salts and to those of the digests, and are not stored."""
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     merged = salted.groupBy("digest", "salt", "content").agg(F.max(_rank("n_chars", "row_id")).alias("best"), F.count("*").alias("n"))
-    merged = scratch.store(merged, "salt_winners")
-    met = merged.groupBy("digest").agg(F.count("*").alias("rows")).filter("rows > 1").select("digest")
-    met = scratch.store(met, "digests_to_combine")
-    several = merged.join(met, "digest", "left_semi").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    several = scratch.store(several, "combined")
-    variants = several.groupBy("digest").agg(F.count("*").alias("variants"))
-    several = several.join(variants, "digest").select("digest", F.when(F.col("variants") > 1, F.col("content")).alias("content"), "best", "group_size", "variants")
-    single = merged.join(met, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("content"), "best", F.col("n").alias("group_size"), F.lit(1).cast("long").alias("variants"))
-    out = stored(single.unionByName(several), "exact_groups")
-    scratch.drop("salt_winners", "digests_to_combine", "combined")
-    return out
+    combined = merged.repartition("digest").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    # The rows of a digest lie together by now, in order: no further exchange.
+    combined = combined.withColumn("variants", F.count("*").over(Window.partitionBy("digest")))
+    return stored(combined.withColumn("content", F.when(F.col("variants") > 1, F.col("content"))), "exact_groups")
 
 
 def _with_groups(rows: DataFrame, found: DataFrame, many: int = MANY) -> DataFrame:
-    """rows (digest, content, ...) with best and group_size of their group."""
-    total = found.agg(F.sum("group_size")).first()[0] or 0
-    large = found.filter((F.col("variants") == 1) & (F.col("group_size") * many > total)).select("digest", "best", "group_size")
-    rest = found.filter((F.col("variants") == 1) & (F.col("group_size") * many <= total)).select("digest", "best", "group_size")
-    names = F.broadcast(large.select("digest"))
-    plain = rows.drop("content")
-    out = plain.join(F.broadcast(large), "digest").unionByName(plain.join(names, "digest", "left_anti").join(rest, "digest"))
-    apart = found.filter("variants > 1").select("digest", "content", "best", "group_size")
-    return out.unionByName(rows.join(apart, ["digest", "content"]).drop("content"))
+    """rows (digest, content, ...) without content, with best and group_size of their group."""
+    plain = stored(rows.drop("content"), "exact_rows")
+    total, most = found.agg(F.sum("group_size"), F.max("variants")).first()
+    one = found.filter("variants = 1").select("digest", "best", "group_size")
+    large = F.col("group_size") * many > F.lit(total or 0)
+    out = plain.join(F.broadcast(one.filter(large)), "digest")
+    rest = plain.join(F.broadcast(one.filter(large).select("digest")), "digest", "left_anti")
+    out = out.unionByName(rest.join(one.filter(~large), "digest"))
+    if (most or 1) > 1:
+        apart = found.filter("variants > 1").select("digest", "content", "best", "group_size")
+        out = out.unionByName(rows.join(apart, ["digest", "content"]).drop("content"))
+    return out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], *more: Column) -> DataFrame:
