@@ -119,6 +119,28 @@ def test_a_group_of_5000_near_copies_and_as_many_outsiders(spark):
     assert joined_rows(spark, before) < 100 * len(rows)
 
 
+def test_texts_of_one_template(spark):
+    """100 words with 20 slots of 4 values: nearly all pairs share a bucket, hardly any is linked. No join, and no block, makes
+    three times the rows for twice the documents; the components are those of the exact rule."""
+    rng = random.Random(9)
+    template, values = [f"t{i}" for i in range(100)], [[f"s{i}v{v}" for v in range(4)] for i in range(20)]
+    rows = []
+    for i in range(1600):
+        w = list(template)
+        for k in range(20):
+            w[5 * k + 2] = rng.choice(values[k])
+        rows.append((i, " ".join(w)))
+    made = []
+    for n in (800, 1600):
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+        got = as_dict(near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(4), shingle=2))
+        made.append(joined_rows(spark, before))
+        if n == 800:
+            assert got == brute(rows[:n], 2, 80)
+    assert made[1] < 3 * made[0] and made[1] < 100 * 1600
+
+
 def test_recall_against_the_exact_rule(spark):
     """Of the pairs that the exact rule links among the documents of sf0.001, all are in one component."""
     rows = [(r.doc_id, r.text) for r in documents(spark, "/root/testdata/sf0.001").collect()]
