@@ -109,7 +109,9 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = rows.repartition(parts, "id")
     sent = dealt.join(asks, "id").filter(F.xxhash64("text").bitwiseXOR(F.col("key")) == 0).select("asker", "need", "text")
-    sent = fingerprints(sent).select(F.col("asker").alias("id"), F.left("text", "need").alias("piece"), F.col("hashes").alias("next_hashes")).dropDuplicates(["id"])
+    sent = fingerprints(sent).select(F.col("asker").alias("id"), F.left("text", "need").alias("piece"), F.col("hashes").alias("next_hashes"))
+    # In as many partitions as the texts, which then are not dealt again for the join.
+    sent = sent.repartition(parts, "id").dropDuplicates(["id"])
     out = dealt.join(sent, "id")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
