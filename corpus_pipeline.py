@@ -14,8 +14,9 @@ from the bytes of a text (``mixing.token_estimate``).
 
 Defined cases: a null text counts as the empty text in every stage and stays null; rows without a doc_id are
 documents like others, but the last to stay of a group; rows that share a doc_id but not a text are documents of
-their own (repeated rows are copies); texts without a word all stay; further columns are carried up to the last
-stage; an empty table gives an empty result.
+their own (repeated rows are copies); texts without a word all stay; very long texts are scored, compared and redacted
+whole, and packed in pieces; ties go to the smaller id, then the smaller hash of the text; further columns, whatever
+their names, are carried up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, packing, quality, secret_scan
-from lectern.llm.common import Scratch, crc_remainder, documents
+from lectern.llm.common import Scratch, crc_remainder, documents, unused
 from lectern.llm.near_dedup import kept_rows
 
 LEAST_QUALITY = 0.3
@@ -34,7 +35,9 @@ MAX_EPOCHS = 2.0
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, crc_remainder("doc_id", 5) != 0)
-    return quality.scored_rows(docs, model).filter(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = unused(docs, "__score")
+    scored = quality.scored_rows(docs, model, name=score)
+    return scored.filter(F.col(score) >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

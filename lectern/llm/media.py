@@ -48,41 +48,63 @@ SIGNATURES = {
 }
 
 
+@lru_cache(maxsize=1)
+def _dead_ends(b: bytes) -> dict[str, set[int]]:
+    """Of each format, the places in a value from which a walk is known to fail: no place is walked from twice."""
+    return {"png": set(), "jpeg": set(), "gif": set(), "gif blocks": set()}
+
+
 def _png(b: bytes, at: int) -> int | None:
-    i = at + 8
-    first = True
-    while i + 12 <= len(b):
+    dead, walked, i = _dead_ends(b)["png"], [], at + 8
+    if b[i : i + 8] != b"\0\0\0\rIHDR":
+        return None
+    while i + 12 <= len(b) and i not in dead:
+        walked.append(i)
         size, kind = struct.unpack_from(">I4s", b, i)
         end = i + 12 + size
-        if end > len(b) or (first and kind != b"IHDR") or zlib.crc32(b[i + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
-        first, i = False, end
+        if end > len(b) or zlib.crc32(memoryview(b)[i + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+            break
+        i = end
         if kind == b"IEND":
             return end
+    dead.update(walked)
     return None
 
 
+@lru_cache(maxsize=1)
+def _jpeg_marks(b: bytes) -> list[int]:
+    return [m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7\xff]", b)]
+
+
 def _jpeg(b: bytes, at: int) -> int | None:
-    i, scan = at + 2, False
-    while i + 4 <= len(b):
-        if b[i] != 0xFF:
-            return None
+    """A walk before the first scan and one after it may end differently: the latter's places are the complements."""
+    dead, walked, marks, i, scan = _dead_ends(b)["jpeg"], [], _jpeg_marks(b), at + 2, False
+    while i + 2 <= len(b) and (~i if scan else i) not in dead:
+        walked.append(~i if scan else i)
         kind = b[i + 1]
+        if b[i] != 0xFF or kind == 0xD9 and not scan:
+            break
         if kind == 0xD9:
-            return i + 2 if scan else None
+            return i + 2
+        if i + 4 > len(b):
+            break
         i += 2 + struct.unpack_from(">H", b, i + 2)[0]
         if kind == 0xDA:
-            scan = True
-            m = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(b, i)
-            if not m:
-                return None
-            i = m.start()
-    return i + 2 if scan and b[i : i + 2] == b"\xff\xd9" else None
+            scan, found = True, bisect_left(marks, i)
+            if found == len(marks):
+                break
+            i = marks[found]
+    dead.update(walked)
+    return None
 
 
 def _gif(b: bytes, at: int) -> int | None:
+    dead, dead_blocks = (_dead_ends(b)[k] for k in ("gif", "gif blocks"))
+    walked, walked_blocks = [], []
+
     def blocks(i: int) -> int | None:
-        while i < len(b):
+        while i < len(b) and i not in dead_blocks:
+            walked_blocks.append(i)
             if not b[i]:
                 return i + 1
             i += 1 + b[i]
@@ -92,7 +114,8 @@ def _gif(b: bytes, at: int) -> int | None:
         return None
     flags = b[at + 10]
     i: int | None = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while i is not None and i < len(b):
+    while i is not None and i < len(b) and i not in dead:
+        walked.append(i)
         if b[i] == 0x3B:
             return i + 1
         if b[i] == 0x21:
@@ -101,7 +124,9 @@ def _gif(b: bytes, at: int) -> int | None:
             local = b[i + 9]
             i = blocks(i + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
         else:
-            return None
+            break
+    dead.update(walked)
+    dead_blocks.update(walked_blocks)
     return None
 
 

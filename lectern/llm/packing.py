@@ -11,7 +11,7 @@ The length of a document is given as a column: ``best_fit_texts`` counts its ids
 op1_token_store. Without one, ``best_fit`` counts words at white space.
 
 Defined cases: texts without ids or words, also null ones, have length 0 and one row without a sequence; repeated rows are packed
-each, and spread over blocks like rows without an id; very long texts become many pieces, which are spread too; equal
+each, and spread over blocks like rows without an id; how the rows are laid out changes nothing; very long texts become many pieces, which are spread too; equal
 pieces go in the order of their ids; an empty table gives an empty result; other columns are not read.
 """
 
@@ -95,8 +95,15 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", length: Column | None = No
     items = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n")), "pack_items")
     count = F.greatest(F.ceil(F.col("n") / most), F.lit(1).cast("long"))
     blocks = max(1, -(-(items.agg(F.sum(count)).first()[0] or 0) // block))
-    # The row's place in the stored table tells repeated rows, and those without an id, apart.
-    items = items.withColumn("row", F.monotonically_increasing_id())
+    # Equal rows (also those without an id) are numbered, so that they spread, and any layout of the rows gives one result: a
+    # row for each (doc_id, n) carries their number through the shuffle, and they are told apart after it.
+    items = items.groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
+    numbers = lambda first, last: F.explode(F.sequence(F.greatest(first, F.lit(1)).cast("long"), last))
+    few = items.filter(F.col("copies") <= BLOCK).select("doc_id", "n", numbers(F.lit(1), F.col("copies")).alias("row"))
+    # Those of many copies are counted out by several tasks.
+    many = items.filter(F.col("copies") > BLOCK).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("copies") / BLOCK))).alias("k")).repartition("doc_id", "n", "k")
+    last = F.least(F.col("k") * BLOCK + BLOCK - 1, F.col("copies"))
+    items = few.unionByName(many.select("doc_id", "n", numbers(F.col("k") * BLOCK, last).alias("row")))
     pieces = items.select("row", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
     pieces = pieces.select("row", "doc_id", "piece", (F.col("piece") * most).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("piece_length"))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(blocks))).drop("row")

@@ -115,9 +115,9 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11, st
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     """Train on at most max_rows labelled rows; usable: a condition on the labels' rows."""
     chosen = labels.filter(F.col(label_col).isin(0, 1)) if usable is None else labels.filter(F.col(label_col).isin(0, 1) & usable)
-    chosen = chosen.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("rank")).orderBy("rank", "__id", "label").limit(max_rows)
+    chosen = chosen.select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("rank")).orderBy("rank", "row_id", "label").limit(max_rows)
     # At most max_rows ids: a bounded broadcast.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("rank", "label", "text")
+    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "row_id").select("rank", "label", "text")
     rows = rows.mapInArrow(_bags, "rank long, label int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r["rank"], bytes(r["buckets"])))
     return train([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows])

@@ -213,15 +213,16 @@ def _encoded(path: str, dictionary: bytes | None):
 def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """The columns ``keep`` and n_tokens: the ids of each text and its end id; 0 for a text without ids."""
     tokenizer = tokenizer or tokenizer_path()
+    (text_c,) = unused(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer)
-        for batch in split_batches(batches, "__text", 8 << 20):
+        for batch in split_batches(batches, text_c, 8 << 20):
             sizes = [len(x) // 4 for x in encoder.encode(batch.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n and n + 1 for n in sizes], pa.int64())], [*keep, "n_tokens"])
 
     schema = StructType([*docs.select(*keep).schema.fields, StructField("n_tokens", LongType())])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(text_c)).mapInArrow(run, schema)
 
 
 FRAMES = "doc_id long, n_tokens long, frame binary"

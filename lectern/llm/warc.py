@@ -10,8 +10,9 @@ the others are revisits that refer to it. ``verified`` recomputes the addresses
 the first that differs; ``reconstruct`` joins headers and payloads to whole records again (a revisit holds no
 block). Only slim rows are shuffled by payload; a payload moves once, as its response.
 
-Defined cases: a null html is the empty payload; a null url is the empty target; repeated rows are records of
-their own (equal page_ids refer to the smallest id, so both are responses, while the payload is stored once);
+Defined cases: a null html is the empty payload; a null url is the empty target, and line ends in one are percent-encoded; very
+long payloads move once and whole; repeated rows are records of their own, each with its own record id (equal page_ids are
+no smaller than each other, so both are responses, while the payload is stored once);
 a row without a page_id is a revisit wherever another row holds its payload; an empty table gives an empty
 archive; other columns are not read.
 """
@@ -38,8 +39,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), CONV_DIGITS, RFC_DIGITS)
 
 
-def _uri(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+def _uri(page_id: Column, row: Column) -> Column:
+    """A record's own id: row tells those of one page_id apart, and is null for the first of them."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":r"), row.cast("string")), F.lit("")), F.lit(">"))
 
 
 def _header(kind: Column) -> Column:
@@ -50,11 +52,11 @@ def _header(kind: Column) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", _uri(F.col("page_id"))),
+        line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.coalesce(F.regexp_replace("url", "[\\r\\n]", " "), none)),
+        line("WARC-Target-URI", F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), none)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uri(F.col("first_id"))))).otherwise(none),
+        F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("first_record")))).otherwise(none),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(is_revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit(END),
@@ -67,7 +69,13 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     slim = stored(rows.select("page_id", "url", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("digest")), "warc_slim")
-    first = slim.groupBy("address").agg(F.min("page_id").alias("first_id"))
+    slim = slim.withColumn("row", F.monotonically_increasing_id())
+    # Of the rows of one page_id, all but the first carry their number in the record's id.
+    firsts = slim.groupBy("page_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("is_first"))
+    slim = slim.join(firsts, "row", "left").withColumn("record_id", _uri(F.col("page_id"), F.when(F.col("is_first").isNull(), F.col("row")))).drop("is_first")
+    slim = stored(slim, "warc_records")
+    least_id = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "record_id"))).alias("f")
+    first = slim.groupBy("address").agg(least_id).select("address", F.col("f.page_id").alias("first_id"), F.col("f.record_id").alias("first_record"))
     kind = F.when((F.col("size") >= least) & F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull()), "revisit").otherwise("response")
     records = slim.join(first, "address").select("page_id", "address", _header(kind).alias("header"))
     records.write.option("compression", "zstd").parquet(f"{path}/records")
@@ -90,7 +98,7 @@ def fields(spark: SparkSession, path: str) -> DataFrame:
     """The records' headers, parsed: page_id, address, record_type, refers_to, length, header."""
     text = F.col("header").cast("string")
     one = lambda name: F.regexp_extract(text, f"(?m)^{name}: (.*?)\\r?$", 1)
-    refers = F.regexp_extract(one("WARC-Refers-To"), "<urn:page:(-?[0-9]+)>", 1)
+    refers = F.regexp_extract(one("WARC-Refers-To"), "<urn:page:(-?[0-9]+)(?::r[0-9]+)?>", 1)
     return spark.read.parquet(f"{path}/records").select("page_id", "address", one("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), one("Content-Length").cast("long").alias("length"), F.substring_index(one("WARC-Payload-Digest"), ":", -1).alias("payload_digest"), "header")
 
 

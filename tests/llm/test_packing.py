@@ -78,6 +78,13 @@ def test_table(spark):
     assert given == 15
 
 
+def test_any_layout_gives_the_same_placements(spark):
+    rows = [(i % 140, "w " * (i * 7 % 50)) for i in range(150)] + [(None, "a b")] * 5 + [(7, "x " * 40)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = lambda d: sorted(map(str, best_fit(d, capacities=(64, 128), block=40).collect()))
+    assert placed(df.repartition(1)) == placed(df.repartition(7)) == placed(df.orderBy(F.desc("text")))
+
+
 def test_sequences_hold_token_ids(spark):
     from tokenizers import Tokenizer
 

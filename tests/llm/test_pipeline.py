@@ -52,13 +52,16 @@ def test_each_stage_against_brute_force(spark):
 
 
 def test_stages_on_odd_rows(spark):
+    """Null, empty, repeated rows and ids; further columns named as the stages name their own."""
+    more = ["__score", "__id", "__text", "__text_hash", "score", "label", "rank", "name", "component", "blob", "spans", "block", "row", "n_tokens", "epoch"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, extra int"
     rows = [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 2), (3, "a token = abcdefghijklmnop b", "en", "s", 28, 3), (3, "a token = abcdefghijklmnop b", "en", "s", 28, 3), (None, "x", "en", "s", 1, 4), (None, "a b c d e f g", "en", "s", 13, 5), (4, "A b c d e f g", "en", "s", 13, 6), (4, "a b c d e f g", "en", "s", 13, 7)]
     for data in (rows, []):
-        docs = spark.createDataFrame(data, schema)
+        docs = spark.createDataFrame(data, schema).selectExpr("*", *[f"'kept' as `{c}`" for c in more])
         for name, stage in p.STAGES[:4]:
             docs = stored(stage(spark, docs, SF), f"odd_{name}")
-            assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+            assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars", "extra", *more]
+            assert docs.filter(" or ".join(f"`{c}` <> 'kept'" for c in more)).isEmpty()
         if data:
             texts = {r.doc_id: r.text and r.text.lower() for r in docs.collect()}
             assert texts == {1: None, 2: "", 3: "a [secret] b", None: "x", 4: "a b c d e f g"} and docs.filter("doc_id = 3").count() <= 2

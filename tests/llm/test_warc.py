@@ -30,6 +30,11 @@ def test_catalogue_and_records(spark, least):
     assert spark.read.parquet(f"{path}/payloads").count() == len({t or "" for _, _, t in ROWS})
     records = [(r.page_id, bytes(r.record)) for r in warc.reconstruct(spark, path).collect()]
     assert len(records) == len(ROWS)
+    ids = [x.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for _, x in records]
+    assert len(set(ids)) == len(ids)
+    responses = {x.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for _, x in records if b"WARC-Type: response" in x}
+    assert {x.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for _, x in records if b"WARC-Refers-To" in x} <= responses
+    assert any(b"WARC-Target-URI: http://b%0D%0AX: y\r\n" in x for _, x in records)
     for i, record in records:
         head, block = record.split(b"\r\n\r\n", 1)
         names = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
