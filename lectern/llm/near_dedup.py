@@ -8,16 +8,20 @@
    Pairs pass a size bound and the collision-corrected similarity estimated from the bit counts of the packed
    signatures (at least ``FINE``), then are confirmed on full sets. Linked classes are contracted; what is not
    linked to its bucket's star gets a new star, as long as a ``PAYS``-th of a round's pairs look linked.
-4. The rest: buckets that still hold more than one component. Of each, all that is not of its largest component is
-   compared with all members by the bit counts of the packed signatures, in blocks of ``SLICE`` by ``SLICE`` signatures;
-   only pairs of different components that pass both filters leave a block, to be confirmed as before.
+4. The rest, exactly: members of buckets that still hold more than one component. Their shingles are ordered
+   by a count sketch, rarest first. Linked sets share one of their first shingles, and how far into each set
+   that one may lie follows from both sizes (positional prefix filtering). Of the sets that share a rare shingle, all that
+   are not of its largest component are compared with all, by these places and by the bit counts of the packed
+   signatures, in blocks of ``SLICE`` by ``SLICE``; only pairs of different components that pass leave a block, to be
+   confirmed as before.
 5. Connected components over the links.
 
 A link of similarity 0.8 shares no bucket with probability (1 - 0.8**6)**48 = 5e-7, is estimated below ``FINE`` with
 3e-7 (five standard errors of 288 two-bit minima), and less above 0.8. Two shingles of n share a 64-bit hash, and two
 classes a name, with probability n * n / 2**65. There is no cap on the size of a bucket, of a group or of a component. Rows
-grow in proportion to those of the buckets: near copies are linked through their star, and what only looks alike (texts of
-one template) leaves its block only where its estimate does. A bucket of b members is sent b / ``SLICE`` times.
+grow in proportion to those of the buckets: near copies are linked through their star, others that only share a passage have
+rare shingles of their own, and texts of one template, whose rare shingles are shared by many, leave their blocks only
+where their estimate does. A shingle of b sets is sent b / ``SLICE`` times.
 
 Defined cases: null and empty texts (or texts without a word) have an empty set and are linked with nothing;
 texts with fewer words than a shingle have one shingle, the whole sequence; very long texts are read whole, and
@@ -48,10 +52,14 @@ FINE = 0.66
 PAYS = 2
 #: Bytes of full sets that one block of a confirmation holds, but for a longer single set.
 BLOCK_BYTES = 4 << 20
+#: Counters of the sketch that orders shingles: a broadcast of four bytes each, whatever the input.
+SLOT_BITS = 21
+#: Sizes of sets in steps of an eighth, for the prefix filter.
+STEP = 1.12
 #: Signatures on either side of a block.
 SLICE = 4096
 #: Signatures in one task's group of blocks, about.
-BIN_ROWS = 200_000
+BIN_ROWS = 50_000
 NO_ID = -(1 << 63)
 MEMO = 400_000
 _SEED = np.random.RandomState(7)
@@ -60,6 +68,8 @@ _B = _SEED.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _EVEN = 0x5555555555555555
+#: What tells the sizes' steps apart in a key.
+_STEPS = np.arange(512, dtype=np.uint64) * _STEP
 
 
 class _WordHashes(dict):
@@ -230,53 +240,120 @@ def _full_sets(k: int):
     return run
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each slot of the sketch occurs in this task's sets."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            np.add.at(total, _slots(np.frombuffer(x, np.uint64)), 1)
+    met = np.flatnonzero(total)
+    for at in range(0, len(met), 1 << 16):
+        some = met[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def _size_steps() -> np.ndarray:
+    steps = [1]
+    while steps[-1] < 1 << 40:
+        steps.append(max(steps[-1] + 1, int(steps[-1] * STEP)))
+    return np.array(steps)
+
+
+def _prefixes(shared, percent: int):
+    """For each set the first shingles, rarest first, that it can share first with a set of like size.
+
+    A set offers them to larger ones under its own step of sizes (asks false) and asks for those of smaller or equal
+    ones under each step in reach. A pair of sizes m and n needs percent * (m + n) / (100 + percent) shingles in common,
+    so the first of them lies at most that far before the end of either. Shingles met once in all are left out."""
+    steps = _size_steps()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for name, component, data in zip(*[c.to_pylist() for c in batch.columns]):
+                s = np.frombuffer(data, np.uint64)
+                n = counts[_slots(s)]
+                order = np.lexsort((s, n))
+                s, held, m = s[order], n[order] > 1, len(s)
+                least = -(-percent * m // 100)
+                own, low = (int(np.searchsorted(steps, x, "right")) - 1 for x in (m, least))
+                asks = [(own, m, False)] + [(g, max(int(steps[g]), least), True) for g in range(low, own + 1)]
+                for g, other, ask in asks:
+                    most = m + percent * (m + other) // -(100 + percent) + 1
+                    at = np.flatnonzero(held[: max(most, 0)])
+                    if not len(at):
+                        continue
+                    size = len(at)
+                    key = _mixed(s[at] + _STEPS[g]).view(np.int64)
+                    cols = [pa.array(key), pa.array(np.full(size, ask)), pa.array(np.full(size, name)), pa.array(np.full(size, component)), pa.array(np.full(size, m)), pa.array(at)]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "asks", "name", "component", "size", "place"])
+
+    return run
+
+
+PREFIXES = "key long, asks boolean, name long, component long, size long, place long"
+
+
 def _alike(percent: int):
-    """Of every block the pairs (few, every) of different components that pass the size bound and the estimate."""
+    """Of every block the pairs (few, every) of different components that can be linked, by sizes, places and estimate."""
     least = 1 - (FINE * (1 - 0.5**BITS) + 0.5**BITS)
     most_differing = int(np.floor(least * BANDS * ROWS + 1e-9))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby(["bucket", "f", "e"], sort=False):
+        for _, part in pdf.groupby(["key", "f", "e"], sort=False):
             few, every = part[part["few"]], part[~part["few"]]
             theirs = every[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-            names, sizes, components, is_main = (every[c].to_numpy() for c in ("name", "size", "component", "is_main"))
+            asks, name, size, place, component, is_main = (every[c].to_numpy() for c in ("asks", "name", "size", "place", "component", "is_main"))
             for at in range(0, len(few), 256):
                 some = few.iloc[at : at + 256]
-                mine = some[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-                differing = np.zeros((len(some), len(every)), np.int32)
-                for i in range(WORDS):
-                    x = mine[:, i, None] ^ theirs[:, i]
-                    for j in range(1, BITS):
-                        x |= x >> np.uint64(j)
-                    differing += np.bitwise_count(x & np.uint64(_EVEN))
-                n, own = some["size"].to_numpy()[:, None], some["name"].to_numpy()[:, None]
-                may = (differing <= most_differing) & (some["component"].to_numpy()[:, None] != components)
-                may &= (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)) & (is_main | (own < names))
+                own_asks, own, m, own_place, mine = (some[c].to_numpy()[:, None] for c in ("asks", "name", "size", "place", "component"))
+                big, small, left = np.maximum(m, size), np.minimum(m, size), np.minimum(m - own_place, size - place)
+                may = (own_asks != asks) & (mine != component) & (np.where(own_asks, m, size) == big) & (is_main | (own < name))
+                may &= (100 * small >= percent * big) & ((100 + percent) * left >= percent * (big + small))
                 x, y = np.nonzero(may)
-                out.append(np.c_[some["name"].to_numpy()[x], names[y], sizes[y]])
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["hub", "other", "other_size"])
+                bits = some[SIGNATURE].to_numpy(np.int64).view(np.uint64)
+                for part_at in range(0, len(x), 1 << 18):
+                    i, j = x[part_at : part_at + (1 << 18)], y[part_at : part_at + (1 << 18)]
+                    differ = bits[i] ^ theirs[j]
+                    for k in range(1, BITS):
+                        differ |= differ >> np.uint64(k)
+                    ok = np.bitwise_count(differ & np.uint64(_EVEN)).sum(axis=1) <= most_differing
+                    out.append(np.c_[own[i[ok], 0], name[j[ok]], size[j[ok]]])
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["hub", "other", "other_size"]).drop_duplicates()
 
     return run
 
 
-def _bucket_pairs(placed: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(hub, other, other_size) of likely pairs of different components among the members (bucket, name, component) of a bucket."""
-    tally = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = F.max(F.struct("n", "component")).alias("most")
-    tally = tally.groupBy("bucket").agg(most, F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
-    tally = scratch.store(tally.select("bucket", F.col("most.component").alias("main"), F.ceil(F.col("n") / SLICE).alias("es"), F.ceil((F.col("n") - F.col("most.n")) / SLICE).alias("fs")), "mixed_buckets")
-    members = placed.join(tally, "bucket").join(sigs, "name").withColumn("is_main", F.col("component") == F.col("main")).drop("main")
-    members = scratch.store(members, "mixed_members")
+def _prefix_pairs(members: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, other, other_size), stored, of members (name, component, shingles) of different components that share a shingle where
+    a linked pair must share one, and are estimated to be alike."""
+    counted = members.select("shingles").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    counts[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    emitted = scratch.store(members.select("name", "component", "shingles").mapInArrow(_prefixes(shared, percent), PREFIXES), "prefixes")
+    tally = emitted.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tally = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
+    sliced = lambda n: F.ceil(n / SLICE)
+    tally = scratch.store(tally.select("key", F.col("most.component").alias("main"), sliced(F.col("n")).alias("es"), sliced(F.col("n") - F.col("most.n")).alias("fs")), "shared_keys")
+    # Of a key's components, the one with most rows is never compared with itself.
+    live = emitted.join(tally, "key").withColumn("is_main", F.col("component") == F.col("main")).drop("main")
+    live = scratch.store(live.join(sigs, "name"), "live_prefixes")
+    scratch.drop("prefixes", "shared_keys")
     slice_of = lambda n: F.pmod(F.xxhash64("name"), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    few = members.filter("not is_main").withColumn("few", F.lit(True)).withColumn("f", slice_of("fs")).withColumn("e", all_of("es"))
-    every = members.withColumn("few", F.lit(False)).withColumn("e", slice_of("es")).withColumn("f", all_of("fs"))
-    bins = max(1, -(-members.count() // BIN_ROWS))
-    blocks = few.unionByName(every).drop("es", "fs").withColumn("bin", F.pmod(F.xxhash64("bucket", "f", "e"), F.lit(bins)))
+    few = live.filter("not is_main").withColumn("few", F.lit(True)).withColumn("f", slice_of("fs")).withColumn("e", all_of("es"))
+    every = live.withColumn("few", F.lit(False)).withColumn("e", slice_of("es")).withColumn("f", all_of("fs"))
+    bins = max(1, -(-live.count() // BIN_ROWS))
+    blocks = few.unionByName(every).drop("es", "fs").withColumn("bin", F.pmod(F.xxhash64("key", "f", "e"), F.lit(bins)))
     pairs = blocks.groupBy("bin").applyInPandas(_alike(percent), "hub long, other long, other_size long").distinct()
-    pairs = scratch.store(pairs, "bucket_pairs")
-    scratch.drop("mixed_buckets", "mixed_members")
+    pairs = scratch.store(pairs, "prefix_pairs")
+    scratch.drop("live_prefixes")
     return pairs
 
 
@@ -337,12 +414,15 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         rest = rest.join(stars, "star", "left").filter("component <> coalesce(star_component, star)").select("bucket", "name", "size", "central", "component")
     scratch.drop("star_members", "star_pairs")
 
-    placed = _labelled(shared.select("bucket", "name", "size"), labels)
-    pairs = _bucket_pairs(placed, sigs, percent, scratch)
-    scratch.drop("shared_buckets")
-    confirmed(pairs, sets, percent, scratch)
+    placed = _labelled(shared.select("bucket", "name"), labels)
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    contested = placed.join(mixed, "bucket", "left_semi").select("name", "component").distinct()
+    members = scratch.store(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
+    scratch.drop("full_sets", "shared_buckets")
+    pairs = _prefix_pairs(members, sigs, percent, scratch)
+    confirmed(pairs, members, percent, scratch)
     labels = _merged(labels, scratch, "all_labels")
-    scratch.drop("full_sets", "bucket_pairs")
+    scratch.drop("contested_sets", "prefix_pairs")
 
     named = scratch.store(_labelled(classes.select("name", "least_id"), labels), "named_classes")
     least = scratch.store(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least_ids")
