@@ -58,6 +58,8 @@ SLOT_BITS = 21
 STEP = 1.12
 #: Signatures on either side of a block.
 SLICE = 4096
+#: Pairs that are held at once, but for those of a single row.
+PAIRS = 1 << 18
 #: Signatures in one task's group of blocks, about.
 BIN_ROWS = 50_000
 NO_ID = -(1 << 63)
@@ -304,27 +306,30 @@ def _alike(percent: int):
     most_differing = int(np.floor(least * BANDS * ROWS + 1e-9))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby(["key", "f", "e"], sort=False):
-            few, every = part[part["few"]], part[~part["few"]]
-            theirs = every[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-            asks, name, size, place, component, is_main = (every[c].to_numpy() for c in ("asks", "name", "size", "place", "component", "is_main"))
-            for at in range(0, len(few), 256):
-                some = few.iloc[at : at + 256]
-                own_asks, own, m, own_place, mine = (some[c].to_numpy()[:, None] for c in ("asks", "name", "size", "place", "component"))
-                big, small, left = np.maximum(m, size), np.minimum(m, size), np.minimum(m - own_place, size - place)
-                may = (own_asks != asks) & (mine != component) & (np.where(own_asks, m, size) == big) & (is_main | (own < name))
-                may &= (100 * small >= percent * big) & ((100 + percent) * left >= percent * (big + small))
-                x, y = np.nonzero(may)
-                bits = some[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-                for part_at in range(0, len(x), 1 << 18):
-                    i, j = x[part_at : part_at + (1 << 18)], y[part_at : part_at + (1 << 18)]
-                    differ = bits[i] ^ theirs[j]
-                    for k in range(1, BITS):
-                        differ |= differ >> np.uint64(k)
-                    ok = np.bitwise_count(differ & np.uint64(_EVEN)).sum(axis=1) <= most_differing
-                    out.append(np.c_[own[i[ok], 0], name[j[ok]], size[j[ok]]])
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["hub", "other", "other_size"]).drop_duplicates()
+        block, few = pdf.groupby(["key", "f", "e"], sort=False).ngroup().to_numpy(), pdf["few"].to_numpy()
+        asks, name, size, place, component, is_main = (pdf[c].to_numpy() for c in ("asks", "name", "size", "place", "component", "is_main"))
+        bits = pdf[SIGNATURE].to_numpy(np.int64).view(np.uint64)
+        one, other = np.flatnonzero(few), np.flatnonzero(~few)
+        other = other[np.argsort(block[other], kind="stable")]
+        low, high = (np.searchsorted(block[other], block[one], side) for side in ("left", "right"))
+        before = np.r_[0, np.cumsum(high - low)]
+        at, out = 0, [np.empty((0, 3), np.int64)]
+        while at < len(one):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
+            row = np.repeat(np.arange(at, to), (high - low)[at:to])
+            x, y = one[row], other[low[row] + np.arange(len(row)) - (before[row] - before[at])]
+            at = to
+            may = (component[x] != component[y]) & (asks[x] != asks[y]) & (is_main[y] | (name[x] < name[y]))
+            x, y = x[may], y[may]
+            big, small, left = np.maximum(size[x], size[y]), np.minimum(size[x], size[y]), np.minimum(size[x] - place[x], size[y] - place[y])
+            may = (np.where(asks[x], size[x], size[y]) == big) & (100 * small >= percent * big) & ((100 + percent) * left >= percent * (big + small))
+            x, y = x[may], y[may]
+            differ = bits[x] ^ bits[y]
+            for k in range(1, BITS):
+                differ |= differ >> np.uint64(k)
+            ok = np.bitwise_count(differ & np.uint64(_EVEN)).sum(axis=1) <= most_differing
+            out.append(np.c_[name[x[ok]], name[y[ok]], size[y[ok]]])
+        return pd.DataFrame(np.concatenate(out), columns=["hub", "other", "other_size"]).drop_duplicates()
 
     return run
 
