@@ -56,10 +56,17 @@ def video_id(url: str | Column) -> Column:
 
 
 def url_key(url: str | Column) -> Column:
-    """An address without scheme, www., fragment, time parameters and trailing slash."""
-    u = F.regexp_replace(F.regexp_replace(_col(url), "#.*$", ""), r"(?i)^https?://(www\.)?", "")
-    u = F.regexp_replace(F.regexp_replace(u, r"([?&])(t|start)=[^&]*(&|$)", "$1"), r"[?&]$", "")
-    return F.regexp_replace(u, "/+$", "")
+    """Host without www., path without trailing slashes, ? and the query without times; null without scheme and host."""
+    u = _col(url)
+    host = F.regexp_replace(F.lower(F.nullif(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1), F.lit(""))), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(u, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/+$", "")
+    pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    name = lambda p: F.substring_index(p, "=", 1)
+    # Form encoding, as far as it differs: a star is encoded, a tilde is not.
+    coded = lambda x: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    told = F.filter(pairs, lambda p: ~name(p).isin("t", "start"))
+    query = F.array_join(F.transform(told, lambda p: F.concat(coded(name(p)), F.lit("="), coded(F.regexp_replace(p, "^[^=]*=?", "")))), "&")
+    return F.concat(host, path, F.lit("?"), query)
 
 
 def clock(seconds: str | Column) -> Column:
@@ -96,12 +103,12 @@ def era_payload(payload: str) -> Column:
 
 
 def sample_windows(text: str | Column, size: int) -> Column:
-    """Start, middle and end of a long text by words, joined by [...]."""
+    """Start, middle and end of a long text by words, joined by lines of [...]."""
     w = F.filter(F.split(_col(text), COLLAPSE), lambda x: x != "")
     n = F.size(w)
     middle = F.slice(w, F.greatest(F.floor(n / 2).cast("int") - size // 2 + 1, F.lit(1)), size)
     tail = F.slice(w, F.greatest(n - size + 1, F.lit(1)), size)
-    return F.when(n <= 3 * size, F.array_join(w, " ")).otherwise(F.concat_ws(" [...] ", F.array_join(F.slice(w, 1, size), " "), F.array_join(middle, " "), F.array_join(tail, " ")))
+    return F.when(n <= 3 * size, F.array_join(w, " ")).otherwise(F.concat_ws("\n[...]\n", F.array_join(F.slice(w, 1, size), " "), F.array_join(middle, " "), F.array_join(tail, " ")))
 
 
 def without_visuals(text: str | Column) -> Column:
@@ -114,10 +121,47 @@ def without_visuals(text: str | Column) -> Column:
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "was", "what", "with")
 
 
-def topic_terms(text: str | Column) -> Column:
-    """Distinct lower-case terms of three letters or more, without stop words and a plural s."""
-    found = F.filter(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(found, lambda w: F.when(w.rlike("[^s]s$") & (F.length(w) > 3), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)))
+def _topic_words(text: Column) -> Column:
+    """Words with their inner apostrophes; a possessive 's goes."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}'’]*"), F.lit(0))
+    return F.filter(F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, "['’]+$", ""), "(?i)['’]s$", "")), lambda w: w != "")
+
+
+def _first_spellings(items: Column) -> Column:
+    """Without repeats in another case."""
+    pairs = F.transform(items, lambda x: F.struct(F.lower(x).alias("k"), x.alias("x")))
+    met = lambda kept, x: F.exists(kept, lambda y: y["k"] == x["k"])
+    kept = F.aggregate(pairs, F.array().cast("array<struct<k:string,x:string>>"), lambda kept, x: F.when(met(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.transform(kept, lambda y: y["x"])
+
+
+def topic_terms(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """The words that carry a topic, in order; a topic of stop words only keeps them all."""
+    words = _topic_words(_col(topic))
+    kept = F.filter(words, lambda w: ~F.lower(F.replace(w, F.lit("’"), F.lit("'"))).isin(*stop_words))
+    return _first_spellings(F.when(F.size(kept) > 0, kept).otherwise(words))
+
+
+def topic_queries(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """What to search for, in turn: the topic as written, its carrying words, the first three and the first two of them."""
+    written, terms = F.trim(_col(topic)), topic_terms(topic, stop_words)
+    asked = F.array(written, *[F.array_join(t, " ") for t in (terms, F.slice(terms, 1, 3), F.slice(terms, 1, 2))])
+    return F.when(F.coalesce(written, F.lit("")) == "", F.array().cast("array<string>")).otherwise(_first_spellings(F.filter(asked, lambda q: q != "")))
+
+
+def _term_key(word: Column) -> Column:
+    w = F.lower(word)
+    return F.when((F.length(w) > 4) & w.rlike("[^s]s$"), F.left(w, F.length(w) - 1)).otherwise(w)
+
+
+def topic_keys(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """The carrying words in the form they compare in: lower case, without a plural s above four letters."""
+    return F.array_distinct(F.transform(topic_terms(topic, stop_words), _term_key))
+
+
+def term_keys(text: str | Column) -> Column:
+    """All words of a text in the form they compare in."""
+    return F.array_distinct(F.transform(_topic_words(_col(text)), _term_key))
 
 
 def words_any_script(text: str | Column) -> Column:
@@ -160,11 +204,24 @@ def shingles(text: str | Column, n: int) -> Column:
     return F.array_distinct(F.coalesce(out, F.array().cast("array<string>")))
 
 
-def hashtag_phrases(text: str | Column) -> Column:
-    """#joined of neighbouring words."""
-    w = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pair = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("#"), a, b))
-    return F.array_distinct(pair)
+# Characters of a phrase's tag, phrases, single words.
+TAG_CHARS, TAG_PHRASES, TAG_WORDS = 30, 5, 3
+
+
+def hashtag(text: str | Column) -> Column:
+    return F.lower(F.regexp_replace(_col(text), r"[^\p{L}\p{N}\p{M}]", ""))
+
+
+def hashtags(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> tuple[Column, Column]:
+    """(phrases: the topic joined, its carrying words joined, each neighbouring pair of them; single words, longest first, for
+    when no phrase finds anything)."""
+    tags = F.filter(F.transform(topic_terms(topic, stop_words), hashtag), lambda t: t != "")
+    n = F.greatest(F.size(tags) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tags, 1, n), F.slice(tags, 2, n), lambda a, b: F.concat(a, b))
+    joined = F.array_distinct(F.concat(F.array(hashtag(topic), F.array_join(tags, "")), pairs))
+    phrases = F.filter(joined, lambda t: (t != "") & (F.length(t) <= TAG_CHARS))
+    single = F.transform(F.array_except(tags, phrases), lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return F.slice(phrases, 1, TAG_PHRASES), F.slice(F.transform(F.array_sort(single), lambda x: x["t"]), 1, TAG_WORDS)
 
 
 # What a log line must not show, and what stands for it.
@@ -184,11 +241,15 @@ def redacted(text: str | Column) -> Column:
     return out
 
 
-def verbatim_in(quote: str | Column, text: str | Column, least: int = 8) -> Column:
-    """Whether a text holds the quote, ignoring case, white space and quotation marks; short quotes never count."""
-    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(_col(c), "[\"'“”‘’]", ""), COLLAPSE, " "))
-    q = F.trim(plain(quote))
-    return (F.length(q) >= least) & F.contains(plain(text), q)
+def verbatim_span(quote: str | Column, text: str | Column, least: int = 8) -> Column:
+    """The span of a text that a quote copies, whatever the case, white space and kind of quotation marks; null where there is
+    none, and for quotes of less than so many characters."""
+    q = F.regexp_replace(F.regexp_replace(_col(quote), r"^\s+|\s+$", ""), "^[\"'“”]+|[\"'“”]+$", "")
+    q = F.regexp_replace(F.regexp_replace(q, r"^\s+", ""), r"\s+", " ")
+    pattern = F.regexp_replace(q, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    pattern = F.regexp_replace(F.regexp_replace(pattern, "['‘’]", "['‘’]"), "[\"“”]", "[\"“”]")
+    found = F.call_function("regexp_extract", _col(text), F.concat(F.lit("(?iu)"), F.replace(pattern, F.lit(" "), F.lit(r"\s+"))), F.lit(0))
+    return F.when(F.length(q) >= least, F.nullif(found, F.lit("")))
 
 
 # --- where Spark has no expression -----------------------------------------------------------------------------------

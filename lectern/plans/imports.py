@@ -56,20 +56,20 @@ def import_music(t: Tables):
     return out.select("external_id", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "title")
 
 
-@query("import_watches", "SELECT 'yt-watch:abcdef' || lpad(CAST(event_id AS VARCHAR), 5, '0') || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS external_id, date_trunc('second', ts) AS occurred_at, 'Film ' || event_id AS title, 'Channel ' || user_id AS text FROM events WHERE event_type <> 'error'")
+@query("import_watches", "SELECT 'yt-watch:abcdef' || lpad(CAST(event_id AS VARCHAR), 5, '0') || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS external_id, 'watched_video' AS event_type, date_trunc('second', ts) AS occurred_at, 'Film ' || event_id AS title, 'Channel ' || user_id AS text FROM events WHERE event_type <> 'error'")
 def import_watches(t: Tables):
     video = F.concat(F.lit("abcdef"), F.lpad(F.col("event_id").cast("string"), 5, "0"))
     ad = F.when(F.col("event_type") == "error", F.array(F.struct(F.lit("From Google Ads").alias("name"))))
-    rows = t.events.select(F.concat(F.lit("Watched "), _named("Film ", "event_id")).alias("title"), F.concat(F.lit("https://x/watch?v="), video).alias("titleUrl"), F.date_format("ts", ISO).alias("time"), F.array(F.struct(_named("Channel ", "user_id").alias("name"), F.lit("u").alias("url"))).alias("subtitles"), ad.alias("details"))
+    rows = t.events.select(F.concat(F.lit("Watched "), _named("Film ", "event_id")).alias("title"), F.concat(F.lit("https://www.youtube.com/watch?v="), video).alias("titleUrl"), F.date_format("ts", ISO).alias("time"), F.array(F.struct(_named("Channel ", "user_id").alias("name"), F.lit("u").alias("url"))).alias("subtitles"), ad.alias("details"))
     out = im.watch_history(t.spark, _json(t, rows, "watches"), lines=True)
-    return out.select("external_id", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "title", "text")
+    return out.select("external_id", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "title", "text")
 
 
-@query("import_searches", "SELECT event_type || ' ' || user_id AS title, date_trunc('second', ts) AS occurred_at FROM events")
+@query("import_searches", f"SELECT 'yt-search:' || {_STAMP} || '+00:00:' || left(sha1(event_type || ' ' || user_id), 20) AS external_id, 'searched_youtube' AS event_type, event_type || ' ' || user_id AS title, event_type || ' ' || user_id AS text, date_trunc('second', ts) AS occurred_at FROM events")
 def import_searches(t: Tables):
-    rows = t.events.select(F.lit("Searched").alias("title"), F.concat(F.lit("https://x/results?search_query="), F.col("event_type"), F.lit("+"), F.col("user_id").cast("string")).alias("titleUrl"), F.date_format("ts", ISO).alias("time"))
+    rows = t.events.select(F.lit("Searched").alias("title"), F.concat(F.lit("https://www.youtube.com/results?search_query="), F.col("event_type"), F.lit("+"), F.col("user_id").cast("string")).alias("titleUrl"), F.date_format("ts", ISO).alias("time"))
     out = im.search_history(t.spark, _json(t, rows, "searches"), lines=True)
-    return out.select("title", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
+    return out.select("external_id", "event_type", "title", "text", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
 
 
 @query("import_notes", "SELECT 'T' || event_id || CASE WHEN event_type = 'view' THEN '' ELSE chr(10) || chr(10) || 'body' END || chr(10) || chr(10) || '- [x] ' || user_id || chr(10) || '- [ ] eggs' AS text, date_trunc('second', ts) AS occurred_at FROM events WHERE event_type <> 'error'")
@@ -91,7 +91,7 @@ def import_books(t: Tables):
     return out.select("external_id", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "title", "text", "rating")
 
 
-@query("import_films", "WITH f AS (SELECT p_partkey, 'F' || p_partkey AS title, 1900 + p_size AS y, (p_partkey % 10) / 2 AS r FROM part) SELECT 'film_diary' AS event_type, title, r::DOUBLE AS rating FROM f WHERE p_partkey % 3 = 0 UNION ALL SELECT 'film_watched', title, r::DOUBLE FROM f WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'film_watchlist', title, NULL FROM f WHERE p_partkey % 7 = 0 UNION ALL SELECT 'film_review', title, r::DOUBLE FROM f WHERE p_partkey % 5 = 0")
+@query("import_films", "WITH f AS (SELECT p_partkey, 'F' || p_partkey AS n, CAST(1900 + p_size AS VARCHAR) AS y, (p_partkey % 10) / 2 AS r FROM part), e AS (SELECT 'lb:diary:' || n || y || '2024-01-04' AS external_id, 'watched_film' AS event_type, n, y, r::DOUBLE AS rating, NULL AS text FROM f WHERE p_partkey % 3 = 0 UNION ALL SELECT 'lb:watched:' || n || y, 'watched_film', n, y, r::DOUBLE, NULL FROM f WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'lb:watchlist:' || n || y, 'want_to_watch', n, y, NULL, NULL FROM f WHERE p_partkey % 7 = 0 UNION ALL SELECT 'lb:review:' || n || y || '2024-01-04', 'reviewed_film', n, y, r::DOUBLE, 'Good' FROM f WHERE p_partkey % 5 = 0) SELECT external_id, event_type, n || ' (' || y || ')' AS title, rating, text FROM e")
 def import_films(t: Tables):
     path = _folder(t, "films")
     films = t.part.select("p_partkey", _named("F", "p_partkey").alias("Name"), (F.col("p_size") + 1900).alias("Year"), ((F.col("p_partkey") % 10) / 2).alias("Rating"), F.lit("2024-01-05").alias("Date"), F.lit("2024-01-04").alias("Watched Date"), F.lit("Good").alias("Review"))
@@ -101,7 +101,7 @@ def import_films(t: Tables):
     write("reviews", films.filter("p_partkey % 5 = 0"), "Rating", "Review", "Watched Date")
     write("watched", films)
     write("watchlist", films.filter("p_partkey % 7 = 0"))
-    return im.films(t.spark, path).select("event_type", "title", "rating")
+    return im.films(t.spark, path).select("external_id", "event_type", "title", "rating", "text")
 
 
 @query("import_health", "SELECT event_type AS type, 'device ' || user_id AS source, date_trunc('second', ts) AS start, CAST(event_id AS VARCHAR) AS value FROM events")
@@ -152,10 +152,11 @@ def flattened_threads(t: Tables):
     return im.flattened_threads(rows)
 
 
-@query("reply_depths", "WITH RECURSIVE p AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id - 1 END AS up FROM events WHERE event_id % 11 > 0), w AS (SELECT id, 1 AS depth FROM p WHERE up = 0 UNION ALL SELECT p.id, depth + 1 FROM w JOIN p ON p.up = w.id) SELECT p.id, coalesce(w.depth, 1) AS depth FROM p LEFT JOIN w USING (id)")
+@query("reply_depths", "WITH RECURSIVE p AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN -1 WHEN event_id % 11 = 1 THEN -event_id - 10 ELSE event_id - 1 END AS up FROM events), w AS (SELECT id, 1 AS depth FROM p WHERE up = -1 UNION ALL SELECT p.id, depth + 1 FROM w JOIN p ON p.up = w.id) SELECT p.id, coalesce(w.depth, 1) AS depth FROM p LEFT JOIN w USING (id)")
 def reply_depths(t: Tables):
-    up = F.when(F.col("event_id") % 7 == 0, 0).otherwise(F.col("event_id") - 1)
-    return im.reply_depths(t.events.filter("event_id % 11 > 0").select(F.col("event_id").alias("id"), up.alias("in_reply_to"), F.lit(0).cast("long").alias("root")))
+    """Chains, with orphans whose parent does not exist."""
+    up = F.when(F.col("event_id") % 7 == 0, -1).when(F.col("event_id") % 11 == 1, -F.col("event_id") - 10).otherwise(F.col("event_id") - 1)
+    return im.reply_depths(t.events.select(F.col("event_id").alias("id"), up.alias("in_reply_to"), F.lit(-1).cast("long").alias("root")))
 
 
 @query("stored_posts", "SELECT 'reddit' AS source_type, CAST(event_id AS VARCHAR) AS id, 'u' || user_id AS author, event_type AS title, 'a & b' AS text, CAST(floor(value) AS BIGINT) AS score FROM events WHERE event_type IN ('view', 'click') AND ts > TIMESTAMP '2024-01-10' UNION ALL SELECT 'bluesky', CAST(event_id AS VARCHAR), 'u' || user_id, NULL, event_type, CAST(floor(value) AS BIGINT) FROM events WHERE event_type = 'purchase' AND ts > TIMESTAMP '2024-01-10'")
@@ -200,15 +201,40 @@ def tuple_rows(t: Tables):
     return t.conversations.select("conv_id", "turn", ex.tuple_json("s", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("line"))
 
 
-@query("text_windows", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) <= 12 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:4], ' ') || ' [...] ' || array_to_string(w[len(w) // 2 - 1:len(w) // 2 + 2], ' ') || ' [...] ' || array_to_string(w[len(w) - 3:], ' ') END AS sample FROM w")
+@query("text_windows", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) <= 12 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:4], ' ') || chr(10) || '[...]' || chr(10) || array_to_string(w[len(w) // 2 - 1:len(w) // 2 + 2], ' ') || chr(10) || '[...]' || chr(10) || array_to_string(w[len(w) - 3:], ' ') END AS sample FROM w")
 def text_windows(t: Tables):
     return t.documents.select("doc_id", fn.sample_windows("text", 4).alias("sample"))
 
 
-@query("hashtag_phrases", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 300)), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, len(w)), lambda i: '#' || w[i] || w[i + 1]))) AS n FROM w WHERE len(w) > 1")
+_TERMS = r"""WITH x AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}''’]*'), lambda w: regexp_replace(regexp_replace(w, '[''’]+$', ''), '(?i)[''’]s$', '')), lambda w: w <> '') AS w FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' ’The’ Cat’s news, LOSS' ELSE 'on the  with' END AS text FROM conversations)),
+k AS (SELECT *, list_filter(w, lambda w: lower(replace(w, '’', '''')) NOT IN ({stop})) AS k FROM x),
+t AS (SELECT *, CASE WHEN len(k) > 0 THEN k ELSE w END AS a FROM k),
+u AS (SELECT conv_id, turn, text, w, list_filter(a, lambda y, i: list_position(list_transform(a, lambda z: lower(z)), lower(y)) = i) AS terms FROM t),
+q AS (SELECT *, [trim(text), array_to_string(terms, ' '), array_to_string(terms[1:3], ' '), array_to_string(terms[1:2], ' ')] AS q FROM u)
+""".replace("{stop}", ", ".join(f"'{w}'" for w in fn.STOP_WORDS))
+_KEY = "CASE WHEN length(y) > 4 AND regexp_matches(lower(y), '[^s]s$') THEN left(lower(y), length(y) - 1) ELSE lower(y) END"
+
+
+def _topics(t: Tables):
+    """Turns as topics: as they are, with apostrophes and words that only look like plurals, and of stop words alone."""
+    text = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" ’The’ Cat’s news, LOSS"))).otherwise("on the  with")
+    return t.conversations.select("conv_id", "turn", text.alias("text"))
+
+
+@query("topic_terms", _TERMS + f"SELECT conv_id, turn, terms, list_sort(list_distinct(list_transform(terms, lambda y: {_KEY}))) AS keys, list_sort(list_distinct(list_transform(w, lambda y: {_KEY}))) AS all_keys, list_filter(q, lambda y, i: list_position(list_transform(q, lambda z: lower(z)), lower(y)) = i AND y <> '') AS queries FROM q")
+def topic_terms(t: Tables):
+    return _topics(t).select("conv_id", "turn", fn.topic_terms("text").alias("terms"), F.array_sort(fn.topic_keys("text")).alias("keys"), F.array_sort(fn.term_keys("text")).alias("all_keys"), fn.topic_queries("text").alias("queries"))
+
+
+@query("hashtag_phrases", _TERMS + r""", g AS (SELECT conv_id, turn, lower(regexp_replace(text, '[^\p{L}\p{N}\p{M}]', '', 'g')) AS whole, list_filter(list_transform(terms, lambda y: lower(regexp_replace(y, '[^\p{L}\p{N}\p{M}]', '', 'g'))), lambda y: y <> '') AS tags FROM u),
+j AS (SELECT *, list_concat([whole, array_to_string(tags, '')], list_transform(range(1, len(tags)), lambda i: tags[i] || tags[i + 1])) AS j FROM g),
+p AS (SELECT *, list_filter(j, lambda y, i: list_position(j, y) = i AND y <> '' AND length(y) <= 30) AS p FROM j),
+o AS (SELECT *, list_filter(tags, lambda y, i: list_position(tags, y) = i AND NOT list_contains(p, y)) AS o FROM p),
+s AS (SELECT conv_id, turn, p, list_sort(list_transform(o, lambda y, i: {'n': -length(y), 'i': i, 't': y})) AS s FROM o)
+SELECT conv_id, turn, p[1:5] AS phrases, list_transform(s[1:3], lambda y: y.t) AS words FROM s""")
 def hashtag_phrases(t: Tables):
-    """Of openings: phrases are made of neighbours."""
-    return t.documents.select("doc_id", F.size(fn.hashtag_phrases(F.left("text", F.lit(300)))).cast("long").alias("n")).filter("n > 0")
+    phrases, words = fn.hashtags("text")
+    return _topics(t).select("conv_id", "turn", phrases.alias("phrases"), words.alias("words"))
 
 
 @query("words_any_script", "SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}]+(?:[''’][\\p{L}\\p{M}]+)*') AS words FROM documents")
@@ -216,10 +242,12 @@ def words_any_script(t: Tables):
     return t.documents.select("doc_id", fn.words_any_script("text").alias("words"))
 
 
-@query("verbatim_quotes", "SELECT a.doc_id, length(trim(regexp_replace(lower(regexp_replace(left(a.text, 40), '[\"''“”‘’]', '', 'g')), '\\s+', ' ', 'g'))) >= 8 AS held FROM documents a")
+@query("verbatim_quotes", r"""WITH q AS (SELECT doc_id, text, regexp_replace(regexp_replace(left(text, 40), '^\s+|\s+$', '', 'g'), '^["''“”]+|["''“”]+$', '', 'g') AS q FROM documents)
+SELECT doc_id, CASE WHEN length(regexp_replace(regexp_replace(q, '^\s+', ''), '\s+', ' ', 'g')) >= 8 THEN regexp_replace(q, '^\s+', '') END AS span FROM q""")
 def verbatim_quotes(t: Tables):
-    """Every text holds its own opening in capitals, unless that is too short to count."""
-    return t.documents.select("doc_id", fn.verbatim_in(F.left("text", F.lit(40)), F.col("text")).alias("held"))
+    """Every text holds its own opening with its spaces doubled, unless that is too short to count."""
+    quote = F.replace(F.left("text", F.lit(40)), F.lit(" "), F.lit("  "))
+    return t.documents.select("doc_id", fn.verbatim_span(quote, F.col("text")).alias("span"))
 
 
 @query("article_pages", "WITH p AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages) SELECT page_id, title FROM p WHERE title <> ''")

@@ -43,10 +43,11 @@ def topic_match(t: Tables):
     return op.topic_match(t.documents.withColumn("title", F.left("text", F.lit(80))), ["the", "tion", "zz"], "title", "text", "doc_id", 700).select("doc_id", "hits", "filled")
 
 
-@query("flag_audit", "WITH c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT o_orderpriority, count(*) FILTER (f AND n IS NULL) AS flagged_without_chunks, count(*) FILTER (NOT f AND n IS NOT NULL) AS chunks_without_flag, CAST(coalesce(sum(n) FILTER (f IS NULL), 0) AS BIGINT) AS orphan_chunks FROM (SELECT o_orderkey AS k, o_orderpriority, o_orderstatus = 'O' AS f FROM orders WHERE o_orderkey % 7 <> 0) o FULL JOIN c USING (k) GROUP BY 1")
+@query("flag_audit", "WITH c AS (SELECT l_orderkey AS k, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 45 THEN l_orderkey + l_orderkey % 5 * 1000000 ELSE -l_orderkey END AS l_orderkey FROM lineitem) GROUP BY 1) SELECT o_orderpriority, count(*) FILTER (f AND n IS NULL) AS flagged_without_chunks, count(*) FILTER (NOT f AND n IS NOT NULL) AS chunks_without_flag, CAST(coalesce(sum(n) FILTER (f IS NULL), 0) AS BIGINT) AS orphan_chunks FROM (SELECT o_orderkey AS k, o_orderpriority, o_orderstatus = 'O' AS f FROM orders) o FULL JOIN c USING (k) GROUP BY 1")
 def flag_audit(t: Tables):
-    docs = t.orders.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), "o_orderpriority", (F.col("o_orderstatus") == "O").alias("f"))
-    return op.flag_audit(docs, t.lineitem.filter("l_quantity > 45").select(F.col("l_orderkey").alias("k")), "k", "f", "o_orderpriority")
+    """Lines as chunks, all of them: of many the document's key leads nowhere."""
+    docs = t.orders.select(F.col("o_orderkey").alias("k"), "o_orderpriority", (F.col("o_orderstatus") == "O").alias("f"))
+    return op.flag_audit(docs, t.lineitem.select(F.when(F.col("l_quantity") > 45, F.col("l_orderkey") + F.col("l_orderkey") % 5 * 1_000_000).otherwise(-F.col("l_orderkey")).alias("k")), "k", "f", "o_orderpriority")
 
 
 @query("precedence_merge", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_id % 5 = 0 AND value > 50) DESC, event_id) AS r FROM events WHERE event_id % 5 <> 0 OR value > 50) WHERE r = 1")

@@ -35,15 +35,17 @@ def headings(t: Tables):
     return rows.filter(F.size("headings") > 0)
 
 
-_URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '#.*$', ''), '(?i)^https?://(www\.)?', ''), '([?&])(t|start)=[^&]*(&|$)', '\1', 'g'), '[?&]$', ''), '/+$', '')"
-
-
-@query("url_keys", rf"WITH p AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '?t=' || page_id || '&v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0') WHEN 1 THEN '/#part' ELSE '' END AS u FROM pages) SELECT page_id, {_URL} AS key, nullif(regexp_extract(u, '(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{{11}})', 1), '') AS video FROM p")
+@query("url_keys", r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE 'HTTPS://www.' END || upper(regexp_extract(url, '://([^/]+)', 1)) || regexp_extract(url, '://[^/]+(.*)', 1) || CASE page_id % 3 WHEN 0 THEN CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 't=' || page_id || '&v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0') || '&q=a%20b*~' WHEN 1 THEN CASE WHEN contains(url, '?') THEN '&x#part' ELSE '/?x#part' END ELSE '' END AS u, CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) || CASE WHEN page_id % 3 < 2 THEN '&' ELSE '' END ELSE '' END AS own FROM (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages))
+SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN lower(regexp_extract(u, '://www\.([^/?#]+)', 1)) || regexp_replace(regexp_extract(u, '://[^/?#]+([^?#]*)', 1), '/+$', '') || '?' || own || CASE page_id % 3 WHEN 0 THEN 'v=abcdefgh' || lpad(CAST(page_id AS VARCHAR), 3, '0') || '&q=a+b%2A~' WHEN 1 THEN 'x=' ELSE '' END END AS key, nullif(regexp_extract(u, '(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})', 1), '') AS video FROM p""")
 def url_keys(t: Tables):
-    """Every address as it is, a third of them with a time and a video besides, a third with a fragment."""
-    video = F.concat(F.lit("?t="), F.col("page_id").cast("string"), F.lit("&v=abcdefgh"), F.lpad(F.col("page_id").cast("string"), 3, "0"))
-    end = F.when(F.col("page_id") % 3 == 0, video).when(F.col("page_id") % 3 == 1, F.lit("/#part")).otherwise("")
-    pages = t.pages.select("page_id", F.concat("url", end).alias("url"))
+    """Every address with its host in capitals: a third with a time, a video and a coded query, a third with a name alone and a fragment, and some without a scheme."""
+    i = F.col("page_id").cast("string")
+    asked = F.contains(F.col("url"), F.lit("?"))
+    video = F.concat(F.when(asked, "&").otherwise("?"), F.lit("t="), i, F.lit("&v=abcdefgh"), F.lpad(i, 3, "0"), F.lit("&q=a%20b*~"))
+    end = F.when(F.col("page_id") % 3 == 0, video).when(F.col("page_id") % 3 == 1, F.when(asked, "&x#part").otherwise("/?x#part")).otherwise("")
+    scheme = F.when(F.col("page_id") % 7 == 0, "").otherwise("HTTPS://www.")
+    host, rest = F.regexp_extract("url", "://([^/]+)", 1), F.regexp_extract("url", "://[^/]+(.*)", 1)
+    pages = t.pages.withColumn("url", F.regexp_replace("url", "#.*", "")).select("page_id", F.concat(scheme, F.upper(host), rest, end).alias("url"))
     return pages.select("page_id", fn.url_key("url").alias("key"), fn.video_id("url").alias("video"))
 
 
@@ -69,11 +71,6 @@ def era_payloads(t: Tables):
     return t.events.select("event_id", payload.alias("p")).select("event_id", fn.era_payload("p").alias("e")).select("event_id", "e.*")
 
 
-@query("topic_terms", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS w FROM documents) SELECT doc_id, list_sort(list(DISTINCT CASE WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END)) AS terms FROM w WHERE w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'this', 'to', 'was', 'what', 'with') GROUP BY 1")
-def topic_terms(t: Tables):
-    return t.documents.select("doc_id", F.array_sort(fn.topic_terms("text")).alias("terms")).filter(F.size("terms") > 0)
-
-
 @query("visual_marks", r"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a b' ELSE 'a  [VISUAL open ' || event_id END AS t FROM events")
 def visual_marks(t: Tables):
     i = F.col("event_id").cast("string")
@@ -137,11 +134,11 @@ def edit_words(t: Tables):
     return alignment.with_edits(sides, "draft", "text", "passage").select("conv_id", "turn", "edits.*")
 
 
-_MIXED = "translate(left(text, 400), 'aeo', 'аεо')"
+_MIXED = "translate(text, 'aeo', 'аεо')"
 
 
 @query("mixed_scripts", f"WITH t AS (SELECT doc_id, {_MIXED} AS t FROM documents), n AS (SELECT doc_id, t, len(regexp_extract_all(t, '\\p{{Cyrillic}}')) AS c, len(regexp_extract_all(t, '\\p{{Greek}}')) AS g FROM t) SELECT doc_id, list_filter(regexp_extract_all(t, '[^\\s\\x0B]+'), lambda w: regexp_matches(w, '\\p{{Cyrillic}}') AND regexp_matches(w, '\\p{{Greek}}')) AS words, CASE WHEN c + g = 0 THEN NULL WHEN c >= g THEN 'CYRILLIC' ELSE 'GREEK' END AS script FROM n")
 def mixed_scripts(t: Tables):
-    """Openings with some Latin letters replaced by look-alikes."""
-    text = F.translate(F.left("text", F.lit(400)), "aeo", "аεо")
+    """Texts with some Latin letters replaced by look-alikes."""
+    text = F.translate("text", "aeo", "аεо")
     return t.documents.select("doc_id", fn.mixed_script_words(text).alias("words"), fn.dominant_script(text).alias("script"))

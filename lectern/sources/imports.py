@@ -69,35 +69,52 @@ def music_history(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return rows.select(F.concat_ws("|", when, F.coalesce("uri", short_id("name", "by"))).alias("external_id"), F.col("kind").alias("event_type"), F.col("at").alias("occurred_at"), title.alias("title"), F.col("by").alias("text"))
 
 
-def watch_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Watched videos, without advertisements."""
+def _iso(at: Column) -> Column:
+    """A UTC time as ids hold it: microseconds only where there are some."""
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+
+
+def _activity(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """Entries of a video service's history that are no advertisements, with their time (at)."""
     df = _json(spark, path, lines, "title string, titleUrl string, time string, subtitles array<struct<name:string,url:string>>, details array<struct<name:string>>")
     ad = F.coalesce(F.exists("details", lambda d: F.contains(F.lower(d["name"]), F.lit("ads"))), F.lit(False))
-    video, at = F.nullif(F.regexp_extract("titleUrl", "[?&]v=([^&#]+)", 1), F.lit("")), parsed_time("time", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")
-    rows = df.filter(~ad & video.isNotNull() & at.isNotNull())
-    return rows.select(F.concat_ws(":", F.lit("yt-watch"), video, "time").alias("external_id"), F.lit("watched").alias("event_type"), at.alias("occurred_at"), F.regexp_replace("title", "^Watched ", "").alias("title"), F.get("subtitles", F.lit(0))["name"].alias("text"))
+    return df.filter(~ad).withColumn("at", parsed_time("time", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")).filter("at is not null")
+
+
+def watch_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Watched videos; entries without a video's address are left out."""
+    addresses = (r"youtube\.com(?::\d+)?/watch\?(?:[^#]*&)?v=([^&#]+)", r"^\w+://[^/?#]*youtu\.be/+([^?#]+)")
+    video = F.coalesce(*[F.nullif(F.regexp_extract("titleUrl", p, 1), F.lit("")) for p in addresses])
+    rows = _activity(spark, path, lines).withColumn("video", video).filter("video is not null")
+    title = F.coalesce(F.nullif(F.regexp_replace(F.trim("title"), r"(?i)^Watched\s+", ""), F.lit("")), F.col("video"))
+    row_name = F.concat(F.lit("yt-watch:"), "video", F.lit(":"), _iso(F.col("at")))
+    return rows.select(row_name.alias("external_id"), F.lit("watched_video").alias("event_type"), F.col("at").alias("occurred_at"), title.alias("title"), F.get("subtitles", F.lit(0))["name"].alias("text"))
 
 
 def search_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    df = _json(spark, path, lines, "title string, titleUrl string, time string, details array<struct<name:string>>")
-    ad = F.coalesce(F.exists("details", lambda d: F.contains(F.lower(d["name"]), F.lit("ads"))), F.lit(False))
-    query = F.nullif(F.try_url_decode(F.regexp_extract("titleUrl", "[?&]search_query=([^&#]+)", 1)), F.lit(""))
-    at = parsed_time("time", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX")
-    rows = df.filter(~ad & query.isNotNull() & at.isNotNull())
-    return rows.select(F.concat_ws(":", F.lit("yt-search"), "time", row_id(query)).alias("external_id"), F.lit("searched").alias("event_type"), at.alias("occurred_at"), query.alias("title"), F.lit(None).cast("string").alias("text"))
+    """Searches: what was typed is title and text."""
+    query = F.nullif(F.try_url_decode(F.regexp_extract("titleUrl", r"youtube\.com(?::\d+)?/results\?(?:[^#]*&)?search_query=([^&#]+)", 1)), F.lit(""))
+    rows = _activity(spark, path, lines).withColumn("query", query).filter("query is not null")
+    row_name = F.concat(F.lit("yt-search:"), _iso(F.col("at")), F.lit(":"), short_id("query"))
+    return rows.select(row_name.alias("external_id"), F.lit("searched_youtube").alias("event_type"), F.col("at").alias("occurred_at"), F.col("query").alias("title"), F.col("query").alias("text"))
 
 
 def notes(spark: SparkSession, path: str, trashed: bool = False, lines: bool = False) -> DataFrame:
     """Notes as shares: title, body, list lines and links, joined by empty lines."""
     schema = "title string, textContent string, isTrashed boolean, listContent array<struct<text:string,isChecked:boolean>>, annotations array<struct<url:string>>, userEditedTimestampUsec long, createdTimestampUsec long"
-    df = _json(spark, path, lines, schema)
-    items = F.array_join(F.transform("listContent", lambda x: F.concat(F.when(x["isChecked"], "- [x] ").otherwise("- [ ] "), F.coalesce(x["text"], F.lit("")))), "\n")
-    links = F.array_join(F.transform("annotations", lambda a: a["url"]), "\n")
+    df = _json(spark, path, lines, schema).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    told = F.filter("listContent", lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+    items = F.array_join(F.transform(told, lambda x: F.concat(F.when(x["isChecked"], "- [x] ").otherwise("- [ ] "), F.trim(x["text"]))), "\n")
+    links = F.array_join(F.filter(F.transform("annotations", lambda a: a["url"]), lambda u: u != ""), "\n")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     text = F.concat_ws("\n\n", blank(F.col("title")), blank(F.col("textContent")), blank(items), blank(links))
-    at = F.timestamp_micros(F.coalesce(F.nullif("userEditedTimestampUsec", F.lit(0)), F.nullif("createdTimestampUsec", F.lit(0))))
+    past = lambda c: F.when(F.col(c) > 0, F.col(c))
+    at = F.timestamp_micros(F.coalesce(past("userEditedTimestampUsec"), past("createdTimestampUsec")))
+    given = lambda c: F.nullif(F.col(c), F.lit(0).cast("long")).cast("string")
+    created = F.coalesce(given("createdTimestampUsec"), given("userEditedTimestampUsec"), F.lit(""))
     rows = df if trashed else df.filter(~F.coalesce("isTrashed", F.lit(False)))
-    return rows.filter(text != "").select(row_id(text, at).alias("external_id"), F.lit("note").alias("event_type"), at.alias("occurred_at"), blank(F.col("title")).alias("title"), text.alias("text"))
+    return rows.filter(text != "").select(F.concat(F.lit("keep:"), short_id("file", created)).alias("external_id"), F.lit("note").alias("event_type"), at.alias("occurred_at"), blank(F.col("title")).alias("title"), text.alias("text"))
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -125,19 +142,32 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 
 def films(spark: SparkSession, folder: str) -> DataFrame:
     """Diary, reviews, watchlist, and watched films that the diary lacks; ratings by (name, year), the later row of two."""
-    read = lambda n: _csv(spark, f"{folder}/{n}.csv")
+    clean = lambda c: F.coalesce(F.trim(c), F.lit(""))
+
+    def read(name: str) -> DataFrame:
+        df = optional(_csv(spark, f"{folder}/{name}.csv"), "Year", "Rating", "Review", "Watched Date", "Letterboxd URI")
+        return df.withColumns({"Name": clean("Name"), "Year": clean("Year"), "Rating": F.col("Rating").try_cast("double")}).filter("Name <> ''")
+
+    # A file of quoted lines is never split, so rows are numbered in its order; of several files the later by name counts.
+    ratings = read("ratings").withColumn("place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    ratings = ratings.groupBy("Name", "Year").agg(F.max_by("Rating", "place").alias("Rating"))
     day = lambda c: parsed_time(c, "yyyy-MM-dd")
-    key = ["Name", "Year"]
-    rated = read("ratings").withColumn("__i", F.monotonically_increasing_id()).groupBy(*key).agg(F.max_by("Rating", F.struct("Date", "__i")).cast("double").alias("rating"))
-    one = lambda df, kind, at, text: df.filter(at.isNotNull()).select(F.concat_ws(":", F.lit(kind), "Name", F.coalesce("Year", F.lit("")), F.date_format(at, "yyyy-MM-dd")).alias("external_id"), F.lit(f"film_{kind}").alias("event_type"), at.alias("occurred_at"), F.col("Name").alias("title"), text.alias("text"), F.col("rating"))
-    none = F.lit(None).cast("string")
-    diary = read("diary").withColumn("rating", F.col("Rating").cast("double"))
-    reviews = read("reviews").withColumn("rating", F.col("Rating").cast("double")).filter(F.trim("Review") != "")
-    seen = read("watched").join(diary.select(*key).distinct(), key, "left_anti").join(rated, key, "left")
-    out = one(diary, "diary", F.coalesce(day("Watched Date"), day("Date")), none)
-    out = out.unionByName(one(reviews, "review", F.coalesce(day("Watched Date"), day("Date")), F.col("Review")))
-    out = out.unionByName(one(seen, "watched", day("Date"), none))
-    return out.unionByName(one(read("watchlist").withColumn("rating", F.lit(None).cast("double")), "watchlist", day("Date"), none))
+
+    def events(df: DataFrame, kind: str, event: str, at: Column, text: Column, dated: bool) -> DataFrame:
+        named = F.concat("Name", "Year", F.date_format("at", "yyyy-MM-dd") if dated else F.lit(""))
+        title = F.when(F.col("Year") != "", F.concat("Name", F.lit(" ("), "Year", F.lit(")"))).otherwise(F.col("Name"))
+        row_name = F.concat(F.lit(f"lb:{kind}:"), F.coalesce(F.nullif(F.trim("Letterboxd URI"), F.lit("")), named))
+        rows = df.withColumn("at", at).filter("at is not null")
+        return rows.select(row_name.alias("external_id"), F.lit(event).alias("event_type"), F.col("at").alias("occurred_at"), title.alias("title"), text.alias("text"), F.col("Rating").alias("rating"))
+
+    none, seen_on = F.lit(None).cast("string"), F.coalesce(day("Watched Date"), day("Date"))
+    diary, key = read("diary").filter(seen_on.isNotNull()), ["Name", "Year"]
+    seen = read("watched").drop("Rating").join(diary.select(*key).distinct(), key, "left_anti").join(ratings, key, "left")
+    out = events(diary, "diary", "watched_film", seen_on, none, True)
+    out = out.unionByName(events(read("reviews").filter(clean("Review") != ""), "review", "reviewed_film", seen_on, F.trim("Review"), True))
+    out = out.unionByName(events(seen, "watched", "watched_film", day("Date"), none, False))
+    wanted = read("watchlist").withColumn("Rating", F.lit(None).cast("double"))
+    return out.unionByName(events(wanted, "watchlist", "want_to_watch", day("Date"), none, False))
 
 
 def activities(spark: SparkSession, path: str) -> DataFrame:
@@ -146,12 +176,23 @@ def activities(spark: SparkSession, path: str) -> DataFrame:
     header = lines.limit(1).first()
     names: dict[str, str] = {}
     for c, n in zip(lines.columns, header or []):
-        names.setdefault(n, c)
-    col = lambda n: F.col(names[n]) if n in names else F.lit(None).cast("string")
+        names.setdefault((n or "").strip(), c)
+    col = lambda n: F.nullif(F.trim(F.col(names[n])), F.lit("")) if n in names else F.lit(None).cast("string")
     number = lambda n: F.round(F.regexp_replace(col(n), ",", "").try_cast("double"), 2)
     at = parsed_time(col("Activity Date"), "MMM d, yyyy, h:mm:ss a", "yyyy-MM-dd HH:mm:ss")
-    rows = lines.filter(at.isNotNull() & (F.trim(col("Activity ID")) != ""))
-    return rows.select(F.concat(F.lit("activity:"), col("Activity ID")).alias("external_id"), F.lit("activity").alias("event_type"), at.alias("occurred_at"), F.concat(F.coalesce(col("Activity Name"), F.lit("Activity")), F.lit(" ("), F.coalesce(col("Activity Type"), F.lit("?")), F.lit(")")).alias("title"), F.lit(None).cast("string").alias("text"), number("Distance").alias("distance"), number("Elapsed Time").alias("elapsed"))
+    name, kind = F.coalesce(col("Activity Name"), F.lit("")), col("Activity Type")
+    title = F.when(kind.isNotNull(), F.concat(name, F.lit(" ("), kind, F.lit(")"))).otherwise(name)
+    rows = lines.filter(at.isNotNull() & col("Activity ID").isNotNull())
+    return rows.select(
+        F.concat(F.lit("strava:"), col("Activity ID")).alias("external_id"),
+        F.lit("workout").alias("event_type"),
+        at.alias("occurred_at"),
+        title.alias("title"),
+        col("Activity Description").alias("text"),
+        number("Distance").alias("distance"),
+        number("Elapsed Time").alias("elapsed_s"),
+        number("Moving Time").alias("moving_s"),
+    )
 
 
 def health_records(spark: SparkSession, path: str) -> DataFrame:
@@ -237,6 +278,7 @@ def canonical_segments(segments: Column | str) -> Column:
     return F.transform(some, lambda s: F.struct(F.trim(s["text"]).alias("text"), s["start"].alias("start"), F.greatest(s["end"] - s["start"], F.lit(0.0)).alias("duration")))
 
 
+# How a text export writes days, times and senders, and what it writes in place of other messages.
 _DAY, _CLOCK = r"(\d{1,4}[./-]\d{1,2}[./-]\d{1,4})", r"(\d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?: ?[AaPp]\.? ?[Mm]\.?)?)"
 #: [day, time] sender: text, then day, time - sender: text (a hyphen or a dash); last a line of the service itself.
 CHAT_HEADERS = (
@@ -287,9 +329,8 @@ def chat_messages(lines: DataFrame, chat: str, number: str, value: str, zone: st
 def chat_shares(turns: DataFrame, chat: str, sender: str, at: str, lines: str) -> DataFrame:
     """Turns (at in UTC, lines: array of texts) as shares: those with a line that is more than a mark in brackets; the id is of chat, sender and first time."""
     told = F.exists(lines, lambda x: ~F.trim(x).rlike(r"^(\[[^\]]*\]|<[^>]*>)?$"))
-    when = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     rows = turns.filter(F.coalesce(told, F.lit(False)) & F.col(sender).isNotNull())
-    return rows.select(short_id(chat, sender, when).alias("external_id"), chat, sender, F.col(at).alias("occurred_at"), F.array_join(lines, "\n").alias("text"))
+    return rows.select(F.concat(F.lit("whatsapp:"), short_id(chat, sender, _iso(F.col(at)))).alias("external_id"), chat, sender, F.col(at).alias("occurred_at"), F.array_join(lines, "\n").alias("text"))
 
 
 # --- posts of stored listings -------------------------------------------------------------------------------------------

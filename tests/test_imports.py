@@ -34,20 +34,25 @@ def test_music_history_both_layouts(spark, tmp_path):
 
 def test_watch_and_search_history(spark, tmp_path):
     watch = [
-        {"title": "Watched A film", "titleUrl": "https://x/watch?v=abcdefghijk", "time": "2024-02-01T10:00:00.123Z", "subtitles": [{"name": "Channel", "url": "u"}]},
-        {"title": "Ad", "titleUrl": "https://x/watch?v=zzzzzzzzzzz", "time": "2024-02-01T10:00:00Z", "details": [{"name": "From Google Ads"}]},
+        {"title": "Watched A film", "titleUrl": "https://www.youtube.com/watch?v=abcdefghijk", "time": "2024-02-01T10:00:00.123Z", "subtitles": [{"name": "Channel", "url": "u"}]},
+        {"title": "Ad", "titleUrl": "https://www.youtube.com/watch?v=zzzzzzzzzzz", "time": "2024-02-01T10:00:00Z", "details": [{"name": "From Google Ads"}]},
         {"title": "Gone", "time": "2024-02-01T10:00:00Z"},
+        {"title": "Other", "titleUrl": "https://host/watch?v=zzzzzzzzzzz", "time": "2024-02-01T10:00:00Z"},
+        {"title": " ", "titleUrl": "https://youtu.be/kkk?t=1", "time": "2024-02-01T10:00:00Z"},
     ]
     rows = im.watch_history(spark, write(tmp_path, "w.json", watch)).collect()
-    assert [(r.title, r.text) for r in rows] == [("A film", "Channel")]
-    search = [{"title": "Searched for a b", "titleUrl": "https://x/results?search_query=a+b%20c", "time": "2024-02-01T10:00:00Z"}]
-    assert [r.title for r in im.search_history(spark, write(tmp_path, "s.json", search)).collect()] == ["a b c"]
+    assert [(r.external_id, r.event_type, r.title, r.text) for r in rows] == [("yt-watch:abcdefghijk:2024-02-01T10:00:00.123000+00:00", "watched_video", "A film", "Channel"), ("yt-watch:kkk:2024-02-01T10:00:00+00:00", "watched_video", "kkk", None)]
+    search = [{"title": "Searched for a b", "titleUrl": "https://www.youtube.com/results?search_query=a+b%20c", "time": "2024-02-01T10:00:00Z"}]
+    row = im.search_history(spark, write(tmp_path, "s.json", search)).first()
+    digest = hashlib.sha1(b"a b c").hexdigest()[:20]
+    assert (row.external_id, row.event_type, row.title, row.text) == (f"yt-search:2024-02-01T10:00:00+00:00:{digest}", "searched_youtube", "a b c", "a b c")
 
 
 def test_notes(spark, tmp_path):
-    data = [{"title": "T", "textContent": "", "listContent": [{"text": "milk", "isChecked": True}, {"text": "eggs", "isChecked": False}], "userEditedTimestampUsec": 1700000000000000}, {"title": "gone", "isTrashed": True}, {"title": " "}]
+    data = [{"title": "T", "textContent": "", "listContent": [{"text": "milk", "isChecked": True}, {"text": " eggs ", "isChecked": False}, {"text": " ", "isChecked": True}], "userEditedTimestampUsec": 1700000000000000}, {"title": "gone", "isTrashed": True}, {"title": " "}]
     rows = im.notes(spark, write(tmp_path, "n.json", data)).collect()
-    assert [r.text for r in rows] == ["T\n\n- [x] milk\n- [ ] eggs"]
+    name = hashlib.sha1("n.json\x1f1700000000000000".encode()).hexdigest()[:20]
+    assert [(r.external_id, r.text) for r in rows] == [(f"keep:{name}", "T\n\n- [x] milk\n- [ ] eggs")]
 
 
 def test_books_films_activities(spark, tmp_path):
@@ -60,15 +65,20 @@ def test_books_films_activities(spark, tmp_path):
     films = tmp_path / "films"
     films.mkdir()
     write(films, "diary.csv", "Date,Name,Year,Rating,Watched Date\n2024-01-05,F1,2000,4,2024-01-04\n")
-    write(films, "ratings.csv", "Date,Name,Year,Rating\n2024-01-01,F2,2001,2\n2024-02-01,F2,2001,3.5\n")
+    write(films, "ratings.csv", "Date,Name,Year,Rating\n2024-02-01,F2,2001,2\n2024-01-01,F2,2001,3\n")
     write(films, "reviews.csv", "Date,Name,Year,Rating,Review,Watched Date\n2024-01-05,F1,2000,4,Good,2024-01-04\n2024-01-06,F3,2000,4, ,2024-01-04\n")
     write(films, "watched.csv", "Date,Name,Year\n2024-01-05,F1,2000\n2024-01-07,F2,2001\n")
     write(films, "watchlist.csv", "Date,Name,Year\n2024-03-01,F4,\n")
-    got = sorted((r.event_type, r.title, r.rating) for r in im.films(spark, str(films)).collect())
-    assert got == [("film_diary", "F1", 4.0), ("film_review", "F1", 4.0), ("film_watched", "F2", 3.5), ("film_watchlist", "F4", None)]
+    got = sorted((r.external_id, r.event_type, r.title, r.rating, r.text) for r in im.films(spark, str(films)).collect())
+    assert got == [
+        ("lb:diary:F120002024-01-04", "watched_film", "F1 (2000)", 4.0, None),
+        ("lb:review:F120002024-01-04", "reviewed_film", "F1 (2000)", 4.0, "Good"),
+        ("lb:watched:F22001", "watched_film", "F2 (2001)", 3.0, None),
+        ("lb:watchlist:F4", "want_to_watch", "F4", None, None),
+    ]
     acts = 'Activity ID,Activity Date,Activity Name,Activity Type,Elapsed Time,Distance,Elapsed Time,Distance\n7,"Jan 5, 2024, 7:08:09 AM",Run,Run,"1,234.567",5,9,9\n,"Jan 5, 2024, 7:08:09 AM",x,y,1,1,1,1\n'
     row = im.activities(spark, write(tmp_path, "a.csv", acts)).collect()
-    assert [(r.title, r.elapsed, r.distance) for r in row] == [("Run (Run)", 1234.57, 5.0)]
+    assert [(r.external_id, r.event_type, r.title, r.elapsed_s, r.distance) for r in row] == [("strava:7", "workout", "Run (Run)", 1234.57, 5.0)]
 
 
 def test_health_and_feed(spark, tmp_path):
@@ -135,7 +145,7 @@ def test_chat_shares(spark):
     rows = [("c", "Ann", datetime(2024, 1, 2, 3, 4, 5), ["hi", "[image]"]), ("c", "Bob", datetime(2024, 1, 2), ["[redacted]", "<attached: x>"]), ("c", "Cy", datetime(2024, 1, 3), [])]
     got = im.chat_shares(spark.createDataFrame(rows, "chat string, sender string, at timestamp, lines array<string>"), "chat", "sender", "at", "lines").collect()
     want = hashlib.sha1("c\x1fAnn\x1f2024-01-02T03:04:05+00:00".encode()).hexdigest()[:20]
-    assert [(r.external_id, r.text) for r in got] == [(want, "hi\n[image]")]
+    assert [(r.external_id, r.text) for r in got] == [(f"whatsapp:{want}", "hi\n[image]")]
 
 
 def test_posts_of_five_services_and_what_fails(spark):
