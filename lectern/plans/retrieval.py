@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import graph, retrieval as op
+from lectern.operators.postings import PostingIndex
+from lectern.operators.stored import shared_folder
 from lectern.plans.registry import Tables, query
 
 _COS = "round(1 - list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 12)"
@@ -76,6 +80,15 @@ def bm25_search(t: Tables):
     return op.bm25(docs, ["tion", "ther"], "doc_id", {"title": 5.0, "text": 1.0}, "at")
 
 
+@query("indexed_search", _bm25_sql(["tion", "ther"], {"title": 5.0, "text": 1.0}, 20))
+def indexed_search(t: Tables):
+    """The search of bm25_search from a stored index of trigrams, which is built first."""
+    docs = t.documents.select("doc_id", F.left("text", F.lit(60)).alias("title"), "text").withColumn("at", F.col("doc_id"))
+    index = PostingIndex(t.spark, f"{shared_folder(t.spark)}/lectern/postings-{uuid.uuid4().hex}", "doc_id", ("title", "text"))
+    index.add(docs)
+    return index.search(docs, ["tion", "ther"], {"title": 5.0, "text": 1.0}, "at")
+
+
 @query("grouped_search", "SELECT kind, id, title FROM (SELECT 'customer' AS kind, c_custkey AS id, c_name AS title FROM customer WHERE contains(lower(c_name), '12') UNION ALL SELECT 'part', p_partkey, p_name FROM part WHERE contains(lower(p_name), '12') UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '12')) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY id DESC) <= 10")
 def grouped_search(t: Tables):
     from lectern.operators.filters import like_any
