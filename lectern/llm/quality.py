@@ -123,6 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_
     return train([(r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows])
 
 
+#: Bytes of text whose words are held at once, but for those of a longer single text.
+SCORED_BYTES = 4 << 20
+
+
 class _Sums:
     """Of MEMO words, the sum of each one's bucket scores and the number of its features; forgets all when full."""
 
@@ -180,7 +184,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Sums(shared.value)
-        for batch in split_batches(batches, "text"):
+        for batch in split_batches(batches, "text", SCORED_BYTES):
             z = logits(batch.column(1).to_pylist(), memo, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
@@ -193,7 +197,7 @@ def scored_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Sums(shared.value)
-        for batch in split_batches(batches, text_col):
+        for batch in split_batches(batches, text_col, SCORED_BYTES):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             z = logits(texts, memo, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, name])
