@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import accumulate
 
 import pandas as pd
@@ -188,8 +187,3 @@ def even_split(sizes: DataFrame, by: list[str], kind: str, size: str, total: int
     rows = rows.withColumn("left", F.col("spend") - F.sum("taken").over(w)).withColumn("room", (F.col("n") > F.col("taken")).cast("int"))
     nth = F.sum("room").over(w.orderBy(kind).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("share", F.col("taken") + F.when((F.col("room") == 1) & (nth <= F.col("left")), 1).otherwise(0)).select(*by, kind, "share")
-
-
-def in_groups(f: Callable[[pd.DataFrame], pd.DataFrame], df: DataFrame, by: list[str], schema: str) -> DataFrame:
-    """A grouped map, for what depends on a group's order."""
-    return df.groupBy(*by).applyInPandas(f, schema)
