@@ -10,7 +10,8 @@ are not reported.
 checksum; ``features_of`` reads the stored bytes back through the sniffer.
 
 Defined cases: a null value has no type and no span; an empty one too; a null text is the empty text, stored as
-64 zero bytes; repeated rows are handled each; an empty table gives an empty result; other columns are not read.
+64 zero bytes; repeated rows are handled each; very long values are validated whole; of media that
+begin at one place the longest counts, then the first type by name; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

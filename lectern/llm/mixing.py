@@ -11,7 +11,8 @@ Tokens are counted by ``token_estimate``, from the bytes of a text and without l
 Without a budget it is the smallest that gives every source one whole epoch: no document is left out.
 
 Defined cases: a null source is the source named ''; a null or empty text has no tokens; a source without
-tokens gets weight 0 and one epoch; repeated rows are rows of their own; an empty table gives an empty
+tokens gets weight 0 and one epoch; repeated rows are rows of their own; very long
+texts are whole items of their block; equal draws go by id, then by tokens; an empty table gives an empty
 result; other columns are carried by ``mixed_rows`` only.
 """
 

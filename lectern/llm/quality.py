@@ -7,7 +7,8 @@ with the smallest hash of their id; tasks turn whole texts to bags of buckets, s
 MAX_ROWS * BUCKETS numbers. For scoring the table and the softmax are folded into one number per bucket
 (BUCKETS floats, broadcast): a document's logit is the mean of those, which is one pass over its words.
 
-Defined cases: null and empty texts have no features and get the bias alone; repeated rows are scored each;
+Defined cases: null and empty texts have no features and get the bias alone; repeated rows are scored each; very long texts are
+scored whole, their words in parts; labelled rows of equal rank go by id, then label;
 rows without a label, or with a null one, are not used to train; without any label, or with one class only, the
 score is 0.5 or that class's; an empty table gives an empty result; other columns are not read.
 """

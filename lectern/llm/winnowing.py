@@ -9,7 +9,8 @@ A hash and its place within the window are one number, hash * 256 + 255 - place,
 smaller hash and, between equal ones, the further right; moving a window by s lowers it by s.
 
 Defined cases: a null text is the empty text, with an empty fingerprint; fewer than K words are one gram, fewer
-than W grams one window; two empty fingerprints are alike (1.0); repeated rows get equal results; an empty table
+than W grams one window; two empty fingerprints are alike (1.0); repeated rows get equal results; very long
+texts are fingerprinted whole, as arrays of one row; of equal minima of a window the rightmost place is kept; an empty table
 gives an empty result; other columns are carried by ``fingerprints`` under their own names.
 """
 
