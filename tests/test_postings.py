@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,13 @@ def test_short_terms_are_refused_and_an_empty_index_finds_nothing(spark, tmp_pat
         index.search(df, ["ab"], WEIGHTS, "at")
     assert found(index.search(df, ["abc"], WEIGHTS, "at")) == []
     assert df.filter(F.lit(True)).count() == 0
+
+
+def test_a_long_text_is_indexed_in_one_pass(spark, tmp_path):
+    body = "".join(random.Random(3).choice("abcdeé😀 Ñ\n") for _ in range(200_000))
+    began = time.time()
+    index, _ = built(spark, tmp_path, [(1, "ab", body, 1), (2, None, "a😀b", 1), (3, "", "xy", 2)])
+    assert time.time() - began < 20
+    rows = spark.read.parquet(f"{index.path}/postings").groupBy("key", "field").agg(F.collect_list("gram").alias("g")).collect()
+    low = body.lower()
+    assert {(r.key, r.field): sorted(r.g) for r in rows} == {(1, "body"): sorted({low[i : i + 3] for i in range(len(low) - 2)}), (2, "body"): ["a😀b"]}
