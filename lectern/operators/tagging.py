@@ -13,9 +13,11 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 # Evidence of a word that one language alone uses, of one that both do (at most), of n-grams (factor and most),
 # the cost of a switch, and what favours home at the start of a run.
@@ -27,6 +29,8 @@ NEUTRAL, UNKNOWN = "ne", "xx"
 #: The model holds so many words and n-grams at most, the most frequent ones, which occur LEAST times: a bounded broadcast.
 MOST_WORDS, MOST_GRAMS, LEAST = 100_000, 50_000, 3
 GRAMS = (1, 2, 3)
+#: Bytes of texts whose tags are held at once.
+PIECE_BYTES = 1 << 20
 TAGS = "array<struct<word:string,norm:string,tag:string>>"
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 
@@ -119,19 +123,40 @@ def tags_of(text: str, model: Model, home: str, other: str, memo: dict[str, floa
     return list(zip(words, norms, tags))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have about PIECE_BYTES, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(sizes):
+            if i > at and held + n > PIECE_BYTES:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if len(sizes) > at:
+            yield batch.slice(at)
+
+
+def tagged_batches(batches: Iterator[pa.RecordBatch], place: int, model: Model, home: str, other: str, name: str, memo_words: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the tags of the texts in the column at a place."""
+    memo: dict[str, float] = {}
+    for batch in _pieces(batches, place):
+        ends, flat = [0], ([], [], [])
+        for t in batch.column(place).to_pylist():
+            if len(memo) > memo_words:
+                memo.clear()
+            for column, values in zip(flat, zip(*tags_of(t, model, home, other, memo))):
+                column.extend(values)
+            ends.append(len(flat[0]))
+        words = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in flat], ["word", "norm", "tag"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)], [*batch.schema.names, name])
+
+
 def tagged(df: DataFrame, model: Model, text: str, home: str, other: str, name: str = "tags", memo_words: int = 200_000) -> DataFrame:
-    """df with an array (word, norm, tag) of every whole text, by rows: nothing is shuffled. A null text has none."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """df with an array (word, norm, tag) of every whole text, by rows: nothing is shuffled. A null text has none.
 
-    @F.pandas_udf(TAGS)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, float] = {}
-        for texts in parts:
-            out = []
-            for t in texts:
-                if len(memo) > memo_words:
-                    memo.clear()
-                out.append([{"word": w, "norm": n, "tag": g} for w, n, g in tags_of(t, shared.value, home, other, memo)])
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(name, run(text))
+    A task holds the tags of PIECE_BYTES of text at once, or those of one longer text."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text)
+    run = lambda batches: tagged_batches(batches, place, shared.value, home, other, name, memo_words)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DataType.fromDDL(TAGS))]))

@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pyarrow as pa
+
 from lectern.operators.languages import resolved_mode, transcript_windows
-from lectern.operators.tagging import SWITCH, START, Model, best_path, tags_of
+from lectern.operators.tagging import PIECE_BYTES, SWITCH, START, Model, best_path, tagged, tagged_batches, tags_of
 from lectern.plans import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -74,3 +76,15 @@ def test_windows(spark):
 def test_resolved_modes(spark):
     df = spark.createDataFrame([("plain_english", "native_script"), ("roman", "native_script"), ("native_script", "roman"), ("roman", "plain_english")], "s string, q string")
     assert [r[0] for r in df.select(resolved_mode("s", "q")).collect()] == ["plain_english", "native_script", "roman", "roman"]
+
+
+def test_tags_of_many_texts_are_not_held_at_once(spark):
+    model = Model({"the": -3.0, "der": 3.0}, frozenset({"der"}), {})
+    texts = ["the quick der x 12 " * 4000, None, "", "the " * 2, *["der fuchs " * 2000] * 200, "the der " * PIECE_BYTES]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "t"])
+    out = list(tagged_batches(iter([batch]), 1, model, "en", "de", "tags", 1000))
+    assert sum(b.num_rows for b in out) == len(texts) and [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= PIECE_BYTES for b in out)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5])], "id int, t string")
+    for r in tagged(df, model, "t", "en", "de").collect():
+        assert [tuple(x) for x in r.tags] == tags_of(r.t, model, "en", "de", {})
