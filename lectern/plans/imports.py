@@ -14,6 +14,7 @@ from lectern.sources import imports as im
 from lectern.plans.registry import Tables, query
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -162,11 +163,11 @@ def reply_depths(t: Tables):
 @query("stored_posts", "SELECT 'reddit' AS source_type, CAST(event_id AS VARCHAR) AS id, 'u' || user_id AS author, event_type AS title, 'a & b' AS text, CAST(floor(value) AS BIGINT) AS score FROM events WHERE event_type IN ('view', 'click') AND ts > TIMESTAMP '2024-01-10' UNION ALL SELECT 'bluesky', CAST(event_id AS VARCHAR), 'u' || user_id, NULL, event_type, CAST(floor(value) AS BIGINT) FROM events WHERE event_type = 'purchase' AND ts > TIMESTAMP '2024-01-10'")
 def stored_posts(t: Tables):
     """Two services' listings; a third one's is no listing at all and fails alone."""
-    epoch = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    score = F.col("value").cast("long")
+    epoch = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)") / F.lit(1_000_000)
+    score = F.floor("value").cast("long")
     reddit = t.events.filter("event_type in ('view', 'click')").select(F.to_json(F.struct(F.col("event_id").alias("id"), _named("u", "user_id").alias("author"), F.col("event_type").alias("title"), F.lit("<b>a & b</b>").alias("selftext"), score.alias("score"), epoch.alias("created_utc"))).alias("value"))
     author = F.struct(_named("u", "user_id").alias("handle"))
-    sky = t.events.filter("event_type = 'purchase'").select(F.to_json(F.struct(F.col("event_id").alias("uri"), author.alias("author"), F.struct(F.col("event_type").alias("text")).alias("record"), score.alias("likeCount"), F.date_format("ts", ISO).alias("indexedAt"))).alias("value"))
+    sky = t.events.filter("event_type = 'purchase'").select(F.to_json(F.struct(F.col("event_id").alias("uri"), author.alias("author"), F.struct(F.col("event_type").alias("text")).alias("record"), score.alias("likeCount"), F.date_format("ts", ISO_MICROS).alias("indexedAt"))).alias("value"))
     out, _ = im.fanned_out({"reddit": reddit, "bluesky": sky, "gopher": sky}, since=F.lit("2024-01-10").cast("timestamp"))
     return out.select("source_type", "id", "author", "title", "text", "score")
 

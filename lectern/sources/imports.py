@@ -351,7 +351,7 @@ def posts(rows: DataFrame, service: str, value: str = "value", since=None) -> Da
     Rows without an id are left out, as are those at or before ``since``; HTML becomes its text. KeyError for an unknown service."""
     where = POSTS[service]
     get = lambda k: F.get_json_object(value, where[k]) if where.get(k) else F.lit(None).cast("string")
-    at = F.timestamp_seconds(get("epoch").try_cast("double")) if "epoch" in where else F.try_to_timestamp(get("time"))
+    at = F.timestamp_seconds(get("epoch").try_cast("decimal(18,6)")) if "epoch" in where else F.try_to_timestamp(get("time"))
     text = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(get("text"), F.lit("")), r"(?i)<br\s*/?>|</p>", "\n"), "<[^>]+>", ""), F.lit(" \t\n\r"))
     out = rows.select(F.lit(service).alias("source_type"), get("id").alias("id"), get("author").alias("author"), get("title").alias("title"), text.alias("text"), get("url").alias("url"), get("score").try_cast("long").alias("score"), at.alias("published_at"))
     out = out.filter("id is not null")

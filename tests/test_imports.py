@@ -1,9 +1,12 @@
 import hashlib
 import json
+import os
 
 from pyspark.sql import functions as F
 
+from lectern.plans import ORACLES, QUERIES
 from lectern.sources import imports as im
+from tests.compare import differences
 
 
 def write(tmp_path, name, data):
@@ -175,3 +178,12 @@ def test_nested_threads(spark):
     assert {(r.id, r.parent) for r in flat.collect() if r.author} == {("a", None), ("b", "a"), ("c", "blocked/1"), ("d", None)}
     lines = [(r.depth, r.line) for r in im.flattened_threads(flat).orderBy("place").collect()]
     assert lines == [(0, "hd: td"), (0, "ha: ta"), (1, "↳ hb: tb"), (1, "↳ hc: tc")]
+
+
+def test_posts_of_the_first_second_are_later_than_it(spark, tmp_path):
+    """Times count to the microsecond, in the listings and where they are read."""
+    rows = [(i, f"2024-01-{d}", 7, kind, v) for i, (d, kind, v) in enumerate([("10 00:00:00", "view", 1.5), ("10 00:00:00.000001", "view", -0.5), ("10 00:00:00.999999", "purchase", 2.5), ("09 23:59:59.999999", "click", 1.0), ("10 00:00:00", "purchase", 1.0)])]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events"))
+    os.rename(next((tmp_path / "events").glob("*.parquet")), tmp_path / "events.parquet")
+    only, others, n = differences(QUERIES["stored_posts"](spark, str(tmp_path)), ORACLES["stored_posts"], str(tmp_path))
+    assert (only, others, n) == ([], [], 2)
