@@ -17,6 +17,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def sentences(text: str | Column) -> Column:
     """Cut after . ! ? and white space; trimmed, without empty ones."""
     return F.filter(F.transform(F.split(_col(text), r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
@@ -177,17 +182,29 @@ def native_scripts(word: Column) -> Column:
     return F.array_compact(F.array(*[F.when(word.rlike(rf"\p{{Is{s}}}"), s.upper()) for s in NATIVE_SCRIPTS]))
 
 
+def _mixed_pattern() -> str:
+    """A word with letters of two native scripts: its first one's letters and all that is of none are passed over, and a
+    character is left. Each is looked at once; ASCII ones are of no native script."""
+    of = lambda names: "".join(rf"\p{{Is{s}}}" for s in names)
+    passed = lambda others: rf"[\S&&[\p{{ASCII}}[^{of(others)}]]]*+"
+    first = "|".join(rf"\p{{Is{s}}}{passed([x for x in NATIVE_SCRIPTS if x != s])}\S" for s in NATIVE_SCRIPTS)
+    return rf"(?<!\S){passed(NATIVE_SCRIPTS)}(?:{first})\S*+"
+
+
 def mixed_script_words(text: str | Column) -> Column:
     """Words whose letters come from two scripts or more, Latin aside."""
-    return F.filter(F.regexp_extract_all(_col(text), F.lit(r"\S+"), F.lit(0)), lambda w: F.size(native_scripts(w)) > 1)
+    return F.regexp_extract_all(_col(text), F.lit(_mixed_pattern()), F.lit(0))
+
+
+def beyond_ascii(text: str | Column) -> Column:
+    """A text's characters that are not ASCII: all letters of scripts other than Latin are among them."""
+    return F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"\p{ASCII}+", "")
 
 
 def dominant_script(text: str | Column) -> Column:
     """The script other than Latin with most letters in a text; null for Latin only. Ties go to the first of NATIVE_SCRIPTS."""
-    t = F.coalesce(_col(text), F.lit(""))
-    counts = [F.struct(F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).alias("n"), F.lit(-i).alias("i"), F.lit(s.upper()).alias("script")) for i, s in enumerate(NATIVE_SCRIPTS)]
-    most = F.array_max(F.array(*counts))
-    return F.when(most["n"] > 0, most["script"])
+    counts = lambda t: F.array_max(F.array(*[F.struct(F.regexp_count(t, F.lit(rf"\p{{Is{s}}}")).alias("n"), F.lit(-i).alias("i"), F.lit(s.upper()).alias("script")) for i, s in enumerate(NATIVE_SCRIPTS)]))
+    return bound(bound(beyond_ascii(text), counts), lambda most: F.when(most["n"] > 0, most["script"]))
 
 
 def slug(heading: str | Column) -> Column:
