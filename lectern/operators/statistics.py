@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.text import beyond_ascii
+
 
 def first_nonzero(*columns: str) -> Column:
     """The first value that is neither null nor 0, else 0."""
@@ -213,7 +215,10 @@ SCRIPTS = {name.lower(): rf"\p{{Is{name}}}" for name in _SCRIPT_NAMES}
 
 def script_shares(text: str) -> list[Column]:
     """Share of each script among a text's letters of known scripts."""
-    counts = {k: F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(f"[{p}]")) for k, p in SCRIPTS.items()}
+    every, rest = F.coalesce(F.col(text), F.lit("")), beyond_ascii(text)
+    counts = {k: F.regexp_count(rest, F.lit(f"[{p}]")) for k, p in SCRIPTS.items()}
+    # Of ASCII only the letters are of a script.
+    counts["latin"] = counts["latin"] + F.length(every) - F.length(F.regexp_replace(every, "[A-Za-z]+", ""))
     total = sum(list(counts.values())[1:], list(counts.values())[0])
     return [(c / F.nullif(total, F.lit(0))).alias(k) for k, c in counts.items()]
 

@@ -28,3 +28,10 @@ def test_words_of_two_scripts_are_found_in_one_pass(spark):
     assert one(spark, text, fn.mixed_script_words("t").alias("w"))["w"] == want
     assert time.time() - began < 20
     assert plan(QUERIES["mixed_scripts"](spark, SF)).count("RLIKE") + plan(QUERIES["mixed_scripts"](spark, SF)).count("rlike") == 0
+
+
+def test_scripts_are_counted_beyond_ascii(spark):
+    assert one(spark, "aé бα字字 1", *statistics.script_shares("t")).asDict() | {"latin": 0.0} == {k: {"latin": 0.0, "cyrillic": 1 / 6, "greek": 1 / 6, "han": 1 / 3}.get(k, 0.0) for k in statistics.SCRIPTS}
+    assert one(spark, "aé бα字字 1", *statistics.script_shares("t"))["latin"] == 1 / 3
+    assert one(spark, "abc б", fn.dominant_script("t").alias("s"))["s"] == "CYRILLIC" and one(spark, "abc", fn.dominant_script("t").alias("s"))["s"] is None
+    assert "ASCII" in plan(QUERIES["script_profile"](spark, SF))
