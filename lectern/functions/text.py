@@ -132,12 +132,19 @@ def _topic_words(text: Column) -> Column:
     return F.filter(F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, "['’]+$", ""), "(?i)['’]s$", "")), lambda w: w != "")
 
 
+def firsts(placed: Column) -> Column:
+    """Of structs k, i, x the first of each k by i, then x."""
+    return bound(F.sort_array(placed), lambda p: F.filter(p, lambda y, n: (n == 0) | (F.get(p, n - 1)["k"] != y["k"])))
+
+
+def in_order(placed: Column) -> Column:
+    """The x of structs k, i, x by i, then x."""
+    return F.transform(F.sort_array(F.transform(placed, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
+
+
 def _first_spellings(items: Column) -> Column:
-    """Without repeats in another case."""
-    pairs = F.transform(items, lambda x: F.struct(F.lower(x).alias("k"), x.alias("x")))
-    met = lambda kept, x: F.exists(kept, lambda y: y["k"] == x["k"])
-    kept = F.aggregate(pairs, F.array().cast("array<struct<k:string,x:string>>"), lambda kept, x: F.when(met(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    return F.transform(kept, lambda y: y["x"])
+    """Without repeats in another case: sorted by lower case and place, the first of equals, in their order again."""
+    return in_order(firsts(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))))
 
 
 def topic_terms(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.text import firsts, in_order
 from lectern.operators.filters import in_scope, like_any, visible
 from lectern.operators.retrieval import bm25
 
@@ -107,9 +108,13 @@ def cited_activity(exchanges: DataFrame, refs: DataFrame, docs: DataFrame, top:
 
 def first_of_each(df: DataFrame, by: list[str], items: str) -> DataFrame:
     """by, items: each list without blanks and without what it had before in other case; the first spelling stays."""
-    rows = df.select(*by, F.posexplode(items).alias("__at", "__x")).withColumn("__x", F.trim("__x")).filter("__x <> ''")
-    first = rows.groupBy(*by, F.lower("__x").alias("__key")).agg(F.min(F.struct("__at", "__x")).alias("__f"))
-    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("__f")), lambda x: x["__x"]).alias(items))
+    placed = F.filter(F.transform(items, lambda x, i: F.struct(F.lower(F.trim(x)).alias("k"), i.alias("i"), F.trim(x).alias("x"))), lambda y: y["x"] != "")
+    # What a list repeats goes before anything moves; what lists of one group repeat of each other, after.
+    once = F.sort_array(F.transform(firsts(placed), lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x"))))
+    lists = df.select(*by, once.alias("__f")).filter(F.size("__f") > 0).groupBy(*by).agg(F.collect_list("__f").alias("__f"))
+    keyed = F.transform(F.flatten("__f"), lambda y: F.struct(F.lower(y["x"]).alias("k"), y["i"].alias("i"), y["x"].alias("x")))
+    single = F.transform(F.get("__f", 0), lambda y: y["x"])
+    return lists.select(*by, F.when(F.size("__f") == 1, single).otherwise(in_order(firsts(keyed))).alias(items))
 
 
 def input_fingerprint(df: DataFrame, by: list[str], id_col: str, *columns: str, version: int = 1) -> DataFrame:

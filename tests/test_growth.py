@@ -35,3 +35,10 @@ def test_scripts_are_counted_beyond_ascii(spark):
     assert one(spark, "aé бα字字 1", *statistics.script_shares("t"))["latin"] == 1 / 3
     assert one(spark, "abc б", fn.dominant_script("t").alias("s"))["s"] == "CYRILLIC" and one(spark, "abc", fn.dominant_script("t").alias("s"))["s"] is None
     assert "ASCII" in plan(QUERIES["script_profile"](spark, SF))
+
+
+def test_first_spellings_send_no_word_of_a_list_alone(spark):
+    rows = [(1, ["b", " B ", "", "a", "A"]), (1, ["c", "b", "A"]), (2, [" ", ""]), (3, None), (4, ["X", None, "x"])]
+    out = library.first_of_each(spark.createDataFrame(rows, "g int, w array<string>"), ["g"], "w")
+    assert {r.g: r.w for r in out.collect()} == {1: ["b", "c", "A"], 4: ["X"]}
+    assert "Generate" not in plan(out)
