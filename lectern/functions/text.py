@@ -149,15 +149,15 @@ def _first_spellings(items: Column) -> Column:
 
 def topic_terms(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """The words that carry a topic, in order; a topic of stop words only keeps them all."""
-    words = _topic_words(_col(topic))
-    kept = F.filter(words, lambda w: ~F.lower(F.replace(w, F.lit("’"), F.lit("'"))).isin(*stop_words))
-    return _first_spellings(F.when(F.size(kept) > 0, kept).otherwise(words))
+    carrying = lambda words: F.filter(words, lambda w: ~F.lower(F.replace(w, F.lit("’"), F.lit("'"))).isin(*stop_words))
+    kept = lambda words: bound(carrying(words), lambda k: F.when(F.size(k) > 0, k).otherwise(words))
+    return _first_spellings(bound(_topic_words(_col(topic)), kept))
 
 
 def topic_queries(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """What to search for, in turn: the topic as written, its carrying words, the first three and the first two of them."""
-    written, terms = F.trim(_col(topic)), topic_terms(topic, stop_words)
-    asked = F.array(written, *[F.array_join(t, " ") for t in (terms, F.slice(terms, 1, 3), F.slice(terms, 1, 2))])
+    written = F.trim(_col(topic))
+    asked = bound(topic_terms(topic, stop_words), lambda terms: F.array(written, *[F.array_join(t, " ") for t in (terms, F.slice(terms, 1, 3), F.slice(terms, 1, 2))]))
     return F.when(F.coalesce(written, F.lit("")) == "", F.array().cast("array<string>")).otherwise(_first_spellings(F.filter(asked, lambda q: q != "")))
 
 
@@ -240,12 +240,17 @@ def hashtags(topic: str | Column, stop_words: tuple[str, ...] = STOP_WORDS) -> t
     """(phrases: the topic joined, its carrying words joined, each neighbouring pair of them; single words, longest first, for
     when no phrase finds anything)."""
     tags = F.filter(F.transform(topic_terms(topic, stop_words), hashtag), lambda t: t != "")
-    n = F.greatest(F.size(tags) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(tags, 1, n), F.slice(tags, 2, n), lambda a, b: F.concat(a, b))
-    joined = F.array_distinct(F.concat(F.array(hashtag(topic), F.array_join(tags, "")), pairs))
-    phrases = F.filter(joined, lambda t: (t != "") & (F.length(t) <= TAG_CHARS))
-    single = F.transform(F.array_except(tags, phrases), lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
-    return F.slice(phrases, 1, TAG_PHRASES), F.slice(F.transform(F.array_sort(single), lambda x: x["t"]), 1, TAG_WORDS)
+
+    def found(tags: Column) -> Column:
+        n = F.greatest(F.size(tags) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(tags, 1, n), F.slice(tags, 2, n), lambda a, b: F.concat(a, b))
+        joined = F.array_distinct(F.concat(F.array(hashtag(topic), F.array_join(tags, "")), pairs))
+        return F.filter(joined, lambda t: (t != "") & (F.length(t) <= TAG_CHARS))
+
+    def single(tags: Column) -> Column:
+        return F.transform(F.array_except(tags, found(tags)), lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+
+    return F.slice(bound(tags, found), 1, TAG_PHRASES), F.slice(F.transform(F.array_sort(bound(tags, single)), lambda x: x["t"]), 1, TAG_WORDS)
 
 
 # What a log line must not show, and what stands for it.

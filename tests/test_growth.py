@@ -42,3 +42,11 @@ def test_first_spellings_send_no_word_of_a_list_alone(spark):
     out = library.first_of_each(spark.createDataFrame(rows, "g int, w array<string>"), ["g"], "w")
     assert {r.g: r.w for r in out.collect()} == {1: ["b", "c", "A"], 4: ["X"]}
     assert "Generate" not in plan(out)
+
+
+def test_topics_of_many_words(spark):
+    words = [f"w{i}" for i in range(4000)] * 2
+    began = time.time()
+    row = one(spark, " ".join(words), fn.topic_terms("t").alias("x"), fn.hashtags("t")[0].alias("p"), F.size(fn.topic_keys("t")).alias("n"))
+    assert row.x == words[:4000] and row.p == ["w0w1", "w1w2", "w2w3", "w3w4", "w4w5"] and row.n == 4000
+    assert time.time() - began < 30
