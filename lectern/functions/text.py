@@ -220,12 +220,15 @@ def slug(heading: str | Column) -> Column:
 
 def shingles(text: str | Column, n: int) -> Column:
     """Distinct n-word shingles of the lower-cased text."""
-    w = F.filter(F.split(F.lower(_col(text)), COLLAPSE), lambda x: x != "")
-    count = F.greatest(F.size(w) - (n - 1), F.lit(0))
-    out = F.slice(w, 1, count)
-    for i in range(2, n + 1):  # zipped, so that the words are not made anew for every shingle
-        out = F.zip_with(out, F.slice(w, i, count), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.coalesce(out, F.array().cast("array<string>")))
+
+    def zipped(w: Column) -> Column:
+        count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        out = F.slice(w, 1, count)
+        for i in range(2, n + 1):  # zipped, so that the words are not made anew for every shingle
+            out = F.zip_with(out, F.slice(w, i, count), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.coalesce(out, F.array().cast("array<string>")))
+
+    return bound(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\S+"), F.lit(0)), zipped)
 
 
 # Characters of a phrase's tag, phrases, single words.

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.text import bound
+
 
 def first_match(df: DataFrame, tables: list[tuple[str, DataFrame, str]], value: str) -> DataFrame:
     """Look a value up by one key after another: (key of df, table, key of the table); also which key found it."""
@@ -77,8 +79,8 @@ def previous(df: DataFrame, by: list[str], order: list[str], *columns: str) -> D
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays as sets; 1.0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
+    of = lambda union: F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
+    return bound(F.size(F.array_union(a, b)), of)
 
 
 def scope_fingerprint(df: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -93,9 +93,10 @@ def redacted_logs(t: Tables):
 
 @query("shared_shingles", "WITH s AS (SELECT doc_id, w FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)), x AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM s) SELECT a.doc_id, CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END AS jaccard FROM x a JOIN x b ON b.doc_id = a.doc_id + 1")
 def shared_shingles(t: Tables):
-    s = t.documents.select("doc_id", fn.shingles("text", 3).alias("s"))
-    other = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
-    return s.join(other, "doc_id").select("doc_id", jaccard("s", "o").alias("jaccard"))
+    docs = t.documents.select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    sides = pairs.select("doc_id", fn.shingles("text", 3).alias("s"), fn.shingles("next", 3).alias("o"))
+    return sides.select("doc_id", jaccard("s", "o").alias("jaccard"))
 
 
 @query("chunk_docs")

@@ -50,3 +50,10 @@ def test_topics_of_many_words(spark):
     row = one(spark, " ".join(words), fn.topic_terms("t").alias("x"), fn.hashtags("t")[0].alias("p"), F.size(fn.topic_keys("t")).alias("n"))
     assert row.x == words[:4000] and row.p == ["w0w1", "w1w2", "w2w3", "w3w4", "w4w5"] and row.n == 4000
     assert time.time() - began < 30
+
+
+def test_shingles_are_made_after_the_join(spark):
+    df = spark.createDataFrame([("a b c d a B c", "A b C"), (None, None), ("a", "")], "t string, o string")
+    got = [r[0] for r in df.select(fn.shingles("t", 3).alias("s"), fn.shingles("o", 3).alias("o")).select(jaccard("s", "o")).collect()]
+    assert got == [1 / 4, 1.0, 1.0]
+    assert "array<string>" not in "".join(x for x in plan(QUERIES["shared_shingles"](spark, SF)).splitlines() if "Exchange" in x)
