@@ -304,14 +304,22 @@ def reassembled(chunks: DataFrame, doc: str, index: str, text: str, overlap: int
     """doc and text of chunks in order, each without the words it repeats of the one before."""
     kinds = dict(chunks.dtypes)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        words: list[str] = []
-        for t in pdf.drop_duplicates(index).sort_values(index)[text]:
-            new = (t or "").split()
-            words += new[overlap_words(words, new, max(4 * overlap, 64)) :]
-        return pd.DataFrame([(pdf[doc].iloc[0], " ".join(words))], columns=[doc, text])
-
-    return chunks.select(doc, index, text).groupBy(doc).applyInPandas(join, f"{doc} {kinds[doc]}, {text} string")
+    def joined(parts) -> str:
+        words, last = [], None
+        for place, t in sorted(((p["i"], p["t"] or "") for p in parts), key=lambda p: (p[0] is None, p)):
+            if (place,) != last:
+                new = t.split()
+                words += new[overlap_words(words, new, max(4 * overlap, 64)) :]
+            last = (place,)
+        return " ".join(words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({doc: pdf[doc], text: pdf["__parts"].map(joined)})
+
+    # Many documents to a batch; of a chunk that is there more than once the first by its text counts.
+    parts = F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t"))).alias("__parts")
+    return chunks.groupBy(doc).agg(parts).mapInPandas(run, f"{doc} {kinds[doc]}, {text} string")
 
 
 def chunked(df: DataFrame, doc: str, text: str, tokens: int = 256, overlap: int = 32) -> DataFrame:

@@ -57,3 +57,10 @@ def test_shingles_are_made_after_the_join(spark):
     got = [r[0] for r in df.select(fn.shingles("t", 3).alias("s"), fn.shingles("o", 3).alias("o")).select(jaccard("s", "o")).collect()]
     assert got == [1 / 4, 1.0, 1.0]
     assert "array<string>" not in "".join(x for x in plan(QUERIES["shared_shingles"](spark, SF)).splitlines() if "Exchange" in x)
+
+
+def test_reassembled_many_documents_to_a_batch(spark):
+    chunks = [(2, 1, "c d e"), (1, 0, "x"), (2, 0, "a b c"), (2, 0, "b a"), (3, 0, None), (2, 2, "e f")]
+    out = fn.reassembled(spark.createDataFrame(chunks, "d long, i int, t string"), "d", "i", "t")
+    assert {r.d: r.t for r in out.collect()} == {1: "x", 2: "a b c d e f", 3: ""}
+    assert "FlatMapGroups" not in plan(out)
