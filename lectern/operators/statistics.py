@@ -192,10 +192,12 @@ def merge_signals(signals: DataFrame, key: list[str], source: str, status: str)
 def style_profile(texts: DataFrame, by: list[str], text: str) -> DataFrame:
     """Long-form counts of words and letter trigrams: partial sums that merge by addition."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"[\p{L}]+"), F.lit(0))
-    grams = F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: w.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))
-    long = texts.select(*by, F.explode(F.array(F.struct(F.lit("word").alias("kind"), words.alias("keys")), F.struct(F.lit("trigram").alias("kind"), grams.alias("keys")))).alias("x"))
-    return long.select(*by, "x.kind", F.explode("x.keys").alias("key")).groupBy(*by, "kind", "key").agg(F.count("*").alias("n"))
+    words = texts.select(*by, F.explode(F.regexp_extract_all(low, F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    # Every distinct word is cut into trigrams once, and they count as often as it does.
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    grams = F.transform(F.regexp_extract_all("word", F.lit("(?=(...))."), F.lit(1)), lambda g: key("trigram", g))
+    long = words.select(*by, F.explode(F.concat(F.array(key("word", F.col("word"))), grams)).alias("x"), "n")
+    return long.select(*by, "x.kind", "x.key", "n").groupBy(*by, "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def style_similarity(profile: DataFrame, by: str, other) -> DataFrame:

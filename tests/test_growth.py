@@ -64,3 +64,9 @@ def test_reassembled_many_documents_to_a_batch(spark):
     out = fn.reassembled(spark.createDataFrame(chunks, "d long, i int, t string"), "d", "i", "t")
     assert {r.d: r.t for r in out.collect()} == {1: "x", 2: "a b c d e f", 3: ""}
     assert "FlatMapGroups" not in plan(out)
+
+
+def test_trigrams_are_cut_from_counted_words(spark):
+    out = statistics.style_profile(spark.createDataFrame([("Banana é banana",), (None,)], "t string"), [], "t")
+    assert {(r.kind, r.key): r.n for r in out.collect()} == {("word", "banana"): 2, ("word", "é"): 1, ("trigram", "ban"): 2, ("trigram", "ana"): 4, ("trigram", "nan"): 2}
+    assert plan(out).count("Generate") == 2 and plan(out).index("trigram") < plan(out).index("banana") if "banana" in plan(out) else plan(out).count("HashAggregate") >= 4
