@@ -42,13 +42,15 @@ _HUNDRED = r"hundred(?:th)?\b"
 _UNDER_1000 = rf"(?:(?:{_UNDER_100}{_GAP})?{_HUNDRED}(?:{_AND}{_UNDER_100})?|{_UNDER_100})"
 _SCALE = rf"(?:{'|'.join(SCALES)})(?:th)?\b"
 _SCALED = rf"(?:(?:{_UNDER_1000}|\d+\b){_GAP})?{_SCALE}"
+#: How number words and figures begin: most other words are passed by at their first letters.
+_OPENS = r"(?=\d|o(?:ne|h)|t(?:w|en|h[iro])|f(?:i|o)|s(?:i|e)|e(?:i|le)|ni|z|hu|mi|bi)"
 #: A number in words, perhaps with figures before a scale ("15 thousand").
-NUMBER = rf"\b(?:{_SCALED}(?:{_AND}{_SCALED})*(?:{_AND}{_UNDER_1000})?|{_UNDER_1000})"
-PART = rf"\b(?:{_SCALED}|{_UNDER_1000})"
+NUMBER = rf"\b{_OPENS}(?:{_SCALED}(?:{_AND}{_SCALED})*(?:{_AND}{_UNDER_1000})?|{_UNDER_1000})"
+PART = rf"\b{_OPENS}(?:{_SCALED}|{_UNDER_1000})"
 #: Two numbers of two digits, as years are said; a zero may open the second.
-YEAR = rf"\b({_PAIR}){_GAP}({_PAIR}|oh{_GAP}{_any(UNITS[1:])}\b)"
+YEAR = rf"\b{_OPENS}({_PAIR}){_GAP}({_PAIR}|oh{_GAP}{_any(UNITS[1:])}\b)"
 #: Digits read one by one.
-READ_OUT = rf"\b(?:{_DIGIT}{_GAP})+{_DIGIT}\b"
+READ_OUT = rf"\b{_OPENS}(?:{_DIGIT}{_GAP})+{_DIGIT}\b"
 #: What stands before a point that is said, and the digits after it.
 DECIMAL = rf"(?:({NUMBER}|\b\d+)\s+|\b)point((?:\s+(?:{_DIGIT}|\d+)\b)+)"
 
@@ -94,10 +96,13 @@ def _worth(words: Column) -> Column:
 
 def _part_value(part: Column) -> Column:
     """Of a number below a thousand with at most one scale behind it."""
-    words = F.split(part, _GAP)
-    at = F.greatest(F.array_position(words, F.lit("hundred")), F.array_position(words, F.lit("hundredth"))).cast("int")
-    hundreds = F.greatest(_worth(F.slice(words, F.lit(1), F.greatest(at - 1, F.lit(0)))), F.lit(1)) * 100
-    small = F.when(at > 0, hundreds + _worth(F.slice(words, at + 1, F.size(words)))).otherwise(_worth(words))
+    hundred = lambda words: F.greatest(F.array_position(words, F.lit("hundred")), F.array_position(words, F.lit("hundredth"))).cast("int")
+
+    def value(words: Column, at: Column) -> Column:
+        hundreds = F.greatest(_worth(F.slice(words, F.lit(1), F.greatest(at - 1, F.lit(0)))), F.lit(1)) * 100
+        return F.when(at > 0, hundreds + _worth(F.slice(words, at + 1, F.size(words)))).otherwise(_worth(words))
+
+    small = _bound(F.split(part, _GAP), lambda words: _bound(hundred(words), lambda at: value(words, at)))
     scale = F.lit(1).cast("long")
     for word, worth in SCALES.items():
         scale = F.when(part.rlike(rf"\b{word}(?:th)?$"), F.lit(worth)).otherwise(scale)
@@ -109,7 +114,7 @@ def number_value(phrase: str | Column) -> Column:
     """The value of a number in words, as text; null from 10**15 on."""
     parts = F.transform(F.regexp_extract_all(_col(phrase), F.lit(PART), F.lit(0)), _part_value)
     total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
-    return F.when(total < 10**15, total.cast("long").cast("string"))
+    return _bound(total, lambda t: F.when(t < 10**15, t.cast("long").cast("string")))
 
 
 def _digits(read: Column) -> Column:
@@ -133,7 +138,9 @@ def _said(said: Column) -> Column:
     read_out = every(READ_OUT, lambda m: canonical(_digits(m)))
     whole = lambda m: F.regexp_extract(m, DECIMAL, 1)
     before = lambda m: F.when(whole(m).rlike(r"^\d+$"), whole(m)).when(whole(m) == "", "0").otherwise(number_value(whole(m)))
-    decimals = every(DECIMAL, lambda m: canonical(F.concat(before(m), F.lit("."), _digits(F.regexp_extract(m, DECIMAL, 2)))))
+    # Only a text that says a point is searched for what stands before it.
+    pointed = F.when(said.contains("point"), said).otherwise("")
+    decimals = F.transform(F.regexp_extract_all(pointed, F.lit(DECIMAL), F.lit(0)), lambda m: canonical(F.concat(before(m), F.lit("."), _digits(F.regexp_extract(m, DECIMAL, 2)))))
     found = F.concat(figures, spaced, worded, years, read_out, decimals)
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 

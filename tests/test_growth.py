@@ -70,3 +70,13 @@ def test_trigrams_are_cut_from_counted_words(spark):
     out = statistics.style_profile(spark.createDataFrame([("Banana é banana",), (None,)], "t string"), [], "t")
     assert {(r.kind, r.key): r.n for r in out.collect()} == {("word", "banana"): 2, ("word", "é"): 1, ("trigram", "ban"): 2, ("trigram", "ana"): 4, ("trigram", "nan"): 2}
     assert plan(out).count("Generate") == 2 and plan(out).index("trigram") < plan(out).index("banana") if "banana" in plan(out) else plan(out).count("HashAggregate") >= 4
+
+
+def test_numbers_in_words_are_worked_out_once(spark):
+    """A phrase's parts are summed once, and a text that says no point is not searched for one."""
+    said = "one point five and twelve hundred and third, oh five, nineteen eighty-four, fifteen thousand and two, the other ones, tenth"
+    want = {"1.5", "1", "5", "1203", "05", "5", "1984", "19", "84", "15002", "10"}
+    got = set(one(spark, said, details.spoken_numbers("t").alias("n"))["n"])
+    assert {"1.5", "1203", "1984", "15002", "10"} <= got and not got - want - {"0"}
+    # What is no number word's beginning is passed by, and no phrase's sum is computed for its bound and again for its text.
+    assert str(details.number_value("t")).count("aggregate(") == 4 and details._OPENS in details.NUMBER
