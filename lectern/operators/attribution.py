@@ -29,9 +29,18 @@ def unsupported(df: DataFrame, claim: str, source: str, name: str = "unsupported
     return df.withColumn(name, left)
 
 
-def _runs(words: str, n: int) -> Column:
-    """Every n words in a row, of at least n."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+#: Phrases asked for are told apart by so many numbers, a bounded broadcast, before the sources' runs of words are shuffled.
+SLOTS = 1 << 18
+
+
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def _runs(words: str, n: str) -> Column:
+    """Every n words in a row, of at least n, once."""
+    starts = F.sequence(F.lit(1), F.size(words) - (F.col(n) - 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.col(n)), " ")))
 
 
 def sources_of(claims: DataFrame, sources: DataFrame, claim_id: str, claim: str, source_id: str, source: str) -> DataFrame:
@@ -47,13 +56,16 @@ def sources_of(claims: DataFrame, sources: DataFrame, claim_id: str, claim: str,
     entry = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
     names = F.transform(F.filter(details("text"), lambda d: d["kind"] == "identifier"), lambda d: d["key"])
     held = [rows.select("source_id", F.explode(entry("number", spoken_numbers("text"))).alias("e")), rows.select("source_id", F.explode(entry("identifier", names)).alias("e"))]
-    words = rows.select("source_id", F.split(phrase_words("text"), " ").alias("w"))
-    for n in lengths:
-        held.append(words.filter(F.size("w") >= n).select("source_id", F.explode(entry("quoted", _runs("w", n))).alias("e")))
+    keys = asked.select("kind", "key").distinct()
+    if lengths:
+        words = rows.select("source_id", F.split(phrase_words("text"), " ").alias("w")).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        runs = words.filter(F.size("w") >= F.col("n")).select("source_id", F.explode(_runs("w", "n")).alias("key"))
+        slots = keys.filter("kind = 'quoted'").select(_slot("key").alias("slot")).distinct()
+        runs = runs.withColumn("slot", _slot("key")).join(F.broadcast(slots), "slot", "left_semi")
+        held.append(runs.select("source_id", F.struct(F.lit("quoted").alias("kind"), "key").alias("e")))
     index = held[0]
     for more in held[1:]:
         index = index.unionByName(more)
-    keys = asked.select("kind", "key").distinct()
     index = index.select("source_id", "e.*").join(keys, ["kind", "key"], "left_semi").distinct()
     index = index.groupBy("kind", "key").agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"))
     out = asked.join(index, ["kind", "key"], "left")

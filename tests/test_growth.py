@@ -80,3 +80,11 @@ def test_numbers_in_words_are_worked_out_once(spark):
     assert {"1.5", "1203", "1984", "15002", "10"} <= got and not got - want - {"0"}
     # What is no number word's beginning is passed by, and no phrase's sum is computed for its bound and again for its text.
     assert str(details.number_value("t")).count("aggregate(") == 4 and details._OPENS in details.NUMBER
+
+
+def test_runs_of_words_are_dropped_before_they_move(spark):
+    claims = spark.createDataFrame([("a", 'he said "big red fox jumps" and "nothing here"')], "id string, t string")
+    sources = spark.createDataFrame([(1, "a Big red, fox jumps. big red fox jumps"), (2, "big red fox")], "id int, t string")
+    out = attribution.sources_of(claims, sources, "id", "t", "id", "t")
+    assert {(r.key, r.n_sources, r.first_source) for r in out.collect()} == {("big red fox jumps", 1, 1), ("nothing here", 0, None)}
+    assert "BroadcastHashJoin" in plan(out)
