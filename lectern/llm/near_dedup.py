@@ -8,20 +8,23 @@
    Pairs pass a size bound and the collision-corrected similarity estimated from the bit counts of the packed
    signatures (at least ``FINE``), then are confirmed on full sets. Linked classes are contracted; what is not
    linked to its bucket's star gets a new star, as long as a ``PAYS``-th of a round's pairs look linked.
-4. The rest, exactly: members of buckets that still hold more than one component. Their shingles are ordered
+4. Buckets that still hold more than one component, of up to ``SLICE`` members: all that are not of a bucket's largest
+   component are compared with all of it, by sizes, by the bit counts of the packed signatures and by those of parities:
+   a bit for each of ``PARITY`` slots tells whether an odd number of a set's shingles falls there, so two sets differ in
+   at least as many shingles as bits. Only pairs of different components that pass leave a bucket, to be confirmed as
+   before. A member is sent once for each bucket.
+5. Members of longer buckets that even then hold more than one component. Their shingles are ordered
    by a count sketch, rarest first. Linked sets share one of their first shingles, and how far into each set
    that one may lie follows from both sizes (positional prefix filtering). Of the sets that share a rare shingle, all that
-   are not of its largest component are compared with all, by these places and by the bit counts of the packed
-   signatures, in blocks of ``SLICE`` by ``SLICE``; only pairs of different components that pass leave a block, to be
-   confirmed as before.
-5. Connected components over the links.
+   are not of its largest component are compared with all, by these places and as in 4, in blocks of ``SLICE`` by ``SLICE``.
+6. Connected components over the links.
 
 A link of similarity 0.8 shares no bucket with probability (1 - 0.8**6)**48 = 5e-7, is estimated below ``FINE`` with
 3e-7 (five standard errors of 288 two-bit minima), and less above 0.8. Two shingles of n share a 64-bit hash, and two
 classes a name, with probability n * n / 2**65. There is no cap on the size of a bucket, of a group or of a component. Rows
-grow in proportion to those of the buckets: near copies are linked through their star, others that only share a passage have
-rare shingles of their own, and texts of one template, whose rare shingles are shared by many, leave their blocks only
-where their estimate does. A shingle of b sets is sent b / ``SLICE`` times.
+grow in proportion to those of the buckets: near copies are linked through their star, others that only share a passage, or
+a template, leave their bucket only where their estimate does, and members of the longest buckets have rare shingles of
+their own. Only a rare shingle of more than ``SLICE`` sets, b, sends each b / ``SLICE`` times.
 
 Defined cases: null and empty texts (or texts without a word) have an empty set and are linked with nothing;
 texts with fewer words than a shingle have one shingle, the whole sequence; very long texts are read whole, and
@@ -60,8 +63,10 @@ STEP = 1.12
 SLICE = 4096
 #: Pairs that are held at once, but for those of a single row.
 PAIRS = 1 << 18
+#: Bits that bound from below how many shingles two sets differ in.
+PARITY = 2048
 #: Signatures in one task's group of blocks, about.
-BIN_ROWS = 50_000
+BIN_ROWS = 10_000
 NO_ID = -(1 << 63)
 MEMO = 400_000
 _SEED = np.random.RandomState(7)
@@ -300,36 +305,88 @@ def _prefixes(shared, percent: int):
 PREFIXES = "key long, asks boolean, name long, component long, size long, place long"
 
 
+def _met(block: np.ndarray, few: np.ndarray, every: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every block the pairs (few, every) of rows, ``PAIRS`` at once."""
+    every = every[np.argsort(block[every], kind="stable")]
+    low, high = (np.searchsorted(block[every], block[few], side) for side in ("left", "right"))
+    before = np.r_[0, np.cumsum(high - low)]
+    at = 0
+    while at < len(few):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
+        row = np.repeat(np.arange(at, to), (high - low)[at:to])
+        yield few[row], every[low[row] + np.arange(len(row)) - (before[row] - before[at])]
+        at = to
+
+
+def _estimated_alike(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs are estimated to be at least ``FINE`` alike."""
+    least = 1 - (FINE * (1 - 0.5**BITS) + 0.5**BITS)
+    differ = bits[x] ^ bits[y]
+    for k in range(1, BITS):
+        differ |= differ >> np.uint64(k)
+    return np.bitwise_count(differ & np.uint64(_EVEN)).sum(axis=1) <= int(np.floor(least * BANDS * ROWS + 1e-9))
+
+
+PAIR = "hub long, other long, other_size long"
+
+
+def _pairs_frame(out: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(np.concatenate([np.empty((0, 3), np.int64), *out]), columns=["hub", "other", "other_size"]).drop_duplicates()
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots = ((np.frombuffer(x, np.uint64) % np.uint64(PARITY)).astype(np.int64) for x in batch.column(1).to_pylist())
+        bits = [np.packbits(np.bincount(x, minlength=PARITY).astype(np.uint8) & 1).tobytes() for x in slots]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["name", "parity"])
+
+
+def _alike_in_buckets(percent: int):
+    """Of every bucket the pairs (few, every) of different components that can be linked, by sizes, estimate and parities."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket, name, size, component, is_main = (pdf[c].to_numpy() for c in ("bucket", "name", "size", "component", "is_main"))
+        bits, out = pdf[SIGNATURE].to_numpy(np.int64).view(np.uint64), []
+        parity = np.frombuffer(b"".join(pdf["parity"]), np.uint64).reshape(len(pdf), -1)
+        for x, y in _met(bucket, np.flatnonzero(~is_main), np.arange(len(pdf))):
+            big, small = np.maximum(size[x], size[y]), np.minimum(size[x], size[y])
+            may = (component[x] != component[y]) & (is_main[y] | (name[x] < name[y])) & (100 * small >= percent * big)
+            x, y = x[may], y[may]
+            ok = _estimated_alike(bits, x, y)
+            x, y = x[ok], y[ok]
+            ok = (100 + percent) * np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (size[x] + size[y])
+            out.append(np.c_[name[x[ok]], name[y[ok]], size[y[ok]]])
+        return _pairs_frame(out)
+
+    return run
+
+
+def _bucket_pairs(placed: DataFrame, tally: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, other, other_size), stored, of members placed (bucket, name, size, component) in the same bucket of those tallied
+    (bucket, main, n), of different components, that are estimated to be alike and have parities of linked sets."""
+    rows = placed.join(tally.select("bucket", "main"), "bucket").withColumn("is_main", F.col("component") == F.col("main")).drop("main")
+    bins = max(1, -(-(tally.agg(F.sum("n")).first()[0] or 0) // BIN_ROWS))
+    parities = sets.join(rows.select("name").distinct(), "name", "left_semi").select("name", "shingles").mapInArrow(_parities, "name long, parity binary")
+    rows = rows.join(sigs, "name").join(parities, "name").withColumn("bin", F.pmod(F.xxhash64("bucket"), F.lit(bins)))
+    return scratch.store(rows.groupBy("bin").applyInPandas(_alike_in_buckets(percent), PAIR).distinct(), "bucket_pairs")
+
+
 def _alike(percent: int):
     """Of every block the pairs (few, every) of different components that can be linked, by sizes, places and estimate."""
-    least = 1 - (FINE * (1 - 0.5**BITS) + 0.5**BITS)
-    most_differing = int(np.floor(least * BANDS * ROWS + 1e-9))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block, few = pdf.groupby(["key", "f", "e"], sort=False).ngroup().to_numpy(), pdf["few"].to_numpy()
         asks, name, size, place, component, is_main = (pdf[c].to_numpy() for c in ("asks", "name", "size", "place", "component", "is_main"))
-        bits = pdf[SIGNATURE].to_numpy(np.int64).view(np.uint64)
-        one, other = np.flatnonzero(few), np.flatnonzero(~few)
-        other = other[np.argsort(block[other], kind="stable")]
-        low, high = (np.searchsorted(block[other], block[one], side) for side in ("left", "right"))
-        before = np.r_[0, np.cumsum(high - low)]
-        at, out = 0, [np.empty((0, 3), np.int64)]
-        while at < len(one):
-            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
-            row = np.repeat(np.arange(at, to), (high - low)[at:to])
-            x, y = one[row], other[low[row] + np.arange(len(row)) - (before[row] - before[at])]
-            at = to
+        bits, out = pdf[SIGNATURE].to_numpy(np.int64).view(np.uint64), []
+        for x, y in _met(block, np.flatnonzero(few), np.flatnonzero(~few)):
             may = (component[x] != component[y]) & (asks[x] != asks[y]) & (is_main[y] | (name[x] < name[y]))
             x, y = x[may], y[may]
             big, small, left = np.maximum(size[x], size[y]), np.minimum(size[x], size[y]), np.minimum(size[x] - place[x], size[y] - place[y])
             may = (np.where(asks[x], size[x], size[y]) == big) & (100 * small >= percent * big) & ((100 + percent) * left >= percent * (big + small))
             x, y = x[may], y[may]
-            differ = bits[x] ^ bits[y]
-            for k in range(1, BITS):
-                differ |= differ >> np.uint64(k)
-            ok = np.bitwise_count(differ & np.uint64(_EVEN)).sum(axis=1) <= most_differing
+            ok = _estimated_alike(bits, x, y)
             out.append(np.c_[name[x[ok]], name[y[ok]], size[y[ok]]])
-        return pd.DataFrame(np.concatenate(out), columns=["hub", "other", "other_size"]).drop_duplicates()
+        return _pairs_frame(out)
 
     return run
 
@@ -356,7 +413,7 @@ def _prefix_pairs(members: DataFrame, sigs: DataFrame, percent: int, scratch: Sc
     every = live.withColumn("few", F.lit(False)).withColumn("e", slice_of("es")).withColumn("f", all_of("fs"))
     bins = max(1, -(-live.count() // BIN_ROWS))
     blocks = few.unionByName(every).drop("es", "fs").withColumn("bin", F.pmod(F.xxhash64("key", "f", "e"), F.lit(bins)))
-    pairs = blocks.groupBy("bin").applyInPandas(_alike(percent), "hub long, other long, other_size long").distinct()
+    pairs = blocks.groupBy("bin").applyInPandas(_alike(percent), PAIR).distinct()
     pairs = scratch.store(pairs, "prefix_pairs")
     scratch.drop("live_prefixes")
     return pairs
@@ -419,20 +476,32 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         rest = rest.join(stars, "star", "left").filter("component <> coalesce(star_component, star)").select("bucket", "name", "size", "central", "component")
     scratch.drop("star_members", "star_pairs")
 
-    placed = _labelled(shared.select("bucket", "name"), labels)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    contested = placed.join(mixed, "bucket", "left_semi").select("name", "component").distinct()
-    members = scratch.store(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
-    scratch.drop("full_sets", "shared_buckets")
-    pairs = _prefix_pairs(members, sigs, percent, scratch)
-    confirmed(pairs, members, percent, scratch)
-    labels = _merged(labels, scratch, "all_labels")
-    scratch.drop("contested_sets", "prefix_pairs")
+    def mixed_buckets(placed: DataFrame) -> DataFrame:
+        held = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        held = held.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components"))
+        return held.filter("components > 1").select("bucket", F.col("most.component").alias("main"), "n")
+
+    placed = _labelled(shared.select("bucket", "name", "size"), labels)
+    tally = scratch.store(mixed_buckets(placed), "mixed_buckets")
+    pairs = _bucket_pairs(placed, tally.filter(F.col("n") <= SLICE), sigs, sets, percent, scratch)
+    confirmed(pairs, sets, percent, scratch)
+    labels = _merged(labels, scratch, "star_labels")
+    scratch.drop("bucket_pairs")
+    longer = tally.filter(F.col("n") > SLICE).select("bucket")
+    if not longer.isEmpty():
+        placed = _labelled(shared.join(longer, "bucket", "left_semi").select("bucket", "name"), labels)
+        contested = placed.join(mixed_buckets(placed).select("bucket"), "bucket", "left_semi").select("name", "component").distinct()
+        members = scratch.store(sets.join(contested, "name").select("name", "component", "shingles"), "contested_sets")
+        scratch.drop("full_sets", "shared_buckets")
+        pairs = _prefix_pairs(members, sigs, percent, scratch)
+        confirmed(pairs, members, percent, scratch)
+        labels = _merged(labels, scratch, "star_labels")
+    scratch.drop("full_sets", "shared_buckets", "mixed_buckets", "contested_sets", "prefix_pairs")
 
     named = scratch.store(_labelled(classes.select("name", "least_id"), labels), "named_classes")
     least = scratch.store(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least_ids")
     out = scratch.store(named.join(least, "component").select("name", "component", "component_id"), "components")
-    scratch.drop("classes", "star_labels", "all_labels", "named_classes", "least_ids")
+    scratch.drop("classes", "star_labels", "named_classes", "least_ids")
     return rows.select("id", "text_hash", "name", "size"), out
 
 

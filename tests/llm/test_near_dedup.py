@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from lectern.llm import near_dedup
 from lectern.llm.common import documents
-from lectern.llm.near_dedup import connected_components, near_duplicates
+from lectern.llm.near_dedup import _parities, connected_components, near_duplicates
 
 
 def brute(rows, k, percent):
@@ -82,6 +86,11 @@ def test_components_of_chains_and_stars(spark):
 
 def joined_rows(spark, sql_ids):
     """The most rows that one join of the queries made since then."""
+    return made_rows(spark, sql_ids, "Join")
+
+
+def made_rows(spark, sql_ids, kind):
+    """The most rows that one node of this kind made since then."""
     store = spark._jsparkSession.sharedState().statusStore()
     most, runs = 0, store.executionsList()
     for i in range(runs.size()):
@@ -91,7 +100,7 @@ def joined_rows(spark, sql_ids):
         values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
         for j in range(nodes.size()):
             node = nodes.apply(j)
-            if "Join" not in node.name():
+            if kind not in node.name():
                 continue
             for m in range(node.metrics().size()):
                 metric = node.metrics().apply(m)
@@ -147,3 +156,54 @@ def test_recall_against_the_exact_rule(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for k in (2, 5):
         assert as_dict(near_duplicates(df, shingle=k)) == brute(rows, k, 80)
+
+
+def test_rows_of_contested_buckets_grow_with_the_documents(spark):
+    """Families of texts that differ from each other in a fifth of their shingles or a little more: each bucket a text shares is a row,
+    not each of its rare shingles for each size in reach (50 to 300 a text), and pairs that cannot be linked stay in their blocks."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for g in range(20):
+        base = [rng.choice(words) for _ in range(300)]
+        for _ in range(40):
+            w = list(base)
+            for j in rng.sample(range(300), rng.choice([4, 14, 16])):
+                w[j] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    assert as_dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows, 5, 80)
+    assert made_rows(spark, before, "Generate") <= 48 * len(rows) and joined_rows(spark, before) <= 48 * len(rows)
+    assert made_rows(spark, before, "MapInArrow") <= 2 * len(rows)
+
+
+def test_parities_never_pass_by_a_linked_pair():
+    rng = np.random.RandomState(4)
+    for percent, n in [(80, 5), (80, 400), (90, 30_000)]:
+        a = rng.randint(0, 1 << 62, n).astype(np.uint64)
+        for kept in range(n, max(0, n * percent // 100 - 3), -max(1, n // 40)):
+            b = np.r_[a[:kept], rng.randint(0, 1 << 62, n - kept).astype(np.uint64)]
+            linked = 100 * kept >= percent * (2 * n - kept)
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([np.unique(x).tobytes() for x in (a, b)])], ["name", "shingles"])
+            x, y = (np.frombuffer(p, np.uint64) for p in next(iter(_parities([batch]))).column(1).to_pylist())
+            assert not linked or (100 + percent) * np.bitwise_count(x ^ y).sum() <= (100 - percent) * 2 * n
+
+
+def test_long_buckets_go_by_rare_shingles(spark, monkeypatch):
+    """The same components where buckets are longer than a block: the exact rule's, for the few blocks of small ones."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for i in range(300):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 6, 12])):
+            w[j] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    met = []
+    whole = near_dedup._prefix_pairs
+    monkeypatch.setattr(near_dedup, "SLICE", 16)
+    monkeypatch.setattr(near_dedup, "_prefix_pairs", lambda *a: met.append(1) or whole(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_dict(near_duplicates(df, shingle=2)) == brute(rows, 2, 80)
+    assert met
