@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,11 +64,27 @@ def typed_targets(rows: DataFrame, lookups: list[tuple[str, DataFrame, str, str]
     return rows.withColumn(target, F.col(target).cast("string")).join(every, [kind, target], "left")
 
 
+#: Rows that one task counts in a table of its own, about: more of them make more tasks, not larger ones.
+ROWS_A_TASK = 1 << 18
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 def pairs_within(df: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
-    """Unordered pairs of items that share a group, with how many groups they share."""
-    rows = df.select(group, item).distinct()
+    """Unordered pairs of items that share a group, with how many groups they share.
+
+    Rows, then pairs, are dealt over as many tasks as their number calls for before they are counted, so that a task's memory
+    does not grow with the input; the pairs' number is known from the groups' sizes."""
+    spark = df.sparkSession
+    dealt = df.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull())
+    rows = dealt.repartition(_tasks(spark, df.count()), group).distinct()
+    n = F.col("n").cast("double")
+    pairs = int(rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0)
     other = rows.select(F.col(group), F.col(item).alias("other"))
-    return rows.join(other, group).filter(F.col(item) < F.col("other")).groupBy(item, "other").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    met = rows.join(other, group).filter(F.col(item) < F.col("other")).select(item, "other").repartition(_tasks(spark, pairs), item, "other")
+    return met.groupBy(item, "other").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def previous(df: DataFrame, by: list[str], order: list[str], *columns: str) -> DataFrame:

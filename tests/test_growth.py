@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import details, text as fn
-from lectern.operators import attribution, library, statistics
+from lectern.operators import attribution, library, relations, statistics
 from lectern.operators.relations import jaccard
 from lectern.plans import QUERIES
 
@@ -88,3 +88,12 @@ def test_runs_of_words_are_dropped_before_they_move(spark):
     out = attribution.sources_of(claims, sources, "id", "t", "id", "t")
     assert {(r.key, r.n_sources, r.first_source) for r in out.collect()} == {("big red fox jumps", 1, 1), ("nothing here", 0, None)}
     assert "BroadcastHashJoin" in plan(out)
+
+
+def test_pairs_are_counted_in_more_tasks_where_there_are_more(spark, monkeypatch):
+    """No task counts before pairs are dealt, and tasks grow with the pairs: 60 rows of 20 items are 3 * 190 pairs."""
+    rows = [(g, i) for g in range(3) for i in range(20)] * 2 + [(None, 1), (None, 2), (1, None)]
+    monkeypatch.setattr(relations, "ROWS_A_TASK", 50)
+    out = relations.pairs_within(spark.createDataFrame(rows, "g int, i int"), "g", "i", 3)
+    assert {tuple(r) for r in out.collect()} == {(a, b, 3) for a in range(20) for b in range(a + 1, 20)}
+    assert "12), REPARTITION_BY_NUM" in plan(out)
