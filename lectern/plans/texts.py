@@ -121,9 +121,8 @@ def balanced_pages(t: Tables):
 def quote_check(t: Tables):
     """Every text's opening against the next text, and a part of its own against itself, every seventh character of it lost."""
     sides = t.documents.select("doc_id", "text").join(t.documents.select((F.col("doc_id") + 1).alias("doc_id"), F.left("text", F.lit(80)).alias("quote")), "doc_id")
-    sides = alignment.with_quote_match(sides, "quote", "text", "other")
     own = F.regexp_replace(F.substring("text", 10, 60), "(?s)(.{6}).", "$1")
-    return alignment.with_quote_match(sides, own, "text", "own").select("doc_id", "other", "own")
+    return alignment.with_quote_matches(sides, {"other": "quote", "own": own}, "text").select("doc_id", "other", "own")
 
 
 @query("edit_words")

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from lectern.functions.alignment import FIFTHS, aligned, common_places, normal_quote, with_edits, with_quote_match
+from lectern.functions.alignment import FIFTHS, MANY, NEAR, aligned, common_places, near, normal_quote, quote_levels, with_edits, with_quote_match
 from lectern.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,37 @@ def test_aligned_against_every_stretch():
     assert aligned("", "abc") == 0 and aligned("abc", "") == 0
 
 
+def test_near_is_what_alignment_says():
+    """Pieces of one word of bits, of more and of none, near at any place, at the end, in sources cut into parts and in short ones."""
+    rng, pairs = random.Random(5), []
+    for n in [1, 2, 5, 20, 51, 63, 64, 65, 80, 127, 128, 129, 200, MANY, MANY + 1] * 8:
+        letters = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz аеद"])
+        piece = "".join(rng.choice(letters) for _ in range(n))
+        source = [rng.choice(letters) for _ in range(rng.choice([0, n // 2, n, 5 * n, 3000]))]
+        kept = [c for c in piece if rng.random() > rng.choice([0.15, 0.19, 0.21])]
+        at = rng.choice([0, len(source), rng.randint(0, len(source))])
+        pairs.append((piece, "".join(source[:at] + kept + source[at:])))
+    pairs += [("", "abc"), ("abc", ""), ("a" * 15, "a" * 12), ("a" * 15, "a" * 11)]
+    want = [aligned(p, s) >= NEAR for p, s in pairs]
+    assert near(pairs).tolist() == want and 20 < sum(want) < len(want) - 20
+
+
+def test_near_in_parts(monkeypatch):
+    monkeypatch.setattr("lectern.functions.alignment.AT_ONCE", 100)
+    monkeypatch.setattr("lectern.functions.alignment.BEGINNING", 10)
+    test_near_is_what_alignment_says()
+
+
+def test_a_long_text_takes_no_time_a_character():
+    """20 MB for two quotations of 80 characters; character by character they took some 20 seconds."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh  ijklmnopqrstuvw") for _ in range(n))
+    rows = [(text(20_000) * 10, [text(80), text(60)]) for _ in range(100)]
+    began = time.process_time()
+    assert {x for row in quote_levels(rows) for x in row} == {"none"}
+    assert time.process_time() - began < 10
+
+
 def levels(spark, pairs):
     df = spark.createDataFrame(pairs, "quote string, source string").coalesce(1)
     return [r.level for r in with_quote_match(df, "quote", "source").collect()]
@@ -72,6 +103,11 @@ def test_quotes(spark):
     assert levels(spark, quotes) == ["verbatim", "verbatim", "none", "none", "near", "none"]
 
 
+def test_a_source_is_sent_once_for_its_quotations(spark):
+    plan = QUERIES["quote_check"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_normal_quotes():
     assert normal_quote("  Ａb—C‍ १२ ৩ क़ ড়﻿ ٣") == "ab c 12 3 क ড ٣"
 
