@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.relations import tasks_for
 from lectern.operators.stored import checkpoints
 
 
-def typed_edges(docs: DataFrame, topics: DataFrame, refs: DataFrame, floor: int = 2, per_doc: int = 8) -> DataFrame:
-    """published_by, about and cites edges (source, target, kind, weight) of docs (doc, channel), topics (doc, topic, place) and refs (doc, cited)."""
+def typed_edges(docs: DataFrame, topics: DataFrame, refs: DataFrame, floor: int = 2, per_doc: int = 8, tasks: int | None = None) -> DataFrame:
+    """published_by, about and cites edges (source, target, kind, weight) of docs (doc, channel), topics (doc, topic, place) and refs (doc, cited).
+
+    Each kind is counted by its keys, dealt over as many tasks as its rows call for (topics: over tasks, if given), and written out
+    after that. The sides of joins that may have many rows to a key are streamed past a table of the other, not sorted."""
+    spark = docs.sparkSession
+    of_docs, of_refs, of_topics = tasks_for(spark, docs.count()), tasks_for(spark, refs.count()), tasks or tasks_for(spark, topics.count())
     common = topics.select("doc", "topic").distinct().groupBy("topic").agg(F.count("*").alias("n")).filter(F.col("n") >= floor).select("topic")
     order = Window.partitionBy("doc").orderBy("place", "topic")
-    about = topics.join(common, "topic").withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= per_doc)
-    edge = lambda s, t, k: [F.concat(F.lit(s[0]), F.col(s[1]).cast("string")).alias("source"), F.concat(F.lit(t[0]), F.col(t[1]).cast("string")).alias("target"), F.lit(k).alias("kind")]
-    every = docs.filter("channel is not null").select(*edge(("doc:", "doc"), ("channel:", "channel"), "published_by"))
-    every = every.unionByName(about.select(*edge(("doc:", "doc"), ("topic:", "topic"), "about")))
-    known = docs.select(F.col("doc").alias("cited"))
-    every = every.unionByName(refs.filter("doc <> cited").join(known, "cited", "left_semi").select(*edge(("doc:", "doc"), ("doc:", "cited"), "cites")))
-    return every.groupBy("source", "target", "kind").agg(F.count("*").alias("weight"))
+    about = topics.join(common.hint("shuffle_hash"), "topic", "left_semi").repartition(of_topics, "doc")
+    about = about.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= per_doc)
+    edge = lambda rows, s, t, k: rows.groupBy(s[1], t[1]).agg(F.count("*").alias("weight")).select(F.concat(F.lit(s[0]), F.col(s[1]).cast("string")).alias("source"), F.concat(F.lit(t[0]), F.col(t[1]).cast("string")).alias("target"), F.lit(k).alias("kind"), "weight")
+    known = docs.select(F.col("doc").alias("cited")).repartition(max(of_docs, of_refs), "cited")
+    cites = refs.filter("doc <> cited").repartition(max(of_docs, of_refs), "cited").join(known.hint("shuffle_hash"), "cited", "left_semi")
+    every = edge(docs.filter("channel is not null").repartition(of_docs, "doc", "channel"), ("doc:", "doc"), ("channel:", "channel"), "published_by")
+    every = every.unionByName(edge(about, ("doc:", "doc"), ("topic:", "topic"), "about"))
+    return every.unionByName(edge(cites, ("doc:", "doc"), ("doc:", "cited"), "cites"))
 
 
 def capped_pairs(pairs: DataFrame, a: str, b: str, weight: str, cap: int = 5) -> DataFrame:

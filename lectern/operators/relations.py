@@ -68,7 +68,8 @@ def typed_targets(rows: DataFrame, lookups: list[tuple[str, DataFrame, str, str]
 ROWS_A_TASK = 1 << 18
 
 
-def _tasks(spark: SparkSession, rows: int) -> int:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """The tasks over which so many rows are dealt: the session's own number of them at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
 
 
@@ -79,11 +80,11 @@ def pairs_within(df: DataFrame, group: str, item: str, least: int = 1) -> DataFr
     does not grow with the input; the pairs' number is known from the groups' sizes."""
     spark = df.sparkSession
     dealt = df.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull())
-    rows = dealt.repartition(_tasks(spark, df.count()), group).distinct()
+    rows = dealt.repartition(tasks_for(spark, df.count()), group).distinct()
     n = F.col("n").cast("double")
     pairs = int(rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0)
     other = rows.select(F.col(group), F.col(item).alias("other"))
-    met = rows.join(other, group).filter(F.col(item) < F.col("other")).select(item, "other").repartition(_tasks(spark, pairs), item, "other")
+    met = rows.join(other, group).filter(F.col(item) < F.col("other")).select(item, "other").repartition(tasks_for(spark, pairs), item, "other")
     return met.groupBy(item, "other").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import graph, retrieval as op
 from lectern.operators.postings import PostingIndex
+from lectern.operators.relations import tasks_for
 from lectern.operators.stored import shared_folder
 from lectern.plans.registry import Tables, query
 
@@ -108,9 +109,11 @@ def _docs(t: Tables):
 
 @query("graph_edges", "WITH x AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS topic, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS place FROM lineitem), k AS (SELECT topic FROM x GROUP BY 1 HAVING count(*) >= 2), a AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place, topic) AS r FROM x JOIN k USING (topic)), e AS (SELECT 'doc:' || o_orderkey AS source, 'channel:' || o_custkey AS target, 'published_by' AS kind FROM orders WHERE o_orderkey % 9 > 0 UNION ALL SELECT 'doc:' || doc, 'topic:' || topic, 'about' FROM a WHERE r <= 8 UNION ALL SELECT 'doc:' || o_orderkey, 'doc:' || (o_orderkey + 3), 'cites' FROM orders WHERE o_orderkey + 3 IN (SELECT o_orderkey FROM orders)) SELECT source, target, kind, count(*) AS weight FROM e GROUP BY 1, 2, 3")
 def graph_edges(t: Tables):
-    topics = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("topic")).agg(F.min("l_linenumber").alias("place"))
+    tasks = tasks_for(t.spark, t.lineitem.count())
+    rows = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("topic"), "l_linenumber").repartition(tasks, "doc")
+    topics = rows.groupBy("doc", "topic").agg(F.min("l_linenumber").alias("place"))
     refs = t.orders.select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") + 3).alias("cited"))
-    return graph.typed_edges(_docs(t), topics, refs)
+    return graph.typed_edges(_docs(t), topics, refs, tasks=tasks)
 
 
 _EDGES = "(SELECT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem)"

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lectern.functions import details, text as fn
-from lectern.operators import attribution, library, relations, statistics
+from lectern.operators import attribution, graph, library, relations, statistics
 from lectern.operators.relations import jaccard
 from lectern.plans import QUERIES
 
@@ -97,3 +97,29 @@ def test_pairs_are_counted_in_more_tasks_where_there_are_more(spark, monkeypatch
     out = relations.pairs_within(spark.createDataFrame(rows, "g int, i int"), "g", "i", 3)
     assert {tuple(r) for r in out.collect()} == {(a, b, 3) for a in range(20) for b in range(a + 1, 20)}
     assert "12), REPARTITION_BY_NUM" in plan(out)
+
+
+def test_edges_are_counted_in_more_tasks_where_there_are_more(spark, monkeypatch):
+    """Every kind is dealt before it is counted, by its keys; texts are made of what is counted. Repeated rows, nulls and one common topic."""
+    monkeypatch.setattr(relations, "ROWS_A_TASK", 50)
+    docs = spark.createDataFrame([(d, d % 7 or None) for d in range(300)] + [(1, 1), (None, 2)], "doc long, channel long")
+    topics = spark.createDataFrame([(d, 0, 1) for d in range(300)] + [(d, d, 0) for d in range(300)] + [(5, 0, 1)] + [(8, t, 2) for t in range(1, 20)] + [(9, None, 1)], "doc long, topic long, place int")
+    refs = spark.createDataFrame([(d, d + 1) for d in range(300)] * 2 + [(3, 3), (3, None)], "doc long, cited long")
+    out = graph.typed_edges(docs, topics, refs)
+    want = {(f"doc:{d}", f"channel:{d % 7}", "published_by"): 1 for d in range(300) if d % 7}
+    want |= {("doc:1", "channel:1", "published_by"): 2, (None, "channel:2", "published_by"): 1}
+    want |= {(f"doc:{d}", f"doc:{d + 1}", "cites"): 2 for d in range(299)}
+    want |= {(f"doc:{d}", "topic:0", "about"): 1 for d in range(1, 300)} | {("doc:0", "topic:0", "about"): 2, ("doc:5", "topic:0", "about"): 2}
+    want |= {(f"doc:{d}", f"topic:{d}", "about"): 1 for d in range(1, 20) if d != 8} | {("doc:8", f"topic:{t}", "about"): 1 for t in range(1, 8)}
+    # Topic 8, though twice in document 8, is in no other: after topic 0 there are seven more.
+    assert {(r.source, r.target, r.kind): r.weight for r in out.collect()} == want
+    text = plan(out)
+    assert "7), REPARTITION_BY_NUM" in text and "13), REPARTITION_BY_NUM" in text and "hashpartitioning(source" not in text
+    assert "SortMergeJoin" not in text
+
+
+def test_graph_edges_deals_lineitem_before_it_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(relations, "ROWS_A_TASK", 1000)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    text = plan(QUERIES["graph_edges"](spark, SF))
+    assert text.count(f"{-(-rows // 1000)}), REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in "".join(x for x in text.splitlines() if "hashpartitioning(l_orderkey" in x)
