@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from lectern.functions.text import beyond_ascii
+from lectern.operators.stored import checkpoints
 
 
 def first_nonzero(*columns: str) -> Column:
@@ -74,23 +76,44 @@ def duration_bucket(seconds: str) -> Column:
     return out
 
 
-def label_counts(labels: DataFrame, doc: str, label: str, by: list[str], top: int = 25, examples: int = 8) -> DataFrame:
-    """Labels folded by case, counted once per document; shown in the most frequent spelling.
+#: Labels to look for that are sent to every task; more are joined.
+SENT = 1 << 18
+
 
-    Each document's labels are counted before anything moves; all else is made of those counts."""
-    clean = labels.select(*by, F.col(doc).alias("doc"), F.regexp_replace(F.trim(F.col(label)), r"\s+", " ").alias("label")).filter("label <> ''")
-    each = clean.groupBy(*by, "doc", "label").agg(F.count("*").alias("n")).withColumn("key", F.lower("label"))
+def label_counts(labels: DataFrame, doc: str, label: str, by: list[str], top: int = 25, examples: int = 8) -> DataFrame:
+    """Labels (one a row, or an array of them) folded by case, counted once per document; shown in the most frequent spelling.
+
+    A document's labels are one array, gathered only where it has several rows. Each array adds its labels, and its distinct
+    folded ones once more, so that one count by label gives spellings and documents, and no label moves for each document."""
+    spark = labels.sparkSession
+    checkpoints(spark)
+    several = isinstance(labels.schema[label].dataType, ArrayType)
+    rows = labels.select(*by, F.col(doc).alias("doc"), F.col(label) if several else F.array(label).alias(label))
+    if not rows.groupBy(*by, "doc").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy(*by, "doc").agg(F.flatten(F.collect_list(label)).alias(label))
+    # Most arrays hold no white space at all, which is seen at once.
+    clean = F.transform(label, lambda w: F.regexp_replace(F.trim(w), r"\s+", " "))
+    clean = F.when(F.rlike(F.array_join(label, ""), F.lit(r"\s")), clean).otherwise(F.col(label))
+    rows = rows.select(*by, "doc", clean.alias("labels")).withColumn("labels", F.filter("labels", lambda w: w != ""))
+    rows = rows.withColumn("keys", F.array_distinct(F.transform("labels", F.lower)))
+    # Keys first: what stands before their number counts a document, all else a spelling. (Without outer, arrays are made
+    # once more beforehand, to see whether they are empty.)
+    every = rows.select(*by, "doc", F.size("keys").alias("size"), F.posexplode_outer(F.concat("keys", "labels")).alias("place", "label")).filter("label is not null")
+    is_key = F.col("place") < F.col("size")
+    counts = every.groupBy(*by, "label").agg(F.count_if(~is_key).alias("n"), F.count_if(is_key & F.col("doc").isNotNull()).alias("documents"))
     capitals = F.length(F.regexp_replace("label", "[^A-Z]", ""))
-    spelt = each.groupBy(*by, "key", "label").agg(F.sum("n").alias("n")).groupBy(*by, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), (-capitals).alias("c"), F.col("label").alias("label"))).alias("s"))
+    spelling = F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), (-capitals).alias("c"), "label"))
+    docs = counts.groupBy(*by, F.lower("label").alias("key")).agg(F.sum("documents").alias("documents"), F.min(spelling).alias("s"))
     order = Window.partitionBy(*by).orderBy(F.desc("documents"), "key")
-    docs = each.groupBy(*by, "key").agg(F.countDistinct("doc").alias("documents"))
-    best = docs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    # Only the labels shown need examples; ranks come first, then the first few are gathered.
+    best = docs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).checkpoint()
+    # Only the labels shown need examples: the first few documents of each.
+    wanted = best.select(*by, "key")
+    wanted = F.broadcast(wanted) if best.count() <= SENT else wanted
     nth = Window.partitionBy(*by, "key").orderBy("doc")
-    shown = each.join(best.select(*by, "key"), [*by, "key"], "left_semi")
-    shown = shown.select(*by, "key", "doc").distinct().withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= examples)
+    shown = rows.select(*by, "doc", F.explode_outer("keys").alias("key")).join(wanted, [*by, "key"], "left_semi")
+    shown = shown.withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= examples)
     shown = shown.groupBy(*by, "key").agg(F.array_sort(F.collect_list("doc")).alias("examples"))
-    return best.join(spelt, [*by, "key"]).join(shown, [*by, "key"]).select(*by, "rank", "key", F.col("s.label").alias("label"), "documents", "examples")
+    return best.join(shown, [*by, "key"]).select(*by, "rank", "key", F.col("s.label").alias("label"), "documents", "examples")
 
 
 def tfidf_terms(docs: DataFrame, doc: str, text: str, newest: Column | None = None, documents: int = 500, characters: int = 40_000, stop: tuple[str, ...] = (), least_df: int = 2, features: int = 20_000, top: int = 60) -> DataFrame:

@@ -45,7 +45,7 @@ def duration_buckets(t: Tables):
 @query("label_counts", "WITH w AS (SELECT lang, doc_id AS doc, label, lower(label) AS key FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS label FROM documents)), d AS (SELECT lang, key, count(DISTINCT doc) AS documents FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY documents DESC, key) AS rank FROM d), s AS (SELECT lang, key, label, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, length(regexp_replace(label, '[^A-Z]', '', 'g')) DESC, label) AS i FROM (SELECT lang, key, label, count(*) AS n FROM w GROUP BY 1, 2, 3)), x AS (SELECT lang, key, list_sort(list(DISTINCT doc))[1:8] AS examples FROM w GROUP BY 1, 2) SELECT r.lang, CAST(rank AS INT) AS rank, key, label, documents, examples FROM r JOIN s USING (lang, key) JOIN x USING (lang, key) WHERE rank <= 25 AND i = 1")
 def label_counts(t: Tables):
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))
-    return op.label_counts(t.documents.select("lang", "doc_id", F.explode(words).alias("label")), "doc_id", "label", ["lang"])
+    return op.label_counts(t.documents.select("lang", "doc_id", words.alias("labels")), "doc_id", "labels", ["lang"])
 
 
 @query("tfidf_terms", r"WITH d AS (SELECT doc_id, lower(left(text, 40000)) AS text FROM documents ORDER BY doc_id DESC LIMIT 500), w AS (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS term FROM d), tf AS (SELECT doc, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and') GROUP BY 1, 2), k AS (SELECT term, count(*) AS df, sum(tf) AS al FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY al DESC, term LIMIT 20000), x AS (SELECT doc, term, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM tf JOIN k USING (term)), n AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), s AS (SELECT term, sum(w / norm) AS weight, max(df) AS df FROM x JOIN n USING (doc) GROUP BY 1 ORDER BY weight DESC, term LIMIT 60) SELECT term, df, weight / max(weight) OVER () AS weight FROM s")

@@ -1,6 +1,8 @@
 """Work that grows with the input alone: what is computed once a row, and what moves between tasks."""
 
+import random
 import time
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -123,3 +125,41 @@ def test_graph_edges_deals_lineitem_before_it_is_counted(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     text = plan(QUERIES["graph_edges"](spark, SF))
     assert text.count(f"{-(-rows // 1000)}), REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in "".join(x for x in text.splitlines() if "hashpartitioning(l_orderkey" in x)
+
+
+def test_labels_are_counted_without_a_row_for_each_document(spark):
+    """Arrays and single labels give the same: documents with several rows, nulls, white space, spellings, the first documents."""
+    rng = random.Random(4)
+    words = ["Ab", "aB", "ab", "AB", "é", "É", " x  y ", "x y", "X\ty", "", "  ", None, "w1", "W1", "w2"]
+    rows = [(g, rng.choice([None, *range(12)]), [rng.choice(words) for _ in range(rng.randint(0, 6))]) for g in ("p", "q", None) for _ in range(20)]
+    rows += [("one", d, ["b", "B", "b"]) for d in range(30)] + [("p", 1, None), ("r", 1, None), ("r", 2, ["", None])]
+    shown = lambda df, c, **k: sorted(tuple(r) for r in statistics.label_counts(df, "d", c, ["g"], 3, 4, **k).collect())
+    got = shown(spark.createDataFrame(rows, "g string, d int, w array<string>"), "w")
+    single = [(g, d, w) for g, d, ws in rows for w in ws or []]
+    assert got == shown(spark.createDataFrame(single, "g string, d int, w string"), "w")
+    found = defaultdict(lambda: (Counter(), set()))
+    for g, d, w in single:
+        if g and w and (w := " ".join(w.split())):
+            found[g, w.lower()][0][w] += 1
+            found[g, w.lower()][1].add(d)
+    want = []
+    for group in {g for g, _ in found}:
+        keys = sorted((k for g, k in found if g == group), key=lambda k: (-len(found[group, k][1] - {None}), k))
+        for rank, key in enumerate(keys[:3], 1):
+            spelt, docs = found[group, key]
+            label = min(spelt, key=lambda w: (-spelt[w], -sum("A" <= c <= "Z" for c in w), w))
+            # A document without an id comes first and is not listed.
+            first = [d for d in sorted(docs, key=lambda d: -1 if d is None else d)[:4] if d is not None]
+            want.append((group, rank, key, label, len(docs - {None}), first))
+    assert got == sorted(want) and ("one", 1, "b", "b", 30, [0, 1, 2, 3]) in got
+
+
+def test_no_label_moves_for_each_document(spark, monkeypatch):
+    """What is counted first is counted by label alone, not by document and label; texts are read for nothing but their labels."""
+    rows = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").alias("doc"), F.array(F.lit("a"), F.lit("b"), F.lit("A")).alias("w"))
+    counted, checkpoint = [], type(rows).checkpoint
+    monkeypatch.setattr(type(rows), "checkpoint", lambda df, *a: counted.append(plan(df)) or checkpoint(df, *a))
+    out = statistics.label_counts(rows, "doc", "w", ["g"])
+    assert [tuple(r)[1:5] for r in out.orderBy("rank").collect()] == [(1, "a", "A", 1000), (2, "b", "b", 1000)]
+    moved = [x for x in counted[0].splitlines() if "hashpartitioning" in x]
+    assert len(counted) == 1 and moved and not [x for x in moved if "doc#" in x]
